@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import quality
-from factloom.llm.common import table
+from factloom.llm import mixing, quality
+from factloom.llm.common import staged, table
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = staged(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), "sizes")
+    return mixing.mix_sources(sized, size="words").select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +20,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
