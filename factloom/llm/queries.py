@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, quality
+from factloom.llm import minhash, mixing, quality
 from factloom.llm.common import staged, table
 
 
@@ -15,11 +15,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(sized, size="words").select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
+def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_minhash_near_duplicates, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
