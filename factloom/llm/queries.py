@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import minhash, mixing, quality
+from factloom.llm import minhash, mixing, quality, tokenout
 from factloom.llm.common import staged, table
 
 
+#: The tokenizer of the queries; operators take its path as a parameter.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenout.token_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = staged(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), "sizes")
@@ -24,6 +33,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_minhash_near_duplicates, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op5_minhash_near_duplicates, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
