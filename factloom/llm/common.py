@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keep_rows(df: DataFrame, column: str, keeps: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
+    """The rows of df whose value of column passes; keeps(values) gives a mask. All columns pass through, whatever their names."""
+    place = df.columns.index(column)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                yield b.filter(pa.array(keeps(b.column(place).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(kept, df.schema)
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8 bytes; bytes.split() splits at exactly the six bytes that WORD excludes."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()

@@ -206,3 +206,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "component", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of docs whose id is the least of its component; rows equal in id and text count once."""
+    found = staged(near_duplicates(docs, doc_id, text, percent), "near-duplicates")
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept_id"))
+    repeated = not kept.groupBy("_kept_id").count().where("count > 1").isEmpty()
+    out = docs.join(kept.distinct() if repeated else kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    return out.dropDuplicates([doc_id, text]) if repeated else out

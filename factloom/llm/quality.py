@@ -16,6 +16,7 @@ the id, text and lang columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import words
+from factloom.llm.common import keep_rows, words
 
 # Frequent function words of each language, lower case.
 COMMON_WORDS = {
@@ -137,53 +138,57 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     return out
 
 
-def judge_quality(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    lang: str = "lang",
-    min_words: int = 20,
-    max_repeat_percent: int = 30,
-    max_char_distance: float = 0.3,
-    max_word_distance: float = 0.45,
-    both_distances: tuple[float, float] = (0.16, 0.32),
-    min_judged_chars: int = 200,
-    min_judged_words: int = 50,
-) -> DataFrame:
-    """One row per document: counts, both distances (null when not judged), base_failed and kept.
-
-    Rejected are documents that fail the base rule, or lie further than the
-    allowed distance in one histogram, or than both_distances in both.
-    """
+@dataclass(frozen=True)
+class QualityRules:
+    """Limits of the rules; rejected are documents that fail the base rule, or lie further than
+    the allowed distance in one histogram, or than both_distances in both."""
+
+    min_words: int = 20
+    max_repeat_percent: int = 30
+    max_char_distance: float = 0.3
+    max_word_distance: float = 0.45
+    both_distances: tuple[float, float] = (0.16, 0.32)
+    min_judged_chars: int = 200
+    min_judged_words: int = 50
+
+    def judge(self, texts: list[str | None], refs: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+        """Counts, distances (NaN where not judged) and verdicts of some texts."""
+        counts, class_rows, word_rows = [], [], []
+        for t in texts:
+            ws, chars = words(t), char_classes(t)
+            class_rows.append(chars)
+            word_rows.append(common_words(ws))
+            counts.append((len(ws), chars.sum() - chars[SPACE], chars[SYMBOL], duplicate_lines(t), repeat_words(ws)))
+        n, n_chars, symbols, lines, repeated = np.array(counts, np.int64).reshape(-1, 5).T
+
+        def nearest(rows: list[np.ndarray], k: int, sizes: np.ndarray, least: int) -> np.ndarray:
+            if not refs or not rows:
+                return np.full(len(rows), np.nan)
+            return np.where(sizes >= least, np.min([js_distances(np.array(rows), r[k]) for r in refs], axis=0), np.nan)
+
+        cd, wd = nearest(class_rows, 0, n_chars, self.min_judged_chars), nearest(word_rows, 1, n, self.min_judged_words)
+        failed = (n < self.min_words) | (100 * repeated > self.max_repeat_percent * n)
+        far = (cd > self.max_char_distance) | (wd > self.max_word_distance) | ((cd > self.both_distances[0]) & (wd > self.both_distances[1]))
+        return {"n_words": n, "word_chars": n_chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeated, "char_distance": cd, "word_distance": wd, "base_failed": failed, "kept": ~failed & ~far}
+
+
+def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rules: QualityRules = QualityRules()) -> DataFrame:
+    """One row per document: counts, both distances (null when not judged), base_failed and kept."""
     refs = list(language_references(docs, text, lang).values())
 
-    def nearest(counts: list[np.ndarray], k: int, sizes: np.ndarray, least: int) -> np.ndarray:
-        if not refs:
-            return np.full(len(counts), np.nan)
-        found = np.min([js_distances(np.array(counts), r[k]) for r in refs], axis=0)
-        return np.where(sizes >= least, found, np.nan)
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                counts, class_rows, word_rows = [], [], []
-                for t in b.column(1):
-                    t = t.as_py()
-                    ws, chars = words(t), char_classes(t)
-                    class_rows.append(chars)
-                    word_rows.append(common_words(ws))
-                    counts.append((len(ws), chars.sum() - chars[SPACE], chars[SYMBOL], duplicate_lines(t), repeat_words(ws)))
-                n, n_chars, symbols, lines, repeated = np.array(counts, np.int64).T
-                cd, wd = nearest(class_rows, 0, n_chars, min_judged_chars), nearest(word_rows, 1, n, min_judged_words)
-                failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
-                far = (cd > max_char_distance) | (wd > max_word_distance) | ((cd > both_distances[0]) & (wd > both_distances[1]))
-                distance = lambda x: pa.array(x, pa.float64(), from_pandas=True)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *map(pa.array, (n, n_chars, symbols, lines, repeated)), distance(cd), distance(wd), pa.array(failed), pa.array(~failed & ~far)],
-                    names=[doc_id, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"],
-                )
+                found = rules.judge(b.column(1).to_pylist(), refs)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, from_pandas=True) for v in found.values())], names=["doc_id", *found])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    own = docs.select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
-    return own.mapInArrow(judge, f"`{doc_id}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return own.mapInArrow(judge, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean")
+
+
+def good_documents(docs: DataFrame, text: str = "text", lang: str = "lang", rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns and without a shuffle."""
+    refs = list(language_references(docs, text, lang).values())
+    return keep_rows(docs, text, lambda texts: rules.judge(texts, refs)["kept"])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import htmlmain, minhash, mixing, quality, tokenout
+from factloom.llm import decontam, htmlmain, minhash, mixing, quality, tokenout
 from factloom.llm.common import staged, table
 
 
@@ -32,11 +32,15 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op4_main_text, op5_minhash_near_duplicates, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op4_main_text, op5_minhash_near_duplicates, op8_benchmark_decontamination, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
