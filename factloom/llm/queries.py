@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontam, htmlmain, minhash, mixing, quality, tokenout
+from factloom.llm import decontam, htmlmain, minhash, mixing, quality, substrings, tokenout
 from factloom.llm.common import staged, table
 
 
@@ -24,6 +24,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(sized, size="words").select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.coalesce(F.sha2("kept", 256), "sha256").alias("kept_sha256"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -41,6 +47,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op4_main_text, op5_minhash_near_duplicates, op8_benchmark_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op3_substring_dedup, op4_main_text, op5_minhash_near_duplicates, op8_benchmark_decontamination, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
