@@ -106,14 +106,15 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def _shingle_sets(docs: DataFrame, of: DataFrame) -> DataFrame:
-    """(class, shingles) of one document for each class in of (class, doc_id)."""
+def _shingle_sets(docs: DataFrame, of: DataFrame, half: bool = False) -> DataFrame:
+    """(class, shingles) of one document for each class in of (class, doc_id); half: only the upper 32 bits of each hash."""
+    of_text = lambda t: (shingle_hashes(t) >> np.uint64(32)).astype(np.uint32) if half else shingle_hashes(t)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of_text(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["class", "shingles"])
 
     return docs.join(of, "doc_id").select("class", "text").mapInArrow(sets, "class long, shingles binary")
 
@@ -135,51 +136,74 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, sigs: DataFrame, least: int, block: int) -> DataFrame:
-    """Agreeing pairs of different components in large buckets, compared block by block.
+def _bucket_pairs(members: DataFrame, sets: DataFrame, least: int, percent: int, large: int, block: int) -> DataFrame:
+    """Pairs that join different components in the buckets of members (bucket, class, component, n).
 
-    A member goes to every pair of blocks that its own block is in, so a task
-    holds two blocks of signatures whatever the bucket's size, and only
-    agreeing pairs leave it.
+    Buckets of up to ``large`` classes are compared whole, many to a task; of a
+    larger one a member goes to every pair of blocks that its own block is in,
+    so a task holds two blocks whatever the bucket's size.  Pairs whose
+    signatures agree are measured on sets of half hashes, which can only
+    overstate what is common; a pair leaves its task if it passes and joins
+    components that no pair before it in the task has joined.
     """
-    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    dealt = members.join(size, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", "component", "own", F.col("bucket"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sigs.select("class", "signature"), "class")
+    bundles = max(1, members.count() // 4000)
+    blocks = F.when(F.col("n") > large, F.ceil(F.col("n") / block)).otherwise(1)
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    task = F.when(F.col("n") > large, F.xxhash64("bucket", "i", "j")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(bundles)))
+    dealt = dealt.select(task.alias("task"), "bucket", "class", "component", "own", "i", "j").join(sets, "class")
 
     def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        own, comp, cls = (t.column(c).to_numpy() for c in ("own", "component", "class"))
+        t = t.sort_by("bucket")
+        bucket, own, comp, cls, i, j = (t.column(c).to_numpy() for c in ("bucket", "own", "component", "class", "i", "j"))
         s = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-        left = np.flatnonzero(own == key[1].as_py())
-        right = np.flatnonzero(own == key[2].as_py())
-        a, b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (cls[right] != cls[x])]
-            y = y[(s[y] == s[x]).sum(axis=1) >= least]
-            a += [cls[x]] * len(y)
-            b += cls[y].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+        halves = [np.frombuffer(x, np.uint32) for x in t.column("halves").to_pylist()]
+        over: dict[int, int] = {}  # components joined so far, as a forest
+
+        def top(c: int) -> int:
+            while c in over:
+                c = over[c]
+            return c
+
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        found = set()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            right = np.flatnonzero(own[lo:hi] == j[lo]) + lo
+            for x in np.flatnonzero(own[lo:hi] == i[lo]) + lo:
+                y = right[comp[right] > comp[x]] if i[lo] == j[lo] else right[comp[right] != comp[x]]
+                for k in y[(s[y] == s[x]).sum(axis=1) >= least].tolist():
+                    one, two = top(int(comp[x])), top(int(comp[k]))
+                    if one == two:
+                        continue
+                    u, v = halves[x], halves[k]
+                    both = int(np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u))
+                    if 100 * both >= percent * (len(u) + len(v) - both):
+                        over[two] = one
+                        found.add((min(cls[x], cls[k]), max(cls[x], cls[k])))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    return dealt.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, large: int = 64, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """(signed, groups): each document with n_shingles and class, and (class, component) for the linked classes.
 
-    First each class of a bucket meets the bucket's smallest set: where a
-    passage common to all makes the bucket, no other is more alike to each.
-    Then classes that are still in different components meet in pairs, in
-    buckets of up to ``large`` classes, and block by block in larger ones.
+    First each class of a bucket meets two pivots: the bucket's smallest set
+    (where a passage common to all makes the bucket, no other is more alike to
+    each) and the class that shares the most buckets (of copies with changes,
+    most often what they were copied from).  Then classes that are still in
+    different components meet within their buckets.
     """
-    least = int(HASHES * (percent / 100 - 0.15))
+    least = int(HASHES * (percent / 100 - 0.13))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = staged(signatures(own), "signatures")
     members = staged(shared_buckets(signed), "buckets")
-    candidates = members.select("class").distinct()
-    sigs = staged(signed.join(candidates, "class", "left_semi").groupBy("class").agg(F.min_by(F.struct("signature", "n_shingles"), F.col("doc_id")).alias("x"), F.min("doc_id").alias("doc_id")).select("class", "doc_id", "x.*"), "candidates")
-    sized = members.join(sigs.select("class", "n_shingles"), "class")
-    pivots = sized.groupBy("bucket").agg(F.min(F.struct("n_shingles", "class")).getField("class").alias("pivot"))
-    stars = members.join(pivots, "bucket").where("class != pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+    degree = members.groupBy("class").agg(F.count("*").alias("degree"))
+    sigs = staged(signed.join(degree, "class").groupBy("class", "degree").agg(F.min_by(F.struct("signature", "n_shingles"), F.col("doc_id")).alias("x"), F.min("doc_id").alias("doc_id")).select("class", "doc_id", "degree", "x.*"), "candidates")
+    sized = members.join(sigs.select("class", "n_shingles", "degree"), "class")
+    pivots = sized.groupBy("bucket").agg(F.min(F.struct("n_shingles", "class")).getField("class").alias("least"), F.max(F.struct("degree", "class")).getField("class").alias("most"))
+    met = members.join(pivots, "bucket").select("class", F.explode(F.array_distinct(F.array("least", "most"))).alias("pivot")).where("class != pivot")
+    stars = met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
     sets = lambda pairs: _shingle_sets(own, sigs.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi").select("class", "doc_id"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -191,11 +215,8 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     labelled = members.join(groups.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     open_ = staged(labelled.join(mixed.select("bucket", "n"), "bucket"), "open")
-    small = open_.where(F.col("n") <= large)
-    right = small.select("bucket", F.col("class").alias("b"), F.col("component").alias("other"))
-    pairs = small.join(right, "bucket").where("component < other").select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
-    more = _agreeing(pairs, sigs, least).union(_block_pairs(open_.where(F.col("n") > large).drop("n"), sigs, least, block).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    found = links_of(more)
+    halves = _shingle_sets(own, sigs.join(open_.select("class").distinct(), "class", "left_semi").select("class", "doc_id"), half=True).withColumnRenamed("shingles", "halves")
+    found = links_of(_bucket_pairs(open_, sigs.select("class", "signature").join(halves, "class"), least, percent, large, block))
     return signed, connected_components(links.union(found).toDF("u", "v"))
 
 

@@ -35,33 +35,40 @@ GROUP_BLOCKS = 2048
 class WordTokenizer:
     """Ids of whole texts by a tokenizers file, through a bounded table of the words met so far."""
 
-    def __init__(self, path: str, most_words: int = 400_000) -> None:
+    def __init__(self, path: str, most_words: int = 400_000, offsets: bool = False) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most_words
+        self.tokenizer, self.most, self.offsets = Tokenizer.from_file(path), most_words, offsets
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.spans = np.empty((0, 2), np.int32)  # characters of each id in its word, if asked for
 
     def learn(self, new: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
+        encoded = encode([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        if self.offsets:
+            self.spans = np.concatenate([self.spans, np.array([o for e in encoded for o in e.offsets], np.int32).reshape(-1, 2)])
         parts = [e.ids for e in encoded]
         lens = np.fromiter(map(len, parts), np.int64, len(parts))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.ids = np.concatenate([self.ids, np.fromiter((i for p in parts for i in p), np.int32, int(lens.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
 
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, each text with the end id, and their numbers."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+    def learn_all(self, split: list[list[bytes]]) -> None:
         new = list(set().union(*split) - self.known.keys())
         if len(self.known) + len(new) > self.most:
             self.clear()
             new = list(set().union(*split))
         if new:
             self.learn(new)
+
+    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, each text with the end id, and their numbers."""
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        self.learn_all(split)
         n_words = np.fromiter(map(len, split), np.int64, len(split))
         total = int(n_words.sum())
         word = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, total)
