@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import attribution, decontam, htmlmain, minhash, mixing, quality, quotes, substrings, tokenout
+from factloom.llm import attribution, decontam, htmlmain, minhash, mixing, passages, quality, quotes, substrings, tokenout
 from factloom.llm.common import staged, table
 
 
@@ -50,11 +50,15 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op3_substring_dedup, op4_main_text, op5_minhash_near_duplicates, op6_quotation_linking, op7_section_tokens, op8_benchmark_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op3_substring_dedup, op4_main_text, op5_minhash_near_duplicates, op6_quotation_linking, op7_section_tokens, op8_benchmark_decontamination, op9_repeated_passages, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
