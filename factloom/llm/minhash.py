@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 for t in b.column(1):
                     s = shingle_hashes(t.as_py())
                     n.append(len(s))
-                    cls.append(int(xxhash.xxh3_64_intdigest(s.tobytes())) - (1 << 63) if len(s) else None)
+                    cls.append(_class(s) if len(s) else None)
                     sigs.append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
 
@@ -106,8 +106,24 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def _shingle_sets(docs: DataFrame, of: DataFrame, half: bool = False) -> DataFrame:
-    """(class, shingles) of one document for each class in of (class, doc_id); half: only the upper 32 bits of each hash."""
+def _class(hashes: np.ndarray) -> int:
+    return int(xxhash.xxh3_64_intdigest(hashes.tobytes())) - (1 << 63)
+
+
+def _of_class(texts: DataFrame) -> DataFrame:
+    """The rows (class, text) whose text is of the class; rows that share an id need not be."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                yield b.filter(pa.array([len(s := shingle_hashes(t.as_py())) > 0 and _class(s) == c for c, t in zip(b.column(0).to_pylist(), b.column(1))], pa.bool_()))
+
+    return texts.mapInArrow(check, "class long, text string")
+
+
+def _shingle_sets(texts: DataFrame, half: bool = False) -> DataFrame:
+    """(class, shingles) of texts (class, text); half: only the upper 32 bits of each hash."""
     of_text = lambda t: (shingle_hashes(t) >> np.uint64(32)).astype(np.uint32) if half else shingle_hashes(t)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +132,7 @@ def _shingle_sets(docs: DataFrame, of: DataFrame, half: bool = False) -> DataFra
                 b = whole.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of_text(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["class", "shingles"])
 
-    return docs.join(of, "doc_id").select("class", "text").mapInArrow(sets, "class long, shingles binary")
+    return texts.mapInArrow(sets, "class long, shingles binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +220,12 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     pivots = sized.groupBy("bucket").agg(F.min(F.struct("n_shingles", "class")).getField("class").alias("least"), F.max(F.struct("degree", "class")).getField("class").alias("most"))
     met = members.join(pivots, "bucket").select("class", F.explode(F.array_distinct(F.array("least", "most"))).alias("pivot")).where("class != pivot")
     stars = met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-    sets = lambda pairs: _shingle_sets(own, sigs.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi").select("class", "doc_id"))
+    named = sigs.select("class", F.col("doc_id").alias("_of"))
+    texts = staged(_of_class(own.join(named, F.col("doc_id").eqNullSafe(F.col("_of"))).select("class", "text")), "candidate-texts")
+    if texts.count() > sigs.count():  # rows of one id stand for their class more than once
+        texts = staged(texts.dropDuplicates(["class"]), "candidate-texts")
+    of = lambda classes: texts.join(classes.distinct(), "class", "left_semi")
+    sets = lambda pairs: _shingle_sets(of(pairs.select(F.explode(F.array("a", "b")).alias("class"))))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "pairs")
@@ -215,7 +236,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     labelled = members.join(groups.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     open_ = staged(labelled.join(mixed.select("bucket", "n"), "bucket"), "open")
-    halves = _shingle_sets(own, sigs.join(open_.select("class").distinct(), "class", "left_semi").select("class", "doc_id"), half=True).withColumnRenamed("shingles", "halves")
+    halves = _shingle_sets(of(open_.select("class")), half=True).withColumnRenamed("shingles", "halves")
     found = links_of(_bucket_pairs(open_, sigs.select("class", "signature").join(halves, "class"), least, percent, large, block))
     return signed, connected_components(links.union(found).toDF("u", "v"))
 
