@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Extractors:
@@ -29,7 +30,7 @@ class Extractors:
 
 def embed(df: DataFrame, text: str, function: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
     """df with a column embedding from a function of texts, called on batches inside the tasks."""
-    schema = df.schema.add("embedding", "array<double>")
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
