@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.tokenout import WordTokenizer
+from factloom.llm.tokenout import WordTokenizer, word_tokenizer
 
 _SPACES = re.compile(r"[^ \t\n\v\f\r]+")
 Section = tuple[int, int]
@@ -83,7 +83,7 @@ def section_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer_path, offsets=True)
+        tok = word_tokenizer(tokenizer_path, offsets=True)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)

@@ -4,8 +4,8 @@ A block is coded on its own from a fresh model, so any block can be decoded
 alone.  The model mixes three predictions of the next id:
 
 * order 2 and order 1: a hashed table each, from the last two ids and the last
-  id to the id that followed them last, with a confidence of 0..15; how often a
-  prediction of that confidence holds is learned;
+  id to the id that followed them last, with a confidence of 0..15 that rises
+  and falls with its success and sets how far it is believed;
 * order 0: the frequencies of ids in a small cache, with an escape to any id.
 
 P(x) = w2*P2(x) + w1*P1(x) + w0*P0(x), where an order's doubt goes to order 0;
@@ -21,88 +21,93 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"FLR1"
+MAGIC = b"FLR2"
 BLOCK = 2048
 _TOTAL = 1 << 16
-_SLOTS1, _SLOTS2, _CACHE = 512, 1024, 16
+_SLOTS1, _SLOTS2, _CACHE = 512, 1024, 8
 _U = np.uint64
-_LOW32 = _U((1 << 32) - 1)
+_BIG, _LOW32 = _U(1 << 32), _U((1 << 32) - 1)
+# The next confidence, and whether the predicted id stays, by confidence and (16 more) whether it came true.
+_NEXT = np.array([max(1, c >> 1) for c in range(16)] + [min(c + 1, 15) for c in range(16)], np.int64)
+_SURE = (np.arange(16) + 0.5) / 17  # how far a prediction of each confidence is believed
+_STAYS = np.array([c > 1 for c in range(16)] + [True] * 16)
 
 
 class _Model:
     """The state of every lane: predictions, confidences, weights and the order-0 cache."""
 
     def __init__(self, lanes: int) -> None:
-        self.at = np.arange(lanes)
-        self.table1 = np.zeros(lanes * _SLOTS1, np.int32)  # id << 4 | confidence
-        self.table2 = np.zeros(lanes * _SLOTS2, np.int32)
-        self.hit1, self.hit2 = (np.tile((np.arange(16) + 0.5) / 17, (lanes, 1)).ravel() for _ in range(2))
+        self.lanes, self.at = lanes, np.arange(lanes)
+        self.base1, self.base2 = self.at * _SLOTS1, self.at * _SLOTS2
+        self.table1 = np.zeros(lanes * _SLOTS1, np.int64)  # id << 4 | confidence
+        self.table2 = np.zeros(lanes * _SLOTS2, np.int64)
         self.w1, self.w2 = np.full(lanes, 0.3), np.full(lanes, 0.3)
-        self.ids = np.full((_CACHE, lanes), -1, np.int32)
+        self.ids = np.full((_CACHE, lanes), -1, np.int64)
         self.counts = np.zeros((_CACHE, lanes), np.int64)
-        self.escape = np.full(lanes, 16, np.int64)
+        self.flat = self.counts.reshape(-1)
+        self.total = np.full(lanes, 16, np.int64)  # counts and escapes
         self.last = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.mixed = np.zeros(lanes, np.int64)
         self.step = 0
+        self.ends = np.empty((_CACHE, lanes), np.int64)  # ends of the cache entries' masses
+        self.same = np.empty((_CACHE, lanes), bool)
 
     def predict(self) -> None:
-        self.k1 = self.at * _SLOTS1 + ((self.last * 40503) >> 4) % _SLOTS1
-        self.k2 = self.at * _SLOTS2 + ((self.last * 40503 + self.last2 * 10368889) >> 5) % _SLOTS2
-        e1, e2 = self.table1[self.k1], self.table2[self.k2]
-        self.id1, self.id2 = e1 >> 4, e2 >> 4
-        self.c1, self.c2 = self.at * 16 + (e1 & 15), self.at * 16 + (e2 & 15)
-        self.q1, self.q2 = self.hit1[self.c1], self.hit2[self.c2]
-        n2 = (self.w2 * self.q2 * 60000.0).astype(np.int64)
-        n1 = (self.w1 * self.q1 * 60000.0).astype(np.int64)
-        same = self.id1 == self.id2
-        self.n2, self.n1 = n2 + np.where(same, n1, 0), np.where(same, 0, n1)
-        rest = _TOTAL - self.n2 - self.n1
-        freq = self.counts * rest // (self.counts.sum(axis=0) + self.escape)
-        self.cum = np.empty((_CACHE + 1, len(self.at)), np.int64)  # ends of a cache entry's masses
-        self.cum[0] = self.n2 + self.n1
-        np.cumsum(freq, axis=0, out=self.cum[1:])
-        self.cum[1:] += self.cum[0]
+        h = self.last * 40503
+        self.k1 = self.base1 + ((h >> 4) & (_SLOTS1 - 1))
+        self.k2 = self.base2 + (((h + self.mixed) >> 5) & (_SLOTS2 - 1))
+        e1, e2 = self.table1.take(self.k1), self.table2.take(self.k2)
+        self.id1, self.id2, self.f1, self.f2 = e1 >> 4, e2 >> 4, e1 & 15, e2 & 15
+        self.q1, self.q2 = _SURE.take(self.f1), _SURE.take(self.f2)
+        n1, n2 = (self.w1 * self.q1 * 60000.0).astype(np.int64), (self.w2 * self.q2 * 60000.0).astype(np.int64)
+        same = n1 * (self.id1 == self.id2)
+        self.n2 = n2 + same
+        self.n1 = n1 - same
+        self.first = self.n2 + self.n1
+        scale = ((_TOTAL - self.first) << 16) // self.total
+        np.cumsum((self.counts * scale) >> 16, axis=0, out=self.ends)
+        self.ends += self.first
 
     def update(self, x: np.ndarray, slot: np.ndarray) -> None:
         """slot: the cache entry that holds x, or _CACHE."""
         hit1, hit2 = self.id1 == x, self.id2 == x
-        base = 1.0 / 65536 + np.where(slot < _CACHE, self.counts[np.minimum(slot, _CACHE - 1), self.at] / 1024.0, 0.0)
-        p1 = self.q1 * hit1 + (1.0 - self.q1) * base
-        p2 = self.q2 * hit2 + (1.0 - self.q2) * base
-        w0 = 1.0 - self.w1 - self.w2
-        all_ = self.w1 * p1 + self.w2 * p2 + w0 * base
-        self.w1 += 0.02 * (self.w1 * p1 / all_ - self.w1)
-        self.w2 += 0.02 * (self.w2 * p2 / all_ - self.w2)
-        self.w1 = np.maximum(self.w1, 0.01)
-        self.w2 = np.maximum(self.w2, 0.01)
-        total = self.w1 + self.w2
-        scale = np.where(total > 0.98, 0.98 / total, 1.0)
-        self.w1 *= scale
-        self.w2 *= scale
-        self.hit1[self.c1] += 0.05 * (hit1 - self.q1)
-        self.hit2[self.c2] += 0.05 * (hit2 - self.q2)
-        for table, k, hit, old, c in ((self.table1, self.k1, hit1, self.id1, self.c1), (self.table2, self.k2, hit2, self.id2, self.c2)):
-            conf = c & 15
-            keep = hit | (conf > 1)
-            conf = np.where(hit, np.minimum(conf + 1, 15), np.where(conf > 1, conf >> 1, 1))
-            table[k] = (np.where(keep, old, x) << 4) | conf
         found = slot < _CACHE
-        self.counts[slot[found], self.at[found]] += 24
-        self.escape += np.where(found, 0, 24)
-        victim = self.step % _CACHE
-        weak = (self.counts[victim] < 24) & ~found
-        self.ids[victim] = np.where(weak, x, self.ids[victim])
-        self.counts[victim] = np.where(weak, 24, self.counts[victim])
+        if self.step & 3 == 0:
+            base = found * 0.03 + 1.5e-5
+            p1, p2 = self.q1 * hit1 + (1.0 - self.q1) * base, self.q2 * hit2 + (1.0 - self.q2) * base
+            m1, m2 = self.w1 * p1, self.w2 * p2
+            rate = 0.06 / (m1 + m2 + (1.0 - self.w1 - self.w2) * base)
+            self.w1 = np.clip(self.w1 * 0.94 + m1 * rate, 0.01, 0.49)
+            self.w2 = np.clip(self.w2 * 0.94 + m2 * rate, 0.01, 0.49)
+        fresh = x << 4
+        g1, g2 = self.f1 + (hit1 << 4), self.f2 + (hit2 << 4)
+        self.table1[self.k1] = np.where(_STAYS.take(g1), self.id1 << 4, fresh) | _NEXT.take(g1)
+        self.table2[self.k2] = np.where(_STAYS.take(g2), self.id2 << 4, fresh) | _NEXT.take(g2)
+        lane = np.flatnonzero(found)
+        self.flat[slot.take(lane) * self.lanes + lane] += 24
+        self.total += 24
+        victim = self.counts[self.step % _CACHE]
+        weak = np.flatnonzero((victim < 24) & ~found)
+        self.ids[self.step % _CACHE][weak] = x.take(weak)
+        self.total[weak] += 24 - victim.take(weak)
+        victim[weak] = 24
         self.step += 1
-        if self.step % 16 == 0:
-            many = self.counts.sum(axis=0) + self.escape > 1000
-            self.counts[:, many] >>= 1
-            self.escape[many] = (self.escape[many] >> 1) + 1
-        self.last2, self.last = self.last, x.astype(np.int64)
+        if self.step & 15 == 0:
+            many = np.flatnonzero(self.total > 1000)
+            before = self.counts[:, many]
+            after = before >> 1
+            sums = before.sum(axis=0)
+            self.counts[:, many] = after
+            self.total[many] = after.sum(axis=0) + ((self.total[many] - sums) >> 1) + 1
+        self.mixed = (self.last * 10368889) & 0xFFFFFFFF
+        self.last = x
 
     def slot_of(self, x: np.ndarray) -> np.ndarray:
-        same = (self.ids == x) & (self.counts > 0)
-        return np.where(same.any(axis=0), same.argmax(axis=0), _CACHE)
+        np.equal(self.ids, x, out=self.same)
+        out = np.full(self.lanes, _CACHE)
+        row, lane = np.nonzero(self.same)
+        out[lane] = row
+        return out
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -115,56 +120,53 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for lane, k in enumerate(order):
         ids[: len(blocks[k]), lane] = blocks[k]
     model, low, rng = _Model(n), np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
-    out, pos = np.zeros((n, 2 * longest + 8), np.uint16), np.zeros(n, np.int64)
+    out, pos = np.zeros((n, longest + 8), np.uint32), np.zeros(n, np.int64)
 
     def put(lanes: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
         r = rng[lanes] >> _U(16)
         lo, size = low[lanes] + cum.astype(_U) * r, freq.astype(_U) * r
-        at = pos[lanes]
-        while True:
-            settled = ((lo ^ (lo + size)) >> _U(48)) == 0
-            short = ~settled & (size < _U(1 << 32))
-            if short.any():
-                size = np.where(short, (~lo + _U(1)) & _LOW32, size)
-            shift = np.flatnonzero(settled | short)
-            if not len(shift):
-                break
-            out[lanes[shift], at[shift]] = (lo[shift] >> _U(48)).astype(np.uint16)
-            at[shift] += 1
-            lo[shift] <<= _U(16)
-            size[shift] <<= _U(16)
-        low[lanes], rng[lanes], pos[lanes] = lo, size, at
+        low[lanes], rng[lanes] = lo, size
+        k = np.flatnonzero(size < _BIG)
+        if not len(k):
+            return
+        lo, size, k = lo[k], size[k], lanes[k]
+        over = ((lo ^ (lo + (size - _U(1)))) >> _U(32)) != 0  # the interval holds a border of the upper words: it is cut there
+        size = np.where(over, _BIG - (lo & _LOW32), size)
+        out[k, pos[k]] = lo >> _U(32)
+        pos[k] += 1
+        low[k], rng[k] = lo << _U(32), size << _U(32)
 
     live = n
     for t in range(longest):
         while lengths[live - 1] <= t:
             live -= 1
-        x = ids[t]
+        x = ids[t].astype(np.int64)
         model.predict()
         slot = model.slot_of(x)
-        is2 = model.id2 == x
-        is1 = ~is2 & (model.id1 == x) & (model.n1 > 0)
-        is2 &= model.n2 > 0
-        start = model.cum[np.minimum(slot, _CACHE), model.at]
-        end = np.where(slot < _CACHE, model.cum[np.minimum(slot + 1, _CACHE), model.at], _TOTAL)
-        plain = ~is2 & ~is1
-        none = plain & (start == end)  # a cache entry without mass goes by the escape
-        start, end = np.where(none, model.cum[_CACHE], start), np.where(none, _TOTAL, end)
+        start, end = model.first.copy(), np.full(n, _TOTAL)
+        known = np.flatnonzero(slot < _CACHE)
+        row = slot[known]
+        above = np.where(row > 0, model.ends[row - 1, known], model.first[known])
+        mass = model.ends[row, known] - above
+        start[:] = model.ends[-1]
+        held = known[mass > 0]  # a cache entry without mass goes by the escape
+        start[held], end[held] = above[mass > 0], (above + mass)[mass > 0]
+        is1 = (model.id1 == x) & (model.n1 > 0)
+        is2 = (model.id2 == x) & (model.n2 > 0)
         start = np.where(is2, 0, np.where(is1, model.n2, start))
-        end = np.where(is2, model.n2, np.where(is1, model.n2 + model.n1, end))
-        lanes = model.at[:live]
-        put(lanes, start[:live], (end - start)[:live])
-        raw = np.flatnonzero((plain & (none | (slot == _CACHE)))[:live])
+        end = np.where(is2, model.n2, np.where(is1, model.first, end))
+        put(model.at[:live], start[:live], (end - start)[:live])
+        raw = np.flatnonzero((end == _TOTAL)[:live])
         if len(raw):
             put(raw, x[raw], np.ones(len(raw), np.int64))
         model.update(x, slot)
-    for _ in range(4):
-        out[model.at, pos] = (low >> _U(48)).astype(np.uint16)
+    for _ in range(2):
+        out[model.at, pos] = low >> _U(32)
         pos += 1
-        low <<= _U(16)
+        low <<= _U(32)
     done: list[bytes] = [b""] * n
     for lane, k in enumerate(order):
-        payload = out[lane, : pos[lane]].astype("<u2").tobytes()
+        payload = out[lane, : pos[lane]].astype("<u4").tobytes()
         head = np.array([len(blocks[k]), zlib.crc32(np.asarray(blocks[k], "<u4").tobytes()), zlib.crc32(payload)], "<u4").tobytes()
         done[k] = MAGIC + head + payload
     return done
@@ -182,55 +184,54 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     lengths = np.array([heads[k][0] for k in order], np.int64)
     n = len(data)
     longest = int(lengths[0]) if n else 0
-    words = np.zeros((n, max((len(d) for d in data), default=16) // 2), np.uint16)
+    words = np.zeros((n, max((len(d) for d in data), default=16) // 4 + 2), np.uint32)
     for lane, k in enumerate(order):
-        w = np.frombuffer(data[k], "<u2", offset=16)
+        w = np.frombuffer(data[k], "<u4", offset=16)
         words[lane, : len(w)] = w
-    model, low, rng, code = _Model(n), np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U), np.zeros(n, _U)
-    for j in range(4):
-        code = (code << _U(16)) | words[:, j].astype(_U)
-    pos = np.full(n, 4, np.int64)
+    model, low, rng = _Model(n), np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
+    code = (words[:, 0].astype(_U) << _U(32)) | words[:, 1].astype(_U)
+    pos = np.full(n, 2, np.int64)
 
     def value(lanes: np.ndarray) -> np.ndarray:
         return np.minimum((code[lanes] - low[lanes]) // (rng[lanes] >> _U(16)), _U(_TOTAL - 1)).astype(np.int64)
 
     def take(lanes: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
         r = rng[lanes] >> _U(16)
-        lo, size, at, now = low[lanes] + cum.astype(_U) * r, freq.astype(_U) * r, pos[lanes], code[lanes]
-        while True:
-            settled = ((lo ^ (lo + size)) >> _U(48)) == 0
-            short = ~settled & (size < _U(1 << 32))
-            if short.any():
-                size = np.where(short, (~lo + _U(1)) & _LOW32, size)
-            shift = np.flatnonzero(settled | short)
-            if not len(shift):
-                break
-            now[shift] = (now[shift] << _U(16)) | words[lanes[shift], np.minimum(at[shift], words.shape[1] - 1)].astype(_U)
-            at[shift] += 1
-            lo[shift] <<= _U(16)
-            size[shift] <<= _U(16)
-        low[lanes], rng[lanes], pos[lanes], code[lanes] = lo, size, at, now
+        lo, size = low[lanes] + cum.astype(_U) * r, freq.astype(_U) * r
+        low[lanes], rng[lanes] = lo, size
+        k = np.flatnonzero(size < _BIG)
+        if not len(k):
+            return
+        lo, size, k = lo[k], size[k], lanes[k]
+        over = ((lo ^ (lo + (size - _U(1)))) >> _U(32)) != 0
+        size = np.where(over, _BIG - (lo & _LOW32), size)
+        code[k] = (code[k] << _U(32)) | words[k, np.minimum(pos[k], words.shape[1] - 1)].astype(_U)
+        pos[k] += 1
+        low[k], rng[k] = lo << _U(32), size << _U(32)
 
     ids, live = np.zeros((longest, n), np.int32), n
+    v = np.zeros(n, np.int64)
     for t in range(longest):
         while lengths[live - 1] <= t:
             live -= 1
         lanes = model.at[:live]
         model.predict()
-        v = np.zeros(n, np.int64)
         v[:live] = value(lanes)
+        slot = np.add.reduce(model.ends <= v, axis=0, dtype=np.int64)  # _CACHE: the escape
+        row = np.minimum(slot, _CACHE - 1)
+        start = np.where(slot > 0, model.ends[slot - 1, model.at], model.first)
+        end = np.where(slot < _CACHE, model.ends[row, model.at], _TOTAL)
+        x = model.ids[row, model.at]
         is2 = v < model.n2
-        is1 = ~is2 & (v < model.cum[0])
-        slot = (model.cum[1:] <= v).sum(axis=0)  # _CACHE: the escape
-        plain = ~is2 & ~is1
-        start = np.where(is2, 0, np.where(is1, model.n2, model.cum[slot, model.at]))
-        end = np.where(is2, model.n2, np.where(is1, model.cum[0], np.where(slot < _CACHE, model.cum[np.minimum(slot + 1, _CACHE), model.at], _TOTAL)))
-        x = np.where(is2, model.id2, np.where(is1, model.id1, model.ids[np.minimum(slot, _CACHE - 1), model.at]))
+        is1 = v < model.first
+        start = np.where(is2, 0, np.where(is1, model.n2, start))
+        end = np.where(is2, model.n2, np.where(is1, model.first, end))
+        x = np.where(is2, model.id2, np.where(is1, model.id1, x))
         take(lanes, start[:live], (end - start)[:live])
-        raw = np.flatnonzero((plain & (slot == _CACHE))[:live])
+        raw = np.flatnonzero((end == _TOTAL)[:live])
         if len(raw):
             x[raw] = value(raw)
-            take(raw, x[raw].astype(np.int64), np.ones(len(raw), np.int64))
+            take(raw, x[raw], np.ones(len(raw), np.int64))
         x[live:] = 0
         ids[t] = x
         model.update(x, model.slot_of(x))

@@ -255,8 +255,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sha256 is that of the whole text, in hex.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     clash = not own.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty()
+    own = own.select("doc_id", (F.xxhash64("text") if clash else F.lit(0).cast("long")).alias("version"), "text")
     single = own.dropDuplicates(["doc_id", "version", "text"]) if clash else own
     every = Window.partitionBy("anchor")
     within = Window.partitionBy("anchor", "run").orderBy("doc_id", "version", "at")

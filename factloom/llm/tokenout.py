@@ -17,8 +17,11 @@ writes no frame; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +32,14 @@ from factloom.llm import rangecoder
 from factloom.llm.common import new_path
 
 FRAME_IDS = 1 << 16
-GROUP_BLOCKS = 2048
+GROUP_BLOCKS = 4096
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizers file, through a bounded table of the words met so far."""
 
-    def __init__(self, path: str, most_words: int = 400_000, offsets: bool = False) -> None:
+    def __init__(self, path: str, most_words: int = 500_000, offsets: bool = False) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.offsets = Tokenizer.from_file(path), most_words, offsets
@@ -46,22 +50,26 @@ class WordTokenizer:
         self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
         self.spans = np.empty((0, 2), np.int32)  # characters of each id in its word, if asked for
 
-    def learn(self, new: list[bytes]) -> None:
+    def learn(self, new: list[bytes], step: int = 20_000) -> None:
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        encoded = encode([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        if self.offsets:
-            self.spans = np.concatenate([self.spans, np.array([o for e in encoded for o in e.offsets], np.int32).reshape(-1, 2)])
-        parts = [e.ids for e in encoded]
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids, lens, spans = [self.ids], [np.diff(self.starts)], [self.spans]
+        for k in range(0, len(new), step):  # encodings are large: only so many at a time
+            encoded = encode([w.decode("utf-8", "replace") for w in new[k : k + step]], add_special_tokens=False)
+            parts = [e.ids for e in encoded]
+            lens.append(np.fromiter(map(len, parts), np.int64, len(parts)))
+            ids.append(np.fromiter(chain.from_iterable(parts), np.int32, int(lens[-1].sum())))
+            if self.offsets:
+                spans.append(np.array([o for e in encoded for o in e.offsets], np.int32).reshape(-1, 2))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for p in parts for i in p), np.int32, int(lens.sum()))])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
+        self.ids, self.spans = np.concatenate(ids), np.concatenate(spans)
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
 
     def learn_all(self, split: list[list[bytes]]) -> None:
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > self.most:
+        met, known = set().union(*split), self.known
+        new = [w for w in met if w not in known]
+        if new and len(known) + len(new) > self.most:
             self.clear()
-            new = list(set().union(*split))
+            new = list(met)
         if new:
             self.learn(new)
 
@@ -71,7 +79,7 @@ class WordTokenizer:
         self.learn_all(split)
         n_words = np.fromiter(map(len, split), np.int64, len(split))
         total = int(n_words.sum())
-        word = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, total)
+        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, total)
         lens = np.diff(self.starts)[word]
         stops = np.cumsum(n_words)
         before = np.concatenate([[0], np.cumsum(lens)])
@@ -83,6 +91,12 @@ class WordTokenizer:
         return out, n_ids
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str, offsets: bool = False) -> WordTokenizer:
+    """One tokenizer for all tasks of a worker process, with the words that earlier ones have met."""
+    return WordTokenizer(path, offsets=offsets)
+
+
 def _frames(docs: Iterator[tuple[list, np.ndarray, np.ndarray]]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Documents (keys, ids, lengths) cut into frames of whole documents."""
     for keys, ids, lengths in docs:
@@ -103,14 +117,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, shard, frame = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tok, shard, frame = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
 
         def parts() -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
             for b in batches:
                 at = 0
                 while at < b.num_rows:
                     texts, chars, keys = [], 0, []
-                    while at < b.num_rows and chars < 1 << 22:
+                    while at < b.num_rows and chars < 1 << 20:
                         texts.append(b.column(1)[at].as_py())
                         keys.append(b.column(0)[at].as_py())
                         chars += len(texts[-1] or "")
