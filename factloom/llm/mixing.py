@@ -95,10 +95,12 @@ def mix_sources(
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The text up to its n-th word's end."""
+    """The text up to its n-th word's end; all of it if it has no more words."""
     blank = r"[\x20\x09-\x0D]+"
-    parts = F.split(text, blank, n + F.when(text.rlike("^" + blank), 2).otherwise(1))
-    return F.rtrim(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(F.element_at(parts, -1))))
+    limit = n + F.when(text.rlike("^" + blank), 2).otherwise(1)
+    parts = F.split(text, blank, limit)
+    head = F.regexp_replace(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(F.element_at(parts, -1))), blank + "$", "")
+    return F.when(F.size(parts) < limit, text).otherwise(head)
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **how) -> DataFrame:
