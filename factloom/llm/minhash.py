@@ -257,3 +257,17 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     repeated = not kept.groupBy("_kept_id").count().where("count > 1").isEmpty()
     out = docs.join(kept.distinct() if repeated else kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
     return out.dropDuplicates([doc_id, text]) if repeated else out
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 4], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, b.y FROM r JOIN b ON b.x = r.o),
+m AS (SELECT d, min(o) AS component_id FROM r GROUP BY d)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN m ON m.d = doc_id
+"""

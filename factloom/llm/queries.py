@@ -61,4 +61,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op3_substring_dedup, op4_main_text, op5_minhash_near_duplicates, op6_quotation_linking, op7_section_tokens, op8_benchmark_decontamination, op9_repeated_passages, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op5_minhash_near_duplicates": minhash.ORACLE}

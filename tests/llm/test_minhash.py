@@ -1,3 +1,4 @@
+import duckdb
 
 from factloom.llm import components, minhash, queries
 
@@ -39,6 +40,13 @@ def test_whole_table(spark):
     check(queries.op5_minhash_near_duplicates(spark, SF), docs)
 
 
+def test_twin(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = queries.op5_minhash_near_duplicates(spark, SF).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(minhash.ORACLE).fetchall())
+
+
 def test_chains_hot_groups_and_odd_rows(make_docs, prose, odd_texts):
     rows = list(enumerate(odd_texts))
     w = prose(200, 9).split()
