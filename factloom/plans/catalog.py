@@ -646,3 +646,62 @@ def t6_row_validation(t: Tables) -> DataFrame:
 @query("SELECT id, CASE lower(document_type) WHEN 'economy' THEN 'economy class' WHEN 'standard' THEN 'standard class' END AS resolved FROM {files}")
 def t7_enum_resolution(t: Tables) -> DataFrame:
     return t("files").select("id", maintenance.resolve_enum(F.lower("document_type"), {"ECONOMY": "economy class", "STANDARD": "standard class"}).alias("resolved"))
+
+
+# --- more rows of the inventory ------------------------------------------------
+
+
+@query("SELECT id, 'F' || id::VARCHAR || '.txt' AS filename FROM {files} WHERE id % 5 = 0 AND id % 2 = 1")
+def j8_metadata_without_file(t: Tables) -> DataFrame:
+    named = t("files").select("id", F.concat(F.lit("F"), F.col("id").cast("string"), F.lit(".txt")).alias("filename"))
+    given = named.where("id % 5 = 0").select("filename", "id", F.lit(None).cast("string").alias("given_title"), F.lit(None).cast("string").alias("given_type"))
+    _, missing = documents.discover(named.where("id % 2 = 0").select("filename"), given)
+    return missing.select("id", "filename")
+
+
+@query(f"SELECT doc_id, idx::BIGINT AS idx, doc_id::VARCHAR || '/' || lang || '/' || idx::VARCHAR AS metadata FROM {_CHUNKS} JOIN documents USING (doc_id)")
+def c2_chunk_metadata(t: Tables) -> DataFrame:
+    chunks = chunking.chunk_metadata(chunking.chunk_text(_docs(t)), t("documents").select("doc_id", F.col("lang").alias("title")))
+    return chunks.select("doc_id", F.col("idx").cast("long").alias("idx"), F.concat_ws("/", *(F.col("metadata")[k] for k in ("document_id", "title", "chunk_index"))).alias("metadata"))
+
+
+_RESOLVED = f"(SELECT p.* FROM {_PREFERRED} p ANTI JOIN {_CONFLICT} c ON c.company_id = p.company_id AND c.field = p.field)"
+
+
+@query(f"SELECT company_id, max(value_num) FILTER (field = 'revenue')::DOUBLE AS revenue, max(value_num) FILTER (field = 'ebitda')::DOUBLE AS ebitda FROM {_RESOLVED} GROUP BY company_id")
+def f11_financial_resolution(t: Tables) -> DataFrame:
+    return facts.pivot_resolved(t("facts"), ["revenue", "ebitda"]).select("company_id", F.col("revenue").cast("double").alias("revenue"), F.col("ebitda").cast("double").alias("ebitda"))
+
+
+@query(f"SELECT company_id, max(value_num) FILTER (field = 'valuation')::DOUBLE AS valuation, max(value_num) FILTER (field = 'raise_amount')::DOUBLE AS raise_amount FROM {_PREFERRED} GROUP BY company_id")
+def f13_resolution_ignoring_conflicts(t: Tables) -> DataFrame:
+    out = facts.pivot_resolved(t("facts"), ["valuation", "raise_amount"], ignore_conflicts=True)
+    return out.select("company_id", F.col("valuation").cast("double").alias("valuation"), F.col("raise_amount").cast("double").alias("raise_amount"))
+
+
+@query("""
+SELECT query_id, pos, rank::BIGINT AS rank FROM (SELECT query_id, pos, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, pos) AS rank FROM (
+ SELECT q.query_id, v.pos, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM {queries} q CROSS JOIN {vectors} v) WHERE similarity >= 0.2) WHERE rank <= 3""")
+def v4_similar_documents(t: Tables) -> DataFrame:
+    return vectors.top_k(t("queries"), t("vectors"), k=3, threshold=0.2).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT h.query_id, v.document_id, v.chunk_id, v.text, min(h.pos) AS pos FROM {_HITS} h JOIN {{vectors}} v ON v.pos = h.pos GROUP BY 1, 2, 3, 4")
+def v9_context_dedupe(t: Tables) -> DataFrame:
+    return vectors.dedupe_hits(_hits(t)).select("query_id", "document_id", "chunk_id", "text", "pos")
+
+
+@query(f"""
+SELECT query_id, pos, used::BIGINT AS used FROM (SELECT h.query_id, h.pos, sum(length(v.text)) OVER (PARTITION BY h.query_id ORDER BY h.similarity DESC, h.pos ROWS UNBOUNDED PRECEDING) AS used FROM {_HITS} h JOIN {{vectors}} v ON v.pos = h.pos) WHERE used <= 30""")
+def v11_context_budget(t: Tables) -> DataFrame:
+    return vectors.budget(_hits(t), limit=30).select("query_id", "pos", "used")
+
+
+@query("""
+SELECT id, email, startup_id < 60 AND (email IS NULL OR id = min(CASE WHEN startup_id < 60 THEN id END) OVER (PARTITION BY email)) AS inserted FROM {founders}""")
+def t2_insert_founders(t: Tables) -> DataFrame:
+    f = t("founders").select("id", "email", "startup_id")
+    parents = f.where("startup_id < 60").select("startup_id")
+    known, orphans = joins.parent_exists(f, parents, "startup_id")
+    good, bad = maintenance.insert_unique(f.limit(0).select("email"), known.select("id", "email"), "email", "id")
+    return good.select("id", "email", F.lit(True).alias("inserted")).union(bad.select("id", "email", F.lit(False).alias("inserted"))).union(orphans.select("id", "email", F.lit(False)))
