@@ -6,13 +6,14 @@ a node's range is a compact window: every stretch of shingles inside it that
 holds the node has that node as its minimum.  A band is a pair of functions;
 stretches of at least a passage's length with the same two minima form a joint
 window, the intersection of two compact windows.  Joint windows of equal
-minima are candidates: within a batch, and then over the corpus, each is
-linked with the first of its key only, so a passage that many documents share
-gives one link each, not all pairs.  Links of two documents are joined where
-their intervals overlap, and the stretch of the later document that repeats
-the earlier one is then measured on the words themselves: its longest part
-whose shingles are found there in the asked share, and the exact Jaccard
-similarity of both parts.
+minima are candidates: each is first linked with the first of its key, so a
+passage that many documents share gives one link each, not all pairs.  Links
+of two documents are joined where their intervals overlap, and the stretch of
+the later document that repeats the earlier one is then measured on the words
+themselves: its longest part whose shingles are found there in the asked
+share, and the exact Jaccard similarity of both parts.  A window whose two
+minima lie in no passage found so then meets every earlier window of its key,
+in blocks where a key has many, and stops at the first that it repeats.
 
 A verbatim passage of the least length always gives a link.  At a shingle
 similarity of s in a passage a band links with probability s^2, three bands
@@ -27,11 +28,12 @@ their names.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ from factloom.llm.common import staged
 SHINGLE = 5
 _U = np.uint64
 _P = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(SHINGLE)], _U)
-_SEEDS = np.random.default_rng(11).integers(0, 1 << 63, 16, _U) | _U(1)
+_SEEDS = np.random.default_rng(11).integers(0, 1 << 63, 18, _U) | _U(1)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -93,8 +95,8 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def joint_windows(docs: list[np.ndarray], width: int, bands: int) -> tuple[np.ndarray, ...]:
-    """(document, key, low, high) of the joint windows of documents' shingles; low and high in shingles, high excluded."""
+def joint_windows(docs: list[np.ndarray], width: int, bands: range) -> tuple[np.ndarray, ...]:
+    """(document, key, low, high, near, far) of the joint windows of documents' shingles, high excluded; near and far are the places of the two minima."""
     docs_at, parts, out = [], [], []
     size = 0
 
@@ -106,7 +108,7 @@ def joint_windows(docs: list[np.ndarray], width: int, bands: int) -> tuple[np.nd
         n = len(s) - width + 1
         of = np.searchsorted(border, np.arange(n), "left")
         valid = np.arange(n) + width <= border[np.minimum(of, len(border) - 1)]
-        for k in range(bands):
+        for k in bands:
             tops, lows, highs, keys = [], [], [], []
             for seed in _SEEDS[2 * k : 2 * k + 2]:
                 v = _order(s, seed)
@@ -129,7 +131,7 @@ def joint_windows(docs: list[np.ndarray], width: int, bands: int) -> tuple[np.nd
             low, high = np.maximum(lows[0][1][i], lows[1][1][j]), np.minimum(highs[0][i], highs[1][j])
             key = (keys[0][a] * _U(0x9E3779B97F4A7C15) + keys[1][b]) * _U(2 * k + 1) + _U(k)
             d = of[first]
-            out.append((np.array(docs_at)[d], key.view(np.int64), low - base[d], high - base[d]))
+            out.append((np.array(docs_at)[d], key.view(np.int64), low - base[d], high - base[d], np.minimum(a, b) - base[d], np.maximum(a, b) - base[d]))
         docs_at, parts, size = [], [], 0
 
     for k, s in enumerate(docs):
@@ -143,32 +145,21 @@ def joint_windows(docs: list[np.ndarray], width: int, bands: int) -> tuple[np.nd
     if parts:
         flush()
     if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
+        return tuple(np.empty(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _candidates(docs: DataFrame, width: int, bands: int) -> DataFrame:
-    """(uid, low, high, other, other_low, other_high, key): other is set where the batch has an earlier window of the key."""
+def _windows(docs: DataFrame, width: int, bands: range) -> DataFrame:
+    """(uid, low, high, near, far, key) of the joint windows of docs (uid, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            whole = whole.take(pc.sort_indices(whole, sort_keys=[("uid", "ascending")]))
             for cut in range(0, whole.num_rows, 2000):
                 b = whole.slice(cut, 2000)
-                uid = b.column(0).to_numpy()
-                of, key, low, high = joint_windows([_shingles(_words(t.as_py())) for t in b.column(1)], width, bands)
-                order = np.lexsort((low, of, key))
-                of, key, low, high = of[order], key[order], low[order], high[order]
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-                keep = head | (of != of[first])  # a document's own repeats are no candidates
-                rest = ~head[keep]
-                of, key, low, high, first = of[keep], key[keep], low[keep], high[keep], (uid[of[first]][keep], low[first][keep], high[first][keep])
-                null = lambda x: pa.array(x, pa.int64(), mask=~rest)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(uid[of]), pa.array(low), pa.array(high), *map(null, first), pa.array(np.where(rest, key ^ (uid[of] << 20) ^ low, key))], names=["uid", "low", "high", "other", "other_low", "other_high", "key"])
-
-    return docs.mapInArrow(scan, "uid long, low long, high long, other long, other_low long, other_high long, key long")
+                of, key, *places = joint_windows([_shingles(_words(t.as_py())) for t in b.column(1)], width, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[of]), *(pa.array(x, pa.int32()) for x in places), pa.array(key)], names=["uid", "low", "high", "near", "far", "key"])
+
+    return docs.mapInArrow(scan, "uid long, low int, high int, near int, far int, key long")
 
 
 def _longest(hit: np.ndarray, share: float) -> tuple[int, int]:
@@ -187,7 +178,10 @@ def measure(u: list[bytes], v: list[bytes], least_words: int, percent: int) -> l
     asked similarity have comes first; where its exact similarity falls short,
     stricter shares are tried inside it, down to unbroken runs.
     """
-    s, t = _shingles(u), _shingles(v)
+    return _measured(_shingles(u), _shingles(v), least_words, percent)
+
+
+def _measured(s: np.ndarray, t: np.ndarray, least_words: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     width = least_words - SHINGLE + 1
     if len(s) < width or len(t) < width:
         return []
@@ -219,6 +213,9 @@ def measure(u: list[bytes], v: list[bytes], least_words: int, percent: int) -> l
     return found
 
 
+_ROW = pa.schema([("uid", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("other", pa.int64()), ("match_start", pa.int64()), ("match_end", pa.int64()), ("similarity", pa.float64())])
+
+
 def _verify(least_words: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,16 +233,96 @@ def _verify(least_words: int, percent: int):
                     a, c = lo - r["first"], lo2 - r["other_first"]
                     for found in measure(u[a : a + hi - lo + SHINGLE - 1], v[c : c + hi2 - lo2 + SHINGLE - 1], least_words, percent):
                         out.append({"uid": r["uid"], "start_word": lo + found[0], "end_word": lo + found[1], "other": r["other"], "match_start": lo2 + found[2], "match_end": lo2 + found[3], "similarity": found[4]})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("uid", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("other", pa.int64()), ("match_start", pa.int64()), ("match_end", pa.int64()), ("similarity", pa.float64())]))
+            yield pa.RecordBatch.from_pylist(out, _ROW)
 
     return verify
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 50, percent: int = 75, bands: int = 3) -> DataFrame:
+FOUND = "uid long, start_word long, end_word long, other long, match_start long, match_end long, similarity double"
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles of each left window are in each right window."""
+    every, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    cut = sum(map(len, left))
+    both = np.zeros(len(every), np.int8)
+    both[at[:cut]] |= 1
+    both[at[cut:]] |= 2
+    name = np.cumsum(both == 3) - 1
+    use = both[at] == 3
+    x, xr = name[at[:cut][use[:cut]]], row[:cut][use[:cut]]
+    y, yr = name[at[cut:][use[cut:]]], row[cut:][use[cut:]] - len(left)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int((both == 3).sum()), columns):
+        m, n = np.zeros((len(left), columns), np.float32), np.zeros((len(right), columns), np.float32)
+        k = (x >= lo) & (x < lo + columns)
+        np.add.at(m, (xr[k], x[k] - lo), 1)
+        k = (y >= lo) & (y < lo + columns)
+        n[yr[k], y[k] - lo] = 1
+        out += m @ n.T
+    return out
+
+
+def _met_all(named: DataFrame, members: DataFrame, least_words: int, percent: int, large: int, block: int) -> DataFrame:
+    """What the open windows of members (key, n, uid, low, high, open) repeat of any earlier window of their key.
+
+    Keys of up to ``large`` windows are compared whole, many to a task; of a
+    larger one a window goes to every pair of blocks that its own block is in.
+    Shingles are compared by 32 bits of their hashes.
+    """
+    width = least_words - SHINGLE + 1
+    bundles = max(1, members.count() // 4000)
+    blocks = F.when(F.col("n") > large, F.ceil(F.col("n") / block)).otherwise(1)
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid", "low"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    task = F.when(F.col("n") > large, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(bundles)))
+    of_document = dealt.groupBy("uid").agg(F.collect_list(F.struct(task.alias("task"), "key", "low", "high", "open", "own", "i", "j")).alias("windows"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                b = whole.slice(at, 100)
+                out = []
+                for uid, text, windows in zip(*(c.to_pylist() for c in b.columns)):
+                    s = (_shingles(_words(text)) >> _U(32)).astype(np.uint32)
+                    out += [w | {"uid": uid, "shingles": s[w["low"] : w["high"]].tobytes()} for w in windows]
+                yield pa.RecordBatch.from_pylist(out, pa.schema([(c, pa.int64()) for c in ("task", "key", "uid", "low", "high")] + [("open", pa.bool_())] + [(c, pa.int64()) for c in ("own", "i", "j")] + [("shingles", pa.binary())]))
+
+    dealt = named.join(of_document, "uid").select("uid", "text", "windows").mapInArrow(fetch, "task long, key long, uid long, low long, high long, open boolean, own long, i long, j long, shingles binary")
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("uid", "ascending"), ("low", "ascending")])
+        of, uid, low, high, still, own, i, j = (t.column(c).to_numpy() for c in ("key", "uid", "low", "high", "open", "own", "i", "j"))
+        s = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        out, seen = [], {}
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            for a, b in {(i[lo], j[lo]), (j[lo], i[lo])}:
+                later, earlier = np.flatnonzero(still[lo:hi] & (own[lo:hi] == a)) + lo, np.flatnonzero(own[lo:hi] == b) + lo
+                if not len(later) or not len(earlier):
+                    continue
+                enough = _common([s[x] for x in later], [s[y] for y in earlier]) >= width * 2 * percent / (100 + percent)
+                enough &= uid[earlier][None, :] < uid[later][:, None]
+                for r, x in enumerate(later.tolist()):
+                    for y in earlier[enough[r]].tolist():
+                        pair = (uid[x], low[x], high[x], uid[y], low[y], high[y])
+                        if pair not in seen:  # else met by another key
+                            found = _measured(s[x], s[y], least_words, percent)
+                            seen[pair] = bool(found)
+                            out += [(int(uid[x]), int(low[x]) + f[0], int(low[x]) + f[1], int(uid[y]), int(low[y]) + f[2], int(low[y]) + f[3], f[4]) for f in found]
+                        if seen[pair]:
+                            break
+        return pa.Table.from_pylist([dict(zip(_ROW.names, r)) for r in out], _ROW)
+
+    return dealt.groupBy("task").applyInArrow(compare, FOUND)
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 50, percent: int = 75, bands: int = 3, large: int = 64, block: int = 512) -> DataFrame:
     """(doc_id, start_word, end_word, match_id, match_start, match_end, similarity): passages that repeat one of an earlier document.
 
-    A row for each later document and the earlier one that its windows were
-    linked with; words are counted from 0 at ASCII white space, ends excluded.
+    A row for each passage of a later document and the earlier document that
+    its windows were found to repeat; words are counted from 0 at ASCII white space, ends excluded.
     """
     width = least_words - SHINGLE + 1
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
@@ -254,13 +331,18 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         named = own.withColumn("uid", F.col("doc_id").cast("long"))
     else:  # numbers in the order of the ids, written once so that they hold
         named = staged(own.dropDuplicates(["doc_id", "text"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("uid", F.monotonically_increasing_id()), "numbered")
-    windows = _candidates(named.select("uid", "text"), width, bands)
-    by_key = Window.partitionBy("key").orderBy("uid", "low")
-    first = F.first(F.struct("uid", "low", "high")).over(by_key)
-    linked = windows.withColumn("first", first)
-    old = F.col("other").isNotNull()
-    pick = lambda c, k: F.when(old, F.col(c)).otherwise(F.col("first")[k])
-    linked = linked.select("uid", "low", "high", pick("other", "uid").alias("other"), pick("other_low", "low").alias("other_low"), pick("other_high", "high").alias("other_high")).where("uid != other")
+    windows = []
+    for k in range(0, bands, 3):  # some bands at a time, so that the shuffle of one part is gone before the next
+        of_key = Window.partitionBy("key")
+        part = _windows(named.select("uid", "text"), width, range(k, min(k + 3, bands)))
+        part = part.withColumns({"least": F.min("uid").over(of_key), "most": F.max("uid").over(of_key), "n": F.count("*").over(of_key), "before": F.count("*").over(of_key.orderBy("uid").rangeBetween(Window.unboundedPreceding, -1))}).where("least < most")
+        part = part.withColumn("first", F.min(F.struct("uid", "low", "high")).over(of_key)).drop("least", "most")
+        windows.append(staged(part, "windows"))
+        del part
+        gc.collect()
+        docs.sparkSession.sparkContext._jvm.System.gc()
+    shared = reduce(DataFrame.union, windows)
+    linked = shared.select("uid", "low", "high", F.col("first.uid").alias("other"), F.col("first.low").alias("other_low"), F.col("first.high").alias("other_high")).where("uid != other")
     pairs = staged(linked.groupBy("uid", "other").agg(F.collect_set(F.struct("low", "high", "other_low", "other_high")).alias("windows")), "window-pairs")
     each = pairs.select("uid", "other", F.inline("windows"))
     hulls = each.select("uid", "low", "high").union(each.select("other", "other_low", "other_high")).groupBy("uid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -270,10 +352,17 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             found = [b" ".join(_words(t.as_py())[lo : hi + SHINGLE - 1]) for t, lo, hi in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["uid", "first", "words"])
 
-    words = staged(named.join(hulls, "uid").select("uid", "text", "low", "high").mapInArrow(fetch, "uid long, first long, words binary"), "window-words")
+    words = staged(named.join(hulls, "uid").select("uid", "text", "low", "high").mapInArrow(fetch, "uid long, first int, words binary"), "window-words")
     others = words.withColumnsRenamed({"uid": "other", "first": "other_first", "words": "other_words"})
     found = pairs.join(others, "other").join(words, "uid").select("uid", "first", "words", "other", "other_first", "other_words", "windows")
-    found = found.mapInArrow(_verify(least_words, percent), "uid long, start_word long, end_word long, other long, match_start long, match_end long, similarity double")
+    found = found.mapInArrow(_verify(least_words, percent), FOUND)
+    found = staged(found, "passages")
+    again = shared.where("n > 2").join(found.select("uid", "start_word", "end_word"), "uid", "left")
+    in_one = F.coalesce((F.col("near") >= F.col("start_word")) & (F.col("far") + SHINGLE <= F.col("end_word")), F.lit(False))
+    again = again.groupBy("key", "n", "before", "uid", "low", "high").agg((~F.max(in_one) & (F.col("before") > 1)).alias("open"))
+    again = staged(again.drop("before"), "met-first")
+    last = again.where("open").groupBy("key").agg(F.max("uid").alias("last"))
+    found = found.union(_met_all(named, staged(again.join(last, "key").where("open or uid < last"), "open"), least_words, percent, large, block)).distinct()
     if plain:
         kind = docs.schema[doc_id].dataType
         return found.select(F.col("uid").cast(kind).alias("doc_id"), "start_word", "end_word", F.col("other").cast(kind).alias("match_id"), "match_start", "match_end", "similarity")

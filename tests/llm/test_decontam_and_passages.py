@@ -104,3 +104,22 @@ def test_compact_windows():
     nodes = np.array([0, 1, 3, 4, 6])
     low, high = passages.compact_windows(values, nodes)
     assert list(zip(low.tolist(), high.tolist())) == [(0, 1), (0, 5), (2, 5), (4, 5), (6, 8)]
+
+
+def test_passages_that_the_first_document_of_a_key_lacks(make_docs, prose):
+    def keys(text):
+        return set(passages.joint_windows([passages._shingles(passages._words(text))], 46, range(1))[1].tolist())
+
+    def rows(seed):  # the first document holds 30 of the 50 words, among others
+        p = prose(50, seed)
+        short = " ".join(p.split()[10:40])
+        texts = [prose(80, seed + 1) + " " + short + " " + prose(80, seed + 2), prose(70, seed + 3) + " " + p + " " + prose(90, seed + 4), prose(60, seed + 5) + " " + p]
+        return texts if keys(p) <= keys(texts[0]) else None
+
+    texts = [next(x for seed in range(base, base + 10_000, 10) if (x := rows(seed))) for base in (10_000, 20_000)]
+    own = [texts[1][0] + " " + texts[1][1], texts[1][2]]  # the fragment and then the full copy in one document
+    got = {(r.doc_id, r.match_id) for r in passages.repeated_passages(make_docs([*enumerate(texts[0]), *enumerate(own, 10)]), bands=1).collect()}
+    assert got == {(2, 1), (11, 10)}
+    many = [(k, prose(80, 40_000 + 2 * k) + " " + " ".join(texts[0][2].split()[70:100]) + " " + prose(80, 40_001 + 2 * k)) for k in range(40)]
+    got = {(r.doc_id, r.match_id) for r in passages.repeated_passages(make_docs([*many, (50, texts[0][1]), (51, texts[0][2])]), bands=1, large=4, block=8).collect()}
+    assert got == {(51, 50)}
