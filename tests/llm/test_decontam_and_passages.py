@@ -123,3 +123,22 @@ def test_passages_that_the_first_document_of_a_key_lacks(make_docs, prose):
     many = [(k, prose(80, 40_000 + 2 * k) + " " + " ".join(texts[0][2].split()[70:100]) + " " + prose(80, 40_001 + 2 * k)) for k in range(40)]
     got = {(r.doc_id, r.match_id) for r in passages.repeated_passages(make_docs([*many, (50, texts[0][1]), (51, texts[0][2])]), bands=1, large=4, block=8).collect()}
     assert got == {(51, 50)}
+
+
+def test_swapped_passages_give_a_row_each():
+    a, b, c = ([b"%d" % k for k in range(x, x + 60)] for x in (0, 100, 200))
+    got = sorted(x[:4] for x in passages.measure(c + a + b, b + a, 50, 75))
+    assert got == [(60, 120, 60, 120), (120, 180, 0, 60)]
+
+
+def test_recall_of_passages_near_the_border(make_docs, prose):
+    for changed, least in (((30, 31, 32, 33, 70), 0.75), ((30, 70), 0.8)):
+        rows = []
+        for k in range(400):
+            p = prose(100, 1000 + k, 10**6).split()
+            q = [f"x{k}_{i}" if i in changed else w for i, w in enumerate(p)]
+            a, b = set(passages._shingles(passages._words(" ".join(p))).tolist()), set(passages._shingles(passages._words(" ".join(q))).tolist())
+            assert least <= len(a & b) / len(a | b) < least + 0.02
+            rows += [(2 * k, " ".join(p) + " " + prose(60, 5000 + k, 10**6)), (2 * k + 1, prose(60, 9000 + k, 10**6) + " " + " ".join(q))]
+        got = {(r.doc_id, r.match_id) for r in passages.repeated_passages(make_docs(rows)).collect()}
+        assert got == {(2 * k + 1, 2 * k) for k in range(400)}
