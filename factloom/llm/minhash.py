@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from factloom.llm.common import staged
 from factloom.llm.components import connected_components
@@ -110,6 +111,20 @@ def _class(hashes: np.ndarray) -> int:
     return int(xxhash.xxh3_64_intdigest(hashes.tobytes())) - (1 << 63)
 
 
+def _with_class(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df and the class of each row's text, null for the empty set."""
+    place = df.columns.index(text)
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                found = pa.array([_class(s) if len(s := shingle_hashes(t.as_py())) else None for t in b.column(place)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, name])
+
+    return df.mapInArrow(classes, StructType([*df.schema.fields, StructField(name, LongType())]))
+
+
 def _of_class(texts: DataFrame) -> DataFrame:
     """The rows (class, text) whose text is of the class; rows that share an id need not be."""
 
@@ -215,13 +230,17 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     signed = staged(signatures(own), "signatures")
     members = staged(shared_buckets(signed), "buckets")
     degree = members.groupBy("class").agg(F.count("*").alias("degree"))
-    sigs = staged(signed.join(degree, "class").groupBy("class", "degree").agg(F.min_by(F.struct("signature", "n_shingles"), F.col("doc_id")).alias("x"), F.min("doc_id").alias("doc_id")).select("class", "doc_id", "degree", "x.*"), "candidates")
+    sigs = staged(signed.join(degree, "class").groupBy("class", "degree").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")), "candidates")
     sized = members.join(sigs.select("class", "n_shingles", "degree"), "class")
     pivots = sized.groupBy("bucket").agg(F.min(F.struct("n_shingles", "class")).getField("class").alias("least"), F.max(F.struct("degree", "class")).getField("class").alias("most"))
     met = members.join(pivots, "bucket").select("class", F.explode(F.array_distinct(F.array("least", "most"))).alias("pivot")).where("class != pivot")
     stars = met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-    named = sigs.select("class", F.col("doc_id").alias("_of"))
-    texts = staged(_of_class(own.join(named, F.col("doc_id").eqNullSafe(F.col("_of"))).select("class", "text")), "candidate-texts")
+    named = sigs.where("doc_id is not null").select("class", F.col("doc_id").alias("_of"))
+    nameless = sigs.where("doc_id is null").select("class")  # classes of rows without an id alone
+    texts = _of_class(own.join(named, F.col("doc_id") == F.col("_of")).select("class", "text"))
+    if not nameless.isEmpty():
+        texts = texts.union(_with_class(own.where("doc_id is null").select("text"), "text", "class").join(nameless, "class", "left_semi").select("class", "text").dropDuplicates(["class"]))
+    texts = staged(texts, "candidate-texts")
     if texts.count() > sigs.count():  # rows of one id stand for their class more than once
         texts = staged(texts.dropDuplicates(["class"]), "candidate-texts")
     of = lambda classes: texts.join(classes.distinct(), "class", "left_semi")
@@ -241,22 +260,43 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     return signed, connected_components(links.union(found).toDF("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least id reachable), kept (it is that id)."""
+def _labelled(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, class."""
     signed, groups = near_duplicate_classes(docs, doc_id, text, percent)
     labelled = signed.select("doc_id", "n_shingles", "class").join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "component", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.when(F.col("least").isNull() & F.col("component").isNotNull(), F.col("class") == F.col("component")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "class")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least id reachable), kept (it is that id).
+
+    Where no row of a component has an id, the rows of its least class are kept.
+    """
+    return _labelled(docs, doc_id, text, percent).drop("class")
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of docs whose id is the least of its component; rows equal in id and text count once."""
-    found = staged(near_duplicates(docs, doc_id, text, percent), "near-duplicates")
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept_id"))
-    repeated = not kept.groupBy("_kept_id").count().where("count > 1").isEmpty()
-    out = docs.join(kept.distinct() if repeated else kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out.dropDuplicates([doc_id, text]) if repeated else out
+    """The rows of docs whose id is the least of its component; rows equal in id and text count once.
+
+    Rows that share an id, or have none, are told apart by class; of rows
+    without an id one is kept for each component that has no id at all.
+    """
+    found = staged(_labelled(docs, doc_id, text, percent), "near-duplicates")
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("class").alias("_kept_class"))
+    shared = found.groupBy(F.col("doc_id").alias("_shared_id")).count().where("count > 1 or _shared_id is null").select("_shared_id")
+    if shared.isEmpty():
+        return docs.join(kept, F.col(doc_id) == F.col("_kept_id"), "left_semi")
+    shared = staged(shared, "shared-ids")
+    same = F.col(doc_id).eqNullSafe(F.col("_shared_id"))
+    single = docs.join(shared, same, "left_anti").join(kept, F.col(doc_id) == F.col("_kept_id"), "left_semi")
+    more = _with_class(docs.join(shared, same, "left_semi"), text, "_row_class")
+    more = more.join(kept.distinct(), F.col(doc_id).eqNullSafe(F.col("_kept_id")) & F.col("_row_class").eqNullSafe(F.col("_kept_class")), "left_semi")
+    once = F.when(F.col(doc_id).isNull() & F.col("_row_class").isNotNull(), F.col("_row_class").cast("string")).otherwise(F.col(text).cast("string"))
+    more = more.withColumn("_once", once).dropDuplicates([doc_id, "_row_class", "_once"]).drop("_row_class", "_once")
+    return single.union(more)
 
 
 ORACLE = r"""

@@ -82,3 +82,23 @@ def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
     assert got == {k: 0 for k in range(41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_near_copies_without_an_id(make_docs, prose):
+    w = prose(200, 70).split()
+    near = [" ".join([*w[:k], "changed", *w[k + 1 :]]) for k in (20, 90, 160)]
+    other = prose(100, 71)
+    with_id = make_docs([(None, near[0]), (1, near[1])])
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(with_id).collect()), key=str) == [(1, 1, True), (None, 1, False)]
+    docs = make_docs([*((None, t) for t in near), (None, near[0].upper()), (None, other), (None, other), (None, ""), (7, prose(80, 72))])
+    got = minhash.near_duplicates(docs).collect()
+    assert {r.component_id for r in got if r.doc_id is None} == {None}
+    kept = [r.text for r in minhash.without_near_duplicates(docs).collect()]
+    assert len(kept) == 4 and sum(t.lower() in near for t in kept) == 1
+    assert sorted(t for t in kept if t.lower() not in near) == sorted(["", other, prose(80, 72)])
+
+
+def test_rows_of_one_id_in_two_components(make_docs, prose):
+    a, b = prose(60, 73), prose(60, 74)
+    docs = make_docs([(0, a), (1, a), (1, b), (2, b)])
+    assert sorted((r.doc_id, r.text) for r in minhash.without_near_duplicates(docs).collect()) == [(0, a), (1, b)]
