@@ -55,7 +55,7 @@ _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 class Node:
     """An element: tag, children, and the numbers of the text slots that start in it."""
 
-    __slots__ = ("tag", "chrome", "main", "children", "slots")
+    __slots__ = ("tag", "chrome", "main", "children", "slots", "shape")
 
     def __init__(self, tag: str, chrome: bool = False, main: bool = False) -> None:
         self.tag, self.chrome, self.main = tag, chrome, main
@@ -137,47 +137,93 @@ def parse(page: str | None) -> tuple[Node, list[str], list[Node]]:
     return root, texts, owners
 
 
+def _shapes(*roots: Node) -> None:
+    """Give every node the hash of its subtree's tags."""
+    for root in roots:
+        order = [root]
+        for n in order:
+            order += n.children
+        for n in reversed(order):
+            n.shape = hash((n.tag, *(c.shape for c in n.children)))
+
+
 def align(a: Node, b: Node, most_cells: int = 40_000) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the most matched nodes and the pairs, order and ancestry kept.
 
-    Child lists whose table would exceed most_cells are aligned by position
-    among children of the same tag.
+    Of child lists whose table would exceed most_cells, children at the start
+    and at the end that are alike in their whole trees are matched first, which
+    loses no match, and the table is made for the rest.
     """
+    steps, back = [_align(a, b, most_cells)], None
+    shaped = False
+    while steps:  # no recursion: trees are as deep as a page likes
+        try:
+            c, d = steps[-1].send(back)
+        except StopIteration as end:
+            steps.pop()
+            back = end.value
+            continue
+        back = None
+        if c is None:
+            if not shaped:
+                _shapes(a, b)
+                shaped = True
+        else:
+            steps.append(_align(c, d, most_cells))
+    return back
+
+
+def _align(a: Node, b: Node, most_cells: int):
+    """One level of align: asks for the pairs below by yielding two nodes, and for shapes by yielding None twice."""
     if a.tag != b.tag:
         return 0, []
     x, y = a.children, b.children
-    if not x or not y:
-        return 1, [(a, b)]
+    pairs, ends = [(a, b)], []
     if len(x) * len(y) > most_cells:
-        pairs, by_tag = [(a, b)], {}
-        for c in y:
-            by_tag.setdefault(c.tag, []).append(c)
-        for of in by_tag.values():
-            of.reverse()
-        for c in x:
-            if by_tag.get(c.tag):
-                pairs += align(c, by_tag[c.tag].pop(), most_cells)[1]
+        yield None, None
+        lo = 0
+        while lo < min(len(x), len(y)) and x[lo].shape == y[lo].shape:
+            lo += 1
+        hi = 0
+        while hi < min(len(x), len(y)) - lo and x[-1 - hi].shape == y[-1 - hi].shape:
+            hi += 1
+        ends = [*zip(x[:lo], y[:lo]), *zip(x[len(x) - hi :], y[len(y) - hi :])]
+        x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    for c, d in ends:  # whole trees alike: every node meets its own
+        same = [(c, d)]
+        for u, v in same:
+            same += zip(u.children, v.children)
+        pairs += same
+    if not x or not y:
         return len(pairs), pairs
-    score = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
+    above = [0] * (len(y) + 1)
+    turns = []  # per cell: 0 to the row above, 1 to the column before, 2 to both
+    found: dict[tuple[int, int], list] = {}
     for i, c in enumerate(x):
-        row, above = score[i + 1], score[i]
+        row, turn = [0] * (len(y) + 1), bytearray(len(y))
         for j, d in enumerate(y):
             best = row[j] if row[j] > above[j + 1] else above[j + 1]
             if c.tag == d.tag:
-                w = found[i, j] = (1, [(c, d)]) if not c.children or not d.children else align(c, d, most_cells)
-                if above[j] + w[0] > best:
-                    best = above[j] + w[0]
+                if not c.children or not d.children:
+                    w = 1
+                else:
+                    w, found[i, j] = yield c, d
+                if above[j] + w > best:
+                    best = above[j] + w
             row[j + 1] = best
-    pairs, i, j = [(a, b)], len(x), len(y)
+            turn[j] = 0 if best == above[j + 1] else 1 if best == row[j] else 2
+        above = row
+        turns.append(turn)
+    i, j = len(x), len(y)
     while i and j:
-        if score[i][j] == score[i - 1][j]:
+        turn = turns[i - 1][j - 1]
+        if turn == 0:
             i -= 1
-        elif score[i][j] == score[i][j - 1]:
+        elif turn == 1:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs += found[i, j][1]
+            pairs += found.get((i, j)) or [(x[i], y[j])]
     return len(pairs), pairs
 
 

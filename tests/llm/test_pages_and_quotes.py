@@ -74,3 +74,15 @@ def test_whole_conversations(spark):
     got = queries.op6_quotation_linking(spark, SF).collect()
     assert len(got) == n
     assert len({(r.conv_id, r.position) for r in got}) == n
+
+
+def test_long_and_deep_pages_align_exactly():
+    items = "".join(f"<p>{k}</p>" for k in range(150))
+    heads = "".join(f"<h2>{k}</h2><p>{k}</p>" for k in range(80))
+    a, _, _ = htmlmain.parse(f"<div>{items}<section><p>t</p></section>{heads}<section><ul><li>x</ul></section></div>")
+    b, _, _ = htmlmain.parse(f"<div>{items}<section><ul><li>ad</ul></section><section><p>t</p></section>{heads}<section><ul><li>x</ul></section></div>")
+    exact = htmlmain.align(a, b, most_cells=10**9)
+    found = htmlmain.align(a, b)
+    assert found[0] == exact[0] == len(found[1]) == 2 + 150 + 2 + 160 + 3
+    deep, texts, _ = htmlmain.parse("<font>" * 5000 + "x")
+    assert htmlmain.align(deep, htmlmain.parse("<font>" * 4000 + "x")[0])[0] == 4001
