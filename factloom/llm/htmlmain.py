@@ -47,6 +47,9 @@ CHROME_NAMES = set(
     "sidebar aside footer header masthead topbar toolbar comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription "
     "popup modal overlay login signup search pagination pager widget widgets tags tagcloud copyright legal disclaimer alert".split()
 )
+#: Last words of a compound that only say what holds the part or what it is made of, as in ad-box and footer-links.
+HOLDERS = set("area bar block box column container content group inner item items left link links list outer panel posts articles region right row section slot stories unit wrap wrapper button buttons form top bottom main".split())
+NEGATED = {"has", "with", "no", "non", "not", "without"}
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -55,14 +58,31 @@ _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 class Node:
     """An element: tag, children, and the numbers of the text slots that start in it."""
 
-    __slots__ = ("tag", "chrome", "main", "children", "slots", "shape")
+    __slots__ = ("tag", "chrome", "main", "children", "slots", "shape", "named")
 
-    def __init__(self, tag: str, chrome: bool = False, main: bool = False) -> None:
+    def __init__(self, tag: str, chrome: bool = False, main: bool = False, named: tuple[Node, ...] = ()) -> None:
         self.tag, self.chrome, self.main = tag, chrome, main
+        self.named = named  # it and the elements round it whose class or id names no text
         self.children: list[Node] = []
         self.slots: list[int] = []
 
 
+def _names_chrome(token: str) -> bool:
+    """Whether a class or id names a part that is not text: by its last word but for holders, unless a word before says that it lacks or has one."""
+    ws = [w.lower() for w in _NAME.findall(token)]
+    if NEGATED.intersection(ws):
+        return False
+    while len(ws) > 1 and ws[-1] not in CHROME_NAMES and (ws[-1] in HOLDERS or ws[-1].isdigit()):
+        ws.pop()
+    return bool(ws) and ws[-1] in CHROME_NAMES
+
+
+def _is_named(tag: str, attributes: str) -> bool:
+    if tag in ("html", "body", *MAIN) or not attributes:
+        return False
+    return any(_names_chrome(w) for m in _ATTR.finditer(attributes) if m[1].lower() in ("class", "id") for w in (m[2] or m[3] or m[4] or "").split())
+
+
 def _is_chrome(tag: str, attributes: str) -> bool:
     if tag in CHROME:
         return True
@@ -70,8 +90,6 @@ def _is_chrome(tag: str, attributes: str) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in CHROME_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", *MAIN) and any(w.lower() in CHROME_NAMES for w in _NAME.findall(value)):
-            return True
     return False
 
 
@@ -79,7 +97,7 @@ def parse(page: str | None) -> tuple[Node, list[str], list[Node]]:
     """The tree, the texts of its slots (blocks of text, decoded, white space collapsed), and each slot's element."""
     page = page or ""
     root = Node("#")
-    stack, texts, owners, parts = [root], [], [], []
+    stack, texts, owners, parts, mains = [root], [], [], [], []
 
     def end_block() -> None:
         if parts:
@@ -122,7 +140,11 @@ def parse(page: str | None) -> tuple[Node, list[str], list[Node]]:
                 elif stack[k].tag in SCOPE:
                     break
         above = stack[-1]
-        node = Node(tag, above.chrome or _is_chrome(tag, m[3]), above.main or tag in MAIN or 'role="main"' in m[3])
+        node = Node(tag, above.chrome or _is_chrome(tag, m[3]), above.main or tag in MAIN or 'role="main"' in m[3], above.named)
+        if _is_named(tag, m[3]):
+            node.named += (node,)
+        if node.main and not above.main and not node.chrome:
+            mains.append(node)
         above.children.append(node)
         if tag in VOID or m[3].endswith("/") and not block:
             continue
@@ -134,6 +156,9 @@ def parse(page: str | None) -> tuple[Node, list[str], list[Node]]:
     if at < len(page):
         parts.append(page[at:])
     end_block()
+    holds = () if any(not n.named for n in mains) else mains[0].named if mains else ()
+    for owner in owners:  # a name does not count on what holds the page's article
+        owner.chrome = owner.chrome or any(n not in holds for n in owner.named)
     return root, texts, owners
 
 

@@ -86,3 +86,13 @@ def test_long_and_deep_pages_align_exactly():
     assert found[0] == exact[0] == len(found[1]) == 2 + 150 + 2 + 160 + 3
     deep, texts, _ = htmlmain.parse("<font>" * 5000 + "x")
     assert htmlmain.align(deep, htmlmain.parse("<font>" * 4000 + "x")[0])[0] == 4001
+
+
+def test_names_that_only_mention_other_parts():
+    for name in ("content has-sidebar", "no-sidebar", "layoutWithSidebar", "ad-free", "single-post comments-closed", "legal-news"):
+        assert htmlmain.main_text(f'<div class="{name}"><p>text</p></div>') == "text"
+        assert htmlmain.main_text(f'<article><div class="{name}"><p>text</p></div></article>') == "text"
+    for name in ("ad", "ad-box", "mainNav", "col sidebar-left", "post-comments", "footer-links", "related-posts"):
+        assert htmlmain.main_text(f'<div class="{name}"><p>x</p></div><p>text</p>') == "text"
+    assert htmlmain.main_text("<div class=widget><article><p>text</p><div class=ad>x</div></article></div><div class=sidebar>y</div>") == "text"
+    assert htmlmain.main_text("<div class=sidebar><article>x</article></div><main><p>text</p></main>") == "text"
