@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a new local one where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_factloom_dir", None)
         if found is None:
             found = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
@@ -55,11 +59,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table that ``staged`` wrote, once nothing reads it any more."""
-    path = df._factloom_path
-    _remove(df.sparkSession, path)
-    _written[:] = [x for x in _written if x[1] != path]
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``staged`` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = df._factloom_path
+        _remove(df.sparkSession, path)
+        _written[:] = [x for x in _written if x[1] != path]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done: it does so when the driver's objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -76,6 +87,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: int, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of text in one column, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + chars, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def keep_rows(df: DataFrame, column: str, keeps: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
     """The rows of df whose value of column passes; keeps(values) gives a mask. All columns pass through, whatever their names."""
     place = df.columns.index(column)

@@ -2,13 +2,13 @@
 
 ``write_tokens`` sorts the documents by id, encodes each, and writes frames as
 rows of a Parquet table: whole documents of about 64k ids, coded in
-independent checksummed blocks (rangecoder), with the documents' ids and
-lengths beside them.  ``read_tokens`` decodes frames wherever they are, so
+independent checksummed blocks of up to 64k ids (rangecoder), with the
+documents' ids and lengths beside them.  ``read_tokens`` decodes frames wherever they are, so
 reading needs no order and a damaged block stops only its own task.
 
-Tokenizers split at white space before anything else, so a text's ids are its
-words' ids one after another; each worker keeps the ids of the words it has
-met, up to a bound.
+A tokenizer that splits at white space and drops it, before all else, encodes
+a text as its words' ids one after another, so each worker keeps the ids of
+the words it has met, up to a bound.  Other tokenizers are refused.
 
 Defined cases: a null or empty text has the end id alone; equal ids stand side
 by side, ordered by their texts' hashes; a null id comes first; an empty table
@@ -17,11 +17,14 @@ writes no frame; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,65 +32,169 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import rangecoder
-from factloom.llm.common import new_path
+from factloom.llm.common import new_path, slices
 
 FRAME_IDS = 1 << 16
-GROUP_BLOCKS = 4096
+_SPACES = (" ", "\n", "  ", "\r\n", "\t", "\v", "\f", " \n \t")
+_PROBES = (("the", "end"), ("The", "\u0301x"), ("3", "4"), ("don't", "'s"), ("(", ")"), ("new", "York,"), ("日本", "語"), ("a.", "B"))
+GROUP_BLOCKS = 48
+
+
+#: The normalizer and pre-tokenizer (fixed values) for which words of Latin letters are cut here as the tokenizer would cut them.
+_LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": _CUT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")  # in NFC, and as long in lower case
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizers file, through a bounded table of the words met so far."""
+    """Ids of whole texts by a tokenizers file, through a bounded table of the words met so far.
+
+    Words are learnt from the tokenizer by the batch.  If its rules are those
+    above, words of Latin letters are first cut into the pieces that its model
+    sees, which are fewer than the words, and only new pieces go to the model.
+    """
 
-    def __init__(self, path: str, most_words: int = 500_000, offsets: bool = False) -> None:
+    def __init__(self, path: str, most_words: int = 1_000_000, offsets: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most, self.offsets = Tokenizer.from_file(path), most_words, offsets
+        rules = json.loads(self.tokenizer.to_str())
+        self.model = None
+        suffix = rules["model"].get("end_of_word_suffix")
+        if suffix and rules["normalizer"] == _LOWER and rules["pre_tokenizer"] == _SPLIT and all(t["content"].startswith("<|") for t in rules["added_tokens"]):
+            self.model = Tokenizer(self.tokenizer.model)
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.clear()
+        for a, b in _PROBES:
+            whole, parts = (self.tokenizer.encode_batch(x, add_special_tokens=False) for x in ([f"{a}{s}{b}" for s in _SPACES], [a, b]))
+            if any(e.ids != parts[0].ids + parts[1].ids for e in whole):
+                raise ValueError("the tokenizer does not split at white space before all else")
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
-        self.spans = np.empty((0, 2), np.int32)  # characters of each id in its word, if asked for
+        self.pieces: dict[str, int] = {}
+        none = np.empty(0, np.int32), np.empty((0, 2), np.int32), np.zeros(1, np.int64)
+        self.ids, self.spans, self.starts = none  # of words; spans: characters of each id in its word, if asked for
+        self.piece_ids, self.piece_spans, self.piece_starts = none
 
-    def learn(self, new: list[bytes], step: int = 20_000) -> None:
+    def _each(self, words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, spans and starts of words by the tokenizer."""
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        ids, lens, spans = [self.ids], [np.diff(self.starts)], [self.spans]
-        for k in range(0, len(new), step):  # encodings are large: only so many at a time
-            encoded = encode([w.decode("utf-8", "replace") for w in new[k : k + step]], add_special_tokens=False)
+        ids, spans, lens = [], [np.empty((0, 2), np.int32)], [np.zeros(1, np.int64)]
+        for k in range(0, len(words), step):  # encodings are large: only so many at a time
+            encoded = encode(words[k : k + step], add_special_tokens=False)
             parts = [e.ids for e in encoded]
             lens.append(np.fromiter(map(len, parts), np.int64, len(parts)))
-            ids.append(np.fromiter(chain.from_iterable(parts), np.int32, int(lens[-1].sum())))
+            ids.append(np.fromiter(chain.from_iterable(parts), np.int32))
             if self.offsets:
                 spans.append(np.array([o for e in encoded for o in e.offsets], np.int32).reshape(-1, 2))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.ids, self.spans = np.concatenate(ids), np.concatenate(spans)
-        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
-
-    def learn_all(self, split: list[list[bytes]]) -> None:
-        met, known = set().union(*split), self.known
-        new = [w for w in met if w not in known]
-        if new and len(known) + len(new) > self.most:
-            self.clear()
-            new = list(met)
+        return np.concatenate([np.empty(0, np.int32), *ids]), np.concatenate(spans), np.cumsum(np.concatenate(lens))
+
+    def _joined(self, pieces: list[str], step: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, spans and starts of pieces by the tokenizer's model, many in one text."""
+        encode = self.model.encode_batch if self.offsets else self.model.encode_batch_fast
+        ids, spans, lens = [], [np.empty((0, 2), np.int32)], [np.zeros(1, np.int64)]
+        for k in range(0, len(pieces), 40 * step):
+            texts = [pieces[j : j + step] for j in range(k, min(len(pieces), k + 40 * step), step)]
+            for words, e in zip(texts, encode([" ".join(t) for t in texts], add_special_tokens=False)):
+                ids.append(np.array(e.ids, np.int32))
+                last = self.last[ids[-1]]
+                if np.count_nonzero(last) != len(words):
+                    raise ValueError("the tokenizer's model does not end each word with a token of its own")
+                of = np.cumsum(last) - last
+                lens.append(np.bincount(of, minlength=len(words)))
+                if self.offsets:
+                    sizes = np.fromiter(map(len, words), np.int64, len(words))
+                    spans.append(np.array(e.offsets, np.int32).reshape(-1, 2) - (np.cumsum(sizes + 1) - sizes - 1)[of, None].astype(np.int32))
+        return np.concatenate([np.empty(0, np.int32), *ids]), np.concatenate(spans), np.cumsum(np.concatenate(lens))
+
+    def _by_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, spans and starts of plain words, each the ids of its pieces one after another."""
+        cut = [_PIECES.findall(w.lower()) for w in words]
+        new = [p for p in set(chain.from_iterable(cut)) if p not in self.pieces]
         if new:
+            ids, spans, starts = self._joined(new)
+            self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
+            self.piece_ids, self.piece_spans = np.concatenate([self.piece_ids, ids]), np.concatenate([self.piece_spans, spans])
+            self.piece_starts = np.concatenate([self.piece_starts, self.piece_starts[-1] + starts[1:]])
+        piece = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64)
+        lens = np.diff(self.piece_starts)[piece]
+        ends = np.cumsum(lens)
+        rows = np.arange(int(lens.sum())) - np.repeat(ends - lens - self.piece_starts[:-1][piece], lens)
+        n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        starts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_pieces)])]
+        spans = self.piece_spans
+        if self.offsets:
+            sizes = np.fromiter(map(len, chain.from_iterable(cut)), np.int64, len(piece))
+            before = np.cumsum(sizes) - sizes
+            before -= np.repeat(before[np.cumsum(n_pieces) - n_pieces], n_pieces)
+            spans = spans[rows] + np.repeat(before, lens)[:, None].astype(np.int32)
+        return self.piece_ids[rows], spans, starts
+
+    def learn(self, new: list[bytes]) -> None:
+        """Add words to the table."""
+        collects = gc.isenabled()
+        gc.disable()  # many small lists that hold no cycles
+        try:
+            self._learn(new)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _learn(self, new: list[bytes]) -> None:
+        words = [w.decode("utf-8", "replace") for w in new]
+        plain = [self.model is not None and "<|" not in w and _PLAIN.fullmatch(w) is not None for w in words]
+        parts = []
+        for learnt, yes in ((self._by_pieces, True), (self._each, False)):
+            mine = [w for w, p in zip(words, plain) if p == yes]
+            if mine:
+                parts.append(learnt(mine))
+                mine = [w for w, p in zip(new, plain) if p == yes]
+                self.known.update(zip(mine, range(len(self.known), len(self.known) + len(mine))))
+        self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
+        self.spans = np.concatenate([self.spans, *(p[1] for p in parts)])
+        for p in parts:
+            self.starts = np.concatenate([self.starts, self.starts[-1] + p[2][1:]])
+
+    def numbers(self, words: list[list[bytes]]) -> np.ndarray:
+        """The place in the table of each word of all lists, words not met so far learnt first."""
+        total = sum(map(len, words))
+        found = np.fromiter(map(self.known.get, chain.from_iterable(words), repeat(-1)), np.int64, total)
+        missing = found < 0
+        if missing.any():
+            late = list(compress(chain.from_iterable(words), missing.tolist()))
+            new = list(set(late))
+            if len(self.known) + len(new) > self.most:
+                self.clear()
+                late, missing = list(chain.from_iterable(words)), slice(None)
+                new = list(set(late))
             self.learn(new)
+            found[missing] = np.fromiter(map(self.known.__getitem__, late), np.int64, len(late))
+        return found
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text with the end id, and their numbers."""
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.learn_all(split)
+        word = self.numbers(split)
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        total = int(n_words.sum())
-        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, total)
         lens = np.diff(self.starts)[word]
         stops = np.cumsum(n_words)
         before = np.concatenate([[0], np.cumsum(lens)])
         n_ids = before[stops] - before[stops - n_words] + 1
+        ends = np.cumsum(n_ids) - 1
         out = np.full(int(n_ids.sum()), end, np.int32)
-        of = np.repeat(np.arange(len(split)), n_words)  # each word's document, which is the number of end ids before it
-        shift = np.arange(int(before[-1]))
-        out[shift + np.repeat(of, lens)] = self.ids[shift - np.repeat(before[:-1] - self.starts[:-1][word], lens)]
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside] = self.ids[np.arange(int(before[-1])) - np.repeat(before[:-1] - self.starts[:-1][word], lens)]
         return out, n_ids
 
 
@@ -120,16 +227,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         tok, shard, frame = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
 
         def parts() -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-            for b in batches:
-                at = 0
-                while at < b.num_rows:
-                    texts, chars, keys = [], 0, []
-                    while at < b.num_rows and chars < 1 << 20:
-                        texts.append(b.column(1)[at].as_py())
-                        keys.append(b.column(0)[at].as_py())
-                        chars += len(texts[-1] or "")
-                        at += 1
-                    yield keys, *tok.encode(texts, end_id)
+            for whole in batches:
+                for b in slices(whole, 1):
+                    yield b.column(0).to_pylist(), *tok.encode(b.column(1).to_pylist(), end_id)
 
         def flush() -> pa.RecordBatch:
             nonlocal frame

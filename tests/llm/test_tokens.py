@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,26 +12,55 @@ from factloom.llm import attribution, queries, rangecoder, tokenout
 
 SF = "/root/testdata/sf0.001"
 
-ids = st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 65535)), max_size=60), max_size=12)
+ids = st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 65535), st.integers(0, (1 << 32) - 1)), max_size=60), max_size=12)
 
 
 @settings(max_examples=40, deadline=None)
 @given(ids)
 def test_round_trip(blocks):
-    blocks = [np.array(b, np.int32) for b in blocks]
+    blocks = [np.array(b, np.int64) for b in blocks]
     assert [b.tolist() for b in rangecoder.decode_blocks(rangecoder.encode_blocks(blocks))] == [b.tolist() for b in blocks]
 
 
+@pytest.mark.parametrize("n", [255, 256, 511, 512, 5000, 32_767, 65_535, 65_536])
+def test_round_trip_of_large_blocks(n):
+    r = np.random.default_rng(n)
+    blocks = [r.integers(0, top, n) for top in (1, 2, 300, 49_408, 1 << 20, 1 << 32)] + [np.arange(n), np.full(n, (1 << 32) - 1), np.minimum(r.zipf(1.3, n), 49_407)]
+    coded = rangecoder.encode_blocks(blocks)
+    assert coded[2] == rangecoder.encode_blocks([blocks[2]])[0]  # a block does not depend on those beside it
+    assert [(a == b).all() and len(a) == n for a, b in zip(rangecoder.decode_blocks(coded), blocks)] == [True] * len(blocks)
+
+
+def test_long_blocks_are_refused():
+    with pytest.raises(ValueError, match="at most"):
+        rangecoder.encode_blocks([np.zeros(rangecoder.BLOCK + 1, np.int64)])
+
+
 def test_order_two_text_shrinks_and_damage_shows():
     block = np.tile(np.arange(7, 40000, 997, dtype=np.int32), 40)
     coded = rangecoder.encode_blocks([block])[0]
-    assert len(coded) < len(block)  # under 8 bits an id where 16 are plain
+    assert len(coded) < len(block) / 4  # under 2 bits an id where 16 are plain
     with pytest.raises(ValueError, match="damaged"):
         rangecoder.decode_blocks([coded[:-1] + bytes([coded[-1] ^ 1])])
     with pytest.raises(ValueError, match="damaged"):
         rangecoder.decode_blocks([b"nope"])
 
 
+def test_fewer_bits_than_zlib_and_order_zero():
+    tok = tokenout.WordTokenizer(queries.TOKENIZER)
+    x, _ = tok.encode(pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist(), 1)
+    coded = rangecoder.encode_blocks([x[k : k + rangecoder.BLOCK] for k in range(0, len(x), rangecoder.BLOCK)])
+    p = np.bincount(x) / len(x)
+    p = p[p > 0]
+    bits = sum(map(len, coded)) * 8 / len(x)
+    assert bits < -(p * np.log2(p)).sum() < len(zlib.compress(x.astype("<u2").tobytes())) * 8 / len(x)
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        tokenout.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def expect(docs):
     tok, start, out = Tokenizer.from_file(queries.TOKENIZER), 0, []
     for i, t in docs:
@@ -75,6 +106,21 @@ def test_section_counts(make_docs, odd_texts):
         attribution.allocate(np.array([[0, 1]]), [(0, 1)], "x")
 
 
+def test_the_query_counts_pages_that_tokens_cross(spark):
+    tok, expect, crossed = Tokenizer.from_file(queries.TOKENIZER), {}, 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 0").collect():
+        counts = {k: [0, 0] for k in range(-(-len(r.text) // 1000))}
+        for s, e in tok.encode(r.text, add_special_tokens=False).offsets:
+            held = {k: min(e, 1000 * k + 1000) - max(s, 1000 * k) for k in range(s // 1000, (max(e, s + 1) - 1) // 1000 + 1)}
+            page = max(held, key=lambda k: (held[k], -k))
+            counts[page][0] += 1
+            counts[page][1] += len(held) > 1
+            crossed += len(held) > 1
+        expect |= {(r.doc_id, k): tuple(n) for k, n in counts.items()}
+    got = {(r.doc_id, r.section): (r.n_tokens, r.n_crossing) for r in queries.op7_section_tokens(spark, SF).collect()}
+    assert got == expect and crossed > 100
+
+
 def test_a_crossing_token_goes_by_the_rule():
     spans, sections = np.array([[0, 5]]), [(0, 2), (2, 9)]
     assert [attribution.allocate(spans, sections, r)[0].tolist() for r in ("start", "end", "most")] == [[0], [1], [1]]
