@@ -1,8 +1,12 @@
 """Token counts by section: whole documents are encoded once, and token spans are joined to section spans.
 
 A token has the characters (code points of the document) that it stands for.
-Tokens are encoded through the table of words of ``tokenout``, where each id
-keeps its characters within the word; adding the word's place gives its span.
+The words of many documents are looked up at once in the table of ``tokenout``,
+where each id keeps its characters within the word; adding the word's place
+gives its span in the document, which is that of encoding the whole document,
+as the table refuses tokenizers for which it would not be.  Sections and tokens
+of those documents are then joined as intervals on one line of characters.
+
 Each token goes to exactly one section, by a stated rule for tokens that cross
 a border: "start" - the section of its first character; "end" - of its last;
 "most" - of most of its characters, the first of equals.  Tokens outside all
@@ -24,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import slices
 from factloom.llm.tokenout import WordTokenizer, word_tokenizer
 
-_SPACES = re.compile(r"[^ \t\n\v\f\r]+")
 Section = tuple[int, int]
 
 
@@ -35,23 +39,32 @@ def line_sections(text: str) -> list[Section]:
     return [m.span() for m in re.finditer(r"[^\n]+", text)]
 
 
-def token_spans(tok: WordTokenizer, text: str) -> np.ndarray:
-    """(start, end) of each token of the whole text, in code points."""
-    found = [(m.start(), m[0].encode("utf-8", "replace")) for m in _SPACES.finditer(text)]
-    if not found:
+def page_sections(text: str, width: int = 1000) -> list[Section]:
+    """Pages of width characters, cut wherever that falls."""
+    return [(k, min(k + width, len(text))) for k in range(0, len(text), width)]
+
+
+def token_spans(tok: WordTokenizer, texts: list[str]) -> np.ndarray:
+    """(start, end) of each token of the texts, in code points of all texts with one character between them."""
+    joined = b"\n".join(t.encode("utf-8", "replace") for t in texts)
+    data = np.frombuffer(joined, np.uint8)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    first = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if len(data) and inside[0]:
+        first = np.concatenate([[0], first])
+    if not len(first):
         return np.empty((0, 2), np.int64)
-    tok.learn_all([[w for _, w in found]])
-    word = np.fromiter((tok.known[w] for _, w in found), np.int64, len(found))
-    first, lens = tok.starts[:-1][word], np.diff(tok.starts)[word]
+    place = np.cumsum((data & 0xC0) != 0x80)[first] - 1  # of each word, in code points
+    word = tok.numbers([joined.split()])
+    begin, lens = tok.starts[:-1][word], np.diff(tok.starts)[word]
     ends = np.cumsum(lens)
-    rows = np.arange(int(ends[-1])) - np.repeat(ends - lens - first, lens)
-    return tok.spans[rows] + np.repeat(np.fromiter((s for s, _ in found), np.int64, len(found)), lens)[:, None]
+    rows = np.arange(int(ends[-1])) - np.repeat(ends - lens - begin, lens)
+    return tok.spans[rows] + np.repeat(place, lens)[:, None]
 
 
-def allocate(spans: np.ndarray, sections: list[Section], rule: str = "start") -> tuple[np.ndarray, np.ndarray]:
+def allocate(spans: np.ndarray, sections: list[Section] | np.ndarray, rule: str = "start") -> tuple[np.ndarray, np.ndarray]:
     """The section of each token (-1: none), and which tokens cross a border of their section."""
-    starts = np.array([s for s, _ in sections], np.int64)
-    ends = np.array([e for _, e in sections], np.int64)
+    starts, ends = np.asarray(sections, np.int64).reshape(-1, 2).T
     if not len(starts):
         return np.full(len(spans), -1), np.zeros(len(spans), bool)
 
@@ -85,25 +98,37 @@ def section_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer_path, offsets=True)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                tok.learn_all([(t.as_py() or "").encode("utf-8", "replace").split() for t in b.column(1)])
-                of, number, start, end, n, cross = [], [], [], [], [], []
-                for k, t in enumerate(b.column(1)):
-                    if not (t := t.as_py()):
-                        continue
-                    parts = sections(t)
-                    where, crossing = allocate(token_spans(tok, t), parts, rule)
-                    counts = np.bincount(where + 1, minlength=len(parts) + 1)
-                    crossed = np.bincount((where + 1)[crossing], minlength=len(parts) + 1)
-                    keep = range(1 if counts[0] == 0 else 0, len(parts) + 1)
-                    of += [k] * len(keep)
-                    number += [j - 1 for j in keep]
-                    start += [parts[j - 1][0] if j else None for j in keep]
-                    end += [parts[j - 1][1] if j else None for j in keep]
-                    n += counts[keep.start :].tolist()
-                    cross += crossed[keep.start :].tolist()
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, pa.int64()) for c in (number, start, end, n, cross))], names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
+            for b in slices(whole, 1):
+                some = [k for k, t in enumerate(b.column(1)) if t.is_valid and len(t.as_buffer())]
+                texts = [b.column(1)[k].as_py() for k in some]
+                lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+                base = np.cumsum(lengths + 1) - lengths - 1
+                parts = [sections(t) for t in texts]
+                n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
+                of = np.repeat(np.arange(len(texts)), n_parts)
+                number = np.arange(len(of)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+                borders = np.array([x for p in parts for x in p], np.int64).reshape(-1, 2)
+                spans = token_spans(tok, texts)
+                where, crossing = allocate(spans, borders + base[of, None], rule)
+                n = np.bincount(where[where >= 0], minlength=len(of))
+                cross = np.bincount(where[crossing & (where >= 0)], minlength=len(of))
+                out = where < 0
+                loose = np.searchsorted(base, spans[out, 0], "right") - 1
+                rest = np.unique(loose)
+                rows = np.array(some, np.int64)[np.concatenate([of, rest])]
+                null = np.concatenate([np.zeros(len(of), bool), np.ones(len(rest), bool)])
+                at = lambda k: pa.array(np.concatenate([borders[:, k], rest]), pa.int64(), mask=null)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(pa.array(rows, pa.int64())),
+                        pa.array(np.concatenate([number, np.full(len(rest), -1)])),
+                        at(0),
+                        at(1),
+                        pa.array(np.concatenate([n, np.bincount(loose, minlength=len(texts))[rest]])),
+                        pa.array(np.concatenate([cross, np.bincount(loose[crossing[out]], minlength=len(texts))[rest]])),
+                    ],
+                    names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"],
+                )
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return own.mapInArrow(count, f"doc_id {kind}, section long, start long, end long, n_tokens long, n_crossing long")

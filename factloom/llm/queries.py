@@ -43,7 +43,7 @@ def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.section_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), TOKENIZER, sections=attribution.page_sections, rule="most")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
