@@ -47,4 +47,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     below = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return below.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = below.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._factloom_path = now._factloom_path
+    return out

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from factloom.llm.common import staged
+from factloom.llm.common import drop, slices, staged, tidy
 from factloom.llm.components import connected_components
 
 BANDS, ROWS = 50, 6
@@ -137,15 +137,13 @@ def _of_class(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(check, "class long, text string")
 
 
-def _shingle_sets(texts: DataFrame, half: bool = False) -> DataFrame:
-    """(class, shingles) of texts (class, text); half: only the upper 32 bits of each hash."""
-    of_text = lambda t: (shingle_hashes(t) >> np.uint64(32)).astype(np.uint32) if half else shingle_hashes(t)
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(class, shingles) of texts (class, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of_text(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["class", "shingles"])
+            for b in slices(whole, 1):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["class", "shingles"])
 
     return texts.mapInArrow(sets, "class long, shingles binary")
 
@@ -173,9 +171,8 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame, least: int, percent: int,
     Buckets of up to ``large`` classes are compared whole, many to a task; of a
     larger one a member goes to every pair of blocks that its own block is in,
     so a task holds two blocks whatever the bucket's size.  Pairs whose
-    signatures agree are measured on sets of half hashes, which can only
-    overstate what is common; a pair leaves its task if it passes and joins
-    components that no pair before it in the task has joined.
+    signatures agree are measured on their full sets; a pair leaves its task if
+    it passes and joins components that no pair before it in the task has joined.
     """
     bundles = max(1, members.count() // 4000)
     blocks = F.when(F.col("n") > large, F.ceil(F.col("n") / block)).otherwise(1)
@@ -188,7 +185,7 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame, least: int, percent: int,
         t = t.sort_by("bucket")
         bucket, own, comp, cls, i, j = (t.column(c).to_numpy() for c in ("bucket", "own", "component", "class", "i", "j"))
         s = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-        halves = [np.frombuffer(x, np.uint32) for x in t.column("halves").to_pylist()]
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         over: dict[int, int] = {}  # components joined so far, as a forest
 
         def top(c: int) -> int:
@@ -206,7 +203,7 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame, least: int, percent: int,
                     one, two = top(int(comp[x])), top(int(comp[k]))
                     if one == two:
                         continue
-                    u, v = halves[x], halves[k]
+                    u, v = sets[x], sets[k]
                     both = int(np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u))
                     if 100 * both >= percent * (len(u) + len(v) - both):
                         over[two] = one
@@ -217,7 +214,7 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame, least: int, percent: int,
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, large: int = 64, block: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(signed, groups): each document with n_shingles and class, and (class, component) for the linked classes.
+    """(signed, groups): (doc_id, n_shingles, class) of each document, and (node, component) for the linked classes.
 
     First each class of a bucket meets two pivots: the bucket's smallest set
     (where a passage common to all makes the bucket, no other is more alike to
@@ -226,44 +223,52 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     different components meet within their buckets.
     """
     least = int(HASHES * (percent / 100 - 0.13))
+    spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = staged(signatures(own), "signatures")
-    members = staged(shared_buckets(signed), "buckets")
+    whole = staged(signatures(own), "signatures")
+    members = staged(shared_buckets(whole), "buckets")
     degree = members.groupBy("class").agg(F.count("*").alias("degree"))
-    sigs = staged(signed.join(degree, "class").groupBy("class", "degree").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")), "candidates")
+    sigs = staged(whole.join(degree, "class").groupBy("class", "degree").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")), "candidates")
+    signed = staged(whole.drop("signature"), "classes")
+    drop(whole)
+    del whole, degree
+    tidy(spark)
     sized = members.join(sigs.select("class", "n_shingles", "degree"), "class")
     pivots = sized.groupBy("bucket").agg(F.min(F.struct("n_shingles", "class")).getField("class").alias("least"), F.max(F.struct("degree", "class")).getField("class").alias("most"))
     met = members.join(pivots, "bucket").select("class", F.explode(F.array_distinct(F.array("least", "most"))).alias("pivot")).where("class != pivot")
     stars = met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-    named = sigs.where("doc_id is not null").select("class", F.col("doc_id").alias("_of"))
+    pairs = staged(_agreeing(stars, sigs, least), "pairs")
+    del sized, pivots, met, stars
+    tidy(spark)
+    named = sigs.where("doc_id is not null").select("class", F.col("doc_id").alias("of"))
     nameless = sigs.where("doc_id is null").select("class")  # classes of rows without an id alone
-    texts = _of_class(own.join(named, F.col("doc_id") == F.col("_of")).select("class", "text"))
+    texts = _of_class(own.join(named, F.col("doc_id") == F.col("of")).select("class", "text"))
     if not nameless.isEmpty():
         texts = texts.union(_with_class(own.where("doc_id is null").select("text"), "text", "class").join(nameless, "class", "left_semi").select("class", "text").dropDuplicates(["class"]))
     texts = staged(texts, "candidate-texts")
     if texts.count() > sigs.count():  # rows of one id stand for their class more than once
-        texts = staged(texts.dropDuplicates(["class"]), "candidate-texts")
-    of = lambda classes: texts.join(classes.distinct(), "class", "left_semi")
-    sets = lambda pairs: _shingle_sets(of(pairs.select(F.explode(F.array("a", "b")).alias("class"))))
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "pairs")
-        return staged(_linked(pairs, sets(pairs), percent), "links")
-
-    links = links_of(_agreeing(stars, sigs, least))
-    groups = staged(connected_components(links.toDF("u", "v")), "groups")
+        twice, texts = texts, staged(texts.dropDuplicates(["class"]), "candidate-texts")
+        drop(twice)
+    sets = lambda classes: _shingle_sets(texts.join(classes.distinct(), "class", "left_semi"))
+    links = staged(_linked(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("class"))), percent), "links")
+    drop(pairs)
+    tidy(spark)
+    groups = connected_components(links.toDF("u", "v"))
     labelled = members.join(groups.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     open_ = staged(labelled.join(mixed.select("bucket", "n"), "bucket"), "open")
-    halves = _shingle_sets(of(open_.select("class")), half=True).withColumnRenamed("shingles", "halves")
-    found = links_of(_bucket_pairs(open_, sigs.select("class", "signature").join(halves, "class"), least, percent, large, block))
-    return signed, connected_components(links.union(found).toDF("u", "v"))
+    drop(members, groups)
+    found = staged(_bucket_pairs(open_, sigs.select("class", "signature").join(sets(open_.select("class")), "class"), least, percent, large, block), "links")
+    drop(open_, sigs, texts)
+    tidy(spark)
+    joined = connected_components(links.union(found).toDF("u", "v"))
+    drop(links, found)
+    return signed, joined
 
 
-def _labelled(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+def _labelled(signed: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class."""
-    signed, groups = near_duplicate_classes(docs, doc_id, text, percent)
-    labelled = signed.select("doc_id", "n_shingles", "class").join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = signed.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "component", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     kept = F.when(F.col("least").isNull() & F.col("component").isNotNull(), F.col("class") == F.col("component")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -275,7 +280,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Where no row of a component has an id, the rows of its least class are kept.
     """
-    return _labelled(docs, doc_id, text, percent).drop("class")
+    return _labelled(*near_duplicate_classes(docs, doc_id, text, percent)).drop("class")
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -284,19 +289,23 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Rows that share an id, or have none, are told apart by class; of rows
     without an id one is kept for each component that has no id at all.
     """
-    found = staged(_labelled(docs, doc_id, text, percent), "near-duplicates")
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("class").alias("_kept_class"))
-    shared = found.groupBy(F.col("doc_id").alias("_shared_id")).count().where("count > 1 or _shared_id is null").select("_shared_id")
+    signed, groups = near_duplicate_classes(docs, doc_id, text, percent)
+    found = staged(_labelled(signed, groups), "near-duplicates")
+    drop(signed, groups)
+    kept = found.where("kept").select("doc_id", "class")
+    shared = found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
+    rows = docs.select(F.struct("*").alias("row"))  # so that no name of docs meets one of these
+    own = F.col("row")[doc_id]
     if shared.isEmpty():
-        return docs.join(kept, F.col(doc_id) == F.col("_kept_id"), "left_semi")
+        return rows.join(kept, own == F.col("doc_id"), "left_semi").select("row.*")
     shared = staged(shared, "shared-ids")
-    same = F.col(doc_id).eqNullSafe(F.col("_shared_id"))
-    single = docs.join(shared, same, "left_anti").join(kept, F.col(doc_id) == F.col("_kept_id"), "left_semi")
-    more = _with_class(docs.join(shared, same, "left_semi"), text, "_row_class")
-    more = more.join(kept.distinct(), F.col(doc_id).eqNullSafe(F.col("_kept_id")) & F.col("_row_class").eqNullSafe(F.col("_kept_class")), "left_semi")
-    once = F.when(F.col(doc_id).isNull() & F.col("_row_class").isNotNull(), F.col("_row_class").cast("string")).otherwise(F.col(text).cast("string"))
-    more = more.withColumn("_once", once).dropDuplicates([doc_id, "_row_class", "_once"]).drop("_row_class", "_once")
-    return single.union(more)
+    same = own.eqNullSafe(F.col("doc_id"))
+    single = rows.join(shared, same, "left_anti").join(kept, own == F.col("doc_id"), "left_semi")
+    more = _with_class(rows.join(shared, same, "left_semi").select("row", F.col("row")[text].cast("string").alias("text")), "text", "of")
+    more = more.join(kept.distinct(), same & F.col("of").eqNullSafe(F.col("class")), "left_semi")
+    once = F.when(own.isNull() & F.col("of").isNotNull(), F.col("of").cast("string")).otherwise(F.col("text"))
+    more = more.select("row", own.alias("id"), "of", once.alias("once")).dropDuplicates(["id", "of", "once"])
+    return single.select("row.*").union(more.select("row.*"))
 
 
 ORACLE = r"""
