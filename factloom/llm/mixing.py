@@ -67,31 +67,36 @@ def mix_sources(
     seed: str = "mix",
     range_rows: int = 1000,
 ) -> DataFrame:
-    """All rows of docs with a column _mix: struct(size, source_size, target, taken).
+    """All rows of docs with a column _mix: struct(size, source_size, target, taken), in place of one of that name.
 
     size names a column of sizes; without it the words of text are counted.
     """
-    columns = docs.columns
+    placed = _placed(docs, doc_id, source, text, size, weights, share, cap, seed, range_rows)
+    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "_mix"), F.col("mix").alias("_mix"))
+
+
+def _placed(docs: DataFrame, doc_id: str, source: str, text: str, size: str | None, weights: tuple[int, ...], share: float, cap: int, seed: str, range_rows: int) -> DataFrame:
+    """(row, mix): each row of docs as a struct, so that none of its names meets one of these."""
     group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731 - never null, so that windows and joins share one exchange
-    rows = docs.withColumns({"_group": group(source), "_size": F.col(size).cast("long") if size else word_count(F.col(text)), "_key": random_key(F.col(doc_id), seed)})
-    narrow = staged(rows.select(F.col(source).alias("source"), "_group", "_size", "_key"), "mix-sizes")
-    targets = source_targets(narrow.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, cap)
+    rows = docs.select(F.struct("*").alias("row"), group(source).alias("group"), F.col(source).alias("source"), (F.col(size).cast("long") if size else word_count(F.col(text))).alias("size"), random_key(F.col(doc_id), seed).alias("key"))
+    narrow = staged(rows.select("source", "group", "size", "key"), "mix-sizes")
+    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, cap)
     ranges = F.ceil(F.col("n_docs") / F.greatest(F.lit(float(range_rows)), F.sqrt(F.col("n_docs").cast("double"))))
-    targets = staged(targets.select(group("source").alias("_group"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), ranges.alias("_ranges")), "mix-targets")
+    targets = staged(targets.select(group("source").alias("group"), "source_size", "target", ranges.alias("ranges")), "mix-targets")
 
     def ranged(df: DataFrame) -> DataFrame:
-        return df.join(targets.select("_group", "_ranges"), "_group").withColumn("_range", F.floor(F.col("_key") / F.lit(float(1 << 60)) * F.col("_ranges")))
+        return df.join(targets.select("group", "ranges"), "group").withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * F.col("ranges")))
 
-    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged(narrow).groupBy("_group", "_range").agg(F.sum("_size").alias("_total"))
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total").join(targets.drop("_ranges"), "_group")
-    within = Window.partitionBy("_group", "_range").orderBy("_key", F.col(doc_id), "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged(rows).withColumn("_within", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(totals, ["_group", "_range"])
-    budget = F.floor(F.col("_target") + 0.5)
-    full = F.when(F.col("_source_size") > 0, F.floor(budget / F.col("_source_size"))).otherwise(0)
-    rest = budget - full * F.col("_source_size") - F.col("_before") - F.col("_within")
-    taken = (full * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), rest))).cast("long")
-    return placed.select(*(F.col(f"`{c}`") for c in columns), F.struct(F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken")).alias("_mix"))
+    before = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged(narrow).groupBy("group", "range").agg(F.sum("size").alias("total"))
+    totals = totals.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total").join(targets.drop("ranges"), "group")
+    within = Window.partitionBy("group", "range").orderBy("key", F.col("row")[doc_id], "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged(rows).withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(totals, ["group", "range"])
+    budget = F.floor(F.col("target") + 0.5)
+    full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
+    rest = budget - full * F.col("source_size") - F.col("before") - F.col("within")
+    taken = (full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long")
+    return placed.select("row", F.struct("size", "source_size", "target", taken.alias("taken")).alias("mix"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -103,14 +108,28 @@ def first_words(text: Column, n: Column) -> Column:
     return F.when(F.size(parts) < limit, text).otherwise(head)
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **how) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    n_chars: str = "n_chars",
+    size: str | None = None,
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.0,
+    cap: int = 3,
+    seed: str = "mix",
+    range_rows: int = 1000,
+) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time a document is taken, the last one cut where the budget ends."""
-    mixed = mix_sources(docs, text=text, **how)
-    size, taken = F.col("_mix.size"), F.col("_mix.taken")
-    copies = mixed.where(taken > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))))
-    left = F.least(size, taken - (F.col("_copy") - 1) * size).cast("int")
-    cut = F.when(left < size, first_words(F.col(text), left)).otherwise(F.col(text))
-    return copies.withColumn("_text", cut).select(*(F.col("_text").alias(c) if c == text else F.when(left < size, F.char_length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns))
+    mixed = _placed(docs, doc_id, source, text, size, weights, share, cap, seed, range_rows)
+    size_, taken = F.col("mix.size"), F.col("mix.taken")
+    copies = mixed.where(taken > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(taken / size_).cast("int"))))
+    left = F.least(size_, taken - (F.col("copy") - 1) * size_).cast("int")
+    whole, cut = F.col("row")[text], left < size_
+    copies = copies.select("row", cut.alias("cut"), F.when(cut, first_words(whole, left)).otherwise(whole).alias("text"))
+    new = {text: F.col("text"), n_chars: F.when(F.col("cut"), F.char_length("text").cast("long")).otherwise(F.col("row")[n_chars]) if n_chars in docs.columns else None}
+    return copies.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-EXTRA = "text string, doc_id long, lang string, source string, n_chars long, size long, class long, version long, uid long, kept boolean, spans string, _key long, words string, signature string"
+EXTRA = "text string, doc_id long, lang string, source string, n_chars long, size long, class long, version long, uid long, kept boolean, spans string, _key long, words string, signature string, row string, `group` string, key long, mix string, of long, `range` long, _mix long, _size long, _ranges long, _copy long, _kept_id long, cut string, before long, once string"
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +10,7 @@ def make_docs(spark):
     """Rows (doc_id, text[, source]) as documents with further columns whose names the operators use themselves."""
 
     def make(rows):
-        full = [(r[1], r[0], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), 1, 2, 3, 4, True, "x", 5, "w", "z") for r in rows]
+        full = [(r[1], r[0], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), 1, 2, 3, 4, True, "x", 5, "w", "z", "r", "g", 1, "m", 2, 3, 4, 5, 6, 7, 8, "c", 9, "o") for r in rows]
         return spark.createDataFrame(full, EXTRA)
 
     return make

@@ -38,6 +38,7 @@ def test_cut_and_epochs(make_docs, prose):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs, range_rows=4).select("doc_id", "source", "_mix.*").collect()), key=str)
     mixed = mixing.mixed_documents(docs, range_rows=4)
     assert mixed.columns == docs.columns
+    assert {(r._size, r._mix, r.row, r.cut) for r in mixed.collect()} == {(5, 4, "r", "c")}
     assert mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r.taken for r in got)
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
