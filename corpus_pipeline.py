@@ -4,6 +4,11 @@ Quality rules, near-duplicate removal, benchmark decontamination, mixing to
 target weights and token-ID output.  Each stage takes and returns rows with
 the columns of documents, but the last, which returns each document's place,
 length and checksum in the token files.
+
+Defined cases: rows with a null or empty text fail the quality rules; a null
+id or source passes through as in the stages' operators; equal rows count once
+from the second stage on; an empty table gives no rows; other columns pass
+through up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontam, minhash, mixing, quality, tokenout
-from factloom.llm.common import staged, table
+from factloom.llm.common import drop, staged, table
 from factloom.llm.queries import TOKENIZER
 
 
@@ -54,6 +59,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        drop(*before)
+        before = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads the token files that it has written
+    drop(*before)
+    return out
