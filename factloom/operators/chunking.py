@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from heapq import nsmallest
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.rules import CLASSES, STOP_WORDS
@@ -15,10 +20,11 @@ def chunk_text(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFra
         raise ValueError("size must be positive and overlap in 0..size-1")
     step, n = size - overlap, F.char_length("text")
     count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
-    each = docs.where(n > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("idx"))
-    start = F.col("idx") * step
-    part = F.substring(F.col("text"), start + 1, F.lit(size))
-    return each.select("doc_id", "idx", part.alias("text"), start.alias("start_offset"), (start + F.char_length(part)).alias("end_offset"))
+    more = 1 - (-overlap // step)  # pieces of one step that a chunk touches
+    cut = docs.where(n > 0).select("doc_id", count.alias("n"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("pieces"))
+    part = lambda i: F.left(F.array_join(F.slice("pieces", i + 1, F.lit(more)), ""), F.lit(size))
+    each = cut.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), part)).alias("idx", "text"))
+    return each.withColumns({"start_offset": F.col("idx") * step, "end_offset": F.col("idx") * step + F.char_length("text")})
 
 
 def chunk_metadata(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -35,11 +41,16 @@ def sections(text: Column) -> Column:
 
 
 def keywords(docs: DataFrame, k: int = 20) -> DataFrame:
-    """(doc_id, rank, word, n): the k most frequent words of each document, ties by word."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[A-Za-z]{2,}[A-Za-z0-9+\-]*\b"), F.lit(0)))
-    counts = docs.select("doc_id", word.alias("word")).where(~F.col("word").isin(STOP_WORDS)).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
-    return counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("doc_id", "rank", "word", "n")
+    """(doc_id, rank, word, n): the k most frequent words of each document, ties by word; counted within the row, so nothing is shuffled."""
+    word, stop = re.compile(r"\b[A-Za-z]{2,}[A-Za-z0-9+\-]*\b"), frozenset(STOP_WORDS)
+    kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+    def top(texts: pa.Array) -> pa.Array:
+        counts = ({w: n for w, n in Counter(word.findall((t or "").lower())).items() if w not in stop} for t in texts.to_pylist())
+        return pa.array([[{"word": w, "n": n} for w, n in nsmallest(k, c.items(), key=lambda x: (-x[1], x[0]))] for c in counts], kind)
+
+    best = F.arrow_udf(top, "array<struct<word: string, n: long>>")(F.col("text"))
+    return docs.select("doc_id", F.posexplode(best).alias("place", "best")).select("doc_id", (F.col("place") + 1).alias("rank"), "best.word", "best.n")
 
 
 def document_title(title: Column, text: Column) -> Column:
@@ -58,11 +69,25 @@ def type_from_title(title: Column) -> Column:
     )
 
 
+def _scores(low: Column) -> Column:
+    score = lambda kws: sum((low.contains(k).cast("int") for k in kws), F.lit(0))
+    return F.array(*(F.struct((-score(kws)).alias("low"), F.lit(i).alias("place"), F.lit(name).alias("name")) for i, (name, kws) in enumerate(CLASSES)))
+
+
+def _class_of(ranked: Column) -> Column:
+    top, rest = F.get(ranked, F.lit(0)), F.transform(F.slice(ranked, 2, len(CLASSES)), lambda x: x["name"])
+    sure = F.when(top.isNull(), 0.0).otherwise(F.least(F.lit(1.0), -top["low"] / F.lit(5.0)))
+    return F.struct(top["name"].alias("document_type"), rest.alias("secondary"), sure.alias("confidence"))
+
+
 def classify(text: Column) -> Column:
     """struct<document_type, secondary, confidence> by the number of keywords that occur anywhere in the text."""
-    lowered = F.lower(text)
-    score = lambda kws: sum((lowered.contains(k).cast("int") for k in kws.split("|")), F.lit(0))
-    found = F.array(*(F.struct((-score(kws)).alias("low"), F.lit(i).alias("place"), F.lit(name).alias("name")) for i, (name, kws) in enumerate(CLASSES)))
-    ranked = F.array_sort(F.filter(found, lambda x: x["low"] < 0))
-    top = F.get(ranked, F.lit(0))
-    return F.struct(top["name"].alias("document_type"), F.transform(F.slice(ranked, 2, len(CLASSES)), lambda x: x["name"]).alias("secondary"), F.when(top.isNull(), 0.0).otherwise(F.least(F.lit(1.0), -top["low"] / F.lit(5.0))).alias("confidence"))
+    return _class_of(F.array_sort(F.filter(_scores(F.lower(text)), lambda x: x["low"] < 0)))
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """docs with class: classify(text), in steps that lower and score each text once."""
+    own = F.struct("*").alias("row")
+    scored = docs.select(own, F.lower("text").alias("low")).select("row", _scores(F.col("low")).alias("scores"))
+    ranked = scored.select("row", F.array_sort(F.filter("scores", lambda x: x["low"] < 0)).alias("ranked"))
+    return ranked.select("row.*", _class_of(F.col("ranked")).alias("class"))

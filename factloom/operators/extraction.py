@@ -5,24 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.parsers import AMOUNT, duration_months, money_occurrences
 from factloom.functions.rules import GUARDED, RISK_LISTS, RISKS, SIGNAL_LISTS, SIGNALS, rule_holds, rule_values
-from factloom.functions.spans import clipped_context, fold, line_context, matches, squeeze
+from factloom.functions.spans import fold, squeeze
 from factloom.operators.chunking import document_title, sections, type_from_title
+from factloom.operators.money import financial_struct
 
-# Phrases that tie money to a raise, a round or a valuation, and metric keywords, in order.
-RAISE_PHRASES = r"(?iuU)\bamount\s+(?:being\s+)?raised\b|\braise\s+amount\b|\btarget\s+raise\b|\bfundraising\s+(?:target|amount)\b|\bamount\s+raising\b|\bcurrently\s+raising\b|\braising\b|\braised\b"
-ROUND_PHRASES = r"(?iuU)\b(?:funding|financing|investment)\s+round\b|\bround\s+size\b"
-TICKET_PHRASES = r"minimum investment|minimum ticket|investment size"
-VALUATIONS = (
-    ("pre_money", r"(?iuU)\bpre[-\s]?money\s+valuation\b"),
-    ("post_money", r"(?iuU)\bpost[-\s]?money\s+valuation\b"),
-    ("valuation_cap", r"(?iuU)\bvaluation\s+cap\b"),
-    ("unspecified", r"(?iuU)\b(?:numeric|company|current|estimated|indicative)?\s*valuation\b"),
-    ("unspecified", r"(?iuU)\bvalued\s+at\b"),
-)
-METRICS = (("revenue", ("revenue", "sales", "income")), ("ebitda", ("ebitda",)), ("arr", ("arr", "annual recurring revenue")), ("burn_rate", ("burn", "burn rate")))
-MARGINS = (r"(?iuU)\bebitda\s+margin\b(?:\s+(?:is|was|of|at|reached|increased\s+to|decreased\s+to))?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*%", r"(?iuU)(\d+(?:\.\d+)?)\s*%\s+\bebitda\s+margin\b")
 # Labels of entity lines.
 COMPANY_LABELS = ("company", "startup", "organization")
 ENTITY_LABELS = {"founders": "founders?", "investors": "investors?", "accelerators": "accelerators?", "locations": "locations?", "sectors": "sectors?", "products": "products?", "technologies": "technolog(?:y|ies)"}
@@ -32,73 +19,9 @@ def _label(pattern: str) -> str:
     return rf"(?dim)^[ \t]*{pattern}[ \t]*:[ \t]*([^\r\n]*)$"
 
 
-def _nearest(text: Column, occ: Column, phrases: str) -> Column:
-    """Characters between a money span and the nearest phrase in its clipped line; null without one."""
-    context = clipped_context(text, occ["start"], occ["end"])
-    head = F.least(F.char_length(F.substring_index(F.substring(text, F.lit(1), occ["start"]), "\n", -1)), F.lit(40))
-    start, end = head, head + occ["end"] - occ["start"]
-    gaps = F.transform(matches(context, phrases), lambda m: F.greatest(F.lit(0), start - m["end"], m["start"] - end))
-    return F.array_min(gaps)
-
-
-def raise_occurrence(text: Column, occs: Column) -> Column:
-    """The money most strongly tied to fundraising: explicit phrases before rounds, then the nearest, then the first."""
-
-    def rated(o: Column) -> Column:
-        explicit, round_ = _nearest(text, o, RAISE_PHRASES), _nearest(text, o, ROUND_PHRASES)
-        ticket = F.lower(clipped_context(text, o["start"], o["end"])).rlike(TICKET_PHRASES)
-        rank = F.when(ticket, None).when(explicit.isNotNull(), F.struct(F.lit(0).alias("class"), explicit.alias("gap"))).when(round_.isNotNull(), F.struct(F.lit(1).alias("class"), round_.alias("gap")))
-        return F.struct(rank.alias("rank"), o["start"].alias("start"), o.alias("occ"))
-
-    best = F.array_min(F.transform(F.filter(F.transform(occs, rated), lambda r: r["rank"].isNotNull()), lambda r: F.struct(r["rank"]["class"].alias("c"), r["rank"]["gap"].alias("g"), r["start"].alias("s"), r["occ"].alias("occ"))))
-    return best["occ"]
-
-
-def valuation_occurrence(text: Column, occs: Column) -> Column:
-    """struct<occ, type>: the first money whose line matches the first valuation pattern that any line matches."""
-    first = lambda pattern: F.get(F.filter(occs, lambda o: line_context(text, o["start"], o["end"]).rlike(pattern)), F.lit(0))
-    return F.coalesce(*(F.when(first(p).isNotNull(), F.struct(first(p).alias("occ"), F.lit(name).alias("type"))) for name, p in VALUATIONS))
-
-
-def metric_values(text: Column, occs: Column) -> Column:
-    """struct of the four metrics: each money in turn fills the first metric that is still empty and named in its line."""
-    names = [n for n, _ in METRICS]
-    amounts = F.struct(*(F.lit(None).cast(AMOUNT).alias(n) for n in names), F.lit(None).cast("string").alias("currency"))
-
-    def fill(acc: Column, o: Column) -> Column:
-        line = F.lower(line_context(text, o["start"], o["end"]))
-        taken, out = F.lit(False), []
-        for name, kws in METRICS:
-            named = F.lit(False)
-            for k in kws:
-                named = named | line.contains(k)
-            fits = ~taken & acc[name].isNull() & named
-            out.append(F.when(fits, o["amount"]).otherwise(acc[name]).alias(name))
-            taken = taken | fits
-        currency = F.when(taken & acc["currency"].isNull(), F.nullif(o["currency"], F.lit(""))).otherwise(acc["currency"])
-        return F.struct(*out, currency.alias("currency"))
-
-    return F.aggregate(occs, amounts, fill)
-
-
-def ebitda_margin(text: Column) -> Column:
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in MARGINS)).cast(AMOUNT)
-
-
 def financials(docs: DataFrame) -> DataFrame:
-    """docs with a struct column financials; money is found once and kept as one array column."""
-    text = F.col("text")
-    out = docs.withColumn("_occ", money_occurrences(text))
-    out = out.withColumns({"_raise": raise_occurrence(text, F.col("_occ")), "_val": valuation_occurrence(text, F.col("_occ")), "_met": metric_values(text, F.col("_occ")), "_margin": ebitda_margin(text), "_run": duration_months(text)})
-    named = lambda c: F.nullif(F.col(c), F.lit(""))
-    score = sum((F.col(c).isNotNull().cast("int") for c in ("_met.revenue", "_met.ebitda", "_met.arr", "_met.burn_rate", "_raise.amount", "_margin", "_run")), F.lit(0))
-    found = F.struct(
-        F.coalesce(named("_raise.currency"), F.col("_met.currency"), named("_val.occ.currency")).alias("currency"),
-        F.col("_raise.amount").alias("raise_amount"), F.col("_val.occ.amount").alias("valuation"), F.coalesce("_val.type", F.lit("unspecified")).alias("valuation_type"),
-        F.col("_met.revenue").alias("revenue"), F.col("_met.ebitda").alias("ebitda"), F.col("_met.arr").alias("arr"), F.col("_met.burn_rate").alias("burn_rate"),
-        F.col("_margin").alias("margin"), F.col("_run").alias("runway_months"), F.least(F.lit(1.0), F.lit(0.25) + score * F.lit(0.10)).alias("confidence"),
-    )
-    return out.withColumn("financials", found).drop("_occ", "_raise", "_val", "_met", "_margin", "_run")
+    """docs with a struct column financials (fields, confidence and evidence)."""
+    return docs.withColumn("financials", financial_struct(F.col("text")))
 
 
 def signals(text: Column) -> Column:
@@ -144,17 +67,23 @@ def metadata(title: Column, text: Column) -> Column:
 def profiles(docs: DataFrame) -> DataFrame:
     """(doc_id, metadata, entities, financials, signals, risks, confidence): one row per document."""
     out = financials(docs).withColumns({"metadata": metadata(F.col("title"), F.col("text")), "entities": entities(F.col("text")), "signals": signals(F.col("text")), "risks": risks(F.col("text"))})
-    parts = ("metadata", "entities", "financials", "signals", "risks")
-    return out.select("doc_id", *parts, (sum((F.col(f"{p}.confidence") for p in parts), F.lit(0.0)) / 5).alias("confidence"))
-
-
-def financial_evidence(docs: DataFrame) -> DataFrame:
-    """(doc_id, field_name, start_offset, end_offset, text): the money spans behind the financial fields, by start."""
-    text = F.col("text")
-    occ = money_occurrences(text)
-    out = financials(docs).withColumn("_occ", occ)
-    fields = {"raise_amount": "financials.raise_amount", "valuation": "financials.valuation", "revenue": "financials.revenue", "ebitda": "financials.ebitda", "arr": "financials.arr", "burn_rate": "financials.burn_rate"}
-    first = lambda c: F.get(F.filter(F.col("_occ"), lambda o: o["amount"] == F.col(c)), F.lit(0))
-    rows = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(f).alias("field_name"), first(c)["start"].alias("start_offset"), first(c)["end"].alias("end_offset"))) for f, c in fields.items())))
-    each = out.select("doc_id", "text", F.inline(rows))
-    return each.select("doc_id", "field_name", "start_offset", "end_offset", line_context(F.col("text"), F.col("start_offset"), F.col("end_offset")).alias("text"))
+    return out.select("doc_id", *COMPONENTS, profile_confidence().alias("confidence"))
+
+
+COMPONENTS = ("metadata", "entities", "financials", "signals", "risks")
+
+
+def profile_confidence() -> Column:
+    """The mean of the components' confidences; a missing component counts as 1."""
+    return sum((F.coalesce(F.col(f"{p}.confidence"), F.lit(1.0)) for p in COMPONENTS), F.lit(0.0)) / len(COMPONENTS)
+
+
+def quality_metadata(profiled: DataFrame) -> Column:
+    """struct of how many and which components are there, and the confidence of each; a component is missing where its struct is null."""
+    there = F.array_compact(F.array(*(F.when(F.col(p).isNotNull(), F.lit(p)) for p in COMPONENTS)))
+    names = F.array(*map(F.lit, COMPONENTS))
+    confidence = F.map_from_arrays(names, F.array(*(F.coalesce(F.col(f"{p}.confidence"), F.lit(1.0)) for p in COMPONENTS)))
+    return F.struct(
+        F.lit(len(COMPONENTS)).alias("expected"), F.size(there).alias("available"), (len(COMPONENTS) - F.size(there)).alias("missing"),
+        there.alias("available_components"), F.array_except(names, there).alias("missing_components"), confidence.alias("component_confidence"),
+    )

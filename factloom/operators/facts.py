@@ -102,6 +102,78 @@ def pivot_resolved(facts: DataFrame, fields: list[str], ignore_conflicts: bool =
     return base.groupBy("company_id").pivot("field", fields).agg(F.first("value_num"))
 
 
+# The fields of a market and of traction.
+MARKET_SCALARS = ("tam", "sam", "som", "market_growth_rate", "geographic_market")
+TRACTION = ("revenue", "revenue_growth_yoy", "customers", "paying_customers", "active_users", "repeat_customer_rate", "orders", "churn_rate", "customer_acquisition_cost", "average_order_value", "top_customer_concentration")
+
+
+def distinct_texts(facts: DataFrame, field: str) -> DataFrame:
+    """(company_id, values): the distinct texts of a field, case folded, in first-seen order."""
+    value = strip(F.coalesce("value_str", F.col("value_num").cast("string")))
+    first = facts.where((F.col("status") == "fact") & (F.col("field") == field) & (value != "")).groupBy("company_id", fold(value).alias("k")).agg(F.min(F.struct("seq", value.alias("v"))).alias("f"))
+    return first.groupBy("company_id").agg(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["v"]).alias("values"))
+
+
+def market(facts: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """(company_id, market_description, five scalars, competitors): texts joined, scalars by preference whatever their
+    conflicts, competitors as a list; what no fact gives stays as in current."""
+    text = aggregate_text(facts.where("field = 'market_description'")).select("company_id", F.col("merged").alias("market_description"))
+    value = F.coalesce("value_str", F.col("value_num").cast("string"))
+    scalars = preferred(facts.where(F.col("field").isin(*MARKET_SCALARS))).groupBy("company_id").pivot("field", list(MARKET_SCALARS)).agg(F.first(value))
+    rivals = distinct_texts(facts, "competitor").withColumnRenamed("values", "competitors")
+    out = facts.select("company_id").distinct()
+    for part in (text, scalars, rivals):
+        out = out.join(part, "company_id", "left")
+    return out if current is None else _over(out, current)
+
+
+def _over(found: DataFrame, current: DataFrame) -> DataFrame:
+    """found, with nulls taken from current (company_id, some of the columns)."""
+    have = [c for c in found.columns if c != "company_id" and c in current.columns]
+    old = current.select("company_id", *(F.col(c).alias(f"_old_{c}") for c in have))
+    out = found.join(old, "company_id", "left")
+    return out.select("company_id", *(F.coalesce(c, f"_old_{c}").alias(c) if c in have else F.col(c) for c in found.columns if c != "company_id"))
+
+
+def traction(facts: DataFrame, revenue: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
+    """(company_id, eleven fields): the fields without conflicts; where none is known, revenue (company_id, revenue) stands for traction."""
+    found = facts.select("company_id").distinct().join(pivot_resolved(facts.where(F.col("field").isin(*TRACTION)), list(TRACTION)), "company_id", "left")
+    if current is not None:
+        found = _over(found, current)
+    if revenue is None:
+        return found
+    none = F.coalesce(*map(F.col, TRACTION)).isNull()
+    return found.join(revenue.select("company_id", F.col("revenue").alias("_known")), "company_id", "left").withColumn("revenue", F.when(none, F.col("_known")).otherwise(F.col("revenue"))).drop("_known")
+
+
+def business_model(facts: DataFrame) -> DataFrame:
+    """(company_id, business_model): the distinct models, joined."""
+    return aggregate_text(facts.where("field = 'business_model'")).select("company_id", F.col("merged").alias("business_model"))
+
+
+def preserved(facts: DataFrame, canonical: DataFrame, paths: DataFrame) -> DataFrame:
+    """(company_id, field, path, preserved): whether a field's fact stands at its canonical path.
+
+    facts (company_id, field, value_str, value_num), canonical (company_id,
+    path, value_str, value_num), paths (field, path).  Numbers are compared by
+    value, also those written as texts; other texts trimmed and in lower case;
+    business models as sets of comma-separated names.
+    """
+    number = lambda s: F.coalesce(F.col(f"{s}.value_num"), F.expr(f"try_cast(trim({s}.value_str) AS decimal(20,4))"))
+    text = lambda s: F.lower(strip(F.col(f"{s}.value_str")))
+    names = lambda s: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.col(f"{s}.value_str"), ","), lambda x: F.lower(strip(x))), lambda x: x != "")))
+    same = F.when(F.col("f.field") == "business_model", F.size(F.array_except(names("f"), names("c"))) == 0).when(number("f").isNotNull(), number("f").eqNullSafe(number("c"))).otherwise(text("f").eqNullSafe(text("c")))
+    joined = facts.alias("f").join(paths.alias("p"), F.col("f.field") == F.col("p.field")).join(canonical.alias("c"), (F.col("f.company_id") == F.col("c.company_id")) & (F.col("p.path") == F.col("c.path")), "left")
+    return joined.select("f.company_id", "f.field", "p.path", F.coalesce(same & F.col("c.path").isNotNull(), F.lit(False)).alias("preserved"))
+
+
+def with_incoming(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Existing facts and then incoming ones, numbered on in that order."""
+    last = existing.groupBy("company_id").agg(F.max("seq").alias("_last"))
+    later = incoming.join(last, "company_id", "left").withColumn("seq", F.coalesce(F.col("_last"), F.lit(0)) + F.col("seq")).drop("_last")
+    return existing.unionByName(later)
+
+
 def reconcile(facts: DataFrame, fields: list[str]) -> DataFrame:
     """Deduplicated, resolved and pivoted, with the number of facts and conflicts per company."""
     clean = dedupe_facts(facts)

@@ -46,6 +46,22 @@ def overlapping(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     return c.join(s, on).select("c.doc_id", "c.idx", F.col("s.idx").alias("seg_idx"))
 
 
+def chunks_of_range(ranges: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """ranges (.., start_offset, end_offset, n_chars) with chunks: the indexes of the fixed chunks that share a character with the range, empty for an empty range."""
+    step, n = size - overlap, F.col("n_chars")
+    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step))
+    low = F.greatest(F.lit(0), F.floor((F.col("start_offset") - size) / step) + 1)
+    high = F.least(last, F.floor((F.least("end_offset", n) - 1) / step))
+    some = (F.col("end_offset") > F.col("start_offset")) & (n > 0) & (F.col("start_offset") < n) & (low <= high)
+    return ranges.withColumn("chunks", F.when(some, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>")))
+
+
+def union_of_profiles(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """rows (doc_id, seq, ..) of several documents as one sequence per company: documents (doc_id, company_id, doc_pos) in order, then seq."""
+    joined = rows.join(documents, "doc_id")
+    return joined.withColumn("place", F.row_number().over(Window.partitionBy("company_id").orderBy("doc_pos", "seq")))
+
+
 def containing_chunk(spans: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """spans (.., start_offset, end_offset, n_chunks) with chunk_idx, the first fixed chunk that holds the span, null if none.
 

@@ -26,3 +26,38 @@ def keyword(term: str, *columns: str) -> Column:
 
 def exists(rows: DataFrame, where: Column) -> bool:
     return not rows.where(where).isEmpty()
+
+
+def exists_by_key(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """wanted with found: whether any row has its key; a null key is never found."""
+    have = rows.select(F.col(key).alias("_have")).where("_have is not null").distinct()
+    return wanted.join(have, wanted[key] == F.col("_have"), "left").withColumn("found", F.col("_have").isNotNull()).drop("_have")
+
+
+def documents(rows: DataFrame, startup_id: object = None, search: str | None = None) -> DataFrame:
+    """The document listing that the given filters ask for: of a startup, else by title, else all; newest first but for titles."""
+    if startup_id is not None:
+        return listed(rows, F.desc("created_at"), where=F.col("startup_id") == startup_id)
+    if search:
+        return listed(rows, "title", where=keyword(search, "title"))
+    return listed(rows, F.desc("created_at"))
+
+
+def users(rows: DataFrame, active: bool = False, superusers: bool = False, search: str | None = None, email: str | None = None) -> DataFrame:
+    """Users by name: active ones, superusers, those whose e-mail or name has the term, or the one of an e-mail in lower case."""
+    if active:
+        rows = rows.where("is_active")
+    if superusers:
+        rows = rows.where("is_superuser")
+    if search:
+        rows = rows.where(keyword(search, "email", "full_name"))
+    if email is not None:
+        rows = rows.where(F.lower("email") == email.lower())
+    return listed(rows, "full_name")
+
+
+def founder_projection(rows: DataFrame) -> DataFrame:
+    """(founder_id, name, role, background, relevant_experience, analysis_notes): no contact data."""
+    years = F.when(F.col("experience_years").isNotNull(), F.concat(F.col("experience_years").cast("string"), F.lit(" years experience")))
+    before = F.when(F.col("previous_companies") != "", F.concat(F.lit("Previous companies: "), F.col("previous_companies")))
+    return rows.select(F.col("id").alias("founder_id"), F.col("full_name").alias("name"), F.col("designation").alias("role"), F.col("education").alias("background"), F.nullif(F.concat_ws("; ", years, before), F.lit("")).alias("relevant_experience"), F.col("notes").alias("analysis_notes"))

@@ -16,6 +16,24 @@ def insert_unique(existing: DataFrame, incoming: DataFrame, key: str, order: str
     return out.where("_ok").drop("_ok"), out.where("not _ok").drop("_ok")
 
 
+def insert_documents(existing: DataFrame, incoming: DataFrame, parents: DataFrame) -> DataFrame:
+    """incoming (id, startup_id, file_hash, ..) with outcome (created, no_startup, duplicate), status and version.
+
+    The parent must exist and the hash be new; of incoming rows with one hash the
+    first with a parent is created.  A null hash never clashes.
+    """
+    known = existing.select(F.col("file_hash").alias("_h")).where("_h is not null").distinct()
+    homes = parents.select(F.col("id").alias("_p")).distinct()
+    out = incoming.join(homes, F.col("startup_id") == F.col("_p"), "left").join(known, F.col("file_hash") == F.col("_h"), "left")
+    first = out.where("_p is not null and file_hash is not null").groupBy(F.col("file_hash").alias("_k")).agg(F.min("id").alias("_first"))
+    out = out.join(first, F.col("file_hash") == F.col("_k"), "left")
+    fresh = F.col("file_hash").isNull() | (F.col("_h").isNull() & (F.col("id") == F.col("_first")))
+    outcome = F.when(F.col("_p").isNull(), "no_startup").when(fresh, "created").otherwise("duplicate")
+    out = out.withColumn("outcome", outcome).drop("_p", "_h", "_k", "_first")
+    made = F.col("outcome") == "created"
+    return out.withColumns({"status": F.when(made, "UPLOADED"), "version": F.when(made, 1)})
+
+
 def patch(rows: DataFrame, patches: DataFrame, columns: list[str]) -> DataFrame:
     """rows (id, ...) with the columns that patches (id, column, value) name replaced; an explicit null is a change."""
     wide = patches.groupBy("id").agg(*(F.max(F.col("column") == c).alias(f"_has_{c}") for c in columns), *(F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_new_{c}") for c in columns))

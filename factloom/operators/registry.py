@@ -28,6 +28,22 @@ class Extractors:
         return docs.withColumn("extras", F.struct(*fields)) if fields else docs
 
 
+class Steps:
+    """Named chunkers or retrievers, each a function of a DataFrame; filters that a step does not support are an error when the plan is made."""
+
+    def __init__(self) -> None:
+        self._found: dict[str, tuple[Callable[..., DataFrame], frozenset[str]]] = {}
+
+    def add(self, name: str, step: Callable[..., DataFrame], filters: tuple[str, ...] = ()) -> None:
+        self._found.setdefault(name, (step, frozenset(filters)))
+
+    def run(self, name: str, df: DataFrame, **filters: object) -> DataFrame:
+        step, known = self._found[name]
+        if unknown := filters.keys() - known:
+            raise ValueError(f"{name} has no filters {sorted(unknown)}")
+        return df.transform(step, **filters)
+
+
 def embed(df: DataFrame, text: str, function: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
     """df with a column embedding from a function of texts, called on batches inside the tasks."""
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])

@@ -49,6 +49,16 @@ def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.min("pos").alias("pos"), F.max_by("payload", F.struct("age", "pos")).alias("payload"))
 
 
+def remove(current: DataFrame, ids: DataFrame) -> DataFrame:
+    """What is left of current without the ids."""
+    return current.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def get(current: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the ids, null payloads for those unknown."""
+    return ids.select("id").distinct().join(current, "id", "left")
+
+
 def dedupe_hits(hits: DataFrame) -> DataFrame:
     """The first hit of each (query, document, chunk, text)."""
     keys = ["query_id", "document_id", "chunk_id", "text"]

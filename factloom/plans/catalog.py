@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import parsers, rules, spans
-from factloom.operators import chunking, extraction, facts, joins, listing, maintenance, prompts, vectors
+from factloom.operators import chunking, evidence, extraction, facts, joins, listing, maintenance, prompts, vectors
 from factloom.plans.derived import duck, spark_table
 from factloom.sources import documents
 
@@ -300,7 +300,7 @@ def c7_title_and_type(t: Tables) -> DataFrame:
     return t("memos").select("doc_id", m["title"].alias("title"), m["document_type"].alias("document_type"))
 
 
-_SCORE = " ".join(f"UNION ALL SELECT doc_id, {i} AS place, '{name}' AS name, {' + '.join(f'''(CASE WHEN contains(t, '{k}') THEN 1 ELSE 0 END)''' for k in kws.split('|'))} AS score FROM l" for i, (name, kws) in enumerate(rules.CLASSES))[len("UNION ALL ") :]
+_SCORE = " ".join(f"UNION ALL SELECT doc_id, {i} AS place, '{name}' AS name, {' + '.join(f'''(CASE WHEN contains(t, '{k}') THEN 1 ELSE 0 END)''' for k in kws)} AS score FROM l" for i, (name, kws) in enumerate(rules.CLASSES))[len("UNION ALL ") :]
 
 
 @query(f"""
@@ -308,8 +308,8 @@ WITH l AS (SELECT doc_id, lower(text) AS t FROM documents), s AS ({_SCORE}),
 g AS (SELECT doc_id, max(score) AS top, arg_min(name, struct_pack(a := -score, b := place)) AS best, count(*) FILTER (score > 0) AS n FROM s GROUP BY doc_id)
 SELECT doc_id, CASE WHEN top > 0 THEN best END AS document_type, greatest(n - 1, 0)::BIGINT AS n_secondary, round(least(1.0, top / 5.0), 6)::DOUBLE AS confidence FROM g""")
 def c9_classify(t: Tables) -> DataFrame:
-    c = chunking.classify(F.col("text"))
-    return _docs(t).select("doc_id", c.alias("c")).select("doc_id", "c.document_type", F.size("c.secondary").cast("long").alias("n_secondary"), F.round(F.col("c.confidence").cast("double"), 6).alias("confidence"))
+    c = chunking.classified(_docs(t))
+    return c.select("doc_id", "class.document_type", F.size("class.secondary").cast("long").alias("n_secondary"), _num("class.confidence"))
 
 
 _MULT = "CASE lower(regexp_extract(m, '\\d\\s*([A-Za-z]+)\\s*$', 1)) WHEN 'cr' THEN 10000000 WHEN 'lakh' THEN 100000 WHEN 'million' THEN 1000000 WHEN 'b' THEN 1000000000 ELSE 1 END"
@@ -354,8 +354,8 @@ def x5_financials(t: Tables) -> DataFrame:
     return extraction.financials(t("memos")).select("doc_id", "financials.currency", *money, "financials.valuation_type", "financials.runway_months", _num("financials.confidence"))
 
 
-def _holds(kws: str) -> str:
-    return "regexp_matches(t, '(^|[^a-z0-9_])(" + kws.replace("-", "\\-") + ")($|[^a-z0-9_])')"
+def _holds(kws: tuple[str, ...]) -> str:
+    return "regexp_matches(t, '(^|[^a-z0-9_])(" + "|".join(kws).replace("-", "\\-") + ")($|[^a-z0-9_])')"
 
 
 def _sorted_list(pairs: list[tuple[str, str]]) -> str:
@@ -381,17 +381,100 @@ def x17_risks(t: Tables) -> DataFrame:
     return t("memos").select("doc_id", extraction.risks(F.col("text")).alias("r")).select("doc_id", *(F.array_join(f"r.{n}", "|").alias(n) for n in rules.RISK_LISTS), _num("r.confidence"))
 
 
-@query(None)
+_TITLE = "coalesce(title, string_split(text, chr(10))[1])"
+_COUNT = lambda c: f"(CASE WHEN {c} = '' THEN 0 ELSE len(string_split({c}, '|')) END)"
+_STAGE = "CASE " + " ".join(f"WHEN {_holds(k)} THEN '{v}'" for f, v, k in rules.SIGNALS if f == "stage") + " END"
+_LISTS = ", ".join([f"{_signal_sql(n)} AS {n}" for n in rules.SIGNAL_LISTS] + [_sorted_list([(v, _holds(k)) for f, v, _, k in rules.RISKS if f == n]) + f" AS {n}" for n in rules.RISK_LISTS])
+#: Every document's components, from the twins of the extractors.
+_PROFILE = f"""(SELECT p.doc_id, p.title, CASE WHEN p.doc_id % 7 = 6 THEN NULL ELSE c_name END AS company_name, f.revenue, p.stage, {_COUNT("market_risks")} AS n_market_risks,
+ 0.45 AS entities, 0.25 + 0.1 * (3 + (f.revenue IS NOT NULL)::INT + (f.ebitda IS NOT NULL)::INT) AS financials,
+ least(1.0, 0.25 + 0.08 * ((p.stage IS NOT NULL)::INT + {" + ".join(map(_COUNT, rules.SIGNAL_LISTS))})) AS signals, least(1.0, 0.25 + 0.08 * ({" + ".join(map(_COUNT, rules.RISK_LISTS))})) AS risks
+ FROM (SELECT doc_id, {_TITLE} AS title, {_STAGE} AS stage, {_LISTS} FROM (SELECT *, lower(text) AS t FROM {{memos}})) p JOIN customer ON c_custkey = p.doc_id JOIN {_FIN} f ON f.doc_id = p.doc_id)"""
+
+
+@query(f"SELECT doc_id, title, company_name, revenue::DOUBLE AS revenue, stage, n_market_risks::INTEGER AS n_market_risks, round((1.0 + entities + financials + signals + risks) / 5, 6)::DOUBLE AS confidence FROM {_PROFILE}")
 def x19_profiles(t: Tables) -> DataFrame:
     p = extraction.profiles(t("memos"))
     return p.select("doc_id", "metadata.title", "entities.company_name", F.col("financials.revenue").cast("double").alias("revenue"), "signals.stage", F.size("risks.market_risks").alias("n_market_risks"), _num("confidence"))
 
 
 @query(f"""
-SELECT doc_id, u.field, u.v AS start_text FROM (SELECT doc_id, unnest([struct_pack(field := 'revenue', v := CASE WHEN revenue IS NOT NULL THEN 'Revenue: INR ' || revenue::VARCHAR END), struct_pack(field := 'ebitda', v := CASE WHEN ebitda IS NOT NULL THEN 'EBITDA: INR ' || ebitda::VARCHAR END)]) AS u FROM {_FIN}) WHERE u.v IS NOT NULL""")
+SELECT doc_id, 5 AS expected, (CASE WHEN company_name IS NULL THEN 4 ELSE 5 END)::INTEGER AS available, CASE WHEN company_name IS NULL THEN 'entities' ELSE '' END AS missing_components,
+ round(CASE WHEN company_name IS NULL THEN 1.0 ELSE entities END, 6)::DOUBLE AS entities_confidence, round(risks, 6)::DOUBLE AS risks_confidence FROM {_PROFILE}""")
+def x21_quality_metadata(t: Tables) -> DataFrame:
+    p = extraction.profiles(t("memos")).withColumn("entities", F.when(F.col("entities.company_name").isNotNull(), F.col("entities")))
+    q = p.select("doc_id", extraction.quality_metadata(p).alias("q"))
+    return q.select("doc_id", "q.expected", "q.available", F.array_join("q.missing_components", "|").alias("missing_components"), *(F.round(F.col("q.component_confidence")[c], 6).alias(f"{c}_confidence") for c in ("entities", "risks")))
+
+
+def _lined(rows: str, more: str = "") -> str:
+    """Evidence rows (doc_id, field_name, value, s, e) with the line or lines that the span touches; memos are one chunk each."""
+    head, tail = "string_split(substr(m.text, 1, s), chr(10))", "string_split(substr(m.text, e + 1), chr(10))"
+    return f"""SELECT r.doc_id, field_name, value, s::INTEGER AS start_offset, e::INTEGER AS end_offset,
+ substr(m.text, s - length({head}[-1]) + 1, e + length({tail}[1]) - s + length({head}[-1])) AS text, 0 AS chunk_index{more} FROM ({rows}) r JOIN {{memos}} m ON m.doc_id = r.doc_id WHERE s IS NOT NULL"""
+
+
+_MEMO = f"(SELECT f.*, m.text FROM {_FIN} f JOIN {{memos}} m ON m.doc_id = f.doc_id)"
+_AT = lambda before: f"strpos(text, '{before}') - 1 + {len(before)}"
+_REVENUE = (f"({_AT('Revenue: ')})", f"({_AT('Revenue: ')}) + 5 + length(revenue::VARCHAR)")  # the money takes the line end along
+_EBITDA = (f"({_AT('EBITDA: ')})", f"({_AT('EBITDA: ')}) + 5 + length(ebitda::VARCHAR)")
+_RAISED = ("CASE WHEN doc_id % 3 = 2 THEN strpos(text, 'USD ') - 1 ELSE " + _AT("raising ") + " END", "CASE WHEN doc_id % 3 = 2 THEN strpos(text, 'USD ') - 1 + 12 + length(n::VARCHAR) ELSE " + _AT("raising ") + " + 9 + length(n::VARCHAR) END")
+_PICK = lambda k: f"CASE WHEN ebitda IS NOT NULL THEN {_EBITDA[k]} WHEN revenue IS NOT NULL THEN {_REVENUE[k]} ELSE {_RAISED[k]} END"
+_CR = "strpos(text, 'INR ' || (n + 3)::VARCHAR || ' Cr') - 1"
+_MONEY_ROWS = f"""
+SELECT doc_id, 'revenue' AS field_name, NULL::VARCHAR AS value, CASE WHEN revenue IS NOT NULL THEN {_REVENUE[0]} END AS s, {_REVENUE[1]} AS e FROM {_MEMO}
+UNION ALL SELECT doc_id, 'ebitda', NULL, CASE WHEN ebitda IS NOT NULL THEN {_EBITDA[0]} END, {_EBITDA[1]} FROM {_MEMO}
+UNION ALL SELECT doc_id, 'raise_amount', NULL, {_PICK(0)}, {_PICK(1)} FROM {_MEMO}
+UNION ALL SELECT doc_id, 'valuation', valuation_type, CASE WHEN valuation IS NOT NULL THEN {_CR} END, {_CR} + 7 + length((n + 3)::VARCHAR) FROM {_MEMO}
+UNION ALL SELECT doc_id, 'margin', NULL, strpos(text, 'EBITDA margin') - 1, strpos(text, 'EBITDA margin') - 1 + 15 + length(margin::VARCHAR) FROM {_MEMO}"""
+_ENTITY_ROWS = """
+SELECT doc_id, 'company_name' AS field_name, NULL::VARCHAR AS value, CASE WHEN doc_id % 7 <> 6 THEN 0 END AS s, strpos(text, chr(10)) - 1 AS e FROM {memos}
+UNION ALL SELECT doc_id, 'founders', NULL, strpos(text, 'Founders:') - 1, strpos(text, 'Founders:') - 1 + length(string_split(text, chr(10))[2]) FROM {memos}"""
+
+
+def _rule_rows(found: list[tuple[str, str, tuple[str, ...]]]) -> str:
+    """The first keyword of each rule, in order; RE2 has no look-behind, so what stands before the keyword is part of the match."""
+
+    def start(k: str) -> str:
+        word = k.replace("-", "\\-")
+        pattern = f"(?s)^(.*?(?:^|[^a-z0-9_])){word}(?:$|[^a-z0-9_])"
+        return f"CASE WHEN regexp_matches(t, '{pattern}') THEN struct_pack(s := length(regexp_extract(t, '{pattern}', 1)), e := length(regexp_extract(t, '{pattern}', 1)) + {len(k)}) END"
+
+    holds = lambda f, v: "NOT contains(t, 'not a consumer')" if (f, v) in rules.GUARDED else f"coalesce({_STAGE} = '{v}', false)" if f == "stage" else "true"
+    each = ", ".join(f"struct_pack(field_name := '{f}', value := '{v}', span := CASE WHEN {holds(f, v)} THEN coalesce({', '.join(map(start, k))}) END)" for f, v, k in found)
+    return f"SELECT doc_id, r.field_name, r.value, r.span.s AS s, r.span.e AS e FROM (SELECT doc_id, unnest([{each}]) AS r FROM (SELECT doc_id, lower(text) AS t FROM {{memos}}))"
+
+
+_SIGNAL_ROWS = _rule_rows(list(rules.SIGNALS))
+_RISK_ROWS = _rule_rows([(f, v, k) for f, v, _, k in rules.RISKS])
+
+
+@query(_lined(_ENTITY_ROWS))
+def x4_entity_evidence(t: Tables) -> DataFrame:
+    return evidence.entity_evidence(t("memos")).drop("extractor")
+
+
+@query(_lined(_MONEY_ROWS))
 def x12_financial_evidence(t: Tables) -> DataFrame:
-    e = extraction.financial_evidence(t("memos")).where("field_name in ('revenue', 'ebitda')")
-    return e.select("doc_id", F.col("field_name").alias("field"), F.substring_index("text", "\n", 1).alias("start_text"))
+    return evidence.financial_evidence(t("memos")).drop("extractor")
+
+
+@query(_lined(_SIGNAL_ROWS))
+def x16_signal_evidence(t: Tables) -> DataFrame:
+    return evidence.signal_evidence(t("memos")).drop("extractor")
+
+
+@query(_lined(_RISK_ROWS))
+def x18_risk_evidence(t: Tables) -> DataFrame:
+    return evidence.risk_evidence(t("memos")).drop("extractor")
+
+
+@query(f"""
+SELECT e.doc_id AS document_id, NULL::INTEGER AS page, field_name AS section, text AS source_text, round((1.0 + entities + financials + signals + risks) / 5, 4)::DOUBLE AS confidence
+FROM ({" UNION ALL ".join(map(_lined, (_ENTITY_ROWS, _MONEY_ROWS, _SIGNAL_ROWS, _RISK_ROWS)))}) e JOIN {_PROFILE} p ON p.doc_id = e.doc_id""")
+def f5_analysis_evidence(t: Tables) -> DataFrame:
+    found = evidence.analysis_evidence(evidence.profile_evidence(t("memos")), extraction.profiles(t("memos")))
+    return found.withColumn("confidence", F.col("confidence").cast("double"))
 
 
 # --- facts -------------------------------------------------------------------

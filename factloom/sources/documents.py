@@ -125,3 +125,8 @@ HISTORY = ("id", "startup_id", "mode", "status", "recommendation", "created_at")
 
 def history_item(analyses: DataFrame) -> DataFrame:
     return analyses.select(*HISTORY)
+
+
+def history_detail(analyses: DataFrame) -> DataFrame:
+    """A history item with its input snapshot."""
+    return analyses.select(*HISTORY, "input_snapshot")

@@ -6,8 +6,8 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import parsers, spans
-from factloom.operators import chunking, extraction, facts, joins, maintenance, prompts, registry, vectors
+from factloom.functions import parsers, rules, spans
+from factloom.operators import chunking, evidence, extraction, facts, joins, maintenance, prompts, registry, vectors
 from factloom.sources import documents
 
 
@@ -159,3 +159,35 @@ def test_line_context(spark):
     df = spark.createDataFrame([("one\ntwo two\nthree",)], "t string")
     r = df.select(spans.line_context(F.col("t"), F.lit(5), F.lit(6)), spans.clipped_context(F.col("t"), F.lit(8), F.lit(9), 2)).first()
     assert tuple(r) == ("two two", "o two")
+
+
+def evidence_of(spark, text, find):
+    rows = find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    return [(r.field_name, text[r.start_offset : r.end_offset], r.text) for r in rows]
+
+
+def test_evidence_is_the_occurrence_itself(spark):
+    text = "Raised INR 5 Cr now.\nRevenue INR 5 Cr.\nPost-money valuation INR 5 Cr.\nEBITDA margin is 12%."
+    assert evidence_of(spark, text, evidence.financial_evidence) == [
+        ("raise_amount", "INR 5 Cr", "Raised INR 5 Cr now."),
+        ("revenue", "INR 5 Cr", "Revenue INR 5 Cr."),
+        ("valuation", "INR 5 Cr", "Post-money valuation INR 5 Cr."),
+        ("margin", "EBITDA margin is 12%", "EBITDA margin is 12%."),
+    ]
+
+
+def test_label_and_rule_evidence(spark):
+    text = "Startup:  \nCompany: X\nFounders: A, B\nnot a consumer app, but end users\nsolo founder; CCTV"
+    assert evidence_of(spark, text, evidence.entity_evidence) == [("company_name", "Company: X", "Company: X"), ("founders", "Founders: A, B", "Founders: A, B")]
+    found = evidence_of(spark, text, evidence.signal_evidence)
+    assert ("business_models", "end users", "not a consumer app, but end users") in found
+    assert not [f for f in found if f[0] == "markets" and f[1] == "consumer"]
+    assert evidence_of(spark, text, evidence.risk_evidence) == [("founder_risks", "solo founder", "solo founder; CCTV")]
+
+
+def test_every_signal_keyword_speaks_alone(spark):
+    cases = [(n, k, f"x {k.upper()}, y") for n, (_, _, kws) in enumerate(rules.SIGNALS) for k in kws] + [(n, "", f"x{kws[0]}y") for n, (_, _, kws) in enumerate(rules.SIGNALS)]
+    for r in spark.createDataFrame(cases, "n int, k string, text string").select("n", "k", extraction.signals(F.col("text")).alias("s")).collect():
+        field, value, _ = rules.SIGNALS[r.n]
+        if field != "stage" or r.k:
+            assert (value in ([r.s.stage] if field == "stage" else r.s[field])) == bool(r.k), r.k
