@@ -13,7 +13,8 @@ the later document that repeats the earlier one is then measured on the words
 themselves: its longest part whose shingles are found there in the asked
 share, and the exact Jaccard similarity of both parts.  A window whose two
 minima lie in no passage found so then meets every earlier window of its key,
-in blocks where a key has many, and stops at the first that it repeats.
+in blocks where a key has many, and stops at the first that it repeats; windows
+that too few shingles of other documents lie in are left out before.
 
 A verbatim passage of the least length always gives a link.  At a shingle
 similarity of s in a passage a band links with probability s^2, nine bands
@@ -28,7 +29,6 @@ their names.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import staged
+from factloom.llm.common import drop, slices, staged, tidy
 
 SHINGLE = 5
 _U = np.uint64
@@ -176,18 +176,22 @@ def measure(u: list[bytes], v: list[bytes], least_words: int, percent: int) -> l
 
     The longest part with the share of common shingles that two texts of the
     asked similarity have comes first; where its exact similarity falls short,
-    stricter shares are tried inside it, down to unbroken runs.
+    stricter shares are tried inside it, down to unbroken runs.  Changed words
+    at a part's ends belong to it only where it would else be too short.
     """
     return _measured(_shingles(u), _shingles(v), least_words, percent)
 
 
-def _measured(s: np.ndarray, t: np.ndarray, least_words: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+def _measured(s: np.ndarray, t: np.ndarray, least_words: int, percent: int, sorted_: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, float]]:
     width = least_words - SHINGLE + 1
     if len(s) < width or len(t) < width:
         return []
-    order = np.argsort(t, kind="stable")
-    place = order[np.minimum(np.searchsorted(t[order], s), len(t) - 1)]
-    hit = t[place] == s
+    order, values = sorted_ or (order := np.argsort(t, kind="stable"), t[order])
+    at = np.minimum(np.searchsorted(values, s), len(t) - 1)
+    hit = values[at] == s
+    if np.count_nonzero(hit) < width * 2 * percent / (100 + percent):
+        return []
+    place = order[at]
     shares = (2 * percent / (100 + percent), 0.93, 1.0)
     found, open_ = [], [(0, len(s), 0)]
     while open_:
@@ -201,19 +205,33 @@ def _measured(s: np.ndarray, t: np.ndarray, least_words: int, percent: int) -> l
         hits = np.flatnonzero(hit[a:b]) + a
         middle = int(np.sort(place[hits] - hits)[len(hits) // 2])  # the diagonal that most of them lie on
         near = hits[np.abs(place[hits] - hits - middle) <= max(20, b - a) // 2]
-        if len(near) and near[-1] - near[0] + 1 >= width:
-            a2, b2 = int(place[near].min()), int(place[near].max()) + 1
-            x, y = set(s[near[0] : near[-1] + 1].tolist()), set(t[a2:b2].tolist())
-            both = len(x & y)
-            if 100 * both >= percent * len(x | y):
-                found.append((int(near[0]), int(near[-1]) + SHINGLE, a2, b2 + SHINGLE - 1, both / len(x | y)))
-                open_ += [(a, int(near[0]), level), (int(near[-1]) + 1, b, level)]  # it may repeat another part
-                continue
+        best = _fitted(s, t, place, near, width) if len(near) else None
+        if best and best[0] * 100 >= percent:
+            both, lo1, hi1, lo2, hi2 = best
+            found.append((lo1, hi1 + SHINGLE - 1, lo2, hi2 + SHINGLE - 1, both))
+            open_ += [(a, lo1, level), (hi1, b, level)]  # it may repeat another part
+            continue
         if level + 1 < len(shares):
             open_.append((a, b, level + 1))
     return found
 
 
+def _fitted(s: np.ndarray, t: np.ndarray, place: np.ndarray, near: np.ndarray, width: int) -> tuple[float, int, int, int, int] | None:
+    """Similarity and ends of the parts from the first to the last equal shingle; where these are short of width, words
+    that differ at the parts' own ends belong to them, as many on both sides as are the most alike."""
+    lo1, hi1, lo2, hi2 = int(near[0]), int(near[-1]) + 1, int(place[near].min()), int(place[near].max()) + 1
+    lack = max(0, width - min(hi1 - lo1, hi2 - lo2))
+    best = None
+    for k in range(lack + 1):
+        a, b, c, d = lo1 - k, hi1 + lack - k, lo2 - k, hi2 + lack - k
+        if a >= 0 and c >= 0 and b <= len(s) and d <= len(t):
+            x, y = set(s[a:b].tolist()), set(t[c:d].tolist())
+            both = len(x & y) / len(x | y)
+            if best is None or both > best[0]:
+                best = (both, a, b, c, d)
+    return best
+
+
 _ROW = pa.schema([("uid", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("other", pa.int64()), ("match_start", pa.int64()), ("match_end", pa.int64()), ("similarity", pa.float64())])
 
 
@@ -265,58 +283,157 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096
     return out
 
 
-def _met_all(named: DataFrame, members: DataFrame, least_words: int, percent: int, large: int, block: int) -> DataFrame:
-    """What the open windows of members (key, n, uid, low, high, open) repeat of any earlier window of their key.
+_PLACED = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("open", pa.bool_())])
+
+
+def _possible(named: DataFrame, members: DataFrame, least_words: int, percent: int) -> DataFrame:
+    """The windows of members (key, n, uid, low, high, open) that any other document could repeat, which loses nothing.
+
+    A passage needs a stretch of the least length with the asked share of
+    shingles that another document of members has, too; a window without one,
+    such as that of a common line in a text of its own, is left out before
+    windows meet one another.
+    """
+    width, share = least_words - SHINGLE + 1, 2 * percent / (100 + percent)
+    of_document = staged(members.groupBy("uid").agg(F.collect_list(F.struct("key", "n", "low", "high", "open")).alias("windows")), "windows-of-documents")
+    spread = of_document.select("uid", F.transform("windows", lambda w: F.struct(w["low"].alias("low"), w["high"].alias("high"))).alias("windows"))
 
-    Keys of up to ``large`` windows are compared whole, many to a task; of a
-    larger one a window goes to every pair of blocks that its own block is in.
-    Shingles are compared by 32 bits of their hashes.
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                of, at, h = [], [], []
+                for uid, text, windows in zip(*(c.to_pylist() for c in b.columns)):
+                    s = _shingles(_words(text))
+                    inside = np.zeros(len(s) + 1, np.int32)
+                    np.add.at(inside, [w["low"] for w in windows], 1)
+                    np.add.at(inside, [w["high"] for w in windows], -1)
+                    places = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+                    of.append(np.full(len(places), uid, np.int64))
+                    at.append(places.astype(np.int32))
+                    h.append(s[places].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, t)) for x, t in ((of, np.int64), (at, np.int32), (h, np.int64))], names=["uid", "at", "hash"])
+
+    flat = named.join(spread, "uid").select("uid", "text", "windows").mapInArrow(emit, "uid long, at int, hash long")
+    common = flat.groupBy("hash").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("hash")
+    places = flat.join(common, "hash", "left_semi").groupBy("uid").agg(F.collect_list("at").alias("places"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20):
+                out = []
+                for uid, windows, places in zip(*(c.to_pylist() for c in whole.slice(at, 20).columns)):
+                    hit = np.zeros(max(w["high"] for w in windows), bool)
+                    hit[places] = True
+                    fits: dict[tuple[int, int], bool] = {}
+                    for w in windows:
+                        span = (w["low"], w["high"])
+                        if span not in fits:
+                            h = hit[span[0] : span[1]]
+                            ok = len(h) >= width and np.count_nonzero(h) >= width * share
+                            fits[span] = ok and int(np.subtract(*_longest(h, share)[::-1])) >= width
+                        if fits[span]:
+                            out.append(w | {"uid": uid})
+                yield pa.RecordBatch.from_pylist(out, _PLACED)
+
+    return of_document.join(places, "uid").select("uid", "windows", "places").mapInArrow(keep, "uid long, key long, n long, low int, high int, open boolean")
+
+
+_TASK = "task long, uid long, base long, shingles binary, windows array<struct<key: long, low: long, high: long, open: boolean, own: long, i: long, j: long>>"
+_PIECE = pa.schema(
+    [("task", pa.int64()), ("uid", pa.int64()), ("base", pa.int64()), ("shingles", pa.binary())]
+    + [("windows", pa.list_(pa.struct([(c, pa.int64()) for c in ("key", "low", "high")] + [("open", pa.bool_())] + [(c, pa.int64()) for c in ("own", "i", "j")])))]
+)
+
+
+def _met_all(named: DataFrame, members: DataFrame, least_words: int, percent: int, large: int, block: int) -> DataFrame:
+    """What the open windows of members (key, n, first, uid, low, high, open) repeat of any earlier window of their key.
+
+    Keys of up to ``large`` windows are compared whole; those whose first
+    window is in the same stretch of the same document share a task, so two
+    documents that meet by many keys are measured once.  Of a larger key a
+    window goes to every pair of blocks that its own block is in.  A task gets
+    each document's windows as the pieces that they cover, with shingles as 32
+    bits of their hashes; a window is done once it holds a passage.
     """
     width = least_words - SHINGLE + 1
     bundles = max(1, members.count() // 4000)
     blocks = F.when(F.col("n") > large, F.ceil(F.col("n") / block)).otherwise(1)
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid", "low"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    task = F.when(F.col("n") > large, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(bundles)))
+    task = F.when(F.col("n") > large, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("first.uid", F.floor(F.col("first.low") / 2000)), F.lit(bundles)))
     of_document = dealt.groupBy("uid").agg(F.collect_list(F.struct(task.alias("task"), "key", "low", "high", "open", "own", "i", "j")).alias("windows"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                b = whole.slice(at, 100)
+            for at in range(0, whole.num_rows, 20):
                 out = []
-                for uid, text, windows in zip(*(c.to_pylist() for c in b.columns)):
+                for uid, text, windows in zip(*(c.to_pylist() for c in whole.slice(at, 20).columns)):
                     s = (_shingles(_words(text)) >> _U(32)).astype(np.uint32)
-                    out += [w | {"uid": uid, "shingles": s[w["low"] : w["high"]].tobytes()} for w in windows]
-                yield pa.RecordBatch.from_pylist(out, pa.schema([(c, pa.int64()) for c in ("task", "key", "uid", "low", "high")] + [("open", pa.bool_())] + [(c, pa.int64()) for c in ("own", "i", "j")] + [("shingles", pa.binary())]))
-
-    dealt = named.join(of_document, "uid").select("uid", "text", "windows").mapInArrow(fetch, "task long, key long, uid long, low long, high long, open boolean, own long, i long, j long, shingles binary")
+                    piece = None
+                    for w in sorted(windows, key=lambda w: (w["task"], w["low"])):
+                        task = w.pop("task")
+                        if piece and piece["task"] == task and w["low"] < piece["end"]:
+                            piece["end"] = max(piece["end"], w["high"])
+                            piece["windows"].append(w)
+                        else:
+                            piece = {"task": task, "uid": uid, "base": w["low"], "end": w["high"], "windows": [w]}
+                            out.append((piece, s))
+                yield pa.RecordBatch.from_pylist([p | {"shingles": s[p["base"] : p["end"]].tobytes()} for p, s in out], _PIECE)
+
+    pieces = named.join(of_document, "uid").select("uid", "text", "windows").mapInArrow(fetch, _TASK)
 
     def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("uid", "ascending"), ("low", "ascending")])
-        of, uid, low, high, still, own, i, j = (t.column(c).to_numpy() for c in ("key", "uid", "low", "high", "open", "own", "i", "j"))
+        t = t.sort_by([("uid", "ascending"), ("base", "ascending")])
+        uid, base = t.column("uid").to_pylist(), t.column("base").to_pylist()
         s = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
-        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-        out, seen = [], {}
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            for a, b in {(i[lo], j[lo]), (j[lo], i[lo])}:
-                later, earlier = np.flatnonzero(still[lo:hi] & (own[lo:hi] == a)) + lo, np.flatnonzero(own[lo:hi] == b) + lo
-                if not len(later) or not len(earlier):
+        windows = t.column("windows").combine_chunks()
+        flat = windows.flatten()
+        of = np.repeat(np.arange(t.num_rows), windows.value_lengths().to_numpy())
+        key_, low, high, own, i, j = (flat.field(c).to_numpy() for c in ("key", "low", "high", "own", "i", "j"))
+        still = flat.field("open").to_numpy(zero_copy_only=False)
+        order = np.lexsort((of, key_))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key_[order])) + 1, [len(order)]])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        near: dict[int, dict[int, np.ndarray]] = {}  # of a large key, by later piece: the earlier ones with enough in common
+        for g, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            held = order[x:y]
+            if i[held[0]] == j[held[0]] and len(held) <= large:
+                continue
+            for a, b in {(int(i[held[0]]), int(j[held[0]])), (int(j[held[0]]), int(i[held[0]]))}:
+                rows, earlier = np.unique(of[held[(own[held] == a) & still[held]]]), np.unique(of[held[own[held] == b]])
+                if len(rows) and len(earlier):
+                    enough = _common([s[p] for p in rows], [s[p] for p in earlier]) >= width * 2 * percent / (100 + percent)
+                    near.setdefault(g, {}).update({p: np.union1d(near.get(g, {}).get(p, []), earlier[e]).astype(np.int64) for p, e in zip(rows.tolist(), enough)})
+        uids = np.array(uid)
+        stop = np.searchsorted(uids, uids)  # pieces of earlier documents
+        out: list[tuple] = []
+        sorted_: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for p in np.unique(of[still]).tolist():
+            mine = np.arange(*np.searchsorted(of, [p, p + 1]))
+            mine = mine[still[mine]]
+            met: dict[int, list[int]] = {}  # earlier piece: windows of this one that share a key with it
+            for w in mine.tolist():
+                g = group[w]
+                others = near[g].get(p, ()) if g in near else np.unique(of[order[cuts[g] : cuts[g + 1]]])
+                for q in others:
+                    if q >= stop[p]:
+                        break
+                    met.setdefault(int(q), []).append(w)
+            done = np.zeros(len(of), bool)
+            for q in sorted(met):
+                if done[met[q]].all():
                     continue
-                enough = _common([s[x] for x in later], [s[y] for y in earlier]) >= width * 2 * percent / (100 + percent)
-                enough &= uid[earlier][None, :] < uid[later][:, None]
-                for r, x in enumerate(later.tolist()):
-                    for y in earlier[enough[r]].tolist():
-                        pair = (uid[x], low[x], high[x], uid[y], low[y], high[y])
-                        if pair not in seen:  # else met by another key
-                            found = _measured(s[x], s[y], least_words, percent)
-                            seen[pair] = bool(found)
-                            out += [(int(uid[x]), int(low[x]) + f[0], int(low[x]) + f[1], int(uid[y]), int(low[y]) + f[2], int(low[y]) + f[3], f[4]) for f in found]
-                        if seen[pair]:
-                            break
+                if q not in sorted_:
+                    by = np.argsort(s[q], kind="stable")
+                    sorted_[q] = (by, s[q][by])
+                for f in _measured(s[p], s[q], least_words, percent, sorted_[q]):
+                    out.append((uid[p], base[p] + f[0], base[p] + f[1], uid[q], base[q] + f[2], base[q] + f[3], f[4]))
+                    lo, hi = base[p] + f[0], base[p] + f[1] - SHINGLE + 1
+                    done[mine] |= np.minimum(hi, high[mine]) - np.maximum(lo, low[mine]) >= width
         return pa.Table.from_pylist([dict(zip(_ROW.names, r)) for r in out], _ROW)
 
-    return dealt.groupBy("task").applyInArrow(compare, FOUND)
+    return pieces.groupBy("task").applyInArrow(compare, FOUND)
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 50, percent: int = 75, bands: int = 9, large: int = 64, block: int = 512) -> DataFrame:
@@ -340,8 +457,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         part = part.withColumn("first", F.min(F.struct("uid", "low", "high")).over(of_key)).drop("least", "most")
         windows.append(staged(part, "windows"))
         del part
-        gc.collect()
-        docs.sparkSession.sparkContext._jvm.System.gc()
+        tidy(docs.sparkSession)
     shared = reduce(DataFrame.union, windows)
     linked = shared.select("uid", "low", "high", F.col("first.uid").alias("other"), F.col("first.low").alias("other_low"), F.col("first.high").alias("other_high")).where("uid != other")
     pairs = staged(linked.groupBy("uid", "other").agg(F.collect_set(F.struct("low", "high", "other_low", "other_high")).alias("windows")), "window-pairs")
@@ -362,8 +478,18 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     in_one = F.coalesce((F.col("near") >= F.col("start_word")) & (F.col("far") + SHINGLE <= F.col("end_word")), F.lit(False))
     again = again.groupBy("key", "n", "before", "uid", "low", "high").agg((~F.max(in_one) & (F.col("before") > 1)).alias("open"))
     again = staged(again.drop("before"), "met-first")
+    drop(*windows, pairs, words)
     last = again.where("open").groupBy("key").agg(F.max("uid").alias("last"))
-    found = found.union(_met_all(named, staged(again.join(last, "key").where("open or uid < last"), "open"), least_words, percent, large, block)).distinct()
+    members = staged(again.join(last, "key").where("open or uid < last").drop("last"), "open")
+    drop(again)
+    tidy(docs.sparkSession)
+    possible = staged(_possible(named, members, least_words, percent), "possible")
+    drop(members)
+    tidy(docs.sparkSession)
+    every = possible.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("uid", "low")).alias("first"), F.max(F.when(F.col("open"), F.col("uid"))).alias("last")).where("first.uid < last")
+    met = staged(possible.drop("n").join(every, "key").where("open or uid < last").select("key", "n", "first", "uid", "low", "high", "open"), "met")
+    drop(possible)
+    found = found.union(_met_all(named, met, least_words, percent, large, block)).distinct()
     if plain:
         kind = docs.schema[doc_id].dataType
         return found.select(F.col("uid").cast(kind).alias("doc_id"), "start_word", "end_word", F.col("other").cast(kind).alias("match_id"), "match_start", "match_end", "similarity")

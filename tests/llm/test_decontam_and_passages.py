@@ -142,3 +142,42 @@ def test_recall_of_passages_near_the_border(make_docs, prose):
             rows += [(2 * k, " ".join(p) + " " + prose(60, 5000 + k, 10**6)), (2 * k + 1, prose(60, 9000 + k, 10**6) + " " + " ".join(q))]
         got = {(r.doc_id, r.match_id) for r in passages.repeated_passages(make_docs(rows)).collect()}
         assert got == {(2 * k + 1, 2 * k) for k in range(400)}
+
+
+def _variants(prose, clusters=20, members=6):
+    """Clusters of copies of a passage of 80 words, each with a change of its own and in a text of its own; the passage itself is in none."""
+    rows = []
+    for c in range(clusters):
+        p = prose(80, 50_000 + c, 10**6).split()
+        for m in range(members):
+            q = [f"y{c}_{m}" if i == 7 + 13 * m else w for i, w in enumerate(p)]
+            rows.append((c * members + m, prose(50 + m, 60_000 + c * members + m, 10**6) + " " + " ".join(q) + " " + prose(40, 70_000 + c * members + m, 10**6)))
+    return rows
+
+
+def test_variants_without_their_original_all_link(make_docs, prose):
+    rows = _variants(prose)
+    words = [passages._words(t) for _, t in rows]
+    expect = {i for i in range(len(rows)) if any(passages.measure(words[i], words[j], 50, 75) for j in range(i - i % 6, i))}
+    found = passages.repeated_passages(make_docs(rows)).collect()
+    assert len(expect) > 90
+    assert {r.doc_id for r in found} == expect
+    assert all(passages.measure(words[r.doc_id], words[r.match_id], 50, 75) for r in found)
+
+
+def test_the_result_does_not_depend_on_files(spark, make_docs, prose, tmp_path):
+    docs = make_docs(_variants(prose, clusters=6))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    docs.repartition(7).write.parquet(str(tmp_path / "seven"))
+    one, seven = (sorted(map(tuple, passages.repeated_passages(spark.read.parquet(str(tmp_path / n))).collect())) for n in ("one", "seven"))
+    assert one == seven and one
+
+
+def test_changes_at_a_passage_s_edges(make_docs, prose):
+    rows = []
+    for k in range(100):
+        p = prose(50, 80_000 + k, 10**6).split()
+        q = [f"z{k}" if i == (1, 0, 48, 49)[k % 4] else w for i, w in enumerate(p)]
+        rows += [(2 * k, prose(30, 81_000 + k, 10**6) + " " + " ".join(p) + " " + prose(60, 82_000 + k, 10**6)), (2 * k + 1, prose(60, 83_000 + k, 10**6) + " " + " ".join(q) + " " + prose(20, 84_000 + k, 10**6))]
+    got = {(r.doc_id, r.match_id) for r in passages.repeated_passages(make_docs(rows)).collect()}
+    assert got == {(2 * k + 1, 2 * k) for k in range(100)}
