@@ -3,8 +3,8 @@
 A line's quote level is the number of '>' before its text.  Blocks of one
 level are quoted passages; the rest, without lines that only announce a quote
 ("... wrote:"), is the message's own text.  Own texts and quoted passages are
-normalised (case, white space) and hashed as a whole, by paragraph and by
-line.  A quoted passage belongs to the first message of its conversation whose
+normalised (case, white space) and hashed as a whole, and by paragraph and
+line of three words at least.  A quoted passage belongs to the first message of its conversation whose
 own text has that hash and that comes before the quoting one; a message
 replies to the message of its least nested linked quote, the latest if there
 are several.  A message that links to none starts a branch.  Branches follow
@@ -36,6 +36,7 @@ from factloom.llm.common import drop, staged
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ANNOUNCE = re.compile(r".*\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
+LEAST_WORDS = 3
 _MESSAGE = "conv_id {conv}, turn {turn}, role string, text string, own array<long>, quoted array<struct<level: int, width: int, hash: long>>, n_quotes long"
 
 
@@ -63,11 +64,12 @@ def parse_message(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def passage_hashes(text: str) -> list[tuple[int, int]]:
-    """(width, hash) of the normalised text: 0 the whole, 1 its paragraphs, 2 its lines."""
+    """(width, hash) of the normalised text: 0 the whole, 1 its paragraphs, 2 its lines; parts of fewer than LEAST_WORDS words say too little to link by."""
     seen: dict[int, int] = {}
     for width, parts in enumerate(([text], re.split(r"\n[ \t]*\n", text), text.split("\n"))):
         for p in parts:
-            if norm := " ".join(p.lower().split()):
+            norm = " ".join(p.lower().split())
+            if norm and (width == 0 or norm.count(" ") >= LEAST_WORDS - 1):
                 seen.setdefault(xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass")) - (1 << 63), width)
     return [(w, h) for h, w in seen.items()]
 
