@@ -6,15 +6,26 @@ a node's range is a compact window: every stretch of shingles inside it that
 holds the node has that node as its minimum.  A band is a pair of functions;
 stretches of at least a passage's length with the same two minima form a joint
 window, the intersection of two compact windows.  Joint windows of equal
-minima are candidates: each is first linked with the first of its key, so a
-passage that many documents share gives one link each, not all pairs.  Links
-of two documents are joined where their intervals overlap, and the stretch of
-the later document that repeats the earlier one is then measured on the words
+minima are candidates.
+
+Texts of equal words are one class, and only its first takes part; the others
+give one row for the whole text.  Windows are made where a passage can be: the
+least shingle of every eight in a row is an anchor, and a stretch as long as a
+passage must hold three anchors that another class has, too.  (Two passages of
+50 words at 0.75 differ in one word changed, or a few at the ends; runs of n
+equal shingles have at least n // 8 anchors in common, so four or more.)
+
+Each window is first linked with the first of its key, so a passage that many
+documents share gives one link each, not all pairs.  Links of two documents
+are joined where their intervals overlap, and the stretch of the later
+document that repeats the earlier one is then measured on the words
 themselves: its longest part whose shingles are found there in the asked
 share, and the exact Jaccard similarity of both parts.  A window whose two
 minima lie in no passage found so then meets every earlier window of its key,
-in blocks where a key has many, and stops at the first that it repeats; windows
-that too few shingles of other documents lie in are left out before.
+in blocks where a key has many: both are laid on each other at a minimum, and
+the first earlier one that is similar enough in a stretch of the least length
+is measured in the same way; where that finds no passage with the window's
+minima, the stretch itself is the passage.
 
 A verbatim passage of the least length always gives a link.  At a shingle
 similarity of s in a passage a band links with probability s^2, nine bands
@@ -23,8 +34,9 @@ with 1-(1-s^2)^9: at 0.75 all fail with probability 6e-4, at 0.8 with 1e-4.
 Defined cases: null, empty and shorter texts have no passage and give no row;
 passages repeated inside one document count only against other documents;
 rows alike in id and text count once; rows of one id and different texts are
-told apart; an empty table gives no rows; other columns are ignored, whatever
-their names.
+told apart; what a copy of a whole earlier text shares with a third document
+is told by the rows of that earlier text; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +47,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import drop, slices, staged, tidy
@@ -149,17 +161,88 @@ def joint_windows(docs: list[np.ndarray], width: int, bands: range) -> tuple[np.
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _windows(docs: DataFrame, width: int, bands: range) -> DataFrame:
-    """(uid, low, high, near, far, key) of the joint windows of docs (uid, text)."""
+ANCHOR = 8
+_SCAN = "class long, at int, hash long, uid long, second long, words int"
+
+
+def _scanned(docs: DataFrame, width: int) -> DataFrame:
+    """Of docs (uid, text) with a passage's words: a row (class, uid, second, words) each, and rows (class, at, hash) of its anchors; the anchors of copies in one batch once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for cut in range(0, whole.num_rows, 2000):
-                b = whole.slice(cut, 2000)
-                of, key, *places = joint_windows([_shingles(_words(t.as_py())) for t in b.column(1)], width, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[of]), *(pa.array(x, pa.int32()) for x in places), pa.array(key)], names=["uid", "low", "high", "near", "far", "key"])
+            for b in slices(whole, 1):
+                seen: set[int] = set()
+                rows, parts, of = [], [], []
+                for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    ws = _words(text)
+                    if len(ws) - SHINGLE + 1 < width:
+                        continue
+                    both = xxhash.xxh3_128_intdigest(b" ".join(ws))
+                    one, two = np.array([both & (1 << 64) - 1, both >> 64], _U).view(np.int64).tolist()
+                    rows.append((one, uid, two, len(ws)))
+                    if one not in seen:
+                        seen.add(one)
+                        of.append(one)
+                        parts.append(_shingles(ws))
+                if not rows:
+                    continue
+                sizes = np.array([len(x) for x in parts])
+                end = np.cumsum(sizes)
+                s = np.concatenate(parts)
+                begin = np.arange(len(s) - ANCHOR + 1)
+                doc = np.searchsorted(end, begin, "right")
+                places = np.unique(_least(_order(s, _SEEDS[0]), ANCHOR)[begin + ANCHOR <= end[doc]])
+                doc = np.searchsorted(end, places, "right")
+                k, m = len(places), len(rows)
+                none = [None] * k
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([np.array(of, np.int64)[doc], np.array([r[0] for r in rows], np.int64)])),
+                        pa.array([*(places - (end - sizes)[doc]).tolist(), *[None] * m], pa.int32()),
+                        pa.array([*s[places].view(np.int64).tolist(), *[None] * m], pa.int64()),
+                        *(pa.array([*none, *(r[c] for r in rows)], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))),
+                    ],
+                    names=["class", "at", "hash", "uid", "second", "words"],
+                )
+
+    return docs.mapInArrow(scan, _SCAN)
+
+
+def _stretches(docs: DataFrame, width: int) -> DataFrame:
+    """(uid, base, shingles) of docs (uid, text, places): the stretches that hold three of the places in a passage's reach, with a passage's length around."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                out: tuple[list, list, list] = ([], [], [])
+                for uid, text, places in zip(*(c.to_pylist() for c in b.columns)):
+                    at = np.sort(np.array(places))
+                    k = np.flatnonzero(at[2:] - at[:-2] <= width + ANCHOR)
+                    if not len(k):
+                        continue
+                    s = _shingles(_words(text))
+                    low, high = np.maximum(at[k] - width, 0), np.minimum(at[k + 2] + width + 1, len(s))
+                    new = np.concatenate([[True], low[1:] > high[:-1]])
+                    for x, y in zip(low[new].tolist(), high[np.concatenate([new[1:], [True]])].tolist()):
+                        out[0].append(uid)
+                        out[1].append(x)
+                        out[2].append(s[x:y].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary()))], names=["uid", "base", "shingles"])
+
+    return docs.mapInArrow(cut, "uid long, base int, shingles binary")
 
-    return docs.mapInArrow(scan, "uid long, low int, high int, near int, far int, key long")
+
+def _windows(stretches: DataFrame, width: int, bands: range) -> DataFrame:
+    """(uid, low, high, near, far, key) of the joint windows of stretches (uid, base, shingles)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 2, 4 << 20):
+                of, key, *places = joint_windows([np.frombuffer(x, _U) for x in b.column(2).to_pylist()], width, bands)
+                base = b.column(1).to_numpy()[of]
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[of]), *(pa.array(x + base, pa.int32()) for x in places), pa.array(key)], names=["uid", "low", "high", "near", "far", "key"])
+
+    return stretches.mapInArrow(scan, "uid long, low int, high int, near int, far int, key long")
 
 
 def _longest(hit: np.ndarray, share: float) -> tuple[int, int]:
@@ -260,238 +343,221 @@ def _verify(least_words: int, percent: int):
 FOUND = "uid long, start_word long, end_word long, other long, match_start long, match_end long, similarity double"
 
 
-def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """How many shingles of each left window are in each right window."""
-    every, at = np.unique(np.concatenate(left + right), return_inverse=True)
-    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
-    cut = sum(map(len, left))
-    both = np.zeros(len(every), np.int8)
-    both[at[:cut]] |= 1
-    both[at[cut:]] |= 2
-    name = np.cumsum(both == 3) - 1
-    use = both[at] == 3
-    x, xr = name[at[:cut][use[:cut]]], row[:cut][use[:cut]]
-    y, yr = name[at[cut:][use[cut:]]], row[cut:][use[cut:]] - len(left)
-    out = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int((both == 3).sum()), columns):
-        m, n = np.zeros((len(left), columns), np.float32), np.zeros((len(right), columns), np.float32)
-        k = (x >= lo) & (x < lo + columns)
-        np.add.at(m, (xr[k], x[k] - lo), 1)
-        k = (y >= lo) & (y < lo + columns)
-        n[yr[k], y[k] - lo] = 1
-        out += m @ n.T
-    return out
-
-
-_PLACED = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("open", pa.bool_())])
-
-
-def _possible(named: DataFrame, members: DataFrame, least_words: int, percent: int) -> DataFrame:
-    """The windows of members (key, n, uid, low, high, open) that any other document could repeat, which loses nothing.
-
-    A passage needs a stretch of the least length with the asked share of
-    shingles that another document of members has, too; a window without one,
-    such as that of a common line in a text of its own, is left out before
-    windows meet one another.
-    """
-    width, share = least_words - SHINGLE + 1, 2 * percent / (100 + percent)
-    of_document = staged(members.groupBy("uid").agg(F.collect_list(F.struct("key", "n", "low", "high", "open")).alias("windows")), "windows-of-documents")
-    spread = of_document.select("uid", F.transform("windows", lambda w: F.struct(w["low"].alias("low"), w["high"].alias("high"))).alias("windows"))
+SHIFTS = (0, 1, -1, 2, -2)
+_ALIKE = pa.schema([(c, pa.int64()) for c in ("key", "uid", "low", "high", "near", "far", "other", "other_low", "other_high", "start", "other_start")] + [("similarity", pa.float64())])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 1):
-                of, at, h = [], [], []
-                for uid, text, windows in zip(*(c.to_pylist() for c in b.columns)):
-                    s = _shingles(_words(text))
-                    inside = np.zeros(len(s) + 1, np.int32)
-                    np.add.at(inside, [w["low"] for w in windows], 1)
-                    np.add.at(inside, [w["high"] for w in windows], -1)
-                    places = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-                    of.append(np.full(len(places), uid, np.int64))
-                    at.append(places.astype(np.int32))
-                    h.append(s[places].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, t)) for x, t in ((of, np.int64), (at, np.int32), (h, np.int64))], names=["uid", "at", "hash"])
-
-    flat = named.join(spread, "uid").select("uid", "text", "windows").mapInArrow(emit, "uid long, at int, hash long")
-    common = flat.groupBy("hash").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("hash")
-    places = flat.join(common, "hash", "left_semi").groupBy("uid").agg(F.collect_list("at").alias("places"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _alike(x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of shingles around a common minimum: how many of x are in y near the same place, in the best stretch of width that holds the minimum, and its start."""
+    hit = np.zeros(x.shape, bool)
+    n = x.shape[1]
+    for k in SHIFTS:
+        hit[:, max(0, -k) : n - max(0, k)] |= x[:, max(0, -k) : n - max(0, k)] == y[:, max(0, k) : n - max(0, -k)]
+    sums = np.zeros((len(x), n + 1), np.int16)
+    np.cumsum(hit & (x != 0), axis=1, out=sums[:, 1:])
+    sums = sums[:, width:] - sums[:, :-width]
+    return sums.max(axis=1), sums.argmax(axis=1)
+
+
+def _exact(x: np.ndarray, y: np.ndarray, start: int, width: int) -> tuple[float, int]:
+    """Similarity of the stretch of x at start and the stretch of y near it that is the most like it, and that one's start."""
+    own, best = set(x[start : start + width].tolist()) - {0}, (0.0, start)
+    for k in SHIFTS:
+        y_ = y[start + k : start + k + width] if start + k >= 0 else y[:0]
+        if len(y_) == width and y_.all():
+            other = set(y_.tolist())
+            best = max(best, (len(own & other) / len(own | other), start + k))
+    return best if x[start : start + width].all() else (0.0, start)
+
+
+def _first_alike(open_: DataFrame, members: DataFrame, stretches: DataFrame, width: int, percent: int, large: int, block: int) -> DataFrame:
+    """For each open window (key, uid, low, high, near, far) the first window of an earlier document that it is like, among members (key, uid, low, high, near, n).
+
+    Windows of a key meet in one task, many keys a task; of a key of over
+    ``large`` windows, every block of open ones meets every block of members.
+    """
+    at_least = int(np.ceil(width * 2 * percent / (100 + percent)))
+    counts = members.select("key", "n").distinct()
+    open_ = open_.join(counts, "key")
+    blocks = F.when(F.col("n") > large, F.ceil(F.col("n") / block)).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("uid", "low"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    same = ("key", "uid", "low", "high", "near", "n")
+    one = open_.select(*same, "far", F.lit(True).alias("open"), own.alias("i"), F.explode(every).alias("j"))
+    two = members.select(*same, F.lit(0).alias("far"), F.lit(False).alias("open"), own.alias("j"), F.explode(every).alias("i"))
+    dealt = one.unionByName(two)
+    tasks = F.when(F.col("n") > large, F.xxhash64("key", "i", "j")).otherwise(F.pmod("key", F.lit(max(64, members.count() // 2000))))
+    dealt = dealt.withColumn("task", tasks)
+    of_document = dealt.groupBy("uid").agg(F.collect_list(F.struct("task", "key", "low", "high", "near", "far", "open")).alias("windows"))
+    pieces = stretches.groupBy("uid").agg(F.collect_list(F.struct("base", "shingles")).alias("pieces"))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 20):
-                out = []
-                for uid, windows, places in zip(*(c.to_pylist() for c in whole.slice(at, 20).columns)):
-                    hit = np.zeros(max(w["high"] for w in windows), bool)
-                    hit[places] = True
-                    fits: dict[tuple[int, int], bool] = {}
-                    for w in windows:
-                        span = (w["low"], w["high"])
-                        if span not in fits:
-                            h = hit[span[0] : span[1]]
-                            ok = len(h) >= width and np.count_nonzero(h) >= width * share
-                            fits[span] = ok and int(np.subtract(*_longest(h, share)[::-1])) >= width
-                        if fits[span]:
-                            out.append(w | {"uid": uid})
-                yield pa.RecordBatch.from_pylist(out, _PLACED)
-
-    return of_document.join(places, "uid").select("uid", "windows", "places").mapInArrow(keep, "uid long, key long, n long, low int, high int, open boolean")
-
-
-_TASK = "task long, uid long, base long, shingles binary, windows array<struct<key: long, low: long, high: long, open: boolean, own: long, i: long, j: long>>"
-_PIECE = pa.schema(
-    [("task", pa.int64()), ("uid", pa.int64()), ("base", pa.int64()), ("shingles", pa.binary())]
-    + [("windows", pa.list_(pa.struct([(c, pa.int64()) for c in ("key", "low", "high")] + [("open", pa.bool_())] + [(c, pa.int64()) for c in ("own", "i", "j")])))]
-)
-
-
-def _met_all(named: DataFrame, members: DataFrame, least_words: int, percent: int, large: int, block: int) -> DataFrame:
-    """What the open windows of members (key, n, first, uid, low, high, open) repeat of any earlier window of their key.
-
-    Keys of up to ``large`` windows are compared whole; those whose first
-    window is in the same stretch of the same document share a task, so two
-    documents that meet by many keys are measured once.  Of a larger key a
-    window goes to every pair of blocks that its own block is in.  A task gets
-    each document's windows as the pieces that they cover, with shingles as 32
-    bits of their hashes; a window is done once it holds a passage.
-    """
-    width = least_words - SHINGLE + 1
-    bundles = max(1, members.count() // 4000)
-    blocks = F.when(F.col("n") > large, F.ceil(F.col("n") / block)).otherwise(1)
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid", "low"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    task = F.when(F.col("n") > large, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("first.uid", F.floor(F.col("first.low") / 2000)), F.lit(bundles)))
-    of_document = dealt.groupBy("uid").agg(F.collect_list(F.struct(task.alias("task"), "key", "low", "high", "open", "own", "i", "j")).alias("windows"))
+                b = whole.slice(at, 20)
+                for uid, windows, pieces in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                    s = np.zeros(max(p["base"] + len(p["shingles"]) // 8 for p in pieces) + 2 * width, np.uint32)
+                    for p in pieces:
+                        x = np.frombuffer(p["shingles"], _U)
+                        s[p["base"] + width : p["base"] + width + len(x)] = (x >> _U(32)).astype(np.uint32) | np.uint32(1)
+                    flat = windows.values
+                    near = flat.field("near").to_numpy()
+                    for cut in range(0, len(near), 10_000):
+                        k = near[cut : cut + 10_000]
+                        shape = s[k[:, None] + np.arange(1, 2 * width)]
+                        part = flat.slice(cut, 10_000)
+                        yield pa.RecordBatch.from_arrays([part.field("task"), part.field("key"), pa.array(np.full(len(k), uid)), *(part.field(c) for c in ("low", "high", "near", "far", "open")), pa.array([r.tobytes() for r in shape], pa.binary())], names=["task", "key", "uid", "low", "high", "near", "far", "open", "shape"])
+
+    rows = of_document.join(pieces, "uid").mapInArrow(around, "task long, key long, uid long, low int, high int, near int, far int, open boolean, shape binary")
+
+    def compare(t: pa.Table) -> pa.Table:
+        uid, key, near = (t.column(c).to_numpy() for c in ("uid", "key", "near"))
+        is_open = t.column("open").to_numpy()
+        shape = np.frombuffer(b"".join(t.column("shape").to_pylist()), np.uint32).reshape(len(uid), -1)
+        order = np.lexsort((t.column("low").to_numpy(), uid, key))
+        mine, others = order[is_open[order]], order[~is_open[order]]
+        lo, hi = np.searchsorted(key[others], key[mine]), np.searchsorted(key[others], key[mine], "right")
+        to, at, other_at, similarity = (np.full(len(uid), -1, t) for t in (np.int64, np.int64, np.int64, np.float64))
+        # the open windows side by side, each with its next few earlier ones, until all have one or have met all
+        earlier = [others[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+        first = lo.copy()
+        stop = np.array([a + np.searchsorted(uid[e], x, "left") for a, e, x in zip(lo.tolist(), earlier, uid[mine].tolist())], np.int64)
+        left = np.flatnonzero(first < stop)
+        while len(left):
+            take = np.minimum(stop[left] - first[left], max(1, 4096 // len(left)))
+            rest = []
+            ends = np.cumsum(take)
+            a = 0
+            while a < len(left):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 4096, "right")))
+                w, n = left[a:b], take[a:b]
+                of = np.repeat(np.arange(len(w)), n)
+                place = first[w][of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
+                x, y = mine[w[of]], others[place]
+                count, start = _alike(shape[x], shape[y], width)
+                for k in np.flatnonzero(count >= at_least).tolist():
+                    if to[x[k]] < 0:
+                        both, there = _exact(shape[x[k]], shape[y[k]], int(start[k]), width)
+                        if both * 100 >= percent:
+                            to[x[k]], at[x[k]], other_at[x[k]], similarity[x[k]] = y[k], start[k], there, both
+                first[w] += n
+                rest.append(w[(to[mine[w]] < 0) & (first[w] < stop[w])])
+                a = b
+            left = np.concatenate(rest)
+        found = np.flatnonzero(to >= 0)
+        cols = [t.column(c).to_numpy()[found] for c in ("key", "uid", "low", "high", "near", "far")] + [t.column(c).to_numpy()[to[found]] for c in ("uid", "low", "high")]
+        cols += [near[found] - (width - 1) + at[found], near[to[found]] - (width - 1) + other_at[found]]
+        return pa.Table.from_arrays([*(pa.array(c.astype(np.int64)) for c in cols), pa.array(similarity[found])], schema=_ALIKE)
+
+    alike = rows.groupBy("task").applyInArrow(compare, ", ".join(f"{f.name} {'double' if f.name == 'similarity' else 'long'}" for f in _ALIKE))
+    best = alike.groupBy("key", "uid", "low", "high", "near", "far").agg(F.min(F.struct("other", "other_low", "other_high", "start", "other_start", "similarity")).alias("best"))
+    return best.select("key", "uid", "low", "high", "near", "far", "best.*")
+
+
+def _measure_pairs(named: DataFrame, linked: DataFrame, least_words: int, percent: int) -> DataFrame:
+    """FOUND of linked windows (uid, low, high, other, other_low, other_high)."""
+    pairs = staged(linked.groupBy("uid", "other").agg(F.collect_set(F.struct("low", "high", "other_low", "other_high")).alias("windows")), "window-pairs")
+    each = pairs.select("uid", "other", F.inline("windows"))
+    hulls = each.select("uid", "low", "high").union(each.select("other", "other_low", "other_high")).groupBy("uid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 20):
-                out = []
-                for uid, text, windows in zip(*(c.to_pylist() for c in whole.slice(at, 20).columns)):
-                    s = (_shingles(_words(text)) >> _U(32)).astype(np.uint32)
-                    piece = None
-                    for w in sorted(windows, key=lambda w: (w["task"], w["low"])):
-                        task = w.pop("task")
-                        if piece and piece["task"] == task and w["low"] < piece["end"]:
-                            piece["end"] = max(piece["end"], w["high"])
-                            piece["windows"].append(w)
-                        else:
-                            piece = {"task": task, "uid": uid, "base": w["low"], "end": w["high"], "windows": [w]}
-                            out.append((piece, s))
-                yield pa.RecordBatch.from_pylist([p | {"shingles": s[p["base"] : p["end"]].tobytes()} for p, s in out], _PIECE)
-
-    pieces = named.join(of_document, "uid").select("uid", "text", "windows").mapInArrow(fetch, _TASK)
-
-    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by([("uid", "ascending"), ("base", "ascending")])
-        uid, base = t.column("uid").to_pylist(), t.column("base").to_pylist()
-        s = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
-        windows = t.column("windows").combine_chunks()
-        flat = windows.flatten()
-        of = np.repeat(np.arange(t.num_rows), windows.value_lengths().to_numpy())
-        key_, low, high, own, i, j = (flat.field(c).to_numpy() for c in ("key", "low", "high", "own", "i", "j"))
-        still = flat.field("open").to_numpy(zero_copy_only=False)
-        order = np.lexsort((of, key_))
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key_[order])) + 1, [len(order)]])
-        group = np.empty(len(order), np.int64)
-        group[order] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        near: dict[int, dict[int, np.ndarray]] = {}  # of a large key, by later piece: the earlier ones with enough in common
-        for g, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            held = order[x:y]
-            if i[held[0]] == j[held[0]] and len(held) <= large:
-                continue
-            for a, b in {(int(i[held[0]]), int(j[held[0]])), (int(j[held[0]]), int(i[held[0]]))}:
-                rows, earlier = np.unique(of[held[(own[held] == a) & still[held]]]), np.unique(of[held[own[held] == b]])
-                if len(rows) and len(earlier):
-                    enough = _common([s[p] for p in rows], [s[p] for p in earlier]) >= width * 2 * percent / (100 + percent)
-                    near.setdefault(g, {}).update({p: np.union1d(near.get(g, {}).get(p, []), earlier[e]).astype(np.int64) for p, e in zip(rows.tolist(), enough)})
-        uids = np.array(uid)
-        stop = np.searchsorted(uids, uids)  # pieces of earlier documents
-        out: list[tuple] = []
-        sorted_: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for p in np.unique(of[still]).tolist():
-            mine = np.arange(*np.searchsorted(of, [p, p + 1]))
-            mine = mine[still[mine]]
-            met: dict[int, list[int]] = {}  # earlier piece: windows of this one that share a key with it
-            for w in mine.tolist():
-                g = group[w]
-                others = near[g].get(p, ()) if g in near else np.unique(of[order[cuts[g] : cuts[g + 1]]])
-                for q in others:
-                    if q >= stop[p]:
-                        break
-                    met.setdefault(int(q), []).append(w)
-            done = np.zeros(len(of), bool)
-            for q in sorted(met):
-                if done[met[q]].all():
-                    continue
-                if q not in sorted_:
-                    by = np.argsort(s[q], kind="stable")
-                    sorted_[q] = (by, s[q][by])
-                for f in _measured(s[p], s[q], least_words, percent, sorted_[q]):
-                    out.append((uid[p], base[p] + f[0], base[p] + f[1], uid[q], base[q] + f[2], base[q] + f[3], f[4]))
-                    lo, hi = base[p] + f[0], base[p] + f[1] - SHINGLE + 1
-                    done[mine] |= np.minimum(hi, high[mine]) - np.maximum(lo, low[mine]) >= width
-        return pa.Table.from_pylist([dict(zip(_ROW.names, r)) for r in out], _ROW)
+        for b in batches:
+            found = [b" ".join(_words(t.as_py())[lo : hi + SHINGLE - 1]) for t, lo, hi in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["uid", "first", "words"])
+
+    words = staged(named.join(hulls, "uid").select("uid", "text", "low", "high").mapInArrow(fetch, "uid long, first int, words binary"), "window-words")
+    others = words.withColumnsRenamed({"uid": "other", "first": "other_first", "words": "other_words"})
+    found = pairs.join(others, "other").join(words, "uid").select("uid", "first", "words", "other", "other_first", "other_words", "windows")
+    found = staged(found.mapInArrow(_verify(least_words, percent), FOUND), "passages")
+    drop(pairs, words)
+    return found
+
+
+def _uncovered(windows: DataFrame, found: DataFrame, *more: str) -> DataFrame:
+    """Windows (key, uid, low, high, near, far, more) whose two minima lie in no one passage found."""
+    in_one = F.coalesce((F.col("near") >= F.col("start_word")) & (F.col("far") + SHINGLE <= F.col("end_word")), F.lit(False))
+    out = windows.join(found.select("uid", "start_word", "end_word"), "uid", "left")
+    return out.groupBy("key", "uid", "low", "high", "near", "far", *more).agg(F.max(in_one).alias("in_one")).where("not in_one").drop("in_one")
 
-    return pieces.groupBy("task").applyInArrow(compare, FOUND)
 
+def _covering(bare: DataFrame, least_words: int) -> DataFrame:
+    """FOUND of stretches (uid, other, start, other_start, similarity) of equal length: of a document's, as few as cover all their words."""
+    of_document = bare.groupBy("uid").agg(F.collect_set(F.struct("start", "other", "other_start", "similarity")).alias("stretches"))
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 50, percent: int = 75, bands: int = 9, large: int = 64, block: int = 512) -> DataFrame:
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20):
+                out = []
+                for uid, stretches in zip(*(c.to_pylist() for c in whole.slice(at, 20).columns)):
+                    starts: dict[int, dict] = {}
+                    for x in sorted(stretches, key=lambda x: (x["start"], x["other"], x["other_start"])):
+                        starts.setdefault(x["start"], x)
+                    places = list(starts)
+                    for k, p in enumerate(places):
+                        end = out[-1]["end_word"] if out and out[-1]["uid"] == uid else -1
+                        if p > end or p > end - least_words and (k + 1 == len(places) or places[k + 1] > end):
+                            x = starts[p]
+                            out.append({"uid": uid, "start_word": p, "end_word": p + least_words, "other": x["other"], "match_start": x["other_start"], "match_end": x["other_start"] + least_words, "similarity": x["similarity"]})
+                yield pa.RecordBatch.from_pylist(out, _ROW)
+
+    return of_document.mapInArrow(cover, FOUND)
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 50, percent: int = 75, bands: int = 9, large: int = 512, block: int = 512) -> DataFrame:
     """(doc_id, start_word, end_word, match_id, match_start, match_end, similarity): passages that repeat one of an earlier document.
 
     A row for each passage of a later document and the earlier document that
     its windows were found to repeat; words are counted from 0 at ASCII white space, ends excluded.
     """
     width = least_words - SHINGLE + 1
+    spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     plain = docs.schema[doc_id].dataType.simpleString() in ("bigint", "int") and own.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     if plain:
         named = own.withColumn("uid", F.col("doc_id").cast("long"))
     else:  # numbers in the order of the ids, written once so that they hold
         named = staged(own.dropDuplicates(["doc_id", "text"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    scanned = staged(_scanned(named.select("uid", "text"), width), "anchors")
+    texts = scanned.where("uid is not null").select("class", "second", "uid", "words")
+    anchors = scanned.where("uid is null").select("class", "at", "hash")
+    firsts = texts.groupBy("class", "second").agg(F.min("uid").alias("other"))
+    copies = texts.join(firsts, ["class", "second"]).where("uid != other")
+    copies = copies.select("uid", F.lit(0).cast("long").alias("start_word"), F.col("words").cast("long").alias("end_word"), "other", F.lit(0).cast("long").alias("match_start"), F.col("words").cast("long").alias("match_end"), F.lit(1.0).alias("similarity"))
+    common = anchors.groupBy("hash").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("hash")
+    places = anchors.join(common, "hash", "left_semi").groupBy("class").agg(F.collect_set("at").alias("places")).where("size(places) > 2")
+    places = staged(places.join(firsts, "class").select(F.col("other").alias("uid"), "places"), "common-anchors")
+    copies = staged(copies, "copies")
+    drop(scanned)
+    tidy(spark)
+    stretches = staged(_stretches(named.join(places, "uid").select("uid", "text", "places"), width), "stretches")
+    drop(places)
+    tidy(spark)
     windows = []
     for k in range(0, bands, 3):  # some bands at a time, so that the shuffle of one part is gone before the next
-        of_key = Window.partitionBy("key")
-        part = _windows(named.select("uid", "text"), width, range(k, min(k + 3, bands)))
-        part = part.withColumns({"least": F.min("uid").over(of_key), "most": F.max("uid").over(of_key), "n": F.count("*").over(of_key), "before": F.count("*").over(of_key.orderBy("uid").rangeBetween(Window.unboundedPreceding, -1))}).where("least < most")
-        part = part.withColumn("first", F.min(F.struct("uid", "low", "high")).over(of_key)).drop("least", "most")
+        part = _windows(stretches, width, range(k, min(k + 3, bands)))
         windows.append(staged(part, "windows"))
-        del part
-        tidy(docs.sparkSession)
-    shared = reduce(DataFrame.union, windows)
-    linked = shared.select("uid", "low", "high", F.col("first.uid").alias("other"), F.col("first.low").alias("other_low"), F.col("first.high").alias("other_high")).where("uid != other")
-    pairs = staged(linked.groupBy("uid", "other").agg(F.collect_set(F.struct("low", "high", "other_low", "other_high")).alias("windows")), "window-pairs")
-    each = pairs.select("uid", "other", F.inline("windows"))
-    hulls = each.select("uid", "low", "high").union(each.select("other", "other_low", "other_high")).groupBy("uid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [b" ".join(_words(t.as_py())[lo : hi + SHINGLE - 1]) for t, lo, hi in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["uid", "first", "words"])
-
-    words = staged(named.join(hulls, "uid").select("uid", "text", "low", "high").mapInArrow(fetch, "uid long, first int, words binary"), "window-words")
-    others = words.withColumnsRenamed({"uid": "other", "first": "other_first", "words": "other_words"})
-    found = pairs.join(others, "other").join(words, "uid").select("uid", "first", "words", "other", "other_first", "other_words", "windows")
-    found = found.mapInArrow(_verify(least_words, percent), FOUND)
-    found = staged(found, "passages")
-    again = shared.where("n > 2").join(found.select("uid", "start_word", "end_word"), "uid", "left")
-    in_one = F.coalesce((F.col("near") >= F.col("start_word")) & (F.col("far") + SHINGLE <= F.col("end_word")), F.lit(False))
-    again = again.groupBy("key", "n", "before", "uid", "low", "high").agg((~F.max(in_one) & (F.col("before") > 1)).alias("open"))
-    again = staged(again.drop("before"), "met-first")
-    drop(*windows, pairs, words)
-    last = again.where("open").groupBy("key").agg(F.max("uid").alias("last"))
-    members = staged(again.join(last, "key").where("open or uid < last").drop("last"), "open")
-    drop(again)
-    tidy(docs.sparkSession)
-    possible = staged(_possible(named, members, least_words, percent), "possible")
-    drop(members)
-    tidy(docs.sparkSession)
-    every = possible.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("uid", "low")).alias("first"), F.max(F.when(F.col("open"), F.col("uid"))).alias("last")).where("first.uid < last")
-    met = staged(possible.drop("n").join(every, "key").where("open or uid < last").select("key", "n", "first", "uid", "low", "high", "open"), "met")
-    drop(possible)
-    found = found.union(_met_all(named, met, least_words, percent, large, block)).distinct()
+    every = reduce(DataFrame.union, windows)
+    keys = every.groupBy("key").agg(F.min(F.struct("uid", "low", "high")).alias("first"), F.max("uid").alias("most"), F.count("*").alias("n")).where("first.uid < most").drop("most")
+    shared = staged(every.join(keys, "key"), "shared-windows")
+    drop(*windows)
+    tidy(spark)
+    linked = shared.where("uid != first.uid").select("uid", "low", "high", F.col("first.uid").alias("other"), F.col("first.low").alias("other_low"), F.col("first.high").alias("other_high"))
+    found = [_measure_pairs(named, linked, least_words, percent)]
+    open_ = _uncovered(shared.where("n > 2 and uid != first.uid").select("key", "uid", "low", "high", "near", "far"), found[0])
+    open_ = staged(open_, "open")
+    last = open_.groupBy("key").agg(F.max("uid").alias("last"))
+    members = staged(shared.join(last, "key").where("uid < last").select("key", "uid", "low", "high", "near", "n"), "members")
+    drop(shared)
+    tidy(spark)
+    alike = staged(_first_alike(open_, members, stretches, width, percent, large, block), "alike")
+    drop(open_, members, stretches)
+    tidy(spark)
+    found.append(_measure_pairs(named, alike.select("uid", "low", "high", "other", "other_low", "other_high"), least_words, percent))
+    bare = _uncovered(alike, found[1], "other", "start", "other_start", "similarity")  # where measuring took another part, the stretch itself
+    found.append(_covering(bare, least_words))
+    result = reduce(DataFrame.union, found).distinct().union(copies)
     if plain:
         kind = docs.schema[doc_id].dataType
-        return found.select(F.col("uid").cast(kind).alias("doc_id"), "start_word", "end_word", F.col("other").cast(kind).alias("match_id"), "match_start", "match_end", "similarity")
+        return result.select(F.col("uid").cast(kind).alias("doc_id"), "start_word", "end_word", F.col("other").cast(kind).alias("match_id"), "match_start", "match_end", "similarity")
     ids = named.select("uid", "doc_id")
-    return found.join(ids, "uid").join(ids.toDF("other", "match_id"), "other").select("doc_id", "start_word", "end_word", "match_id", "match_start", "match_end", "similarity")
+    return result.join(ids, "uid").join(ids.toDF("other", "match_id"), "other").select("doc_id", "start_word", "end_word", "match_id", "match_start", "match_end", "similarity")
