@@ -296,6 +296,27 @@ def _measured(s: np.ndarray, t: np.ndarray, least_words: int, percent: int, sort
             continue
         if level + 1 < len(shares):
             open_.append((a, b, level + 1))
+        else:
+            found += _verbatim(s, t, a, b, order, values, width)
+    return found
+
+
+def _verbatim(s: np.ndarray, t: np.ndarray, a: int, b: int, order: np.ndarray, values: np.ndarray, width: int) -> list[tuple[int, int, int, int, float]]:
+    """Equal stretches in s[a:b], all of whose shingles are in t; for texts that repeat themselves, where a shingle has many places."""
+    found = []
+    while b - a >= width:
+        at = order[np.searchsorted(values, s[a]) : np.searchsorted(values, s[a], "right")]
+        at = at[at + width <= len(t)]
+        at = at[t[at + width - 1] == s[a + width - 1]]
+        c = next((c for c in at.tolist() if np.array_equal(t[c : c + width], s[a : a + width])), None)
+        if c is None:
+            a += 1
+            continue
+        most = min(b - a, len(t) - c)
+        differ = np.flatnonzero(t[c : c + most] != s[a : a + most])
+        n = int(differ[0]) if len(differ) else most
+        found.append((a, a + n + SHINGLE - 1, c, c + n + SHINGLE - 1, 1.0))
+        a += n
     return found
 
 
@@ -532,29 +553,31 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     stretches = staged(_stretches(named.join(places, "uid").select("uid", "text", "places"), width), "stretches")
     drop(places)
     tidy(spark)
-    windows = []
+    shared = []
     for k in range(0, bands, 3):  # some bands at a time, so that the shuffle of one part is gone before the next
-        part = _windows(stretches, width, range(k, min(k + 3, bands)))
-        windows.append(staged(part, "windows"))
-    every = reduce(DataFrame.union, windows)
-    keys = every.groupBy("key").agg(F.min(F.struct("uid", "low", "high")).alias("first"), F.max("uid").alias("most"), F.count("*").alias("n")).where("first.uid < most").drop("most")
-    shared = staged(every.join(keys, "key"), "shared-windows")
-    drop(*windows)
-    tidy(spark)
-    linked = shared.where("uid != first.uid").select("uid", "low", "high", F.col("first.uid").alias("other"), F.col("first.low").alias("other_low"), F.col("first.high").alias("other_high"))
+        part = staged(_windows(stretches, width, range(k, min(k + 3, bands))), "windows")
+        keys = part.groupBy("key").agg(F.min(F.struct("uid", "low", "high")).alias("first"), F.max("uid").alias("most"), F.count("*").alias("n")).where("first.uid < most").drop("most")
+        shared.append(staged(part.join(keys, "key"), "shared-windows"))
+        drop(part)
+        tidy(spark)
+    linked = reduce(DataFrame.union, shared).where("uid != first.uid")
+    linked = linked.select("uid", "low", "high", F.col("first.uid").alias("other"), F.col("first.low").alias("other_low"), F.col("first.high").alias("other_high"))
     found = [_measure_pairs(named, linked, least_words, percent)]
-    open_ = _uncovered(shared.where("n > 2 and uid != first.uid").select("key", "uid", "low", "high", "near", "far"), found[0])
-    open_ = staged(open_, "open")
-    last = open_.groupBy("key").agg(F.max("uid").alias("last"))
-    members = staged(shared.join(last, "key").where("uid < last").select("key", "uid", "low", "high", "near", "n"), "members")
-    drop(shared)
-    tidy(spark)
-    alike = staged(_first_alike(open_, members, stretches, width, percent, large, block), "alike")
-    drop(open_, members, stretches)
-    tidy(spark)
-    found.append(_measure_pairs(named, alike.select("uid", "low", "high", "other", "other_low", "other_high"), least_words, percent))
-    bare = _uncovered(alike, found[1], "other", "start", "other_start", "similarity")  # where measuring took another part, the stretch itself
-    found.append(_covering(bare, least_words))
+    for part in shared:  # what one part finds closes windows of the next
+        open_ = _uncovered(part.where("n > 2 and uid != first.uid").select("key", "uid", "low", "high", "near", "far"), reduce(DataFrame.union, found))
+        open_ = staged(open_, "open")
+        last = open_.groupBy("key").agg(F.max("uid").alias("last"))
+        members = staged(part.join(last, "key").where("uid < last").select("key", "uid", "low", "high", "near", "n"), "members")
+        drop(part)
+        alike = staged(_first_alike(open_, members, stretches, width, percent, large, block), "alike")
+        drop(open_, members)
+        tidy(spark)
+        found.append(_measure_pairs(named, alike.select("uid", "low", "high", "other", "other_low", "other_high"), least_words, percent))
+        bare = _uncovered(alike, found[-1], "other", "start", "other_start", "similarity")  # where measuring took another part, the stretch itself
+        found.append(staged(_covering(bare, least_words), "bare-stretches"))
+        drop(alike)
+        tidy(spark)
+    drop(stretches)
     result = reduce(DataFrame.union, found).distinct().union(copies)
     if plain:
         kind = docs.schema[doc_id].dataType
