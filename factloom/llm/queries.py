@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import attribution, decontam, htmlmain, minhash, mixing, passages, quality, quotes, substrings, tokenout
+from factloom.llm import attribution, decontam, fim, htmlmain, minhash, mixing, passages, quality, quotes, runs, substrings, tokenout
 from factloom.llm.common import staged, table
 
 
@@ -59,6 +61,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op3_substring_dedup, op4_main_text, op5_minhash_near_duplicates, op6_quotation_linking, op7_section_tokens, op8_benchmark_decontamination, op9_repeated_passages, op10_quality_rules)}
+def planted_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, in every tenth with a tail that repeats."""
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    times, rest = divmod(n - a, p)
+    return words[:a] + words[a : a + p] * times + words[a : a + rest]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_tail)
+    told = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    best = F.col("strongest")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"), salt="7", rate=100, spm=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op3_substring_dedup, op4_main_text, op5_minhash_near_duplicates, op6_quotation_linking, op7_section_tokens, op8_benchmark_decontamination, op9_repeated_passages, op10_quality_rules, op12_periodic_runs, op13_fill_in_middle)}
 
-ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op5_minhash_near_duplicates": minhash.ORACLE}
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op5_minhash_near_duplicates": minhash.ORACLE, "op13_fill_in_middle": fim.ORACLE}
