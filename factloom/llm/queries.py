@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import attribution, decontam, fim, htmlmain, minhash, mixing, passages, quality, quotes, runs, substrings, tokenout
+from factloom.llm import attribution, decontam, fim, htmlmain, minhash, mixing, passages, prefixjoin, quality, quotes, runs, substrings, tokenout
 from factloom.llm.common import staged, table
 
 
@@ -61,6 +61,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixjoin.similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def planted_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of a document, in every tenth with a tail that repeats."""
     h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
@@ -86,6 +90,6 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"), salt="7", rate=100, spm=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op3_substring_dedup, op4_main_text, op5_minhash_near_duplicates, op6_quotation_linking, op7_section_tokens, op8_benchmark_decontamination, op9_repeated_passages, op10_quality_rules, op12_periodic_runs, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_mix_sources, op3_substring_dedup, op4_main_text, op5_minhash_near_duplicates, op6_quotation_linking, op7_section_tokens, op8_benchmark_decontamination, op9_repeated_passages, op10_quality_rules, op11_ngram_jaccard, op12_periodic_runs, op13_fill_in_middle)}
 
-ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op5_minhash_near_duplicates": minhash.ORACLE, "op13_fill_in_middle": fim.ORACLE}
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op5_minhash_near_duplicates": minhash.ORACLE, "op11_ngram_jaccard": prefixjoin.ORACLE, "op13_fill_in_middle": fim.ORACLE}
