@@ -1,12 +1,11 @@
-"""Prompts, model answers and run settings as columns."""
+"""Prompts and run settings as columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Recommendations, and settings by mode.
-RECOMMENDATIONS = ("invest", "watchlist", "reject", "insufficient_information")
+# Settings by mode.
 RUN_MODES = (("standard", False, 768), ("deep", True, 1024))
 RUN_VERSION = "3.7.5"
 
@@ -34,26 +33,6 @@ def thinking_directive(text: Column, thinking: Column) -> Column:
     return F.concat(bare, F.when(thinking, "\n/think").otherwise("\n/no_think"))
 
 
-def answer_object(text: Column) -> Column:
-    """The JSON object in an answer, as text: thoughts removed; the whole, else what is fenced, else the outermost braces; null if none parses."""
-    bare = F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
-    fenced = F.regexp_extract(bare, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    embedded = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    parsed = lambda c: F.when(F.try_parse_json(c).isNotNull() & F.startswith(c, F.lit("{")), c)
-    return F.coalesce(parsed(bare), parsed(fenced), parsed(embedded))
-
-
-def validate_answer(obj: Column, lists: tuple[str, ...], texts: tuple[str, ...]) -> Column:
-    """struct<ok, recommendation>: known names only, lists of at most 3, a known recommendation (the default if absent)."""
-    names = F.json_object_keys(obj)
-    known = F.size(F.array_except(names, F.array(*map(F.lit, (*lists, *texts, "recommendation"))))) == 0
-    short = F.lit(True)
-    for name in lists:
-        short = short & (F.coalesce(F.json_array_length(F.get_json_object(obj, f"$.{name}")), F.lit(0)) <= 3)
-    rec = F.coalesce(F.get_json_object(obj, "$.recommendation"), F.lit("insufficient_information"))
-    return F.struct((known & short & rec.isin(*RECOMMENDATIONS)).alias("ok"), rec.alias("recommendation"))
-
-
 def analysis_payload(company: Column, metrics: Column) -> Column:
     """JSON of a company and its metrics; nulls are left out, decimals are strings."""
     return F.to_json(F.struct(company.alias("startup"), metrics.alias("metrics")))

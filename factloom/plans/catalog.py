@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import parsers, rules, spans
-from factloom.operators import chunking, evidence, extraction, facts, joins, listing, maintenance, prompts, vectors
-from factloom.plans.derived import duck, spark_table
+from factloom.operators import answers, chunking, evidence, extraction, facts, joins, listing, maintenance, prompts, vectors
+from factloom.plans.derived import ANSWERS, duck, quoted, spark_table
 from factloom.sources import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -657,20 +657,26 @@ def l5_thinking_directive(t: Tables) -> DataFrame:
     return c.select("conv_id", "turn", F.md5(prompts.thinking_directive(text, F.col("turn") % 2 == 0)).alias("text_md5"))
 
 
-_ANSWER = "(SELECT run_id, CASE WHEN run_id % 6 = 3 THEN NULL WHEN run_id % 6 = 1 THEN '{\"recommendation\":\"watchlist\"}' WHEN run_id % 6 = 2 THEN '{\"strengths\":[\"a\",\"b\",\"c\",\"d\"]}' ELSE text END AS obj FROM {answers} WHERE finish_reason <> 'length')"
+#: What each shape of answer must give, as written beside it by hand; the rest are objects of unknown names.
+_ANSWER = f"""(SELECT run_id, CASE run_id % {len(ANSWERS) + 1} {" ".join(f"WHEN {k} THEN {quoted(a[1])}" for k, a in enumerate(ANSWERS))} ELSE text END AS obj FROM {{answers}} WHERE finish_reason <> 'length')"""
+_OK, _SAID = (f"CASE run_id % {len(ANSWERS) + 1} {' '.join(f'WHEN {k} THEN {put(a[at])}' for k, a in enumerate(ANSWERS))} ELSE {rest} END" for at, rest, put in ((2, "false", lambda x: str(bool(x)).lower()), (3, "NULL", quoted)))
 
 
 @query(f"SELECT run_id, obj FROM {_ANSWER}")
 def l6_parse_answers(t: Tables) -> DataFrame:
     good, _ = prompts.usable(t("answers"))
-    return good.select("run_id", prompts.answer_object(F.col("text")).alias("obj"))
+    return good.select("run_id", answers.answer_object(F.col("text")).alias("obj"))
 
 
-@query(f"SELECT run_id, run_id % 6 IN (0, 1) AS ok, CASE run_id % 6 WHEN 0 THEN 'invest' WHEN 1 THEN 'watchlist' WHEN 4 THEN 'perhaps' ELSE 'insufficient_information' END AS recommendation FROM {_ANSWER} WHERE obj IS NOT NULL")
+@query(f"""
+SELECT run_id, {_OK} AS ok, {_SAID} AS preliminary_recommendation, CASE WHEN run_id % {len(ANSWERS) + 1} = 0 THEN 'x' WHEN run_id % {len(ANSWERS) + 1} = 10 THEN 'a ' || chr(125) || ' " b' WHEN {_OK} THEN '' END AS texts,
+ CASE WHEN run_id % {len(ANSWERS) + 1} = 0 THEN 'a,b' WHEN run_id % {len(ANSWERS) + 1} = 10 THEN 'r' || chr(123) || ',]' WHEN {_OK} THEN '' END AS lists, CASE WHEN run_id % {len(ANSWERS) + 1} = 16 THEN 'v' END AS valuation_assessment FROM {_ANSWER} WHERE obj IS NOT NULL""")
 def l7_validate_answers(t: Tables) -> DataFrame:
     good, _ = prompts.usable(t("answers"))
-    out = good.select("run_id", prompts.answer_object(F.col("text")).alias("obj")).where("obj is not null")
-    return out.select("run_id", prompts.validate_answer(F.col("obj"), ("strengths",), ("summary",)).alias("v")).select("run_id", "v.ok", "v.recommendation")
+    out = good.select("run_id", answers.answer_object(F.col("text")).alias("obj")).where("obj is not null").select("run_id", answers.validate_answer(F.col("obj")).alias("v"))
+    texts = F.when(F.col("v.ok"), F.concat_ws(",", *(F.col(f"v.{n}") for n in answers.TEXTS if n != "valuation_assessment")))
+    lists = F.when(F.col("v.ok"), F.concat_ws(",", *(F.col(f"v.{n}") for n in answers.LISTS)))
+    return out.select("run_id", "v.ok", "v.preliminary_recommendation", texts.alias("texts"), lists.alias("lists"), "v.valuation_assessment")
 
 
 @query("SELECT run_id FROM {answers} WHERE finish_reason = 'length'")

@@ -254,11 +254,11 @@ def l4_analysis_messages(t: Tables) -> DataFrame:
 
 @query("""
 SELECT startup_id, id, 'completed' AS status, CASE WHEN id % 2 = 0 THEN mode ELSE 'model-x' END AS model_name, chr(123) || '"mode":"' || mode || '"' || chr(125) AS input_snapshot, chr(123) || '"tokens":' || id::VARCHAR || chr(125) AS metrics_snapshot,
- chr(123) || '"recommendation":"' || recommendation || '"' || CASE WHEN id % 3 = 0 THEN '' ELSE ',"investment_thesis":"t"' END || chr(125) AS result_snapshot, recommendation, CASE WHEN id % 3 <> 0 THEN 't' END AS investment_thesis FROM {analyses}""")
+ chr(123) || '"preliminary_recommendation":"' || recommendation || '"' || CASE WHEN id % 3 = 0 THEN '' ELSE ',"investment_thesis":"t"' END || chr(125) AS result_snapshot, recommendation, CASE WHEN id % 3 <> 0 THEN 't' END AS investment_thesis FROM {analyses}""")
 def s10_analysis_snapshots(t: Tables) -> DataFrame:
     runs = t("analyses").select(
         "startup_id", "id", F.when(F.col("id") % 2 == 0, F.col("mode")).alias("model_name"), F.struct("mode").alias("input"), F.struct(F.col("id").alias("tokens")).alias("metrics"),
-        F.struct("recommendation", F.when(F.col("id") % 3 != 0, "t").alias("investment_thesis")).alias("result"),
+        F.struct(F.col("recommendation").alias("preliminary_recommendation"), F.when(F.col("id") % 3 != 0, "t").alias("investment_thesis")).alias("result"),
     )
     return documents.analysis_snapshots(runs, "model-x")
 

@@ -12,6 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Shapes of answers, written by hand: the text, its object, whether that is a valid answer, and its recommendation.
+ANSWERS = (
+    ('{"preliminary_recommendation":"promising","strengths":["a"," b "],"company_overview":" x "}', '{"preliminary_recommendation":"promising","strengths":["a"," b "],"company_overview":" x "}', True, "promising"),
+    ('<think>maybe {"x":1}</think>\n{"preliminary_recommendation":"concerns"}', '{"preliminary_recommendation":"concerns"}', True, "concerns"),
+    ('Here:\n```json\n{"strengths":["a","b","c","d"]}\n```', '{"strengths":["a","b","c","d"]}', False, None),
+    ("no object here", None, None, None),
+    ('{"preliminary_recommendation":"perhaps"}', '{"preliminary_recommendation":"perhaps"}', False, None),
+    ('note {draft} then {"preliminary_recommendation":"needs_further_diligence"}', '{"preliminary_recommendation":"needs_further_diligence"}', True, "needs_further_diligence"),
+    ('{"preliminary_recommendation":"promising"} and {"x":1}', '{"preliminary_recommendation":"promising"}', True, "promising"),
+    ('[1] {"a":{"b":1}} tail }', '{"a":{"b":1}}', False, None),
+    ('[{"company_overview":"x"}]', None, None, None),
+    ('```json\n{broken\n``` {"a":1}', None, None, None),
+    ('say {"company_overview":"a } \\" b","risks":["r{", "]"]} end', '{"company_overview":"a } \\" b","risks":["r{", "]"]}', True, "insufficient_information"),
+    ('{"risks":"none"}', '{"risks":"none"}', False, None),
+    ('{"market_assessment":null,"missing_information":[]}', '{"market_assessment":null,"missing_information":[]}', True, "insufficient_information"),
+    ('{"founder_assessment":3}', '{"founder_assessment":3}', False, None),
+    ('{"key_observations":["a",null]}', '{"key_observations":["a",null]}', False, None),
+    ('```\n{"recommendation":"invest"}\n```', '{"recommendation":"invest"}', False, None),
+    ('{"traction_assessment":"t" {"valuation_assessment":"v"}', '{"valuation_assessment":"v"}', True, "insufficient_information"),
+)
+
+
+def quoted(text: str | None) -> str:
+    """A text as an SQL expression that both engines and the names in braces leave alone."""
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    for c in "{}\\\n":
+        text = text.replace(c, f"' || chr({ord(c)}) || '")
+    return f"('{text}')"
+
+
 DERIVED = {
     "memos": """
 SELECT c.c_custkey AS doc_id,
@@ -54,23 +85,17 @@ SELECT p_partkey AS id, p_partkey % 100 AS startup_id, p_name AS title, p_type A
  CASE p_partkey % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime_type
 FROM {part}""",
     "analyses": """
-SELECT o_orderkey AS id, o_custkey AS startup_id, CASE WHEN o_orderkey % 3 = 0 THEN 'deep' ELSE 'standard' END AS mode, o_orderstatus AS status, o_orderpriority AS recommendation, o_orderdate AS created_at, 'x' AS input_snapshot FROM {orders}""",
+SELECT o_orderkey AS id, o_custkey AS startup_id, CASE WHEN o_orderkey % 3 = 0 THEN 'deep' ELSE 'standard' END AS mode, o_orderstatus AS status, CASE o_orderpriority WHEN '1-URGENT' THEN 'promising' WHEN '2-HIGH' THEN 'concerns' WHEN '3-MEDIUM' THEN 'needs_further_diligence' ELSE 'insufficient_information' END AS recommendation, o_orderdate AS created_at, 'x' AS input_snapshot FROM {orders}""",
     "rounds": """
 SELECT l_orderkey * 10 + l_linenumber AS round_id, l_orderkey AS startup_id, CASE WHEN l_linestatus = 'O' AND l_quantity > 30 THEN 'OPEN' ELSE 'CLOSED' END AS status FROM {lineitem}""",
     "vectors": """
 SELECT vec_id AS pos, 'd' || CAST(vec_id % 50 AS STRING) AS document_id, 'c' || CAST(vec_id % 7 AS STRING) AS chunk_id, 'passage ' || CAST(vec_id % 90 AS STRING) AS text, embedding FROM {embeddings}""",
     "queries": """
 SELECT vec_id AS query_id, embedding FROM {embeddings} WHERE vec_id % 20 = 0""",
-    "answers": """
+    "answers": f"""
 SELECT event_id AS run_id, CASE WHEN event_id % 11 = 0 THEN 'length' ELSE 'stop' END AS finish_reason,
- CASE event_id % 6
-  WHEN 0 THEN chr(123) || '"recommendation":"invest","strengths":["a","b"]' || chr(125)
-  WHEN 1 THEN '<think>maybe ' || chr(123) || '"x":1' || chr(125) || '</think>' || chr(10) || chr(123) || '"recommendation":"watchlist"' || chr(125)
-  WHEN 2 THEN 'Here:' || chr(10) || '```json' || chr(10) || chr(123) || '"strengths":["a","b","c","d"]' || chr(125) || chr(10) || '```'
-  WHEN 3 THEN 'no object here'
-  WHEN 4 THEN chr(123) || '"recommendation":"perhaps","k":' || CAST(user_id AS STRING) || chr(125)
-  ELSE props END AS text
-FROM {events}""",
+ CASE event_id % {len(ANSWERS) + 1} {" ".join(f"WHEN {k} THEN {quoted(a[0])}" for k, a in enumerate(ANSWERS))} ELSE props END AS text
+FROM {{events}}""",
     "runs": """
 SELECT event_type AS mode, CAST(FLOOR(value) AS BIGINT) AS completion_tokens, event_id % 7 AS seconds, CASE WHEN event_id % 5 = 0 THEN 'length' ELSE 'stop' END AS finish_reason, 256 * (1 + event_id % 4) AS max_tokens FROM {events}""",
 }

@@ -112,7 +112,7 @@ def analysis_snapshots(runs: DataFrame, model: str) -> DataFrame:
     result = F.col("result")
     return runs.select(
         F.coalesce("startup_id", F.raise_error(F.lit("startup_id is required"))).alias("startup_id"), "id", F.lit("completed").alias("status"), F.coalesce("model_name", F.lit(model)).alias("model_name"),
-        F.to_json("input").alias("input_snapshot"), F.to_json("metrics").alias("metrics_snapshot"), F.to_json(result).alias("result_snapshot"), result["recommendation"].alias("recommendation"), result["investment_thesis"].alias("investment_thesis"),
+        F.to_json("input").alias("input_snapshot"), F.to_json("metrics").alias("metrics_snapshot"), F.to_json(result).alias("result_snapshot"), result["preliminary_recommendation"].alias("recommendation"), result["investment_thesis"].alias("investment_thesis"),
     )
 
 

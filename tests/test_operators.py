@@ -1,5 +1,7 @@
 """Golden cases of the operators, and what SQL twins cannot say."""
 
+import json
+import random
 import re
 from decimal import Decimal as D
 
@@ -7,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import parsers, rules, spans
-from factloom.operators import chunking, evidence, extraction, facts, joins, maintenance, prompts, registry, vectors
+from factloom.operators import answers, chunking, evidence, extraction, facts, joins, maintenance, prompts, registry, vectors
+from factloom.plans.derived import ANSWERS
 from factloom.sources import documents
 
 
@@ -123,10 +126,37 @@ def test_budget_stops_at_the_first_overflow(spark):
     assert [r.pos for r in vectors.budget(hits, 10).collect()] == [1]
 
 
+def reference_object(text):
+    """What Python's decoder finds: the whole, the fence, or the first object that decodes."""
+    bare = re.sub(r"(?is)<think>.*?</think>", "", text).strip()
+    try:
+        return bare if isinstance(json.loads(bare), dict) else None
+    except json.JSONDecodeError:
+        pass
+    if m := re.search(r"(?is)```(?:json)?\s*(.*?)\s*```", bare):
+        try:
+            return m[1].strip() if isinstance(json.loads(m[1].strip()), dict) else None
+        except json.JSONDecodeError:
+            return None
+    for k, c in enumerate(bare):
+        if c == "{":
+            try:
+                return bare[k : k + json.JSONDecoder().raw_decode(bare[k:])[1]]
+            except json.JSONDecodeError:
+                continue
+    return None
+
+
 def test_answers(spark):
-    rows = ['{"recommendation":"invest"}', "<think>{}</think>```json\n{\"a\":1}\n```", "[1]", "text {\"b\":2} more", "{broken"]
-    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(prompts.answer_object(F.col("t"))).collect()]
-    assert got == ['{"recommendation":"invest"}', '{"a":1}', None, '{"b":2}', None]
+    rows = [a[0] for a in ANSWERS]
+    rows += ["<think>{}</think>```json\n{\"a\":1}\n```", "[1]", "text {\"b\":2} more", "{broken", "", "12", '"{}"', "true {}", "{}", "{} {}", "{{}", "{{{}}}", 'x { "a": [1, {"b": "}"}] } y', '{"a":"\\\\"} "}', "``` ```", "```json\n[1]\n``` {}", '{"a":1}}', '{"a":1,}{"b":[]}', "[] {}", '\\{"a":1}', '{"a":"' + "\\n" * 20000 + '"} z', "{" * 300 + '{"k":1}']
+    r = random.Random(4)
+    pieces = ["{", "}", "[", "]", '"', "\\", ":", ",", '"a"', "1", '{"a":1}', '{"b":"}"}', " ", "x", "null"]
+    rows += ["".join(r.choice(pieces) for _ in range(r.randrange(1, 14))) for _ in range(800)]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(answers.answer_object(F.col("t"))).collect()]
+    want = [reference_object(t) for t in rows]
+    assert [x for x in zip(rows, got, want) if x[1] != x[2]] == []
+    assert [a[1] for a in ANSWERS] == want[: len(ANSWERS)]
     with pytest.raises(KeyError):
         prompts.fill_template("{x}", query=F.lit(""))
 
