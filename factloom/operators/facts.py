@@ -85,17 +85,6 @@ def aggregate_text(facts: DataFrame, folded: bool = True) -> DataFrame:
     return first.groupBy("company_id", "field").agg(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["v"]), ", ").alias("merged"))
 
 
-def fundraising(facts: DataFrame) -> DataFrame:
-    """(company_id, amount_raising, pre_money_valuation, valuation_cap): aliases share their facts; a conflict blocks,
-    and a transaction document's pre-money valuation leaves the cap empty."""
-    alias = F.when(F.col("field").isin("amount_raising", "raise_amount"), "amount_raising").when(F.col("field").isin("valuation_cap", "valuation"), "valuation_cap").when(F.col("field") == "pre_money_valuation", "pre_money_valuation")
-    grouped = facts.withColumn("field", alias).where("field is not null")
-    out = resolved(grouped).groupBy("company_id").pivot("field", ["amount_raising", "pre_money_valuation", "valuation_cap"]).agg(F.first("value_num"))
-    signed = facts.where("field = 'pre_money_valuation' and source_authority = 'transaction_document' and status = 'fact'").select("company_id").distinct().withColumn("signed", F.lit(True))
-    out = grouped.select("company_id").distinct().join(out, "company_id", "left").join(signed, "company_id", "left")
-    return out.select("company_id", "amount_raising", "pre_money_valuation", F.when(F.col("signed").isNull(), F.col("valuation_cap")).alias("valuation_cap"))
-
-
 def pivot_resolved(facts: DataFrame, fields: list[str], ignore_conflicts: bool = False) -> DataFrame:
     """One row per company with a column for each field."""
     base = preferred(facts) if ignore_conflicts else resolved(facts)
@@ -152,19 +141,25 @@ def business_model(facts: DataFrame) -> DataFrame:
 
 
 def preserved(facts: DataFrame, canonical: DataFrame, paths: DataFrame) -> DataFrame:
-    """(company_id, field, path, preserved): whether a field's fact stands at its canonical path.
+    """(company_id, field, path, n, n_preserved, preserved): whether what the sources say of a field stands at its canonical path.
 
     facts (company_id, field, value_str, value_num), canonical (company_id,
-    path, value_str, value_num), paths (field, path).  Numbers are compared by
-    value, also those written as texts; other texts trimmed and in lower case;
-    business models as sets of comma-separated names.
+    path, value_str, value_num), paths (field, path).  A business model is
+    preserved if the union of the names in all of a company's values is the set
+    of names at the path; any other field if some value equals the canonical
+    one, numbers by value, also those written as texts, texts as they are.
     """
     number = lambda s: F.coalesce(F.col(f"{s}.value_num"), F.expr(f"try_cast(trim({s}.value_str) AS decimal(20,4))"))
-    text = lambda s: F.lower(strip(F.col(f"{s}.value_str")))
-    names = lambda s: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.col(f"{s}.value_str"), ","), lambda x: F.lower(strip(x))), lambda x: x != "")))
-    same = F.when(F.col("f.field") == "business_model", F.size(F.array_except(names("f"), names("c"))) == 0).when(number("f").isNotNull(), number("f").eqNullSafe(number("c"))).otherwise(text("f").eqNullSafe(text("c")))
+    names = lambda s: F.filter(F.transform(F.split(F.coalesce(F.col(f"{s}.value_str"), F.lit("")), ","), lambda x: F.lower(strip(x))), lambda x: x != "")
+    same = F.coalesce(number("f").eqNullSafe(number("c")) & number("f").isNotNull(), F.lit(False)) | F.coalesce(number("f").isNull() & (F.col("f.value_str") == F.col("c.value_str")), F.lit(False))
     joined = facts.alias("f").join(paths.alias("p"), F.col("f.field") == F.col("p.field")).join(canonical.alias("c"), (F.col("f.company_id") == F.col("c.company_id")) & (F.col("p.path") == F.col("c.path")), "left")
-    return joined.select("f.company_id", "f.field", "p.path", F.coalesce(same & F.col("c.path").isNotNull(), F.lit(False)).alias("preserved"))
+    rows = joined.select("f.company_id", "f.field", "p.path", same.alias("same"), names("f").alias("own"), names("c").alias("theirs"))
+    # names meet in one set per task before the shuffle, so a company's facts are never held as rows
+    found = rows.groupBy("company_id", "field", "path").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.collect_set("own").alias("own"), F.first("theirs").alias("theirs"))
+    sets = F.array_sort(F.array_distinct(F.flatten("own"))) == F.array_sort(F.array_distinct("theirs"))
+    model = F.col("field") == "business_model"
+    kept = F.when(model, sets).otherwise(F.col("n_same") > 0)
+    return found.select("company_id", "field", "path", "n", F.when(model, F.when(sets, F.col("n")).otherwise(0)).otherwise(F.col("n_same")).cast("long").alias("n_preserved"), kept.alias("preserved"))
 
 
 def with_incoming(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -542,17 +542,6 @@ def f10_aggregate_text(t: Tables) -> DataFrame:
     return facts.aggregate_text(t("facts"))
 
 
-@query("""
-WITH g AS (SELECT company_id, CASE WHEN field IN ('amount_raising', 'raise_amount') THEN 'a' WHEN field = 'valuation' THEN 'v' ELSE 'p' END AS field, seq, value_num, source_authority, confidence, status FROM {facts} WHERE field IN ('amount_raising', 'raise_amount', 'valuation', 'pre_money_valuation')),
-r AS (SELECT company_id, field, arg_min(value_num, struct_pack(p := -CASE source_authority WHEN 'mis' THEN 100 WHEN 'transaction_document' THEN 95 WHEN 'financial_model' THEN 90 WHEN 'company_document' THEN 80 ELSE 70 END, c := -confidence, s := seq)) AS v, count(DISTINCT value_num) AS n FROM g WHERE status = 'fact' GROUP BY 1, 2)
-SELECT g.company_id, max(CASE WHEN r.field = 'a' AND n = 1 THEN v END)::DOUBLE AS amount_raising, max(CASE WHEN r.field = 'p' AND n = 1 THEN v END)::DOUBLE AS pre_money_valuation,
- CASE WHEN g.company_id IN (SELECT company_id FROM {facts} WHERE field = 'pre_money_valuation' AND source_authority = 'transaction_document' AND status = 'fact') THEN NULL ELSE max(CASE WHEN r.field = 'v' AND n = 1 THEN v END) END::DOUBLE AS valuation_cap
-FROM (SELECT DISTINCT company_id FROM g) g LEFT JOIN r ON r.company_id = g.company_id GROUP BY g.company_id""")
-def f12_fundraising(t: Tables) -> DataFrame:
-    out = facts.fundraising(t("facts"))
-    return out.select("company_id", *(F.col(c).cast("double").alias(c) for c in ("amount_raising", "pre_money_valuation", "valuation_cap")))
-
-
 @query(f"""
 WITH d AS (SELECT company_id, count(*) AS n_facts FROM (SELECT DISTINCT company_id, field, value_str, value_num, status, source_document_id, source_name, source_authority, period, section FROM {{facts}}) GROUP BY 1)
 SELECT d.company_id, d.n_facts, coalesce(c.n, 0)::BIGINT AS n_conflicts FROM d LEFT JOIN (SELECT company_id, count(*) AS n FROM {_CONFLICT.replace("FROM {facts}", "FROM (SELECT DISTINCT company_id, field, value_str, value_num, status, source_document_id, source_name, source_authority, period, section FROM {facts})")} GROUP BY 1) c ON c.company_id = d.company_id""")
@@ -757,11 +746,6 @@ def c2_chunk_metadata(t: Tables) -> DataFrame:
 _RESOLVED = f"(SELECT p.* FROM {_PREFERRED} p ANTI JOIN {_CONFLICT} c ON c.company_id = p.company_id AND c.field = p.field)"
 
 
-@query(f"SELECT company_id, max(value_num) FILTER (field = 'revenue')::DOUBLE AS revenue, max(value_num) FILTER (field = 'ebitda')::DOUBLE AS ebitda FROM {_RESOLVED} GROUP BY company_id")
-def f11_financial_resolution(t: Tables) -> DataFrame:
-    return facts.pivot_resolved(t("facts"), ["revenue", "ebitda"]).select("company_id", F.col("revenue").cast("double").alias("revenue"), F.col("ebitda").cast("double").alias("ebitda"))
-
-
 @query(f"SELECT company_id, max(value_num) FILTER (field = 'valuation')::DOUBLE AS valuation, max(value_num) FILTER (field = 'raise_amount')::DOUBLE AS raise_amount FROM {_PREFERRED} GROUP BY company_id")
 def f13_resolution_ignoring_conflicts(t: Tables) -> DataFrame:
     out = facts.pivot_resolved(t("facts"), ["valuation", "raise_amount"], ignore_conflicts=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import parsers
-from factloom.operators import chunking, extraction, facts, joins, listing, maintenance, prompts, registry, vectors
+from factloom.operators import chunking, extraction, facts, joins, listing, maintenance, prompts, reconcile, registry, vectors
 from factloom.plans.catalog import _CHUNKS, _CONFLICT, _FIN, _PREFERRED, Tables, _num, query
 from factloom.sources import documents
 
@@ -65,18 +65,96 @@ def f15_business_model(t: Tables) -> DataFrame:
     return facts.business_model(t("facts"))
 
 
+_SAFE_FIELDS = {
+    "financials": "revenue gross_sales gross_profit gross_margin ebitda ebitda_margin net_profit cash debt burn_rate runway_months contribution_profit_per_order",
+    "fundraising": "amount_raised pre_money_valuation post_money_valuation instrument investor_commitments",
+    "traction": "revenue revenue_growth_yoy customers paying_customers active_users repeat_customer_rate orders churn_rate customer_acquisition_cost average_order_value top_customer_concentration",
+}
+_RECONCILED = f"""(WITH d AS (SELECT company_id, field, value_str, value_num, status, source_document_id, source_name, source_authority, period, section, min(seq) AS seq, arg_min(confidence, seq) AS confidence FROM {{source_facts}} GROUP BY ALL),
+f AS (SELECT *, coalesce(value_num::DOUBLE::VARCHAR, value_str) AS v, CASE source_authority WHEN 'mis' THEN 100 WHEN 'transaction_document' THEN 95 WHEN 'financial_model' THEN 90 WHEN 'company_document' THEN 80 WHEN 'investor_summary' THEN 70 ELSE 0 END AS p FROM d WHERE status = 'fact'),
+x AS (SELECT company_id, field FROM f WHERE field NOT IN ('market_description', 'business_model') GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT v) > 1),
+best AS (SELECT company_id, field, v, p, confidence, seq FROM f QUALIFY row_number() OVER (PARTITION BY company_id, field ORDER BY p DESC, confidence DESC, seq) = 1),
+safe AS (SELECT * FROM best ANTI JOIN x USING (company_id, field)),
+texts AS (SELECT company_id, field, string_agg(t, ', ' ORDER BY s) AS v FROM (SELECT company_id, field, arg_min(trim(value_str), seq) AS t, min(seq) AS s FROM f WHERE trim(value_str) <> '' GROUP BY company_id, field, lower(trim(value_str))) GROUP BY 1, 2),
+pairs AS (SELECT company_id, a AS target, field, v, p, confidence, seq FROM best JOIN (VALUES ('amount_raising', 'amount_raising', 0), ('amount_raising', 'raise_amount', 1), ('valuation_cap', 'valuation_cap', 0), ('valuation_cap', 'valuation', 1)) w(a, b, r) ON b = field
+ QUALIFY row_number() OVER (PARTITION BY company_id, a ORDER BY p DESC, confidence DESC, r) = 1),
+bad AS (SELECT company_id, CASE WHEN field IN ('amount_raising', 'raise_amount') THEN 'amount_raising' WHEN field IN ('valuation_cap', 'valuation') THEN 'valuation_cap' END AS target FROM x),
+found AS ({" UNION ALL ".join(f"SELECT company_id, '{k}' AS family, field, v FROM safe WHERE field IN ({', '.join(repr(x) for x in v.split())})" for k, v in _SAFE_FIELDS.items())}
+ UNION ALL SELECT company_id, 'market', field, v FROM best WHERE field IN ('tam', 'sam', 'som', 'market_growth_rate', 'geographic_market')
+ UNION ALL SELECT company_id, 'market', CASE field WHEN 'competitor' THEN 'competitors' ELSE field END, v FROM texts WHERE field IN ('market_description', 'competitor')
+ UNION ALL SELECT company_id, 'business_model', field, v FROM texts WHERE field = 'business_model'
+ UNION ALL SELECT company_id, 'fundraising', target, v FROM pairs ANTI JOIN bad USING (company_id, target)
+ UNION ALL SELECT s.company_id, 'fundraising', 'valuation_cap', s.v FROM safe s JOIN bad ON bad.company_id = s.company_id AND bad.target = 'valuation_cap' WHERE s.field = 'valuation_cap'),
+signed AS (SELECT DISTINCT company_id FROM f WHERE field = 'pre_money_valuation' AND source_authority = 'transaction_document'),
+merged AS (SELECT coalesce(a.company_id, c.company_id) AS company_id, coalesce(a.family, c.family) AS family, coalesce(a.field, c.field) AS field, coalesce(a.v, c.value_num::DOUBLE::VARCHAR, c.value_str) AS v FROM (SELECT DISTINCT * FROM found) a FULL JOIN {{current_figures}} c ON c.company_id = a.company_id AND c.family = a.family AND c.field = a.field)
+SELECT m.* FROM merged m WHERE v IS NOT NULL AND NOT (field = 'valuation_cap' AND company_id IN (SELECT company_id FROM signed)))"""
+
+
+@query(f"SELECT company_id, family, field, v AS value FROM {_RECONCILED}")
+def f16_reconciled_fields(t: Tables) -> DataFrame:
+    rows = reconcile.reconciled(reconcile.field_states(t("source_facts")), t("current_figures"))
+    return rows.select("company_id", "family", "field", F.coalesce(F.col("value_num").cast("double").cast("string"), "value_str", F.array_join("texts", ", ")).alias("value"))
+
+
+_FAMILY = lambda name, fields: f"SELECT company_id, {', '.join(f'max(v) FILTER (field = {x!r}) AS {x}' for x in fields)} FROM {_RECONCILED} WHERE family = '{name}' GROUP BY company_id"
+_RAISING = ("amount_raising", "amount_raised", "pre_money_valuation", "post_money_valuation", "valuation_cap", "instrument", "investor_commitments")
+
+
+def _family(t: Tables, name: str, texts: tuple[str, ...] = ()) -> DataFrame:
+    rows = reconcile.reconciled(reconcile.field_states(t("source_facts")), t("current_figures")).where(F.col("family") == name)
+    wide = reconcile.families(rows).select("company_id", f"{name}.*")
+    return wide.select("company_id", *(F.col(c) if c in texts else F.col(c).cast("double").cast("string").alias(c) for c in wide.columns if c != "company_id"))
+
+
+@query(_FAMILY("financials", _SAFE_FIELDS["financials"].split()))
+def f11_financial_resolution(t: Tables) -> DataFrame:
+    return _family(t, "financials")
+
+
+@query(_FAMILY("fundraising", _RAISING))
+def f12_fundraising(t: Tables) -> DataFrame:
+    return _family(t, "fundraising", ("instrument", "investor_commitments"))
+
+
 @query("""
-SELECT f.company_id, f.field, 'input.' || f.field AS path, count(*)::BIGINT AS n,
- count(*) FILTER (CASE WHEN f.field = 'business_model' THEN list_contains(['saas', 'b2b', 'hardware'], lower(trim(f.value_str))) AND f.company_id % 2 = 0 ELSE f.value_num = f.company_id % 50 END)::BIGINT AS n_preserved
-FROM {facts} f WHERE f.field IN ('revenue', 'business_model') AND f.status = 'fact' GROUP BY 1, 2""")
+WITH d AS (SELECT DISTINCT company_id, field, value_str, value_num, source_document_id, source_name, source_authority, period, section FROM {source_facts} WHERE status = 'fact' AND field NOT IN ('market_description', 'business_model')),
+v AS (SELECT company_id, field, coalesce(value_num::DOUBLE::VARCHAR, trim(value_str)) AS v, coalesce(value_num::VARCHAR, value_str) AS k, count(*) AS n FROM d GROUP BY ALL)
+SELECT company_id, field, sum(n)::BIGINT AS n_facts, count(*)::BIGINT AS n_values, string_agg(v || ' x' || n::VARCHAR, '; ' ORDER BY v, n) AS told FROM v GROUP BY 1, 2 HAVING count(*) > 1""")
+def f16_conflicts(t: Tables) -> DataFrame:
+    found = reconcile.conflicts_of(reconcile.field_states(t("source_facts")))
+    told = F.array_sort(F.transform("values", lambda v: F.struct(F.coalesce(v["text"].try_cast("double").cast("string"), v["text"]).alias("v"), v["n"])))
+    return found.select("company_id", "field", "n_facts", F.size("values").cast("long").alias("n_values"), F.array_join(F.transform(told, lambda v: F.concat(v["v"], F.lit(" x"), v["n"].cast("string"))), "; ").alias("told"))
+
+
+@query(f"""
+SELECT company_id, max(v) FILTER (family = 'financials' AND field = 'revenue') AS revenue, max(v) FILTER (family = 'traction' AND field = 'churn_rate') AS churn_rate, max(v) FILTER (field = 'competitors') AS competitors, max(v) FILTER (field = 'business_model') AS business_model,
+ count(*) FILTER (family = 'fundraising')::BIGINT AS n_fundraising, count(*) FILTER (family = 'market')::BIGINT AS n_market FROM {_RECONCILED} GROUP BY company_id""")
+def f16_families(t: Tables) -> DataFrame:
+    wide = reconcile.families(reconcile.reconciled(reconcile.field_states(t("source_facts")), t("current_figures")))
+    number = lambda c: F.col(c).cast("double").cast("string")
+    known = lambda s: sum((F.col(f"{s}.{f}").isNotNull().cast("long") for f in wide.schema[s].dataType.names), F.lit(0).cast("long"))
+    return wide.select("company_id", number("financials.revenue").alias("revenue"), number("traction.churn_rate").alias("churn_rate"), "market.competitors", "business_model.business_model", known("fundraising").alias("n_fundraising"), known("market").alias("n_market"))
+
+
+#: What stands at the canonical paths: companies by their number have the names of their sources, one more, one less, or nothing.
+_CANONICAL = """(SELECT company_id, 'input.revenue' AS path, ' ' || CAST(company_id % 50 AS STRING) || '.0' AS value_str FROM {facts} WHERE company_id % 7 <> 0 GROUP BY company_id
+ UNION ALL SELECT company_id, 'input.business_model', CASE company_id % 4 WHEN 0 THEN 'b2b, SaaS,hardware ' WHEN 1 THEN 'saas, B2B, hardware, other' WHEN 2 THEN 'SaaS,hardware' ELSE ' Hardware,,b2b , saas,SAAS' END FROM {facts} WHERE company_id % 7 <> 0 GROUP BY company_id)"""
+
+
+@query(f"""
+WITH f AS (SELECT company_id, field, value_str, value_num FROM {{facts}} WHERE field IN ('revenue', 'business_model') AND status = 'fact'),
+s AS (SELECT DISTINCT company_id, trim(lower(value_str)) AS v FROM f WHERE field = 'business_model'), c AS (SELECT DISTINCT company_id, trim(lower(u)) AS v FROM (SELECT company_id, unnest(string_split(value_str, ',')) AS u FROM {_CANONICAL} WHERE path = 'input.business_model') WHERE trim(u) <> ''),
+d AS (SELECT company_id FROM s ANTI JOIN c USING (company_id, v) UNION SELECT company_id FROM c ANTI JOIN s USING (company_id, v))
+SELECT f.company_id, f.field, 'input.' || f.field AS path, count(*)::BIGINT AS n, CASE WHEN f.field = 'business_model' THEN CASE WHEN f.company_id IN (SELECT company_id FROM d) THEN 0 ELSE count(*) END ELSE count(*) FILTER (f.value_num = f.company_id % 50 AND f.company_id % 7 <> 0) END::BIGINT AS n_preserved,
+ CASE WHEN f.field = 'business_model' THEN f.company_id NOT IN (SELECT company_id FROM d) ELSE count(*) FILTER (f.value_num = f.company_id % 50 AND f.company_id % 7 <> 0) > 0 END AS preserved FROM f GROUP BY 1, 2""")
 def f18_canonical_path(t: Tables) -> DataFrame:
     own = t("facts").where("status = 'fact' and field in ('revenue', 'business_model')")
-    companies = t("facts").select("company_id").distinct()
-    models = companies.where("company_id % 2 = 0").select("company_id", F.lit("input.business_model").alias("path"), F.lit("b2b, SaaS,hardware ").alias("value_str"), F.lit(None).cast("decimal(20,4)").alias("value_num"))
-    figures = companies.select("company_id", F.lit("input.revenue").alias("path"), F.format_string(" %d.0", F.col("company_id") % 50).alias("value_str"), F.lit(None).cast("decimal(20,4)").alias("value_num"))
-    paths = own.select("field").distinct().withColumn("path", F.concat(F.lit("input."), F.col("field")))
-    out = facts.preserved(own, models.union(figures), paths)
-    return out.groupBy("company_id", "field", "path").agg(F.count("*").alias("n"), F.count(F.when(F.col("preserved"), 1)).alias("n_preserved"))
+    companies = t("facts").where("company_id % 7 <> 0").select("company_id").distinct()
+    k = F.col("company_id") % 4
+    models = companies.select("company_id", F.lit("input.business_model").alias("path"), F.when(k == 0, "b2b, SaaS,hardware ").when(k == 1, "saas, B2B, hardware, other").when(k == 2, "SaaS,hardware").otherwise(" Hardware,,b2b , saas,SAAS").alias("value_str"))
+    figures = companies.select("company_id", F.lit("input.revenue").alias("path"), F.format_string(" %d.0", F.col("company_id") % 50).alias("value_str"))
+    paths = own.sparkSession.createDataFrame([("revenue", "input.revenue"), ("business_model", "input.business_model")], "field string, path string")
+    return facts.preserved(own, models.union(figures).withColumn("value_num", F.lit(None).cast("decimal(20,4)")), paths)
 
 
 # --- unions and ranges -------------------------------------------------------

@@ -12,6 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Every field that a source may tell of.
+SOURCE_FIELDS = (
+    "revenue gross_sales gross_profit gross_margin ebitda ebitda_margin net_profit cash debt burn_rate runway_months contribution_profit_per_order amount_raised pre_money_valuation post_money_valuation instrument investor_commitments amount_raising raise_amount "
+    "valuation_cap valuation market_description tam sam som market_growth_rate geographic_market competitor revenue_growth_yoy customers paying_customers active_users repeat_customer_rate orders churn_rate customer_acquisition_cost average_order_value "
+    "top_customer_concentration business_model"
+).split()
+
 #: Shapes of answers, written by hand: the text, its object, whether that is a valid answer, and its recommendation.
 ANSWERS = (
     ('{"preliminary_recommendation":"promising","strengths":["a"," b "],"company_overview":" x "}', '{"preliminary_recommendation":"promising","strengths":["a"," b "],"company_overview":" x "}', True, "promising"),
@@ -73,6 +80,20 @@ SELECT company_id, seq, field, value_str, value_num, status, source_document_id,
 UNION ALL
 SELECT o_custkey % 97, o_orderkey + 1000000000, 'revenue', CAST(NULL AS STRING), CAST(CAST(FLOOR(o_totalprice / 250000) AS BIGINT) AS DECIMAL(20,4)), 'fact', CAST(o_custkey AS STRING), 'doc ' || CAST(o_custkey % 5 AS STRING), 'mis', 'FY2020', 'notes', CAST(0.5 AS DOUBLE)
 FROM {orders} WHERE o_orderkey % 24 = 0 AND o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'""",
+    "source_facts": f"""
+SELECT company_id, seq, field, CASE WHEN textual THEN CASE pick WHEN 0 THEN ' SaaS' WHEN 1 THEN 'saas' WHEN 2 THEN 'Hardware' WHEN 3 THEN ' ' ELSE 'B2B ' END END AS value_str, CASE WHEN NOT textual THEN value_num END AS value_num,
+ status, source_document_id, source_name, source_authority, period, section, confidence FROM (
+ SELECT o_custkey % 211 AS company_id, o_orderkey AS seq, f.field, f.field IN ('instrument', 'investor_commitments', 'geographic_market', 'market_description', 'business_model', 'competitor') AS textual, o_custkey % 5 AS pick,
+  CAST(CAST(FLOOR(o_totalprice / 250000) AS BIGINT) AS DECIMAL(20,4)) AS value_num, CASE WHEN o_orderkey % 11 = 0 THEN 'projection' ELSE 'fact' END AS status, CAST(o_custkey % 3 AS STRING) AS source_document_id, 'doc' AS source_name,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'mis' WHEN '2-HIGH' THEN 'transaction_document' WHEN '3-MEDIUM' THEN 'financial_model' WHEN '5-LOW' THEN 'investor_summary' ELSE 'company_document' END AS source_authority,
+  'FY2024' AS period, 'notes' AS section, CAST(o_orderkey % 4 AS DOUBLE) / 4 AS confidence
+ FROM {{orders}} JOIN (SELECT field, k FROM {{numbered_fields}}) f ON f.k = o_orderkey % {len(SOURCE_FIELDS)})""",
+    "numbered_fields": " UNION ALL ".join(f"SELECT '{f}' AS field, {k} AS k" for k, f in enumerate(SOURCE_FIELDS)),
+    "current_figures": """
+SELECT company_id, family, field, CASE WHEN textual THEN NULL ELSE CAST(company_id + 1000 AS DECIMAL(20,4)) END AS value_num, CASE WHEN textual THEN 'current' END AS value_str FROM (
+ SELECT c.company_id, f.family, f.field, f.field IN ('instrument', 'investor_commitments', 'geographic_market', 'market_description', 'business_model') AS textual
+ FROM (SELECT DISTINCT o_custkey % 211 AS company_id FROM {orders}) c JOIN (SELECT 'financials' AS family, 'cash' AS field UNION ALL SELECT 'financials', 'ebitda' UNION ALL SELECT 'fundraising', 'valuation_cap' UNION ALL SELECT 'fundraising', 'amount_raising'
+  UNION ALL SELECT 'fundraising', 'instrument' UNION ALL SELECT 'market', 'tam' UNION ALL SELECT 'market', 'market_description' UNION ALL SELECT 'traction', 'revenue' UNION ALL SELECT 'traction', 'orders' UNION ALL SELECT 'business_model', 'business_model') f ON c.company_id % 3 < 2)""",
     "startups": """
 SELECT s_suppkey AS id, s_name AS name, s_name || ' Ltd' AS legal_name, n_name AS sector, CASE WHEN s_suppkey % 3 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, CAST(1990 + s_suppkey % 40 AS INT) AS founded_year
 FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey""",
