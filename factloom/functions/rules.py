@@ -1,11 +1,4 @@
-"""Keyword rules and their matching: one alternation per rule, whole words, lower case."""
-
-from __future__ import annotations
-
-import re
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+"""Keyword rules: whole words in lower case, in their order."""
 
 # Signal rules (field, value, keywords), in order.
 SIGNALS = (
@@ -68,28 +61,3 @@ SIGNAL_LISTS = ("business_models", "technologies", "geographies", "markets", "th
 RISK_LISTS = ("founder_risks", "financial_risks", "execution_risks", "market_risks", "technology_risks", "legal_risks")
 # What negates the keyword that follows it.
 NEGATED = r"(?:\bnot\s+(?:a\s+|an\s+|the\s+|primarily\s+)?|\b(?:rather\s+than|instead\s+of|versus|vs\.?)\s+(?:a\s+|an\s+)?)$"
-
-
-def whole_word(keywords: tuple[str, ...]) -> str:
-    return rf"(?U)(?<!\w)(?:{'|'.join(map(re.escape, keywords))})(?!\w)"
-
-
-def negated(lowered: Column, word: str) -> Column:
-    """Whether the first place of a keyword is behind a negation."""
-    return F.right(F.element_at(F.split(lowered, word, 2), 1), F.lit(80)).rlike(NEGATED)
-
-
-def rule_holds(lowered: Column, keywords: tuple[str, ...], guarded: bool = False) -> Column:
-    """Whether a keyword stands in the text as a whole word; guarded: one whose first place is not behind a negation."""
-    if not guarded:
-        return lowered.rlike(whole_word(keywords))
-    out = F.lit(False)
-    for k in keywords:
-        word = whole_word((k,))
-        out = out | (lowered.rlike(word) & ~negated(lowered, word))
-    return out
-
-
-def rule_values(lowered: Column, rules: list[tuple[str, Column]]) -> Column:
-    """Sorted distinct values of the rules that hold."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(hold, F.lit(v)) for v, hold in rules)))))

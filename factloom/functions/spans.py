@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,25 @@ def matches(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, zero, step, lambda acc: acc["found"])
 
 
+def line_spans(text: Column) -> Column:
+    """array<struct<start_offset, end_offset>> of the lines of a text, without their ends, in time linear in the text."""
+    kind = pa.list_(pa.struct([("start_offset", pa.int32()), ("end_offset", pa.int32())]))
+
+    def spans(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            if (text := t.as_py()) is None:
+                out.append(pa.nulls(0, kind.value_type))
+                continue
+            sizes = np.fromiter(map(len, text.split("\n")), np.int32)
+            ends = np.cumsum(sizes + 1, dtype=np.int32) - 1
+            out.append(pa.StructArray.from_arrays([pa.array(ends - sizes), pa.array(ends)], names=["start_offset", "end_offset"]))
+        lengths = np.fromiter(map(len, out), np.int32, len(out))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.concat_arrays(out) if out else pa.nulls(0, kind.value_type))
+
+    return F.arrow_udf(spans, "array<struct<start_offset: int, end_offset: int>>")(text)
+
+
 def line_bounds(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """First and last offset (excluded) of the line or lines that a span touches."""
     head = F.substring(text, F.lit(1), start)

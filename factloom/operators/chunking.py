@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.keywords import class_scores
 from factloom.functions.rules import CLASSES, STOP_WORDS
 from factloom.functions.spans import strip
 
@@ -69,9 +70,10 @@ def type_from_title(title: Column) -> Column:
     )
 
 
-def _scores(low: Column) -> Column:
-    score = lambda kws: sum((low.contains(k).cast("int") for k in kws), F.lit(0))
-    return F.array(*(F.struct((-score(kws)).alias("low"), F.lit(i).alias("place"), F.lit(name).alias("name")) for i, (name, kws) in enumerate(CLASSES)))
+def _ranked(scores: Column) -> Column:
+    """The classes that have keywords, the most first."""
+    each = F.transform(scores, lambda n, k: F.struct((-n).alias("low"), k.alias("place"), F.get(F.array(*(F.lit(name) for name, _ in CLASSES)), k).alias("name")))
+    return F.array_sort(F.filter(each, lambda x: x["low"] < 0))
 
 
 def _class_of(ranked: Column) -> Column:
@@ -82,12 +84,10 @@ def _class_of(ranked: Column) -> Column:
 
 def classify(text: Column) -> Column:
     """struct<document_type, secondary, confidence> by the number of keywords that occur anywhere in the text."""
-    return _class_of(F.array_sort(F.filter(_scores(F.lower(text)), lambda x: x["low"] < 0)))
+    return _class_of(_ranked(class_scores(text)))
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """docs with class: classify(text), in steps that lower and score each text once."""
-    own = F.struct("*").alias("row")
-    scored = docs.select(own, F.lower("text").alias("low")).select("row", _scores(F.col("low")).alias("scores"))
-    ranked = scored.select("row", F.array_sort(F.filter("scores", lambda x: x["low"] < 0)).alias("ranked"))
+    """docs with class: classify(text), in steps that scan and rank each text once."""
+    ranked = docs.select(F.struct("*").alias("row"), class_scores(F.col("text")).alias("scores")).select("row", _ranked(F.col("scores")).alias("ranked"))
     return ranked.select("row.*", _class_of(F.col("ranked")).alias("class"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.rules import GUARDED, NEGATED, RISKS, SIGNALS
+from factloom.functions.keywords import RISK, SIGNAL, rule_hits
 from factloom.operators import extraction, joins
 from factloom.operators.money import financial_struct, line_bounds
 
@@ -28,25 +28,6 @@ _label = lambda name: re.compile(rf"^[ \t]*{name}[ \t]*:[ \t]*([^\r\n]*)$", re.I
 _LABELS = [("company_name", [*map(_label, extraction.COMPANY_LABELS)]), *((f, [_label(p)]) for f, p in extraction.ENTITY_LABELS.items())]
 
 
-def _rule_spans(rules: list[tuple[str, str, tuple[str, ...], bool]], single: tuple[str, ...] = ()) -> Callable[[str | None], list[dict]]:
-    """The first keyword, in a rule's order, that stands in a text, for each rule that holds; of single fields the first rule only."""
-    compiled = [(f, v, re.compile(f"(?<!\\w)(?:{'|'.join(map(re.escape, kws))})(?!\\w)"), [re.compile(rf"(?<!\w){re.escape(k)}(?!\w)") for k in kws], guarded) for f, v, kws, guarded in rules]
-    behind = re.compile(NEGATED)
-
-    def spans(text: str | None) -> list[dict]:
-        low, out, done = (text or "").lower(), [], set()
-        for f, v, any_, each, guarded in compiled:
-            if f in done or not any_.search(low):
-                continue
-            m = next((m for k in each if (m := k.search(low)) and not (guarded and behind.search(low[max(0, m.start() - 80) : m.start()]))), None)
-            if m:
-                out.append({"field_name": f, "value": v, "start_offset": m.start(), "end_offset": m.end(), "text": text[slice(*line_bounds(text, *m.span()))]})
-                done |= {f} & set(single)
-        return out
-
-    return spans
-
-
 _SPAN = pa.list_(pa.struct([("field_name", pa.string()), ("value", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("text", pa.string())]))
 _SPAN_DDL = "array<struct<field_name: string, value: string, start_offset: int, end_offset: int, text: string>>"
 
@@ -67,14 +48,19 @@ def entity_evidence(docs: DataFrame) -> DataFrame:
     return _by_rules(docs, "entities", _label_spans)
 
 
+def _rule_evidence(docs: DataFrame, extractor: str, kind: int) -> DataFrame:
+    found = F.filter(rule_hits(F.col("text"), lines=True), lambda h: h["kind"] == kind)
+    return _in_chunks(docs.select("doc_id", F.inline(found), F.char_length("text").alias("n")), extractor)
+
+
 def signal_evidence(docs: DataFrame) -> DataFrame:
     """The first keyword behind each signal; of stages only the one that is the result."""
-    return _by_rules(docs, "signals", _rule_spans([(f, v, k, (f, v) in GUARDED) for f, v, k in SIGNALS], single=("stage",)))
+    return _rule_evidence(docs, "signals", SIGNAL)
 
 
 def risk_evidence(docs: DataFrame) -> DataFrame:
     """The first keyword behind each risk."""
-    return _by_rules(docs, "risks", _rule_spans([(f, v, k, False) for f, v, _, k in RISKS]))
+    return _rule_evidence(docs, "risks", RISK)
 
 
 def financial_evidence(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.rules import GUARDED, RISK_LISTS, RISKS, SIGNAL_LISTS, SIGNALS, rule_holds, rule_values
+from factloom.functions.keywords import RISK, SIGNAL, rule_hits
+from factloom.functions.rules import RISK_LISTS, SIGNAL_LISTS
 from factloom.functions.spans import fold, squeeze
 from factloom.operators.chunking import document_title, sections, type_from_title
 from factloom.operators.money import financial_struct
@@ -24,24 +25,30 @@ def financials(docs: DataFrame) -> DataFrame:
     return docs.withColumn("financials", financial_struct(F.col("text")))
 
 
+def _of_kind(hits: Column, kind: int) -> Column:
+    return F.filter(hits, lambda h: h["kind"] == kind)
+
+
+def _values(hits: Column, field: str) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(F.filter(hits, lambda h: h["field_name"] == field), lambda h: h["value"])))
+
+
+def _sure(hits: Column) -> Column:
+    return F.least(F.lit(1.0), F.lit(0.25) + F.size(hits) * F.lit(0.08)).alias("confidence")
+
+
 def signals(text: Column) -> Column:
     """struct of stage, six sorted value lists and confidence."""
-    lowered = F.lower(text)
-    hold = [(f, v, rule_holds(lowered, k, (f, v) in GUARDED)) for f, v, k in SIGNALS]
-    lists = {name: rule_values(lowered, [(v, h) for f, v, h in hold if f == name]) for name in SIGNAL_LISTS}
-    stage = F.coalesce(*(F.when(h, F.lit(v)) for f, v, h in hold if f == "stage"))
-    total = stage.isNotNull().cast("int") + sum((F.size(x) for x in lists.values()), F.lit(0))
-    return F.struct(stage.alias("stage"), *(x.alias(n) for n, x in lists.items()), F.least(F.lit(1.0), F.lit(0.25) + total * F.lit(0.08)).alias("confidence"))
+    hits = _of_kind(rule_hits(text), SIGNAL)
+    stage = F.get(F.filter(hits, lambda h: h["field_name"] == "stage"), F.lit(0))["value"]
+    return F.struct(stage.alias("stage"), *(_values(hits, n).alias(n) for n in SIGNAL_LISTS), _sure(hits))
 
 
 def risks(text: Column) -> Column:
     """struct of six sorted risk lists, the severity of each risk found, and confidence."""
-    lowered = F.lower(text)
-    hold = [(f, v, s, rule_holds(lowered, k)) for f, v, s, k in RISKS]
-    lists = {name: rule_values(lowered, [(v, h) for f, v, _, h in hold if f == name]) for name in RISK_LISTS}
-    severity = F.map_from_entries(F.array_compact(F.array(*(F.when(h, F.struct(F.lit(v), F.lit(s))) for _, v, s, h in hold))))
-    total = sum((F.size(x) for x in lists.values()), F.lit(0))
-    return F.struct(*(x.alias(n) for n, x in lists.items()), severity.alias("severity"), F.least(F.lit(1.0), F.lit(0.25) + total * F.lit(0.08)).alias("confidence"))
+    hits = _of_kind(rule_hits(text), RISK)
+    severity = F.map_from_entries(F.transform(hits, lambda h: F.struct(h["value"], h["severity"])))
+    return F.struct(*(_values(hits, n).alias(n) for n in RISK_LISTS), severity.alias("severity"), _sure(hits))
 
 
 def entities(text: Column) -> Column:
@@ -65,7 +72,11 @@ def metadata(title: Column, text: Column) -> Column:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, metadata, entities, financials, signals, risks, confidence): one row per document."""
+    """(doc_id, metadata, entities, financials, signals, risks, confidence): one row per document.
+
+    Financial fields and keyword rules are each one pass of a Python worker over
+    the text; the structs follow from what they found.
+    """
     out = financials(docs).withColumns({"metadata": metadata(F.col("title"), F.col("text")), "entities": entities(F.col("text")), "signals": signals(F.col("text")), "risks": risks(F.col("text"))})
     return out.select("doc_id", *COMPONENTS, profile_confidence().alias("confidence"))
 

@@ -38,12 +38,24 @@ def reconcile_names(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return out.select("id", "name", F.when(F.col("_n") > 1, "error").when(F.col("_old"), "reused").otherwise("created").alias("outcome"))
 
 
-def overlapping(chunks: DataFrame, segments: DataFrame) -> DataFrame:
-    """(doc_id, idx, seg_idx): chunks and segments that share a character; touching is not sharing. A hash join on
-    doc_id with the range as its residual."""
-    c, s = chunks.alias("c"), segments.alias("s")
-    on = (F.col("c.doc_id") == F.col("s.doc_id")) & (F.col("c.start_offset") < F.col("s.end_offset")) & (F.col("c.end_offset") > F.col("s.start_offset"))
-    return c.join(s, on).select("c.doc_id", "c.idx", F.col("s.idx").alias("seg_idx"))
+def overlapping(chunks: DataFrame, segments: DataFrame, width: int = 8192) -> DataFrame:
+    """(doc_id, idx, seg_idx): chunks and segments that share a character; touching is not sharing, an empty segment
+    shares what lies around it.
+
+    An interval join by offset bins: both sides go to every bin of ``width``
+    characters that they reach into, so one long document spreads over tasks
+    and its work is linear in its length; a pair counts in the bin where the
+    later of the two begins.
+    """
+
+    def binned(df: DataFrame, name: str) -> DataFrame:
+        to = lambda c: F.floor(c / width)
+        bins = F.sequence(to(F.col("start_offset")), to(F.greatest("start_offset", F.col("end_offset") - 1)))
+        return df.select("doc_id", F.col("idx").alias(name), F.col("start_offset").alias(f"{name}_from"), F.col("end_offset").alias(f"{name}_to"), F.explode(bins).alias("bin"))
+
+    met = binned(chunks, "idx").join(binned(segments, "seg_idx"), ["doc_id", "bin"])
+    shared = (F.col("idx_from") < F.col("seg_idx_to")) & (F.col("idx_to") > F.col("seg_idx_from"))
+    return met.where(shared & (F.floor(F.greatest("idx_from", "seg_idx_from") / width) == F.col("bin"))).select("doc_id", "idx", "seg_idx")
 
 
 def chunks_of_range(ranges: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,19 +29,67 @@ def normalise(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") / n))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.0, block: int = 1000) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    lists = column.combine_chunks()
+    values = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = pc.unique(pc.list_value_length(lists)).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError("vectors differ in length")
+    return values.reshape(len(lists), sizes[0] if sizes else 0)
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row dot products, summed from the first entry on, so that equal vectors give equal sums wherever they stand."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.0, block: int = 4096) -> DataFrame:
     """(query_id, pos, similarity, rank): per query the k most similar vectors at or above the threshold, ties by position.
 
-    A stated query set is held against all vectors: queries are cut into blocks
-    of bounded size, and a task sees the vectors of one split against one block.
-    Each split keeps its own k best of a query before anything is shuffled.
+    A stated query set is held against all vectors as a product of blocked
+    matrices: each task has one block of queries and one of vectors, of bounded
+    size whatever the tables, multiplies them tile by tile and keeps a query's k
+    best (with what is within rounding of the last, which is then summed in
+    order); the bests of all blocks meet in a window that each task limits to k
+    before the shuffle.  Null embeddings are left out.
     """
-    q = queries.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_nq"))
-    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))).alias("_block")).agg(F.collect_list(F.struct("query_id", "_q", "_nq")).alias("_queries"))
-    v = vectors.select("pos", F.col("embedding").alias("_v"), norm(F.col("embedding")).alias("_nv"))
-    met = v.crossJoin(blocks)
-    found = F.transform("_queries", lambda x: F.struct(x["query_id"].alias("query_id"), F.when((x["_nq"] == 0) | (F.col("_nv") == 0), 0.0).otherwise(_dot(x["_q"], F.col("_v")) / (x["_nq"] * F.col("_nv"))).alias("similarity")))
-    hits = met.select("pos", F.inline(F.filter(found, lambda x: x["similarity"] >= threshold)))
+    n_q, n_v = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    q = queries.where("embedding is not null").select(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("_v"), "query_id", "embedding")
+    v = vectors.where("embedding is not null").select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("_q"), F.pmod(F.xxhash64("pos"), F.lit(n_v)).alias("_v"), "pos", "embedding")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            a, b = _matrix(left.column("embedding")), _matrix(right.column("embedding"))
+            if a.shape[1] != b.shape[1]:
+                raise ValueError("vectors differ in length")
+            pos = right.column("pos").to_numpy()
+            na, nb = np.sqrt(_in_order(a, a)), np.sqrt(_in_order(b, b))
+            ua, ub = (np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0) for m, n in ((a, na), (b, nb)))
+            for at in range(0, len(a), 256):
+                rough = ua[at : at + 256] @ ub.T
+                least = np.full(len(rough), threshold - 1e-9)
+                if len(b) > k:
+                    least = np.maximum(least, np.partition(rough, len(b) - k, axis=1)[:, len(b) - k] - 1e-9)
+                x, y = np.nonzero(rough >= least[:, None])
+                x += at
+                down = na[x] * nb[y]
+                exact = np.divide(_in_order(a[x], b[y]), down, out=np.zeros(len(x)), where=down > 0)
+                order = np.lexsort((pos[y], -exact, x))
+                x, y, exact = x[order], y[order], exact[order]
+                first = np.flatnonzero(np.append(True, np.diff(x) > 0)) if len(x) else np.zeros(0, np.int64)
+                place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+                keep = (place < k) & (exact >= threshold)
+                found.append((x[keep], pos[y[keep]], exact[keep]))
+        x, p, s = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([left.column("query_id").take(pa.array(x, pa.int64())), pa.array(p, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "pos", "similarity"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    hits = q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInArrow(best, f"query_id {kind}, pos long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pos")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -235,14 +235,9 @@ WITH seg AS (SELECT doc_id, i - 1 AS seg_idx, coalesce(sum(length(x) + 1) OVER (
 SELECT c.doc_id, c.idx::BIGINT AS idx, seg.seg_idx::BIGINT AS seg_idx FROM {_CHUNKS} c JOIN seg ON seg.doc_id = c.doc_id AND c.s < seg.s + seg.n AND c.e > seg.s""")
 def j5_segment_overlap(t: Tables) -> DataFrame:
     docs = _docs(t)
-    lines = docs.select("doc_id", F.transform(spans.matches(F.col("text"), r"[^\n]*\n?"), lambda m: m).alias("m"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "x"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("x") + 1).over(w), F.lit(0))
-    segments = lines.select("doc_id", "idx", start.alias("start_offset"), (start + F.char_length("x")).alias("end_offset"))
-    return joins.overlapping(chunking.chunk_text(docs), segments).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("seg_idx").cast("long").alias("seg_idx"))
+    segments = docs.select("doc_id", F.posexplode(spans.line_spans(F.col("text"))).alias("idx", "s")).select("doc_id", "idx", "s.start_offset", "s.end_offset")
+    out = joins.overlapping(chunking.chunk_text(docs), segments)
+    return out.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("seg_idx").cast("long").alias("seg_idx"))
 
 
 @query(f"""
@@ -375,10 +370,11 @@ def x13_signals(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, lower(text) AS t FROM {{memos}}), r AS (SELECT doc_id, {", ".join(_sorted_list([(v, _holds(k)) for f, v, _, k in rules.RISKS if f == n]) + f" AS {n}" for n in rules.RISK_LISTS)} FROM l)
+WITH l AS (SELECT doc_id, lower(text) AS t FROM {{memos}}), r AS (SELECT doc_id, {", ".join(_sorted_list([(v, _holds(k)) for f, v, _, k in rules.RISKS if f == n]) + f" AS {n}" for n in rules.RISK_LISTS)}, {_sorted_list([(f"{v}={s}", _holds(k)) for _, v, s, k in rules.RISKS])} AS severity FROM l)
 SELECT *, round(least(1.0, 0.25 + 0.08 * ({" + ".join(f"(CASE WHEN {n} = '' THEN 0 ELSE len(string_split({n}, '|')) END)" for n in rules.RISK_LISTS)})), 6)::DOUBLE AS confidence FROM r""")
 def x17_risks(t: Tables) -> DataFrame:
-    return t("memos").select("doc_id", extraction.risks(F.col("text")).alias("r")).select("doc_id", *(F.array_join(f"r.{n}", "|").alias(n) for n in rules.RISK_LISTS), _num("r.confidence"))
+    severity = F.array_join(F.array_sort(F.transform(F.map_entries("r.severity"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return t("memos").select("doc_id", extraction.risks(F.col("text")).alias("r")).select("doc_id", *(F.array_join(f"r.{n}", "|").alias(n) for n in rules.RISK_LISTS), severity.alias("severity"), _num("r.confidence"))
 
 
 _TITLE = "coalesce(title, string_split(text, chr(10))[1])"

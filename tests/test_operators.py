@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import parsers, rules, spans
-from factloom.operators import answers, chunking, evidence, extraction, facts, joins, maintenance, prompts, registry, vectors
+from factloom.operators import answers, chunking, evidence, extraction, facts, joins, maintenance, prompts, reconcile, registry, vectors
 from factloom.plans.derived import ANSWERS
 from factloom.sources import documents
 
@@ -121,6 +121,86 @@ def test_cosine(spark):
         bad.select(vectors.cosine(F.col("a"), F.col("b"))).collect()
 
 
+def test_top_k_ties_threshold_and_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    m = r.integers(-3, 4, (300, 8)).astype(float)
+    m[100:140] = m[7]  # ties, by position
+    m[50] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None)], "pos long, embedding array<double>")
+    q = rows.where("pos % 20 = 7 or pos = 50 or pos = 999").withColumnRenamed("pos", "query_id")
+    got = vectors.top_k(q, rows, k=7, threshold=0.25, block=37).orderBy("query_id", "rank").collect()
+    want = []
+    for i in sorted(r_.query_id for r_ in q.where("embedding is not null").collect()):
+        sims = [(-(sum(a * b for a, b in zip(m[i], v)) / d) if (d := (sum(a * a for a in m[i]) ** 0.5) * (sum(b * b for b in v) ** 0.5)) else 0.0, p) for p, v in enumerate(m)]
+        want += [(i, p, n + 1) for n, (s, p) in enumerate(sorted(x for x in sims if -x[0] >= 0.25)[:7])]
+    assert [(x.query_id, x.pos, x["rank"]) for x in got] == want
+    one = spark.createDataFrame([(1, [3.0, 4.0])], "pos long, embedding array<double>")
+    assert vectors.top_k(one.withColumnRenamed("pos", "query_id"), one, threshold=1.0).count() == 1  # equal to the threshold
+    with pytest.raises(Exception, match="differ in length"):
+        vectors.top_k(one.withColumnRenamed("pos", "query_id"), spark.createDataFrame([(1, [3.0])], "pos long, embedding array<double>")).collect()
+    plan = vectors.top_k(q, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Broadcast" not in plan
+
+
+def test_a_document_of_very_many_lines_meets_its_chunks(spark):
+    lines = 1_000_000
+    docs = spark.createDataFrame([(1, "ab\n" * lines), (2, ""), (3, None), (4, "x" * 30_000 + "\n\ny")], "doc_id long, text string")
+    segments = docs.select("doc_id", F.posexplode(spans.line_spans(F.col("text"))).alias("idx", "s")).select("doc_id", "idx", "s.*")
+    assert segments.where("doc_id = 1").count() == lines + 1
+    chunks = chunking.chunk_text(docs)
+    found = joins.overlapping(chunks, segments)
+    at = {r.doc_id: r["n"] for r in found.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    step = [(k * 800, min(k * 800 + 1000, 3 * lines)) for k in range(-(-(3 * lines - 1000) // 800) + 1)]
+    assert at[1] == sum(min(lines, -(-e // 3)) - s // 3 - (1 if s % 3 == 2 else 0) + 0 for s, e in step)
+    tail = [(s, min(s + 1000, 30_003)) for s in range(0, 30_003, 800) if s == 0 or s + 200 < 30_003]
+    want = sum((s < e2 and e > s2) for s, e in tail for s2, e2 in ((0, 30_000), (30_001, 30_001), (30_002, 30_003)))
+    assert at[4] == want and found.distinct().count() == found.count()
+
+
+GOLDEN = [  # written by hand: text, stage, lists that are not empty, risks with their severities
+    ("Pre-seed SaaS for hospital payment, not a consumer app. CCTV in Bengaluru; solo founder, burn rate.", "pre_seed", {"business_models": ["saas"], "industry": ["fintech", "healthcare"], "geographies": ["india"], "markets": ["surveillance"], "themes": ["surveillance"]}, {"solo_founder": "high", "high_burn": "high"}),
+    ("A prototype; seed round. RISC-V SoC, edge AI! No revenue, FDA", "idea", {"industry": ["semiconductor"], "technologies": ["ai"], "themes": ["edge_ai"]}, {"prototype_stage": "high", "pre_revenue": "medium", "regulatory_approval": "high"}),
+    ("Enterprise buyers rather than end users; socks, chips, aim.", None, {"business_models": ["b2b"], "markets": ["enterprise"]}, {}),
+    ("consumer first, then not consumer\nkey hires", None, {"business_models": ["b2c"], "markets": ["consumer"]}, {"hiring_dependency": "medium"}),
+    ("\u0130 not a consumer; LLM_x llm", None, {"technologies": ["ai"], "themes": ["ai"]}, {}),
+    ("", None, {}, {}),
+]
+
+
+def test_golden_signals_and_risks(spark):
+    rows = spark.createDataFrame([(k, g[0]) for k, g in enumerate(GOLDEN)], "k int, t string")
+    for r in rows.select("k", extraction.signals(F.col("t")).alias("s"), extraction.risks(F.col("t")).alias("r")).collect():
+        _, stage, lists, found = GOLDEN[r.k]
+        assert (r.s.stage, {n: r.s[n] for n in rules.SIGNAL_LISTS if r.s[n]}, r.r.severity) == (stage, lists, found), GOLDEN[r.k]
+        assert round(r.s.confidence, 6) == round(min(1, 0.25 + 0.08 * ((stage is not None) + sum(map(len, lists.values())))), 6)
+        assert round(r.r.confidence, 6) == round(min(1, 0.25 + 0.08 * len(found)), 6)
+    text = GOLDEN[4][0]
+    spans_ = evidence.signal_evidence(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert {text[x.start_offset : x.end_offset] for x in spans_} == {"llm"}
+
+
+def test_reconcile_aliases_conflicts_and_current(spark):
+    rows = [
+        fact(1, "amount_raising", "5", "company_document"), fact(2, "raise_amount", "7"),  # no field of its own is in conflict: the better source
+        fact(3, "valuation_cap", "30"), fact(4, "valuation", "40"), fact(5, "valuation", "50"),  # the alias is in conflict: the own field stays
+        fact(6, "revenue", "1"), fact(7, "revenue", "2"), fact(8, "ebitda", "3", "investor_summary", confidence=None), fact(9, "ebitda", "3.0"),
+        fact(10, "tam", "10", "company_document"), fact(11, "tam", "20", "transaction_document"), fact(12, "cash", "9", status="projection"),
+        fact(13, "business_model", None, text=" B2B "), fact(14, "business_model", None, text="b2b"), fact(15, "business_model", None, text="Marketplace"), fact(16, "competitor", None, text="X"), fact(17, "competitor", None, text="x "),
+    ]
+    df = spark.createDataFrame(rows, FACTS)
+    current = spark.createDataFrame([(1, "financials", "revenue", D(99), None), (1, "financials", "cash", D(5), None), (1, "market", "tam", D(1), None), (1, "fundraising", "valuation_cap", D(2), None), (2, "financials", "debt", D(4), None)], "company_id long, family string, field string, value_num decimal(20,4), value_str string")
+    told = lambda d: {(r.company_id, r.family, r.field): r.value_num if r.value_num is not None else r.texts or r.value_str for r in reconcile.reconciled(reconcile.field_states(d), current).collect()}
+    want = {(1, "fundraising", "amount_raising"): D(7), (1, "fundraising", "valuation_cap"): D(30), (1, "financials", "revenue"): D(99), (1, "traction", "revenue"): None, (1, "financials", "ebitda"): D(3), (1, "market", "tam"): D(20),
+            (1, "financials", "cash"): D(5), (1, "business_model", "business_model"): "B2B, Marketplace", (1, "market", "competitors"): ["X"], (2, "financials", "debt"): D(4)}
+    assert told(df) == {k: v for k, v in want.items() if v is not None}
+    signed = df.union(spark.createDataFrame([fact(20, "pre_money_valuation", "8", "transaction_document")], FACTS))
+    assert (1, "fundraising", "valuation_cap") not in told(signed) and told(signed)[1, "fundraising", "pre_money_valuation"] == 8
+    assert {r.field: r.n_facts for r in reconcile.conflicts_of(reconcile.field_states(df)).collect()} == {"revenue": 2, "valuation": 2, "tam": 2, "competitor": 2}
+    assert sum("source_document_id" in x for x in re.findall(r"Exchange hashpartitioning.*", reconcile.field_states(df)._jdf.queryExecution().executedPlan().toString())) == 1  # facts themselves move once
+
+
 def test_budget_stops_at_the_first_overflow(spark):
     hits = spark.createDataFrame([("q", 1, 0.9, "a", "c", "xxxx"), ("q", 2, 0.8, "a", "c", ""), ("q", 3, 0.7, "b", "c", "xxxxxxxx"), ("q", 4, 0.6, "b", "c", "x")], "query_id string, pos long, similarity double, document_id string, chunk_id string, text string")
     assert [r.pos for r in vectors.budget(hits, 10).collect()] == [1]
