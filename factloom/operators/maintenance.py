@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import written
+
 
 def insert_unique(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(inserted, rejected): trimmed keys that are new, the first of each; a null or empty key never clashes."""
@@ -50,12 +52,61 @@ def cascade(deleted: DataFrame, tree: list[tuple[DataFrame, str, str]]) -> list[
     return left
 
 
+def cascade_closure(deleted: DataFrame, references: DataFrame) -> DataFrame:
+    """(name, id): the deleted rows (name, id) of tables and all that goes with them, over references of any depth.
+
+    references (name, id, parent_name, parent_id) has a row for each foreign
+    key, also those of a table to itself; they lead to no circle.  A recursive
+    query: each level joins what the level before it removed.
+    """
+    return deleted.sparkSession.sql(
+        """WITH RECURSIVE gone(name, id) AS (
+             SELECT name, id FROM {deleted}
+             UNION ALL SELECT r.name, r.id FROM gone g JOIN {references} r ON r.parent_name = g.name AND r.parent_id = g.id)
+           SELECT DISTINCT name, id FROM gone""",
+        deleted=deleted,
+        references=references,
+    )
+
+
+# The least and greatest length of a document's and a company's texts, and the least of its numbers.
+DOCUMENT_LENGTHS = {"title": (1, 255), "description": (0, 2000), "filename": (1, 255), "original_filename": (1, 255), "mime_type": (1, 100), "file_hash": (1, 128), "storage_path": (1, 1024)}
+COMPANY_LENGTHS = {"name": (1, 255), "legal_name": (0, 255), "sector": (0, 100), "industry": (0, 100), "website": (0, 255), "headquarters": (0, 255)}
+LEAST = {"file_size": 0, "version": 1}
+
+
+def limits(columns: list[str], lengths: dict[str, tuple[int, int]]) -> dict[str, Column]:
+    """The checks of the columns there are, by column."""
+    checks = {c: F.char_length(c).between(*lengths[c]) for c in columns if c in lengths}
+    return checks | {c: F.col(c) >= n for c, n in LEAST.items() if c in columns}
+
+
+def accept_and_reject(rows: DataFrame, checks: dict[str, Column], name: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(accepted, rejected, counts): rows that pass all checks, the rest with their violations, and how many each check rejects.
+
+    One pass: both sides are written to the shared folder, apart from each
+    other, while the counts are observed.
+    """
+    seen = Observation(name)
+    counted = [F.count_if(F.array_contains("violations", c)).alias(f"bad_{c}") for c in checks]
+    judged = rows.withColumn("violations", violations(checks)).withColumn("accepted", F.size("violations") == 0)
+    judged = judged.observe(seen, F.count("*").alias("rows"), F.count_if("accepted").alias("accepted"), *counted)
+    both = written(judged, name, "accepted")
+    told = {k.removeprefix("bad_"): v for k, v in seen.get.items()}
+    return both.where("accepted").drop("accepted", "violations"), both.where("not accepted").drop("accepted"), told
+
+
 def violations(checks: dict[str, Column]) -> Column:
     """Names of the checks that do not hold; a check that is null holds."""
     return F.array_compact(F.array(*(F.when(~c, F.lit(name)) for name, c in checks.items())))
 
 
 def resolve_enum(value: Column, values: dict[str, str]) -> Column:
-    """A member by its value, else by its name in upper case, else null."""
+    """A member by its value, else by its name in upper case; null stays null, and anything else is an error."""
     by_name = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
-    return F.when(value.isin(*values.values()), value).otherwise(F.element_at(by_name, F.upper(value)))
+    known = F.when(value.isin(*values.values()), value).otherwise(F.element_at(by_name, F.upper(value)))
+    return F.when(value.isNotNull(), F.coalesce(known, F.raise_error(F.concat(F.lit("not a member: "), value)).cast("string")))
+
+
+def is_member(value: Column, values: dict[str, str]) -> Column:
+    return value.isin(*values.values()) | F.upper(value).isin(*values)

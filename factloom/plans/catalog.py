@@ -719,7 +719,8 @@ def t6_row_validation(t: Tables) -> DataFrame:
 
 @query("SELECT id, CASE lower(document_type) WHEN 'economy' THEN 'economy class' WHEN 'standard' THEN 'standard class' END AS resolved FROM {files}")
 def t7_enum_resolution(t: Tables) -> DataFrame:
-    return t("files").select("id", maintenance.resolve_enum(F.lower("document_type"), {"ECONOMY": "economy class", "STANDARD": "standard class"}).alias("resolved"))
+    values, kind = {"ECONOMY": "economy class", "STANDARD": "standard class"}, F.lower("document_type")
+    return t("files").select("id", F.when(maintenance.is_member(kind, values), maintenance.resolve_enum(kind, values)).alias("resolved"))
 
 
 # --- more rows of the inventory ------------------------------------------------

@@ -109,6 +109,14 @@ FROM {part}""",
 SELECT o_orderkey AS id, o_custkey AS startup_id, CASE WHEN o_orderkey % 3 = 0 THEN 'deep' ELSE 'standard' END AS mode, o_orderstatus AS status, CASE o_orderpriority WHEN '1-URGENT' THEN 'promising' WHEN '2-HIGH' THEN 'concerns' WHEN '3-MEDIUM' THEN 'needs_further_diligence' ELSE 'insufficient_information' END AS recommendation, o_orderdate AS created_at, 'x' AS input_snapshot FROM {orders}""",
     "rounds": """
 SELECT l_orderkey * 10 + l_linenumber AS round_id, l_orderkey AS startup_id, CASE WHEN l_linestatus = 'O' AND l_quantity > 30 THEN 'OPEN' ELSE 'CLOSED' END AS status FROM {lineitem}""",
+    "investments": """
+SELECT event_id AS id, event_id % 2000 AS round_id, CASE WHEN event_id % 3 = 0 AND event_id > 0 THEN CAST(FLOOR(event_id / 3) AS BIGINT) END AS follows FROM {events}""",
+    "references": """
+SELECT 'founder' AS name, id, 'company' AS parent_name, startup_id AS parent_id FROM {founders}
+UNION ALL SELECT 'file', id, 'company', startup_id FROM {files}
+UNION ALL SELECT 'round', round_id, 'company', startup_id FROM {rounds}
+UNION ALL SELECT 'investment', id, 'round', round_id * 10 + 1 FROM {investments}
+UNION ALL SELECT 'investment', id, 'investment', follows FROM {investments} WHERE follows IS NOT NULL""",
     "vectors": """
 SELECT vec_id AS pos, 'd' || CAST(vec_id % 50 AS STRING) AS document_id, 'c' || CAST(vec_id % 7 AS STRING) AS chunk_id, 'passage ' || CAST(vec_id % 90 AS STRING) AS text, embedding FROM {embeddings}""",
     "queries": """

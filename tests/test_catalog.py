@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from factloom.plans import catalog, catalog_more  # noqa: F401 - the second adds to the first
+from factloom.plans import catalog, catalog_more, catalog_writes  # noqa: F401 - the others add to the first
 from factloom.plans.derived import GIVEN
 
 SF = "/root/testdata/sf0.001"

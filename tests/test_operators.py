@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import parsers, rules, spans
-from factloom.operators import answers, chunking, evidence, extraction, facts, joins, maintenance, prompts, reconcile, registry, vectors
+from factloom.operators import answers, bloom, chunking, evidence, extraction, facts, joins, maintenance, prompts, reconcile, registry, vectors
 from factloom.plans.derived import ANSWERS
 from factloom.sources import documents
 
@@ -259,6 +259,51 @@ def test_registry_keeps_the_first(spark):
     assert df.first().embedding == [2.0]
 
 
+def test_the_filter_keeps_new_keys_out_of_the_exchange(spark):
+    known = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    incoming = spark.range(15_000, 60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("k")).union(spark.createDataFrame([(-1, None)], "id long, k string"))
+    maybe, new = bloom.split_by_key(incoming, known, "k")
+    assert 5_000 <= maybe.count() < 5_000 + 800 and maybe.where("id < 20000").count() == 5_000  # none known is lost, few others pass
+    out = bloom.unknown_rows(incoming, known, "k")
+    assert (out.count(), out.agg(F.min("id")).first()[0], out.where("id between 15000 and 19999").count()) == (40_001, -1, 0)
+    empty = bloom.unknown_rows(incoming, known.limit(0), "k")
+    assert empty.count() == 45_001
+    plan = re.sub(r"\n\nSubqueries.*", "", out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")), flags=re.S)
+    assert plan.index("Filter", plan.index("LeftAnti")) > plan.index("LeftAnti")  # below the join, before its exchange
+
+
+def test_cascade_reaches_every_level(spark):
+    refs = spark.createDataFrame([("b", 1, "a", 1), ("c", 5, "b", 1), ("c", 6, "c", 5), ("c", 7, "c", 6), ("c", 7, "b", 1), ("c", 8, "b", 2)] + [("d", k + 1, "d", k) for k in range(30)] + [("d", 0, "c", 7)], "name string, id long, parent_name string, parent_id long")
+    got = maintenance.cascade_closure(spark.createDataFrame([("a", 1)], "name string, id long"), refs).collect()
+    assert sorted(map(tuple, got)) == sorted([("a", 1), ("b", 1), ("c", 5), ("c", 6), ("c", 7)] + [("d", k) for k in range(31)])
+
+
+def test_accepted_and_rejected_rows_and_their_counts(spark):
+    rows = spark.createDataFrame([(1, "ok", 0), (2, "", 5), (3, "x" * 256, -1), (4, None, None), (5, "x" * 255, 3)], "id int, title string, file_size int")
+    good, bad, counts = maintenance.accept_and_reject(rows, maintenance.limits(rows.columns, maintenance.DOCUMENT_LENGTHS), "test")
+    assert sorted(r.id for r in good.collect()) == [1, 4, 5] and good.columns == rows.columns
+    assert {r.id: r.violations for r in bad.collect()} == {2: ["title"], 3: ["title", "file_size"]}
+    assert counts == {"rows": 5, "accepted": 3, "title": 2, "file_size": 1}
+
+
+def test_an_unknown_member_is_an_error(spark):
+    df = spark.createDataFrame([("seed",), ("SEED round",), (None,)], "v string")
+    values = {"SEED": "SEED round"}
+    assert [r[0] for r in df.select(maintenance.resolve_enum(F.col("v"), values)).collect()] == ["SEED round", "SEED round", None]
+    with pytest.raises(Exception, match="not a member: other"):
+        spark.createDataFrame([("other",)], "v string").select(maintenance.resolve_enum(F.col("v"), values)).collect()
+
+
+def test_evidence_of_a_custom_extractor(spark):
+    x = registry.Extractors()
+    x.add("years", lambda df: F.regexp_count("text", F.lit("20[0-9]{2}")), F.col("doc_id") > 0)
+    with pytest.raises(KeyError):
+        x.add_evidence("other", lambda text: ())
+    x.add_evidence("years", lambda text: (("year", m.start(), m.end()) for m in re.finditer("20[0-9]{2}", text)))
+    docs = spark.createDataFrame([(0, "2001"), (1, "in 2024, 2025"), (2, None), (3, "none")], "doc_id int, text string")
+    assert sorted(map(tuple, x.evidence(docs).collect())) == [(1, "years", "year", 3, 7, "2024"), (1, "years", "year", 9, 13, "2025")]
+
+
 def test_patch_null_is_a_change(spark):
     rows = spark.createDataFrame([(1, "a", 2), (2, "b", 3)], "id int, name string, n int")
     p = spark.createDataFrame([(1, "name", None), (2, "n", "9")], "id int, column string, value string")
