@@ -13,14 +13,15 @@ The order decides on cost alone; any order gives the same links.
 1. Classes of one prefix and size are one group; groups meet by the shingles
    of their prefixes.  Shingles that the same groups share are one bucket.
 2. Each group meets two pivots of each of its buckets, and each class the first
-   of its group, where size and places in the prefixes leave 0.9 possible;
-   pairs of classes are verified on full sets and joined to components.
-3. Buckets that still hold several components are expanded to their classes:
-   those of different components are compared by parity bitmaps (bit h of a set
-   is the parity of its shingles of hash h; two bitmaps differ in no more bits
-   than the sets in shingles, so a pair with too many is surely unlike).  What
-   passes is verified in a forest per bucket; a bucket in which some pair of the
-   forest failed gives all its open pairs in a last round.
+   of its group, where size and places in the prefixes leave 0.9 possible.
+   Pairs are filtered by parity bitmaps (bit h of a set is the parity of its
+   shingles of hash h; two bitmaps differ in no more bits than the sets in
+   shingles, so a pair with too many is surely unlike); what passes is verified
+   on full sets and joined to components.
+3. Buckets that still hold several components are expanded to their classes,
+   and those of different components are compared by bitmap.  What passes is
+   verified in a forest per bucket; a bucket in which some pair of the forest
+   failed gives all its open pairs in a last round.
 
 No link is lost, copies are never expanded, and no bucket is held by one task:
 large ones are compared in pairs of blocks.  The last two rounds are quadratic
@@ -56,11 +57,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def least_overlap(n: int, m: int, percent: int) -> int:
-    """The least intersection of sets of n and m with 100 * intersection >= percent * union."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def _signed(h: int) -> int:
     return h - (1 << 63)
 
@@ -114,7 +110,7 @@ def shingle_counts(profiled: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(class, group, n, prefix) of docs (text), rarest shingles first; a task gives each class once."""
+    """(class, group, n, prefix, level, bits) of docs (text), rarest shingles first; a task gives each class once."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,18 +124,35 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
                         continue
                     seen.add(cls)
                     first = s[np.lexsort((s, rare[(s >> _SHIFT).astype(np.int64)]))[: prefix_length(len(s), percent)]]
-                    rows.append((cls, _signed(xxhash.xxh3_64_intdigest(first.tobytes(), len(s))), len(s), first.view(np.int64)))
+                    level = max(8, int(len(s) - 1).bit_length())
+                    rows.append((cls, _signed(xxhash.xxh3_64_intdigest(first.tobytes(), len(s))), len(s), first.view(np.int64), level, parity_bits(s, level)))
                 if rows:
-                    c, g, n, p = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.int64()))], names=["class", "group", "n", "prefix"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["class", "group", "n", "prefix", "level", "bits"])
+
+    return docs.mapInArrow(prefix, "class long, group long, n long, prefix array<long>, level int, bits binary")
+
+
+def parity_bits(s: np.ndarray, level: int) -> bytes:
+    """The parities of the shingles by hash, as 2^level bits."""
+    return np.packbits(np.bincount((s & np.uint64((1 << level) - 1)).astype(np.int64), minlength=1 << level).astype(np.uint8) & 1).tobytes()
+
+
+def halved(bits: bytes) -> bytes:
+    """Parity bits of one level less."""
+    both = np.frombuffer(bits, np.uint8).reshape(2, -1)
+    return (both[0] ^ both[1]).tobytes()
 
-    return docs.mapInArrow(prefix, "class long, group long, n long, prefix array<long>")
+
+def most_apart(n: np.ndarray | int, m: np.ndarray | int, percent: int):
+    """The most shingles that sets of n and m have apart with 100 * intersection >= percent * union."""
+    return (100 - percent) * (n + m) // (100 + percent)
 
 
 def shared_buckets(groups: DataFrame) -> DataFrame:
     """(bucket, group, n, place) of prefix shingles that several groups share; shingles of the same groups are one bucket."""
     posted = groups.select(F.posexplode("prefix").alias("place", "bucket"), "group", "n", "classes")
-    mark = F.sum(F.xxhash64("group").cast("decimal(38,0)")).alias("mark")
+    mark = F.bit_xor(F.xxhash64("group")).alias("mark")
     held = posted.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("classes").alias("classes"), mark)
     held = held.where("classes > 1").groupBy("groups", "mark").agg(F.min("bucket").alias("bucket"))
     return posted.join(held.select("bucket"), "bucket").select("bucket", "group", "n", "place")
@@ -165,55 +178,51 @@ def star_pairs(members: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     return met.join(first("x"), "x").join(first("y"), "y").select(F.least("fx", "fy").alias("a"), F.greatest("fx", "fy").alias("b"))
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(class, shingles) of texts (class, text)."""
+def possible_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps (class, n, bits) leave possible."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 1):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py(), width).tobytes() for t in b.column(1)], pa.binary())], names=["class", "shingles"])
+    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()):
+                if 100 * min(n, m) < percent * max(n, m):
+                    ok.append(False)
+                    continue
+                if len(x) != len(y):
+                    x, y = (halved(x), y) if len(x) > len(y) else (x, halved(y))
+                ok.append((int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= most_apart(n, m, percent))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return texts.mapInArrow(sets, "class long, shingles binary")
+    side = lambda k: bitmaps.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(pass_, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) and whether their full sets have 100 * intersection >= percent * union."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) and whether the full sets of their texts (class, text) have 100 * intersection >= percent * union."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, np.ndarray] = {}  # a few sets, as pivots come again and again
+
+        def of(cls: int, text: pa.Scalar) -> np.ndarray:
+            if (found := last.pop(cls, None)) is None:
+                found = shingle_hashes(text.as_py(), width)
+                if len(last) > 15:
+                    last.pop(next(iter(last)))
+            last[cls] = found
+            return found
+
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for c, d, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                x, y = of(c, x), of(d, y)
                 both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
-    side = lambda k: sets.select(F.col("class").alias(k), F.col("shingles").alias(f"s{k}"))
+    side = lambda k: texts.select(F.col("class").alias(k), F.col("text").alias(f"s{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long, linked boolean")
 
 
-def parity_bits(s: np.ndarray, level: int) -> bytes:
-    """The parities of the shingles by hash, as 2^level bits."""
-    return np.packbits(np.bincount((s & np.uint64((1 << level) - 1)).astype(np.int64), minlength=1 << level).astype(np.uint8) & 1).tobytes()
-
-
-def _bitmaps(texts: DataFrame, width: int) -> DataFrame:
-    """(class, level, own, bits): at a level of about as many bits as shingles, and folded to half of them for smaller sets."""
-
-    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 1):
-                rows = []
-                for c, t in zip(b.column(0).to_pylist(), b.column(1)):
-                    s = shingle_hashes(t.as_py(), width)
-                    level = max(8, int(len(s) - 1).bit_length())
-                    rows += [(c, level, True, parity_bits(s, level)), (c, level - 1, False, parity_bits(s, level - 1))]
-                c, level, own, bits = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(level, pa.int32()), pa.array(own, pa.bool_()), pa.array(bits, pa.binary())], names=["class", "level", "own", "bits"])
-
-    return texts.mapInArrow(bitmaps, "class long, level int, own boolean, bits binary")
-
-
 def open_members(members: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """(bucket, class, n, component) of buckets with several components, expanded to classes; groups is (node, component)."""
     labelled = classes.select("class", "group").join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -229,20 +238,21 @@ def passing_pairs(opened: DataFrame, bitmaps: DataFrame, percent: int, forest: b
     task; of a larger one a member goes to every pair of blocks that its own
     block is in, so a task holds two blocks whatever the bucket's size.
     """
-    rows = opened.join(bitmaps, "class").select("bucket", "level", "class", "n", "component", "own", "bits")
+    whole = opened.join(bitmaps.select("class", "level"), "class")
+    rows = whole.withColumn("own", F.lit(True)).union(whole.withColumn("level", F.col("level") - 1).withColumn("own", F.lit(False)))
     sized = rows.groupBy("bucket", "level").agg(F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("any")).where("lo < hi and any")
-    dealt = rows.drop("bits").join(sized.select("bucket", "level", "held"), ["bucket", "level"])
+    dealt = rows.join(sized.select("bucket", "level", "held"), ["bucket", "level"])
     parts = F.when(F.col("held") > large, F.ceil(F.col("held") / block)).otherwise(1)
     dealt = dealt.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     bundles = max(1, sized.agg(F.sum("held")).first()[0] or 0) // 4000 + 1
     i, j = F.least("part", "other"), F.greatest("part", "other")
     task = F.when(F.col("parts") > 1, F.xxhash64("bucket", "level", i, j)).otherwise(F.pmod(F.xxhash64("bucket", "level"), F.lit(bundles)))
-    dealt = dealt.select(task.alias("task"), "bucket", "level", "class", "n", "component", "own", "part", i.alias("i"), j.alias("j")).join(bitmaps.select("class", "level", "bits"), ["class", "level"])
+    dealt = dealt.select(task.alias("task"), "bucket", "level", "class", "n", "component", "own", "part", i.alias("i"), j.alias("j")).join(bitmaps.select("class", "bits"), "class")
 
     def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by([("bucket", "ascending"), ("level", "ascending"), ("class", "ascending")])
         bucket, level, cls, n, comp, own, part, i, j = (t.column(c).to_numpy() for c in ("bucket", "level", "class", "n", "component", "own", "part", "i", "j"))
-        bits = t.column("bits").to_pylist()
+        bits = [x if o else halved(x) for x, o in zip(t.column("bits").to_pylist(), own)]
         cuts = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(level) != 0)) + 1).tolist(), len(bucket)]
         found: list[tuple[int, int, int]] = []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -253,7 +263,7 @@ def passing_pairs(opened: DataFrame, bitmaps: DataFrame, percent: int, forest: b
                     c = over[c]
                 return c
 
-            m = np.frombuffer(b"".join(bits[lo:hi]), np.uint64).reshape(hi - lo, -1) if level[lo] >= 6 else np.frombuffer(b"".join(bits[lo:hi]), np.uint8).reshape(hi - lo, -1)
+            m = np.frombuffer(b"".join(bits[lo:hi]), np.uint64).reshape(hi - lo, -1)  # 128 bits at least
             at = np.arange(lo, hi)
             right = at[part[lo:hi] == j[lo]]
             for x in at[part[lo:hi] == i[lo]]:
@@ -261,7 +271,7 @@ def passing_pairs(opened: DataFrame, bitmaps: DataFrame, percent: int, forest: b
                 y = y[(comp[y] != comp[x]) & (own[y] | own[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
                 if len(y):
                     apart = np.bitwise_count(m[y - lo] ^ m[x - lo]).sum(axis=1)
-                    y = y[apart <= (100 - percent) * (n[y] + n[x]) // (100 + percent)]
+                    y = y[apart <= most_apart(n[y], n[x], percent)]
                 for k in y.tolist():
                     if forest:
                         one, two = top(int(comp[x])), top(int(comp[k]))
@@ -274,6 +284,20 @@ def passing_pairs(opened: DataFrame, bitmaps: DataFrame, percent: int, forest: b
     return dealt.groupBy("task").applyInArrow(compare, "bucket long, a long, b long").distinct()
 
 
+def _texts(own: DataFrame, profiled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, text) of the classes of the pairs, one text each."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    named = profiled.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("of")).join(asked, "class")
+    named = staged(named.select("class", F.col("of.doc_id").alias("of_id"), F.col("of.print").alias("of_print")), "named")
+    texts = staged(own.join(named, (F.col("print") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("class", "text"), "texts")
+    if texts.count() > named.count():  # equal rows stand for their class more than once
+        twice, texts = texts, staged(texts.dropDuplicates(["class"]), "texts")
+        drop(twice)
+    drop(named)
+    tidy(own.sparkSession)
+    return texts
+
+
 def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90, large: int = 64, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, class) of each document, and (node, component) of the linked classes."""
     spark = docs.sparkSession
@@ -281,48 +305,48 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     profiled = staged(profiles(own, width), "profiles")
     counts = shingle_counts(profiled)
     signed = profiled.where("piece is null").select("doc_id", F.col("n").alias("n_shingles"), "class")
-    classes = staged(prefixes(own.select("text"), counts, width, percent).groupBy("class").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
-    groups = classes.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("class").alias("first"), F.count("*").alias("classes"))
+    once = [F.first(c).alias(c) for c in ("group", "n", "prefix", "level", "bits")]
+    classes = staged(prefixes(own.select("text"), counts, width, percent).groupBy("class").agg(*once), "prefixes")
+    tidy(spark)
+    groups = classes.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("classes"))
     members = staged(shared_buckets(groups), "buckets")
     tidy(spark)
-    groups = classes.groupBy("group").agg(F.min("class").alias("first"))
-    within = classes.join(groups, "group").where("class != first").select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b"))
-    pairs = staged(star_pairs(members, groups, percent).union(within).distinct(), "pairs")
-    # texts of classes that may be asked for: those of all buckets, which hold both ends of every pair
-    asked = classes.join(members.select("group").distinct(), "group").select("class")
-    named = profiled.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("of")).join(asked, "class")
-    named = named.select("class", F.col("of.doc_id").alias("of_id"), F.col("of.print").alias("of_print"))
-    texts = own.join(named, (F.col("print") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("class", "text")
-    texts = staged(texts, "texts")
-    if texts.count() > named.count():  # equal rows stand for their class more than once
-        twice, texts = texts, staged(texts.dropDuplicates(["class"]), "texts")
-        drop(twice)
+    firsts = classes.groupBy("group").agg(F.min("class").alias("first"))
+    within = classes.select("class", "group").join(firsts, "group").where("class != first").select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b"))
+    met = staged(star_pairs(members, firsts, percent).union(within).distinct(), "met")
     tidy(spark)
-    sets = lambda of: _sets(texts.join(of.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi"), width)
-    links = staged(verified(pairs, sets(pairs), percent).where("linked").select("a", "b"), "links")
-    drop(pairs)
+    bitmaps = classes.select("class", "n", "level", "bits")
+    pairs = staged(possible_pairs(met, bitmaps, percent), "pairs")
+    drop(met)
+    texts = _texts(own, profiled, pairs)
+    links = staged(verified(pairs, texts, width, percent).where("linked").select("a", "b"), "links")
+    drop(pairs, texts)
     tidy(spark)
     joined = connected_components(links.toDF("u", "v"))
+    failed = None
     for forest in (True, False):
         opened = staged(open_members(members, classes, joined), "open")
-        if not forest:
-            opened_all, opened = opened, staged(opened.join(failed, "bucket", "left_semi"), "open")  # noqa: F821 - of the round before
-            drop(opened_all, found)  # noqa: F821
-        if opened.isEmpty():
-            drop(opened)
-            break
-        bitmaps = _bitmaps(texts.join(opened.select("class").distinct(), "class", "left_semi"), width)
+        if failed is not None:
+            before, opened = opened, staged(opened.join(failed, "bucket", "left_semi"), "open")
+            drop(before, failed)
         tried = staged(passing_pairs(opened, bitmaps, percent, forest, large, block), "pairs")
-        found = staged(verified(tried.select("a", "b").distinct(), sets(tried), percent), "found")
+        drop(opened)
+        if tried.isEmpty():
+            drop(tried)
+            break
+        pairs = tried.select("a", "b").distinct()
+        texts = _texts(own, profiled, pairs)
+        found = staged(verified(pairs, texts, width, percent), "found")
         failed = staged(tried.join(found.where("not linked"), ["a", "b"]).select("bucket").distinct(), "failed")
         more = staged(links.union(found.where("linked").select("a", "b")), "links")
-        drop(links, opened, tried, joined)
+        drop(links, tried, texts, found, joined)
         links = more
         tidy(spark)
         joined = connected_components(links.toDF("u", "v"))
         if failed.isEmpty():
+            drop(failed)
             break
-    drop(links, texts, members, classes)
+    drop(links, members, classes)
     tidy(spark)
     return signed, joined
 

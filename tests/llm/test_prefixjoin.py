@@ -121,9 +121,10 @@ def test_filters_lose_nothing():
         both = len(np.intersect1d(a, b))
         if 100 * both >= 90 * (len(a) + len(b) - both):
             assert set(a[: prefixjoin.prefix_length(len(a), 90)].tolist()) & set(b[: prefixjoin.prefix_length(len(b), 90)].tolist())
-            assert both >= prefixjoin.least_overlap(len(a), len(b), 90)
+            assert len(a) + len(b) - both - both <= prefixjoin.most_apart(len(a), len(b), 90)
             x, y = (np.frombuffer(prefixjoin.parity_bits(s, 8), np.uint8) for s in (a, b))
             assert np.bitwise_count(x ^ y).sum() <= 10 * (len(a) + len(b)) // 190
+            assert prefixjoin.halved(prefixjoin.parity_bits(a, 10)) == prefixjoin.parity_bits(a, 9)
 
 
 def test_repeated_rows_and_no_rows(make_docs, prose):
