@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import drop, slices, staged, tidy
 from factloom.llm.components import connected_components
 from factloom.llm.minhash import shingle_hashes
+from factloom.operators.bloom import key_filter, maybe_known
 
 #: Cells of the table of counts, and of one piece of it: 4 MB in all, whatever the corpus.
 CELLS, PIECE = 1 << 20, 1 << 10
@@ -285,11 +286,13 @@ def passing_pairs(opened: DataFrame, bitmaps: DataFrame, percent: int, forest: b
 
 
 def _texts(own: DataFrame, profiled: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(class, text) of the classes of the pairs, one text each."""
+    """(class, text) of the classes of the pairs, one text each; a filter of their prints keeps other texts out of the shuffle."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     named = profiled.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("of")).join(asked, "class")
     named = staged(named.select("class", F.col("of.doc_id").alias("of_id"), F.col("of.print").alias("of_print")), "named")
-    texts = staged(own.join(named, (F.col("print") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("class", "text"), "texts")
+    held, bits = key_filter(named, "of_print")
+    near = own.where(maybe_known(F.col("print"), held.scalar(), bits))
+    texts = staged(near.join(named.hint("merge"), (F.col("print") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("class", "text"), "texts")
     if texts.count() > named.count():  # equal rows stand for their class more than once
         twice, texts = texts, staged(texts.dropDuplicates(["class"]), "texts")
         drop(twice)
