@@ -155,8 +155,13 @@ def shared_buckets(groups: DataFrame) -> DataFrame:
     posted = groups.select(F.posexplode("prefix").alias("place", "bucket"), "group", "n", "classes")
     mark = F.bit_xor(F.xxhash64("group")).alias("mark")
     held = posted.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("classes").alias("classes"), mark)
-    held = held.where("classes > 1").groupBy("groups", "mark").agg(F.min("bucket").alias("bucket"))
-    return posted.join(held.select("bucket"), "bucket").select("bucket", "group", "n", "place")
+    kept = staged(held.where("classes > 1").groupBy("groups", "mark").agg(F.min("bucket").alias("bucket")).select("bucket"), "kept")
+    tidy(groups.sparkSession)
+    wanted, bits = key_filter(kept, "bucket")
+    near = posted.drop("classes").where(maybe_known(F.col("bucket"), wanted.scalar(), bits))  # most shingles of a prefix are no other's
+    members = staged(near.join(kept.hint("merge"), "bucket").select("bucket", "group", "n", "place"), "buckets")
+    drop(kept)
+    return members
 
 
 def _possible(n: str, m: str, p: str, q: str, percent: int) -> F.Column:
@@ -312,7 +317,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = staged(prefixes(own.select("text"), counts, width, percent).groupBy("class").agg(*once), "prefixes")
     tidy(spark)
     groups = classes.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("classes"))
-    members = staged(shared_buckets(groups), "buckets")
+    members = shared_buckets(groups)
     tidy(spark)
     firsts = classes.groupBy("group").agg(F.min("class").alias("first"))
     within = classes.select("class", "group").join(firsts, "group").where("class != first").select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b"))
