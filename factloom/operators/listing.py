@@ -61,3 +61,12 @@ def founder_projection(rows: DataFrame) -> DataFrame:
     years = F.when(F.col("experience_years").isNotNull(), F.concat(F.col("experience_years").cast("string"), F.lit(" years experience")))
     before = F.when(F.col("previous_companies") != "", F.concat(F.lit("Previous companies: "), F.col("previous_companies")))
     return rows.select(F.col("id").alias("founder_id"), F.col("full_name").alias("name"), F.col("designation").alias("role"), F.col("education").alias("background"), F.nullif(F.concat_ws("; ", years, before), F.lit("")).alias("relevant_experience"), F.col("notes").alias("analysis_notes"))
+
+
+# What an analysis is told of a company.
+COMPANY = ("name", "description", "industry", "sector", "stage", "founded_year", "headquarters")
+
+
+def company_projection(rows: DataFrame) -> DataFrame:
+    """(id, seven fields): a company as the input of an analysis has it."""
+    return rows.select("id", *COMPANY)

@@ -184,9 +184,9 @@ def r16_open_round(t: Tables) -> DataFrame:
     return one.select("startup_id", "round_id", F.lit(False).alias("ambiguous")).unionByName(many.select("startup_id", F.lit(None).cast("long").alias("round_id"), F.lit(True).alias("ambiguous")))
 
 
-@query("SELECT id, name, legal_name, sector, founded_year FROM {startups}")
+@query("SELECT id, s_name AS name, 'Makes ' || (id % 6)::VARCHAR AS description, CASE WHEN id % 5 <> 0 THEN 'Industry ' || (id % 4)::VARCHAR END AS industry, n_name AS sector, ['idea', 'mvp', 'growth'][(id % 3 + 1)::INTEGER] AS stage, (1990 + id % 40)::INTEGER AS founded_year, n_name AS headquarters FROM (SELECT s_suppkey AS id, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey)")
 def r17_company_projection(t: Tables) -> DataFrame:
-    return t("startups").select("id", "name", "legal_name", "sector", "founded_year")
+    return listing.company_projection(t("startups"))
 
 
 # --- joins -------------------------------------------------------------------

@@ -259,7 +259,9 @@ def r2_r9_existence(t: Tables) -> DataFrame:
     return listing.exists_by_key(t("founders").where("startup_id < 30"), by_name, "email").select("id", "startup_found", F.col("found").alias("email_found"))
 
 
-@query("SELECT id, startup_id, mode, status, recommendation, created_at, input_snapshot FROM {analyses}")
+@query("""
+SELECT id, startup_id, mode, status, recommendation, created_at, analysis_version, model_name, thinking_enabled, max_tokens, temperature, finish_reason, prompt_tokens, completion_tokens, (id % 900 + id % 700)::BIGINT AS total_tokens, inference_time_seconds, investment_thesis,
+ input_snapshot, metrics_snapshot, result_snapshot, error_message FROM {analyses}""")
 def s11_history_detail(t: Tables) -> DataFrame:
     return documents.history_detail(t("analyses"))
 

@@ -95,7 +95,8 @@ SELECT company_id, family, field, CASE WHEN textual THEN NULL ELSE CAST(company_
  FROM (SELECT DISTINCT o_custkey % 211 AS company_id FROM {orders}) c JOIN (SELECT 'financials' AS family, 'cash' AS field UNION ALL SELECT 'financials', 'ebitda' UNION ALL SELECT 'fundraising', 'valuation_cap' UNION ALL SELECT 'fundraising', 'amount_raising'
   UNION ALL SELECT 'fundraising', 'instrument' UNION ALL SELECT 'market', 'tam' UNION ALL SELECT 'market', 'market_description' UNION ALL SELECT 'traction', 'revenue' UNION ALL SELECT 'traction', 'orders' UNION ALL SELECT 'business_model', 'business_model') f ON c.company_id % 3 < 2)""",
     "startups": """
-SELECT s_suppkey AS id, s_name AS name, s_name || ' Ltd' AS legal_name, n_name AS sector, CASE WHEN s_suppkey % 3 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, CAST(1990 + s_suppkey % 40 AS INT) AS founded_year
+SELECT s_suppkey AS id, s_name AS name, s_name || ' Ltd' AS legal_name, n_name AS sector, CASE WHEN s_suppkey % 3 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, CAST(1990 + s_suppkey % 40 AS INT) AS founded_year,
+ 'Makes ' || CAST(s_suppkey % 6 AS STRING) AS description, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'Industry ' || CAST(s_suppkey % 4 AS STRING) END AS industry, CASE s_suppkey % 3 WHEN 0 THEN 'idea' WHEN 1 THEN 'mvp' ELSE 'growth' END AS stage, n_name AS headquarters
 FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey""",
     "founders": """
 SELECT c_custkey AS id, c_custkey % 100 AS startup_id, c_name AS full_name, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'f' || CAST(c_custkey % 700 AS STRING) || '@example.com' END AS email, c_custkey AS created_at FROM {customer}""",
@@ -106,7 +107,10 @@ SELECT p_partkey AS id, p_partkey % 100 AS startup_id, p_name AS title, p_type A
  CASE p_partkey % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime_type
 FROM {part}""",
     "analyses": """
-SELECT o_orderkey AS id, o_custkey AS startup_id, CASE WHEN o_orderkey % 3 = 0 THEN 'deep' ELSE 'standard' END AS mode, o_orderstatus AS status, CASE o_orderpriority WHEN '1-URGENT' THEN 'promising' WHEN '2-HIGH' THEN 'concerns' WHEN '3-MEDIUM' THEN 'needs_further_diligence' ELSE 'insufficient_information' END AS recommendation, o_orderdate AS created_at, 'x' AS input_snapshot FROM {orders}""",
+SELECT o_orderkey AS id, o_custkey AS startup_id, CASE WHEN o_orderkey % 3 = 0 THEN 'deep' ELSE 'standard' END AS mode, o_orderstatus AS status, CASE o_orderpriority WHEN '1-URGENT' THEN 'promising' WHEN '2-HIGH' THEN 'concerns' WHEN '3-MEDIUM' THEN 'needs_further_diligence' ELSE 'insufficient_information' END AS recommendation, o_orderdate AS created_at, 'x' AS input_snapshot,
+ '3.7.5' AS analysis_version, 'model-' || CAST(o_orderkey % 2 AS STRING) AS model_name, o_orderkey % 3 = 0 AS thinking_enabled, CASE WHEN o_orderkey % 3 = 0 THEN 1024 ELSE 768 END AS max_tokens, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS temperature, CASE WHEN o_orderkey % 11 = 0 THEN 'length' ELSE 'stop' END AS finish_reason,
+ o_orderkey % 900 AS prompt_tokens, o_orderkey % 700 AS completion_tokens, CAST(o_orderkey % 90 AS DOUBLE) / 2 AS inference_time_seconds, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'thesis ' || CAST(o_orderkey % 5 AS STRING) END AS investment_thesis,
+ 'm' || CAST(o_orderkey % 8 AS STRING) AS metrics_snapshot, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'r' || CAST(o_orderkey % 9 AS STRING) END AS result_snapshot, CASE WHEN o_orderkey % 13 = 0 THEN 'failed' END AS error_message FROM {orders}""",
     "rounds": """
 SELECT l_orderkey * 10 + l_linenumber AS round_id, l_orderkey AS startup_id, CASE WHEN l_linestatus = 'O' AND l_quantity > 30 THEN 'OPEN' ELSE 'CLOSED' END AS status FROM {lineitem}""",
     "investments": """

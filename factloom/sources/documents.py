@@ -127,6 +127,11 @@ def history_item(analyses: DataFrame) -> DataFrame:
     return analyses.select(*HISTORY)
 
 
+#: What the detail of an analysis has besides: how it ran, and what was stored of it.
+RUN = ("analysis_version", "model_name", "thinking_enabled", "max_tokens", "temperature", "finish_reason", "prompt_tokens", "completion_tokens")
+STORED = ("inference_time_seconds", "investment_thesis", "input_snapshot", "metrics_snapshot", "result_snapshot", "error_message")
+
+
 def history_detail(analyses: DataFrame) -> DataFrame:
-    """A history item with its input snapshot."""
-    return analyses.select(*HISTORY, "input_snapshot")
+    """A history item with how the analysis ran, its tokens in all, and its input, metrics, result and error as stored."""
+    return analyses.select(*HISTORY, *RUN, (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), *STORED)
