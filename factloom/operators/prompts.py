@@ -49,7 +49,7 @@ def usable(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def run_settings(runs: DataFrame) -> DataFrame:
-    """runs (mode, ...) with thinking, max_tokens and version by mode."""
+    """runs (mode, ...) with thinking, max_tokens and version by mode, in place of columns of these names."""
     spark = runs.sparkSession
     modes = spark.createDataFrame([(m, t, n, RUN_VERSION) for m, t, n in RUN_MODES], "mode string, thinking boolean, max_tokens int, version string")
-    return runs.join(F.broadcast(modes), "mode")  # two rows
+    return runs.drop("thinking", "max_tokens", "version").join(F.broadcast(modes), "mode")  # two rows
