@@ -34,8 +34,11 @@ def exists_by_key(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return wanted.join(have, wanted[key] == F.col("_have"), "left").withColumn("found", F.col("_have").isNotNull()).drop("_have")
 
 
-def documents(rows: DataFrame, startup_id: object = None, search: str | None = None) -> DataFrame:
-    """The document listing that the given filters ask for: of a startup, else by title, else all; newest first but for titles."""
+def documents(rows: DataFrame, startup_id: object = None, search: str | None = None, document_type: str | None = None, status: str | None = None) -> DataFrame:
+    """The document listing that the given filters ask for: of a type or status, then of a startup, else by title, else all; newest first but for titles."""
+    for c, v in (("document_type", document_type), ("status", status)):
+        if v is not None:
+            rows = rows.where(F.col(c) == v)
     if startup_id is not None:
         return listed(rows, F.desc("created_at"), where=F.col("startup_id") == startup_id)
     if search:

@@ -72,29 +72,32 @@ def s3_assemble_paragraphs(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT id, CASE WHEN mime_type = 'text/plain' OR lower(filename) LIKE '%.txt' THEN 'text' WHEN mime_type = 'application/pdf' OR lower(filename) LIKE '%.pdf' THEN 'pdf' WHEN lower(filename) LIKE '%.docx' THEN 'docx' END AS handler FROM {files}""")
+SELECT id, CASE WHEN mime_type = 'text/plain' OR regexp_matches(lower(filename), '\\.(txt|text|md)$') THEN 'text' WHEN mime_type = 'application/pdf' OR lower(filename) LIKE '%.pdf' THEN 'pdf' WHEN lower(filename) LIKE '%.docx' THEN 'docx' END AS handler FROM {files}""")
 def s4_route_documents(t: Tables) -> DataFrame:
     return t("files").select("id", documents.route(F.col("mime_type"), F.col("filename")).alias("handler"))
 
 
 @query("""
-SELECT id, CASE WHEN id % 3 = 0 THEN regexp_replace(filename, '\\.[^.]*$', '') ELSE title END AS title FROM {files}""")
+SELECT id, CASE WHEN id % 6 = 3 OR (id % 6 = 0 AND id % 4 = 2) THEN regexp_replace(filename, '(.)\\.[^.]+$', '\\1') WHEN id % 6 = 0 THEN 'Untitled' ELSE title END AS title FROM {files}""")
 def s5_resolve_title(t: Tables) -> DataFrame:
-    given = F.when(F.col("id") % 6 == 0, F.lit(" Untitled ")).when(F.col("id") % 6 == 3, F.lit(" ")).otherwise(F.col("title"))
-    visible = F.when(F.col("filename").startswith("."), F.col("filename")).otherwise(F.col("filename"))
-    return t("files").select("id", documents.resolve_title(F.lit("pdf"), given, visible).alias("title"))
+    """Every second file is a DOCX, where only a blank title says nothing."""
+    kind = F.when(F.col("id") % 4 == 2, "pdf").otherwise("docx")
+    given = F.when(F.col("id") % 6 == 0, F.lit("\tUntitled \n")).when(F.col("id") % 6 == 3, F.lit(" \n")).otherwise(F.concat(F.lit(" "), "title"))
+    return t("files").select("id", documents.resolve_title(kind, given, F.col("filename")).alias("title"))
 
 
 @query("""
-WITH n AS (SELECT id, filename, replace(replace(lower(regexp_replace(filename, '\\.[^.]*$', '')), '-', '_'), ' ', '_') AS f FROM {files} WHERE NOT starts_with(filename, '.'))
-SELECT filename, CASE WHEN contains(f, 'pitch') AND contains(f, 'deck') THEN 'PITCH_DECK' WHEN contains(f, 'financial') AND contains(f, 'model') THEN 'FINANCIAL_MODEL' WHEN contains(f, 'financials') THEN 'FINANCIAL_MODEL'
+WITH n AS (SELECT id, filename, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM {files} WHERE NOT starts_with(filename, '.')),
+d AS (SELECT *, replace(replace(lower(stem), '-', '_'), ' ', '_') AS f, array_to_string(list_transform(regexp_extract_all(replace(stem, '_', ' '), '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS titled FROM n)
+SELECT filename, CASE WHEN id % 6 = 3 THEN 'Given ' || id::VARCHAR ELSE titled END AS title, CASE WHEN id % 6 = 0 THEN 'TERM_SHEET' WHEN contains(f, 'pitch') AND contains(f, 'deck') THEN 'PITCH_DECK' WHEN contains(f, 'financial') AND contains(f, 'model') THEN 'FINANCIAL_MODEL' WHEN contains(f, 'financials') THEN 'FINANCIAL_MODEL'
  WHEN contains(f, 'business') AND contains(f, 'plan') THEN 'BUSINESS_PLAN' WHEN contains(f, 'term') AND contains(f, 'sheet') THEN 'TERM_SHEET' WHEN contains(f, 'sha') THEN 'SHA' WHEN contains(f, 'cap') AND contains(f, 'table') THEN 'CAP_TABLE'
- WHEN contains(f, 'demo') THEN 'PRODUCT_DEMO' ELSE 'OTHER' END AS document_type FROM n""")
+ WHEN contains(f, 'demo') THEN 'PRODUCT_DEMO' ELSE 'OTHER' END AS document_type FROM d""")
 def s6_discover_documents(t: Tables) -> DataFrame:
-    files = t("files")
-    given = files.where("id % 1000003 = 1").select(F.concat("filename", F.lit("?")).alias("filename"), F.lit("x").alias("given_title"), F.lit("OTHER").alias("given_type"))
+    """Every third file has metadata: a title without a type, or a type with an empty title."""
+    files, half = t("files"), F.col("id") % 6 == 0
+    given = files.where("id % 3 = 0").select("filename", F.when(half, "").otherwise(F.concat(F.lit("Given "), F.col("id").cast("string"))).alias("given_title"), F.when(half, "TERM_SHEET").alias("given_type"))
     docs, _ = documents.discover(files.select("filename"), given)
-    return docs.select("filename", "document_type")
+    return docs
 
 
 @query("SELECT id, startup_id::VARCHAR || '/' || id::VARCHAR || '/' || filename AS path, sha256(content) AS hash FROM {files}")
@@ -160,6 +163,26 @@ def r10_documents_by_type_and_status(t: Tables) -> DataFrame:
     return listing.listed(listing.by_key(t("files"), status="UPLOADED", document_type="ECONOMY"), F.desc("created_at")).select("id", "startup_id", "document_type", "status")
 
 
+@query("SELECT id, title, created_at FROM {files}")
+def r10_documents_all(t: Tables) -> DataFrame:
+    return listing.documents(t("files")).select("id", "title", "created_at")
+
+
+@query("SELECT id, title, created_at FROM {files} WHERE startup_id = 12")
+def r10_documents_by_startup(t: Tables) -> DataFrame:
+    return listing.documents(t("files"), startup_id=12).select("id", "title", "created_at")
+
+
+@query("SELECT id, document_type, created_at FROM {files} WHERE document_type = 'STANDARD PLATED TIN'")
+def r10_documents_by_type(t: Tables) -> DataFrame:
+    return listing.documents(t("files"), document_type="STANDARD PLATED TIN").select("id", "document_type", "created_at")
+
+
+@query("SELECT id, status, created_at FROM {files} WHERE status = 'UPLOADED'")
+def r10_documents_by_status(t: Tables) -> DataFrame:
+    return listing.documents(t("files"), status="UPLOADED").select("id", "status", "created_at")
+
+
 @query("SELECT id, title FROM {files} WHERE title ILIKE '%RING%'")
 def r11_document_title_search(t: Tables) -> DataFrame:
     return listing.listed(t("files"), "title", where=listing.keyword("RING", "title")).select("id", "title")
@@ -349,6 +372,15 @@ def x5_financials(t: Tables) -> DataFrame:
     return extraction.financials(t("memos")).select("doc_id", "financials.currency", *money, "financials.valuation_type", "financials.runway_months", _num("financials.confidence"))
 
 
+@query("""
+SELECT doc_id, CASE WHEN shape IN (0, 1, 3, 4) THEN 'INR' WHEN shape IN (2, 5) THEN 'USD' END AS currency, (CASE WHEN shape IN (1, 2, 3, 4) THEN a END)::DOUBLE AS revenue, (CASE WHEN shape = 4 THEN b END)::DOUBLE AS ebitda,
+ (CASE shape WHEN 0 THEN a WHEN 3 THEN b WHEN 5 THEN b END)::DOUBLE AS arr, (CASE shape WHEN 0 THEN b WHEN 1 THEN b WHEN 4 THEN c END)::DOUBLE AS burn_rate FROM {ledgers}""")
+def x7_metrics_in_order(t: Tables) -> DataFrame:
+    """Lines that name several metrics, metrics inside other words, more money than metrics; money at a line's end also belongs to the next line (shape 1)."""
+    found = extraction.financials(t("ledgers"))
+    return found.select("doc_id", "financials.currency", *(F.col(f"financials.{c}").cast("double").alias(c) for c in ("revenue", "ebitda", "arr", "burn_rate")))
+
+
 def _holds(kws: tuple[str, ...]) -> str:
     return "regexp_matches(t, '(^|[^a-z0-9_])(" + "|".join(kws).replace("-", "\\-") + ")($|[^a-z0-9_])')"
 

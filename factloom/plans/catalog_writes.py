@@ -9,6 +9,28 @@ from pyspark.sql import functions as F
 
 from factloom.operators import bloom, maintenance, registry
 from factloom.plans.catalog import Tables, _docs, query
+from factloom.sources.shared import shared_path
+from factloom.sources.textfiles import TextFiles
+
+
+@query("""
+SELECT 'doc_' || doc_id::VARCHAR AS title, CASE WHEN doc_id % 3 = 0 THEN 'latin-1' ELSE 'utf-8' END AS encoding, CASE WHEN doc_id % 2 = 0 THEN 'md' ELSE 'txt' END AS extension, length(t)::BIGINT AS length, md5(t) AS text_md5
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') || 'é' ELSE coalesce(text, '') || 'é' END AS t FROM documents)""")
+def s1_text_files(t: Tables) -> DataFrame:
+    """All documents as files and back: every third in Latin-1, every second with lines ended as on Windows; files with a leading dot stay out."""
+    docs, spark, k = _docs(t), t("documents").sparkSession, F.col("doc_id")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("é"))
+    text = F.when(k % 2 == 0, F.regexp_replace(text, "\n", "\r\n")).otherwise(text)
+    plain = F.concat(F.regexp_replace(F.expr("substr(_t, 1, char_length(_t) - 1)"), r"[^\x00-\x7F]", "?"), F.lit("é"))
+    files = docs.withColumn("_t", text).select(
+        F.concat(F.lit("doc_"), k.cast("string"), F.when(k % 2 == 0, ".MD").otherwise(".txt")).alias("filename"), F.when(k % 3 == 0, F.encode(plain, "ISO-8859-1")).otherwise(F.encode("_t", "UTF-8")).alias("content"), k.alias("_k")
+    )
+    hidden = files.where("_k % 7 = 0").withColumn("filename", F.concat(F.lit("."), "filename"))
+    spark.dataSource.register(TextFiles)
+    path = shared_path(spark, "texts")
+    files.union(hidden).drop("_k").write.format(TextFiles.name()).mode("append").save(path)
+    back = spark.read.format(TextFiles.name()).load(path)
+    return back.select("title", "encoding", "extension", "length", F.md5("text").alias("text_md5"))
 
 
 @query("""

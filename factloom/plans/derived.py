@@ -103,14 +103,23 @@ SELECT c_custkey AS id, c_custkey % 100 AS startup_id, c_name AS full_name, CASE
     "files": """
 SELECT p_partkey AS id, p_partkey % 100 AS startup_id, p_name AS title, p_type AS document_type, CASE WHEN p_size > 25 THEN 'UPLOADED' ELSE 'PROCESSED' END AS status, p_name || ' ' || p_brand AS content, p_partkey % 977 AS created_at, p_size AS file_size,
  CASE p_partkey % 9 WHEN 0 THEN 'My Pitch-Deck' WHEN 1 THEN 'financial_model_v2' WHEN 2 THEN 'Q1 financials' WHEN 3 THEN 'business plan' WHEN 4 THEN 'term-sheet' WHEN 5 THEN 'cap table' WHEN 6 THEN '.hidden demo' WHEN 7 THEN 'share_notes' ELSE 'readme' END
- || '_' || CAST(p_partkey AS STRING) || CASE p_partkey % 4 WHEN 0 THEN '.TXT' WHEN 1 THEN '.pdf' WHEN 2 THEN '.docx' ELSE '.bin' END AS filename,
- CASE p_partkey % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime_type
+ || '_' || CAST(p_partkey AS STRING) || CASE p_partkey % 7 WHEN 0 THEN '.TXT' WHEN 1 THEN '.pdf' WHEN 2 THEN '.docx' WHEN 3 THEN '.md' WHEN 4 THEN '.text' WHEN 5 THEN '.csv' ELSE '.bin' END AS filename,
+ CASE p_partkey % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'text/csv' WHEN 3 THEN 'TEXT/PLAIN' ELSE 'application/octet-stream' END AS mime_type
 FROM {part}""",
     "analyses": """
 SELECT o_orderkey AS id, o_custkey AS startup_id, CASE WHEN o_orderkey % 3 = 0 THEN 'deep' ELSE 'standard' END AS mode, o_orderstatus AS status, CASE o_orderpriority WHEN '1-URGENT' THEN 'promising' WHEN '2-HIGH' THEN 'concerns' WHEN '3-MEDIUM' THEN 'needs_further_diligence' ELSE 'insufficient_information' END AS recommendation, o_orderdate AS created_at, 'x' AS input_snapshot,
  '3.7.5' AS analysis_version, 'model-' || CAST(o_orderkey % 2 AS STRING) AS model_name, o_orderkey % 3 = 0 AS thinking_enabled, CASE WHEN o_orderkey % 3 = 0 THEN 1024 ELSE 768 END AS max_tokens, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS temperature, CASE WHEN o_orderkey % 11 = 0 THEN 'length' ELSE 'stop' END AS finish_reason,
  o_orderkey % 900 AS prompt_tokens, o_orderkey % 700 AS completion_tokens, CAST(o_orderkey % 90 AS DOUBLE) / 2 AS inference_time_seconds, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'thesis ' || CAST(o_orderkey % 5 AS STRING) END AS investment_thesis,
  'm' || CAST(o_orderkey % 8 AS STRING) AS metrics_snapshot, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'r' || CAST(o_orderkey % 9 AS STRING) END AS result_snapshot, CASE WHEN o_orderkey % 13 = 0 THEN 'failed' END AS error_message FROM {orders}""",
+    "ledgers": """
+SELECT o_orderkey AS doc_id, o_orderkey % 7 AS shape, a, b, c, CASE o_orderkey % 7
+ WHEN 0 THEN 'ARR INR ' || CAST(a AS STRING) || chr(10) || 'Monthly burn USD ' || CAST(b AS STRING) || chr(10)
+ WHEN 1 THEN 'Annual recurring revenue INR ' || CAST(a AS STRING) || chr(10) || 'Sales INR ' || CAST(b AS STRING) || chr(10) || 'Burn rate INR ' || CAST(c AS STRING) || chr(10)
+ WHEN 2 THEN 'Revenue USD ' || CAST(a AS STRING) || ', later INR ' || CAST(b AS STRING) || chr(10)
+ WHEN 3 THEN 'ARR and revenue INR ' || CAST(a AS STRING) || ', then INR ' || CAST(b AS STRING) || chr(10)
+ WHEN 4 THEN 'Burn, income, EBITDA: INR ' || CAST(a AS STRING) || ', INR ' || CAST(b AS STRING) || ', INR ' || CAST(c AS STRING) || chr(10)
+ WHEN 5 THEN 'Fee INR ' || CAST(a AS STRING) || ' paid' || chr(10) || 'Barred: USD ' || CAST(b AS STRING) || chr(10)
+ ELSE 'Nothing told' || chr(10) END AS text FROM (SELECT o_orderkey, CAST(FLOOR(o_totalprice) AS BIGINT) AS a, CAST(FLOOR(o_totalprice / 7) AS BIGINT) + 11 AS b, o_custkey + 1000 AS c FROM {orders})""",
     "rounds": """
 SELECT l_orderkey * 10 + l_linenumber AS round_id, l_orderkey AS startup_id, CASE WHEN l_linestatus = 'O' AND l_quantity > 30 THEN 'OPEN' ELSE 'CLOSED' END AS status FROM {lineitem}""",
     "investments": """

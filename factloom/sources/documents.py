@@ -9,7 +9,7 @@ from factloom.functions.spans import strip
 
 # Handlers by MIME type and suffix, and the words of a file name that tell its type.
 HANDLERS = (
-    ("text", ("text/plain", "text/markdown", "text/csv"), ("txt", "md", "csv")),
+    ("text", ("text/plain",), ("txt", "text", "md")),
     ("pdf", ("application/pdf",), ("pdf",)),
     ("docx", ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",), ("docx",)),
 )
@@ -25,11 +25,17 @@ def base_name(path: Column) -> Column:
 
 
 def stem(name: Column) -> Column:
-    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
 
 
 def suffix(name: Column) -> Column:
-    return F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]*)$", 1))
+    return F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]+)$", 1))
+
+
+def title_case(text: Column) -> Column:
+    """Each run of cased letters with its first letter in title case and the others in lower case, whatever stands between."""
+    cased = r"\p{Lu}\p{Ll}\p{Lt}"
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"[{cased}]+|[^{cased}]+"), F.lit(0)), F.initcap), "")
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -66,18 +72,18 @@ def assemble_paragraphs(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.groupBy("doc_id").agg(F.array_join(kept, "\n").alias("text"), F.count("*").alias("paragraph_count"))
 
 
-def route(mime: Column, filename: Column) -> Column:
-    """The first handler that takes the MIME type or the suffix; null if none does."""
+def route(mime: Column, filename: Column, strict: bool = False) -> Column:
+    """The first handler that takes the MIME type, as it is written, or the suffix; if none does null, or an error where strict."""
     out, end = None, suffix(filename)
     for name, mimes, ends in HANDLERS:
-        takes = F.lower(mime).isin(*mimes) | end.isin(*ends)
+        takes = F.coalesce(mime.isin(*mimes), F.lit(False)) | F.coalesce(end.isin(*ends), F.lit(False))
         out = F.when(takes, name) if out is None else out.when(takes, name)
-    return out
+    return out.otherwise(F.raise_error(F.concat_ws(" ", F.lit("no handler for"), mime, filename))) if strict else out
 
 
 def resolve_title(kind: Column, title: Column, filename: Column) -> Column:
     """The file's own title unless it says nothing, else the file's stem."""
-    t = F.trim(title)
+    t = strip(title)
     blank = t.isNull() | (t == "") | ((kind == "pdf") & F.lower(t).isin("untitled", "none"))
     return F.when(~blank, t).otherwise(stem(filename))
 
@@ -93,10 +99,11 @@ def infer_document_type(filename: Column) -> Column:
 
 
 def discover(files: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, metadata rows without a file): visible files with given or derived title and type."""
-    seen = files.where(~F.col("filename").startswith(".")).join(metadata, "filename", "left")
-    docs = seen.select("filename", F.coalesce("given_title", F.initcap(F.translate(stem(F.col("filename")), "_", " "))).alias("title"), F.coalesce("given_type", infer_document_type(F.col("filename"))).alias("document_type"))
-    return docs, metadata.join(files, "filename", "left_anti")
+    """(documents, metadata rows without a visible file): such files with given or derived title and type; an empty title is none."""
+    visible, name = files.where(~F.col("filename").startswith(".")), F.col("filename")
+    title = F.coalesce(F.nullif("given_title", F.lit("")), title_case(F.translate(stem(name), "_", " ")))
+    docs = visible.join(metadata, "filename", "left").select("filename", title.alias("title"), F.coalesce("given_type", infer_document_type(name)).alias("document_type"))
+    return docs, metadata.join(visible, "filename", "left_anti")
 
 
 def storage_path(startup: Column, document: Column, filename: Column) -> Column:
