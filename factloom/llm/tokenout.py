@@ -28,6 +28,7 @@ from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ FRAME_IDS = 1 << 16
 _SPACES = (" ", "\n", "  ", "\r\n", "\t", "\v", "\f", " \n \t")
 _PROBES = (("the", "end"), ("The", "\u0301x"), ("3", "4"), ("don't", "'s"), ("(", ")"), ("new", "York,"), ("日本", "語"), ("a.", "B"))
 GROUP_BLOCKS = 48
+SLICE = 8 << 20  # bytes of text whose words are looked up together
 
 
 #: The normalizer and pre-tokenizer (fixed values) for which words of Latin letters are cut here as the tokenizer would cut them.
@@ -181,11 +183,19 @@ class WordTokenizer:
             found[missing] = np.fromiter(map(self.known.__getitem__, late), np.int64, len(late))
         return found
 
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, each text with the end id, and their numbers."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        word = self.numbers(split)
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
+    def encode(self, texts: pa.Array | list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, each text with the end id, and their numbers.
+
+        Arrow cuts and numbers the words, so the table is asked once for each different one; the empty
+        words that it finds beside white space at the ends of a text have no ids.
+        """
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        word = self.numbers([different])[words.indices.to_numpy()]
+        n_words = pc.list_value_length(split).to_numpy().astype(np.int64)
         lens = np.diff(self.starts)[word]
         stops = np.cumsum(n_words)
         before = np.concatenate([[0], np.cumsum(lens)])
@@ -228,8 +238,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         def parts() -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
             for whole in batches:
-                for b in slices(whole, 1):
-                    yield b.column(0).to_pylist(), *tok.encode(b.column(1).to_pylist(), end_id)
+                for b in slices(whole, 1, SLICE):
+                    yield b.column(0).to_pylist(), *tok.encode(b.column(1), end_id)
 
         def flush() -> pa.RecordBatch:
             nonlocal frame
