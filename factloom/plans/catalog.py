@@ -173,9 +173,9 @@ def r10_documents_by_startup(t: Tables) -> DataFrame:
     return listing.documents(t("files"), startup_id=12).select("id", "title", "created_at")
 
 
-@query("SELECT id, document_type, created_at FROM {files} WHERE document_type = 'STANDARD PLATED TIN'")
+@query("SELECT id, document_type, created_at FROM {files} WHERE document_type = 'STANDARD'")
 def r10_documents_by_type(t: Tables) -> DataFrame:
-    return listing.documents(t("files"), document_type="STANDARD PLATED TIN").select("id", "document_type", "created_at")
+    return listing.documents(t("files"), document_type="STANDARD").select("id", "document_type", "created_at")
 
 
 @query("SELECT id, status, created_at FROM {files} WHERE status = 'UPLOADED'")
