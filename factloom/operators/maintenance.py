@@ -43,6 +43,26 @@ def patch(rows: DataFrame, patches: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*(F.when(F.col(f"_has_{c}"), F.col(f"_new_{c}").cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
+def patch_unique(rows: DataFrame, patches: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows after the patches, outcomes (id, outcome)): a patch that changes the key to one that a row has is left out whole.
+
+    outcome is updated, clash or not_found.  Keys are held against the rows as
+    they stood; of patches that ask for the same new key, the one with the
+    least id is made.  A null or empty key never clashes, nor does the key that
+    the row has already.
+    """
+    asked = patches.where((F.col("column") == key) & (F.col("value") != "")).groupBy("id").agg(F.max("value").alias("_want"))
+    changed = asked.join(rows.select("id", F.col(key).alias("_now")), "id").where(~F.col("_want").eqNullSafe(F.col("_now"))).select("id", "_want")
+    known = rows.select(F.col(key).alias("_want")).where("_want is not null").distinct().withColumn("_known", F.lit(True))
+    first = changed.groupBy("_want").agg(F.min("id").alias("_first"))
+    clash = changed.join(first, "_want").join(known, "_want", "left").where((F.col("id") != F.col("_first")) | F.col("_known")).select("id", F.lit(True).alias("_clash"))
+    there = rows.select("id", F.lit(True).alias("_there"))
+    outcome = F.when(F.col("_there").isNull(), "not_found").when(F.col("_clash"), "clash").otherwise("updated")
+    outcomes = patches.select("id").distinct().join(there, "id", "left").join(clash, "id", "left").select("id", outcome.alias("outcome"))
+    made = patches.join(outcomes.where("outcome = 'updated'"), "id", "left_semi")
+    return patch(rows, made, columns), outcomes
+
+
 def cascade(deleted: DataFrame, tree: list[tuple[DataFrame, str, str]]) -> list[DataFrame]:
     """What is left of each child table (rows, own key, parent key), parents first: rows whose parent goes, go too."""
     gone, left = deleted.select(F.col("id").alias("_gone")), []

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import answers
+
 # Settings by mode.
 RUN_MODES = (("standard", False, 768), ("deep", True, 1024))
 RUN_VERSION = "3.7.5"
@@ -35,7 +39,21 @@ def thinking_directive(text: Column, thinking: Column) -> Column:
 
 def analysis_payload(company: Column, metrics: Column) -> Column:
     """JSON of a company and its metrics; nulls are left out, decimals are strings."""
-    return F.to_json(F.struct(company.alias("startup"), metrics.alias("metrics")))
+    return F.to_json(F.struct(company.alias("startup"), metrics.alias("deterministic_financial_metrics")))
+
+
+def output_schema() -> dict:
+    """What an answer looks like, field by field: the fields that answers.valid takes."""
+    return {f: "string or null" for f in answers.TEXTS} | {f: ["string"] for f in answers.LISTS} | {answers.RECOMMENDATION: " | ".join(answers.RECOMMENDATIONS)}
+
+
+ANALYST = "You assess startups for an investor. Rely on the given data alone, never fill gaps with guesses, and answer with one JSON object."
+
+
+def analysis_messages(company: Column, metrics: Column, system: str = ANALYST) -> Column:
+    """The two messages that ask for an analysis: the payload of a company and its metrics, then the form of the answer."""
+    form = f"\n\nAnswer with a JSON object of this form and nothing else:\n{json.dumps(output_schema(), ensure_ascii=False)}\nUse null where the data do not suffice and name what is missing under missing_information."
+    return chat_messages(system, F.concat(F.lit("Assess this startup.\n\nData:\n"), analysis_payload(company, metrics), F.lit(form)))
 
 
 def chat_messages(system: str, user: Column) -> Column:

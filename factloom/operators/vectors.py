@@ -105,6 +105,11 @@ def remove(current: DataFrame, ids: DataFrame) -> DataFrame:
     return current.join(ids.select("id").distinct(), "id", "left_anti")
 
 
+def clear(current: DataFrame) -> DataFrame:
+    """An index without vectors; what is put in later gets positions of its own."""
+    return current.limit(0)
+
+
 def get(current: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of the ids, null payloads for those unknown."""
     return ids.select("id").distinct().join(current, "id", "left")

@@ -428,11 +428,11 @@ def x19_profiles(t: Tables) -> DataFrame:
 
 @query(f"""
 SELECT doc_id, 5 AS expected, (CASE WHEN company_name IS NULL THEN 4 ELSE 5 END)::INTEGER AS available, CASE WHEN company_name IS NULL THEN 'entities' ELSE '' END AS missing_components,
- round(CASE WHEN company_name IS NULL THEN 1.0 ELSE entities END, 6)::DOUBLE AS entities_confidence, round(risks, 6)::DOUBLE AS risks_confidence FROM {_PROFILE}""")
+ 1.0::DOUBLE AS metadata_confidence, round(CASE WHEN company_name IS NULL THEN 1.0 ELSE entities END, 6)::DOUBLE AS entities_confidence, round(financials, 6)::DOUBLE AS financials_confidence, round(signals, 6)::DOUBLE AS signals_confidence, round(risks, 6)::DOUBLE AS risks_confidence FROM {_PROFILE}""")
 def x21_quality_metadata(t: Tables) -> DataFrame:
     p = extraction.profiles(t("memos")).withColumn("entities", F.when(F.col("entities.company_name").isNotNull(), F.col("entities")))
     q = p.select("doc_id", extraction.quality_metadata(p).alias("q"))
-    return q.select("doc_id", "q.expected", "q.available", F.array_join("q.missing_components", "|").alias("missing_components"), *(F.round(F.col("q.component_confidence")[c], 6).alias(f"{c}_confidence") for c in ("entities", "risks")))
+    return q.select("doc_id", "q.expected", "q.available", F.array_join("q.missing_components", "|").alias("missing_components"), *(F.round(F.col("q.component_confidence")[c], 6).alias(f"{c}_confidence") for c in extraction.COMPONENTS))
 
 
 def _lined(rows: str, more: str = "") -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import parsers
-from factloom.operators import chunking, extraction, facts, joins, listing, maintenance, prompts, reconcile, registry, vectors
+from factloom.operators import chunking, extraction, facts, joins, listing, maintenance, occurrences, prompts, reconcile, registry, vectors
 from factloom.plans.catalog import _CHUNKS, _CONFLICT, _FIN, _PREFERRED, Tables, _num, query
 from factloom.sources import documents
 
@@ -289,6 +289,17 @@ def v3_remove_get_count(t: Tables) -> DataFrame:
     return kind(left, "left").union(kind(vectors.get(left, all_.where("id % 7 = 0")), "got")).union(kind(n, "count"))
 
 
+@query("""
+SELECT 'kept' AS kind, vec_id AS id, vec_id + 100 AS pos, vec_id * 3 AS payload FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'cleared', 0, NULL, NULL""")
+def v3_clear(t: Tables) -> DataFrame:
+    """An index is cleared and half of the vectors put in again, at new positions."""
+    all_ = t("embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), (F.col("vec_id") * 2).alias("payload"))
+    empty = vectors.clear(all_)
+    again = vectors.upsert(empty, all_.where("id % 2 = 0").withColumns({"pos": F.col("pos") + 100, "payload": F.col("id") * 3}))
+    none = F.lit(None).cast("long")
+    return again.select(F.lit("kept").alias("kind"), "id", "pos", "payload").union(empty.agg(F.count("*").alias("n")).select(F.lit("cleared"), "n", none, none))
+
+
 @query("SELECT doc_id, length(text)::DOUBLE AS n_chars, (length(text) - length(replace(text, 'a', '')))::DOUBLE AS n_a FROM documents WHERE text IS NOT NULL")
 def v6_embedding_function(t: Tables) -> DataFrame:
     docs = t("documents").where("text is not null").select("doc_id", "text")
@@ -312,24 +323,38 @@ def l1_context_block(t: Tables) -> DataFrame:
     return t("vectors").select("pos", prompts.context_block(F.col("document_id"), F.when(F.col("pos") % 3 != 0, F.col("chunk_id")), (F.col("pos") % 8) / 8.0, F.col("text")).alias("block"))
 
 
-_PAYLOAD = """'{"startup":{"id":' || id::VARCHAR || ',"name":"' || name || '"' || CASE WHEN id % 3 = 0 THEN '' ELSE ',"sector":"' || sector || '"' END || '},"metrics":{"multiple":"' || (id % 90)::VARCHAR || '.5000"}}'"""
+_PAYLOAD = """'{"startup":{"id":' || id::VARCHAR || ',"name":"' || name || '"' || CASE WHEN id % 3 = 0 THEN '' ELSE ',"sector":"' || sector || '"' END || '},"deterministic_financial_metrics":{"multiple":"' || (id % 90)::VARCHAR || '.5000"}}'"""
 
 
-def _payload(t: Tables) -> DataFrame:
+def _company(t: Tables) -> DataFrame:
     company = F.struct("id", "name", F.when(F.col("id") % 3 != 0, F.col("sector")).alias("sector"))
     metrics = F.struct(((F.col("id") % 90) + F.lit(0.5)).cast("decimal(20,4)").cast("string").alias("multiple"))
-    return t("startups").select("id", prompts.analysis_payload(company, metrics).alias("payload"))
+    return t("startups").select("id", company.alias("company"), metrics.alias("metrics"))
+
 
+#: The payload's SQL, its braces out of the way of the names of tables.
+_PAYLOAD = _PAYLOAD.replace("{\"", "' || chr(123) || '\"").replace("}", "' || chr(125) || '")
 
-@query("SELECT id, " + _PAYLOAD.replace("{\"", "' || chr(123) || '\"").replace("}", "' || chr(125) || '") + " AS payload FROM {startups}")
+
+@query(f"SELECT id, {_PAYLOAD} AS payload FROM {{startups}}")
 def l3_analysis_payload(t: Tables) -> DataFrame:
-    return _payload(t)
+    return _company(t).select("id", prompts.analysis_payload(F.col("company"), F.col("metrics")).alias("payload"))
+
+
+#: The form of an answer, written out by hand.
+_FORM = (
+    '"company_overview": "string or null", "founder_assessment": "string or null", "product_assessment": "string or null", "market_assessment": "string or null", "traction_assessment": "string or null", '
+    '"financial_assessment": "string or null", "valuation_assessment": "string or null", "business_model_assessment": "string or null", "competitive_assessment": "string or null", "investment_thesis": "string or null", '
+    '"strengths": ["string"], "risks": ["string"], "missing_information": ["string"], "key_observations": ["string"], "preliminary_recommendation": "insufficient_information | promising | needs_further_diligence | concerns"'
+)
 
 
-@query("SELECT id, 'system' AS role, 'Answer in JSON.' AS content FROM {startups} UNION ALL SELECT id, 'user', 'Analyse ' || name FROM {startups}")
+@query(f"""
+SELECT id, 'system' AS role, 'You assess startups for an investor. Rely on the given data alone, never fill gaps with guesses, and answer with one JSON object.' AS content FROM {{startups}}
+UNION ALL SELECT id, 'user', 'Assess this startup.' || chr(10) || chr(10) || 'Data:' || chr(10) || {_PAYLOAD} || chr(10) || chr(10) || 'Answer with a JSON object of this form and nothing else:' || chr(10) || chr(123) || '{_FORM}' || chr(125) || chr(10)
+ || 'Use null where the data do not suffice and name what is missing under missing_information.' FROM {{startups}}""")
 def l4_analysis_messages(t: Tables) -> DataFrame:
-    each = t("startups").select("id", F.inline(prompts.chat_messages("Answer in JSON.", F.concat(F.lit("Analyse "), F.col("name")))))
-    return each.select("id", "role", "content")
+    return _company(t).select("id", F.inline(prompts.analysis_messages(F.col("company"), F.col("metrics"))))
 
 
 @query("""
@@ -355,3 +380,32 @@ def m1_unit_economics(t: Tables) -> DataFrame:
         d(F.floor(F.col("rev") / 3)).alias("gross_profit"), none.alias("gross_margin_given"), none.alias("runway_given"), d(F.col("n") * 100).alias("cash"), d(F.col("n") % 3).alias("burn_rate"),
     )
     return facts.financial_metrics(base).select("doc_id", _num("ltv_cac"), _num("gross_margin", 4), _num("runway"))
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, 'the')) AS x, generate_subscripts(string_split(text, 'the'), 1) AS i, len(string_split(text, 'the')) AS n FROM documents),
+ o AS (SELECT * FROM (SELECT doc_id, i, n, sum(length(x) + 3) OVER (PARTITION BY doc_id ORDER BY i) - 3 AS s FROM p) WHERE i < n),
+ l AS (SELECT doc_id, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, length(x) AS m
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+ h AS (SELECT o.doc_id, o.s, l.b, l.b + l.m AS e FROM o ASOF JOIN l ON l.doc_id = o.doc_id AND o.s >= l.b),
+ c AS (SELECT h.doc_id, h.s, min(k.idx) AS idx FROM h LEFT JOIN {_CHUNKS} k ON k.doc_id = h.doc_id AND k.s <= h.s AND h.s + 3 <= k.e GROUP BY 1, 2)
+SELECT h.doc_id, h.s::BIGINT AS start_offset, h.b::BIGINT AS line_start, h.e::BIGINT AS line_end, substr(d.text, greatest(h.b, h.s - 40)::BIGINT + 1, (least(h.e, h.s + 43) - greatest(h.b, h.s - 40))::BIGINT) AS context, c.idx::BIGINT AS chunk_idx
+FROM h JOIN documents d USING (doc_id) JOIN c ON c.doc_id = h.doc_id AND c.s = h.s""")
+def c3_c4_j7_every_occurrence(t: Tables) -> DataFrame:
+    """Line, context and chunk of every occurrence of a phrase."""
+    found = occurrences.occurrences(t("documents").select("doc_id", "text"), "the")
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start_offset", "line_start", "line_end")), "context", F.col("chunk_idx").cast("long").alias("chunk_idx"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS id, s_name AS name, n_name AS sector FROM supplier JOIN nation ON n_nationkey = s_nationkey), f AS (SELECT min(id) AS first FROM s WHERE id % 9 = 3)
+SELECT id, CASE WHEN id = first THEN 'Same' ELSE name END AS name, CASE WHEN id = first OR id % 9 = 6 THEN 'moved' ELSE sector END AS sector, CASE WHEN id % 9 = 0 OR id % 9 = 3 AND id <> first THEN 'clash' WHEN id % 3 = 0 THEN 'updated' END AS outcome FROM s, f
+UNION ALL SELECT -id, NULL, NULL, 'not_found' FROM s WHERE id % 3 = 1""")
+def t4_patch_unique(t: Tables) -> DataFrame:
+    """Patches that ask for a name of another row, for a new name that others ask for, too, for their own name, and for rows that there are not."""
+    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("sector"))
+    k = F.col("id")
+    name = F.when(k % 9 == 0, F.format_string("Supplier#%09d", F.abs(k - 1))).when(k % 9 == 6, F.col("name")).otherwise("Same")
+    asks = s.where("id % 3 < 2").select(F.when(k % 3 == 0, k).otherwise(-k).alias("id"), F.explode(F.create_map(F.lit("name"), name, F.lit("sector"), F.lit("moved"))).alias("column", "value"))
+    left, outcomes = maintenance.patch_unique(s, asks, ["name", "sector"], "name")
+    return left.join(outcomes, "id", "full")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import parsers, rules, spans
-from factloom.operators import answers, bloom, chunking, evidence, extraction, facts, joins, maintenance, prompts, reconcile, registry, vectors
+from factloom.operators import answers, bloom, chunking, evidence, extraction, facts, joins, maintenance, occurrences, prompts, reconcile, registry, vectors
 from factloom.plans.derived import ANSWERS
 from factloom.sources import documents
 
@@ -346,3 +346,43 @@ def test_every_signal_keyword_speaks_alone(spark):
         field, value, _ = rules.SIGNALS[r.n]
         if field != "stage" or r.k:
             assert (value in ([r.s.stage] if field == "stage" else r.s[field])) == bool(r.k), r.k
+
+
+def test_occurrences_match_a_plain_scan(spark):
+    rng = random.Random(5)
+    texts = [None, "", "the", "\nthe\n", "thethe the\n\nİthe", *("".join(rng.choices(["the", "t", "é", "\n", " he ", "x" * 45], k=rng.randrange(60))) for _ in range(60)), "ab the " * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in occurrences.occurrences(rows, "the").collect())
+    want = []
+    for k, t in enumerate(texts):
+        spans_of = [(i * 800, min(len(t), i * 800 + 1000)) for i in range(len(t) // 800 + 1)] if t else []
+        for m in re.finditer("the", t or ""):
+            a, b = m.span()
+            begin, stop = t.rfind("\n", 0, a) + 1, (t + "\n").index("\n", b)
+            chunk = next((i for i, (x, y) in enumerate(spans_of) if x <= a and b <= y), None)
+            want.append((k, a, b, begin, stop, t[max(begin, a - 40) : min(stop, b + 40)], chunk))
+    assert got == sorted(want)
+    across = occurrences.occurrences(spark.createDataFrame([(1, "one\ntwo three\nfour")], "doc_id long, text string"), "e\nt").first()
+    assert (across.start_offset, across.line_start, across.line_end, across.context) == (2, 0, 13, "one\ntwo three")
+    with pytest.raises(ValueError):
+        occurrences.occurrence_spans(F.col("text"), "")
+
+
+def test_patches_keep_keys_unique(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, None, "x"), (4, "", "x"), (5, "e", "x")], "id long, name string, sector string")
+    asks = [(1, "name", "b"), (1, "sector", "lost"), (2, "name", "b"), (2, "sector", "kept"), (3, "name", "new"), (4, "name", "new"), (5, "name", None), (9, "name", "new"), (9, "name", "z")]
+    left, outcomes = maintenance.patch_unique(rows, spark.createDataFrame(asks, "id long, column string, value string"), ["name", "sector"], "name")
+    assert {tuple(r) for r in left.collect()} == {(1, "a", "x"), (2, "b", "kept"), (3, "new", "x"), (4, "", "x"), (5, None, "x")}
+    assert {tuple(r) for r in outcomes.collect()} == {(1, "clash"), (2, "updated"), (3, "updated"), (4, "clash"), (5, "updated"), (9, "not_found")}
+    none, told = maintenance.patch_unique(rows, spark.createDataFrame([], "id long, column string, value string"), ["name"], "name")
+    assert none.count() == 5 and told.count() == 0
+
+
+def test_the_form_asked_for_is_the_form_that_is_valid(spark):
+    company, metrics = F.struct(F.lit("Né").alias("name"), F.lit(None).cast("string").alias("sector")), F.struct(F.lit("1.5000").alias("runway"))
+    system, user = spark.range(1).select(F.inline(prompts.analysis_messages(company, metrics))).collect()
+    assert (system.role, system.content, user.role) == ("system", prompts.ANALYST, "user")
+    data, form = (json.JSONDecoder().raw_decode(user.content, m.start())[0] for m in re.finditer(r"(?m)^\{", user.content))
+    assert data == {"startup": {"name": "Né"}, "deterministic_financial_metrics": {"runway": "1.5000"}}
+    assert set(form) == {*answers.TEXTS, *answers.LISTS, answers.RECOMMENDATION} and len(form) == 15
+    assert form[answers.RECOMMENDATION].split(" | ") == list(answers.RECOMMENDATIONS)
