@@ -4,23 +4,33 @@ The first page of a host (least page id) is the pivot.  Every other page's
 tree is aligned with the pivot's by simple tree matching (equal tags, order
 kept, most nodes matched); a text slot of the pivot whose aligned slots repeat
 the pivot's text on nearly all pages that have one is template, other slots
-are content.  Only the counts per pivot slot are summed by host, so a host may
-hold any part of the pages.  Slots in menus, headers, footers, sidebars,
-forms, scripts and the like (by element, role, class or id) are never content;
-where a page marks an article or a main part, only that part is.
+are content.  The text that varies is summed by node of the pivot, too: the
+deepest node that holds most of it, with two parts or more, is the host's
+content.  Only sums per pivot slot and node are grouped by host, so a host may
+hold any part of the pages.
+
+Slots in menus, headers, footers, sidebars, forms, scripts and the like (by
+element, role, class or id) are never content.  A form that holds the page's
+article, or most of the text of its paragraphs, is none of these, and inside
+an article a class such as legal names a subject, not a part.  Where a page
+marks an article or a main part that holds at least half of what is left, only
+that part is content; elsewhere the host's content node and first-level
+headings are, where the host has such a node.
 
 Defined cases: a null or empty page, or one without content, gives the empty
 string; a url without a host makes its pages a group of their own (by the text
 before the first slash); a cut-off tag, comment or script at a page's end is
-left out; copies of the pivot do not vote; a host with fewer than ``least``
-voting pages has no template; repeated rows are pages of their own; an empty
-table gives no rows; other columns are ignored, whatever their names.
+left out; copies of the pivot, and pages of which more than half repeats it,
+do not vote; a host with fewer than ``least`` voting pages has neither template
+nor content node; repeated rows are pages of their own; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,46 +61,53 @@ CHROME_NAMES = set(
 HOLDERS = set("area bar block box column container content group inner item items left link links list outer panel posts articles region right row section slot stories unit wrap wrapper button buttons form top bottom main".split())
 NEGATED = {"has", "with", "no", "non", "not", "without"}
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Of these, the words that name a subject inside an article.
+SUBJECTS = {"legal", "disclaimer", "copyright"}
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
 class Node:
     """An element: tag, children, and the numbers of the text slots that start in it."""
 
-    __slots__ = ("tag", "chrome", "main", "children", "slots", "shape", "named")
+    __slots__ = ("tag", "chrome", "main", "children", "slots", "shape", "named", "forms")
 
-    def __init__(self, tag: str, chrome: bool = False, main: bool = False, named: tuple[Node, ...] = ()) -> None:
+    def __init__(self, tag: str, chrome: bool = False, main: bool = False, named: tuple[Node, ...] = (), forms: tuple[Node, ...] = ()) -> None:
         self.tag, self.chrome, self.main = tag, chrome, main
         self.named = named  # it and the elements round it whose class or id names no text
+        self.forms = forms  # the forms round it
         self.children: list[Node] = []
         self.slots: list[int] = []
 
 
-def _names_chrome(token: str) -> bool:
+def _names_chrome(token: str, inside: bool) -> bool:
     """Whether a class or id names a part that is not text: by its last word but for holders, unless a word before says that it lacks or has one."""
     ws = [w.lower() for w in _NAME.findall(token)]
     if NEGATED.intersection(ws):
         return False
     while len(ws) > 1 and ws[-1] not in CHROME_NAMES and (ws[-1] in HOLDERS or ws[-1].isdigit()):
         ws.pop()
-    return bool(ws) and ws[-1] in CHROME_NAMES
-
-
-def _is_named(tag: str, attributes: str) -> bool:
-    if tag in ("html", "body", *MAIN) or not attributes:
-        return False
-    return any(_names_chrome(w) for m in _ATTR.finditer(attributes) if m[1].lower() in ("class", "id") for w in (m[2] or m[3] or m[4] or "").split())
-
-
-def _is_chrome(tag: str, attributes: str) -> bool:
-    if tag in CHROME:
-        return True
-    for m in _ATTR.finditer(attributes) if attributes else ():
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in CHROME_ROLES:
-            return True
-    return False
+    return bool(ws) and ws[-1] in CHROME_NAMES and not (inside and ws[-1] in SUBJECTS)
+
+
+def _element(tag: str, attributes: str, above: Node) -> Node:
+    """The node of a start tag, with what its name and attributes say and what it has from above."""
+    chrome, main, named = tag in CHROME and tag != "form", tag in MAIN, False
+    for name, *values in _ATTR.findall(attributes) if attributes else ():
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            chrome = True
+        elif name == "role":
+            role = value.strip().lower()
+            chrome, main = chrome or role in CHROME_ROLES, main or role == "main"
+        elif name in ("class", "id") and tag not in ("html", "body", *MAIN):
+            named = named or any(_names_chrome(w, above.main) for w in value.split())
+    node = Node(tag, above.chrome or chrome, above.main or main, above.named, above.forms)
+    if named:
+        node.named += (node,)
+    if tag == "form":
+        node.forms += (node,)
+    return node
 
 
 def parse(page: str | None) -> tuple[Node, list[str], list[Node]]:
@@ -140,9 +157,7 @@ def parse(page: str | None) -> tuple[Node, list[str], list[Node]]:
                 elif stack[k].tag in SCOPE:
                     break
         above = stack[-1]
-        node = Node(tag, above.chrome or _is_chrome(tag, m[3]), above.main or tag in MAIN or 'role="main"' in m[3], above.named)
-        if _is_named(tag, m[3]):
-            node.named += (node,)
+        node = _element(tag, m[3], above)
         if node.main and not above.main and not node.chrome:
             mains.append(node)
         above.children.append(node)
@@ -157,11 +172,29 @@ def parse(page: str | None) -> tuple[Node, list[str], list[Node]]:
         parts.append(page[at:])
     end_block()
     holds = () if any(not n.named for n in mains) else mains[0].named if mains else ()
-    for owner in owners:  # a name does not count on what holds the page's article
+    for owner in dict.fromkeys(owners):  # a name does not count on what holds the page's article
         owner.chrome = owner.chrome or any(n not in holds for n in owner.named)
+    _judge_forms(texts, owners, mains)
     return root, texts, owners
 
 
+def _judge_forms(texts: list[str], owners: list[Node], mains: list[Node]) -> None:
+    """Forms are chrome but for those round an article or round most of the paragraphs' text."""
+    if not any(o.forms for o in owners):
+        return
+    kept = {f for n in mains for f in n.forms}
+    if not kept:
+        inside, total = Counter(), 0
+        for t, o in zip(texts, owners):
+            if o.tag == "p" and not o.chrome:
+                total += len(t)
+                for f in o.forms:
+                    inside[f] += len(t)
+        kept = {f for f, n in inside.items() if 2 * n > total}
+    for o in dict.fromkeys(owners):
+        o.chrome = o.chrome or any(f not in kept for f in o.forms)
+
+
 def _shapes(*roots: Node) -> None:
     """Give every node the hash of its subtree's tags."""
     for root in roots:
@@ -257,58 +290,135 @@ def slot_pairs(pivot: Node, page: Node) -> list[tuple[int, int]]:
     return [p for x, y in align(pivot, page)[1] for p in zip(x.slots, y.slots)]
 
 
-def main_text(page: str | None, pivot: tuple[Node, list[str]] | None = None, constant: frozenset[int] = frozenset()) -> str:
+def _in_order(root: Node) -> list[Node]:
+    """A tree's nodes, those above before those below them."""
+    nodes = [root]
+    for n in nodes:
+        nodes += n.children
+    return nodes
+
+
+def varying(pivot: Node, page: tuple[Node, list[str], list[Node]], pairs: list[tuple[Node, Node]], same: set[int]) -> dict[Node, int]:
+    """Characters of the page's slots that are no chrome and not in same, by the pivot's node that the nearest aligned element round them has."""
+    root, texts, owners = page
+    of = {d: c for c, d in pairs}
+    near, sums = {root: pivot}, Counter()
+    for n in _in_order(root):
+        near[n] = of.get(n) or near[n]
+        near.update((c, near[n]) for c in n.children)
+    for k, (t, o) in enumerate(zip(texts, owners)):
+        if not o.chrome and k not in same:
+            sums[near[o]] += len(t)
+    return sums
+
+
+def content_node(pivot: Node, sums: dict[int, int], percent: int = 70) -> Node | None:
+    """The deepest node that holds so much of the varying text, by sums per node in order, and has it in two parts or more; None if that is the root."""
+    nodes = _in_order(pivot)
+    own = [sums.get(k, 0) for k in range(len(nodes))]
+    number = {n: k for k, n in enumerate(nodes)}
+    below = own[:]
+    for k in range(len(nodes) - 1, -1, -1):
+        below[k] += sum(below[number[c]] for c in nodes[k].children)
+    at, best = pivot, None
+    while True:
+        parts = [c for c in at.children if below[number[c]]]
+        if at is not pivot and len(parts) + (own[number[at]] > 0) > 1:
+            best = at
+        at = next((c for c in parts if below[number[c]] * 100 >= below[0] * percent), None)
+        if at is None:
+            return best
+
+
+def main_text(page: str | None, pivot: tuple[Node, list[str]] | None = None, constant: frozenset[int] = frozenset(), content: Node | None = None) -> str:
     root, texts, owners = parse(page)
-    marked = any(o.main and not o.chrome for o in owners)
-    template = {j for i, j in slot_pairs(pivot[0], root) if i in constant and pivot[1][i] == texts[j]} if pivot and constant else set()
-    return "\n\n".join(t for k, (t, o) in enumerate(zip(texts, owners)) if not o.chrome and (o.main or not marked) and k not in template)
+
+    def marked(free: list[int]) -> bool:
+        return 2 * sum(len(texts[k]) for k in free if owners[k].main) >= max(1, sum(len(texts[k]) for k in free))
+
+    free = [k for k, o in enumerate(owners) if not o.chrome]
+    if pivot and free and (constant or content and not marked(free)):
+        pairs = align(pivot[0], root)[1]
+        template = {j for x, y in pairs for i, j in zip(x.slots, y.slots) if i in constant and pivot[1][i] == texts[j]}
+        free = [k for k in free if k not in template]
+        at = next((y for x, y in pairs if x is content), None)
+        if at is not None and not marked(free):
+            inside = set(_in_order(at))
+            free = [k for k in free if owners[k] in inside or owners[k].tag == "h1"]
+    if marked(free):
+        free = [k for k in free if owners[k].main]
+    return "\n\n".join(texts[k] for k in free)
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+_SUMS = "host string, slot int, node int, aligned long, equal long, chars long"
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slot of a host's pivot how often it was aligned and equal, per node the pages and the characters of varying text."""
     pivots: dict[str, tuple] = {}
     for b in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
+        sums: dict[tuple[str, int | None, int | None], list[int]] = {}
         for of, page, pivot in zip(*(c.to_pylist() for c in b.columns)):
             if of not in pivots:
                 if len(pivots) > 200:
                     pivots.clear()
-                pivots[of] = parse(pivot)
-            root, texts, _ = parse(page)
-            base, base_texts, _ = pivots[of]
+                found = parse(pivot)
+                pivots[of] = (*found[:2], {n: k for k, n in enumerate(_in_order(found[0]))})
+            base, base_texts, number = pivots[of]
+            parsed = root, texts, owners = parse(page)
             if texts == base_texts:
                 continue
-            for i, j in slot_pairs(base, root):
-                s = sums.setdefault((of, i), [0, 0])
+            pairs = align(base, root)[1]
+            slots = [p for x, y in pairs for p in zip(x.slots, y.slots)]
+            same = {j for i, j in slots if base_texts[i] == texts[j]}
+            free = [k for k, o in enumerate(owners) if not o.chrome]
+            if 2 * sum(len(texts[k]) for k in free if k in same) > sum(len(texts[k]) for k in free):
+                continue
+            for i, j in slots:
+                s = sums.setdefault((of, i, None), [0, 0, 0])
+                s[0] += 1
+                s[1] += j in same
+            chars = varying(base, parsed, pairs, same)
+            for n in {base, *chars}:
+                s = sums.setdefault((of, None, number[n]), [0, 0, 0])
                 s[0] += 1
-                s[1] += base_texts[i] == texts[j]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], names=["host", "slot", "aligned", "equal"])
+                s[2] += chars[n]
+        keys, values = list(zip(*sums)) or [()] * 3, list(zip(*sums.values())) or [()] * 3
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((*keys, *values), kinds)], names=["host", "slot", "node", "aligned", "equal", "chars"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pivots: dict[str, tuple] = {}
     for b in batches:
         texts = []
-        for page, of, pivot, slots in zip(*(c.to_pylist() for c in b.columns[2:])):
-            if slots and of not in pivots:
+        for page, of, pivot, slots, nodes in zip(*(c.to_pylist() for c in b.columns[2:])):
+            if pivot is not None and of not in pivots:
                 if len(pivots) > 200:
                     pivots.clear()
-                pivots[of] = (parse(pivot)[:2], frozenset(slots))
-            texts.append(main_text(page, *pivots[of]) if slots else main_text(page))
+                found = parse(pivot)[:2]
+                pivots[of] = (found, frozenset(slots), content_node(found[0], {n["node"]: n["chars"] for n in nodes}))
+            texts.append(main_text(page, *pivots[of]) if pivot is not None else main_text(page))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", least: int = 5, percent: int = 80) -> DataFrame:
+def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", least: int = 2, percent: int = 80) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"), host(F.col(url)).alias("host"))
     pivots = staged(own.groupBy("host").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where(F.col("n") > least).select("host", "page_id"), "pivot-ids")
     pivots = staged(own.select("host", "page_id", "html").join(pivots, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("pivot")), "pivots")
-    votes = own.select("host", "html").join(pivots, "host").select("host", "html", "pivot").mapInArrow(_votes, "host string, slot int, aligned long, equal long")
-    constant = votes.groupBy("host", "slot").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal")).where((F.col("aligned") >= least) & (F.col("equal") * 100 >= F.col("aligned") * percent))
-    wrappers = staged(constant.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("slots")).join(pivots, "host").select("host", "pivot", "slots"), "wrappers")
+    votes = own.select("host", "html").join(pivots, "host").select("host", "html", "pivot").mapInArrow(_votes, _SUMS)
+    sums = votes.groupBy("host", "slot", "node").agg(*(F.sum(c).alias(c) for c in ("aligned", "equal", "chars")))
+    constant = F.col("slot").isNotNull() & (F.col("aligned") >= least) & (F.col("equal") * 100 >= F.col("aligned") * percent)
+    known = sums.groupBy("host").agg(
+        F.sort_array(F.collect_list(F.when(constant, F.col("slot")))).alias("slots"), F.collect_list(F.when(F.col("chars") > 0, F.struct("node", "chars"))).alias("nodes"),
+        F.max(F.when(F.col("node") == 0, F.col("aligned"))).alias("voters"),
+    )
+    wrappers = staged(known.where(F.col("voters") >= least).join(pivots, "host").select("host", "pivot", "slots", "nodes"), "wrappers")
     kind = pages.schema[page_id].dataType.simpleString()
-    out = own.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "pivot", "slots").mapInArrow(_extract, f"page_id {kind}, url string, text string")
+    out = own.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "pivot", "slots", "nodes").mapInArrow(_extract, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

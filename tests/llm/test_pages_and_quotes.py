@@ -1,3 +1,7 @@
+import collections
+
+import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import htmlmain, queries, quotes
 
@@ -33,6 +37,54 @@ def test_odd_pages(spark):
     assert htmlmain.extract_main_text(pages(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><article><p>Teaser</p></article><div><p>The story is long</p><p>and goes on.</p></div></body>", "Teaser\n\nThe story is long\n\nand goes on."),
+        ("<body><form id=page><nav>menu</nav><article><p>Text</p></article><input></form></body>", "Text"),
+        ("<body><form id=page><div><p>Paragraphs without an article</p></div></form></body>", "Paragraphs without an article"),
+        ("<p>Text of the page</p><form><p>Reply</p></form>", "Text of the page"),
+        ("<article><p>A</p><div class='legal'><p>B</p></div></article><div class='legal'>C</div>", "A\n\nB"),
+        ("<div data-role=\"main\"><p>A</p></div><p title='role=main'>B</p>", "A\n\nB"),
+        ("<p>B</p><div ROLE = 'Main'><p>A long text</p></div>", "A long text"),
+    ],
+)
+def test_marks_that_hold_the_text(page, text):
+    assert htmlmain.main_text(page) == text
+
+
+PLAIN = "<body><div><div><a>Menu {0}</a></div><div><a>More</a></div></div><div>Buy {0}</div><div><h1>Title {0}</h1>{1}</div><div>&copy; {0}</div></body>"
+
+
+def test_pages_without_marks(spark):
+    body = lambda k: "".join(f"<p>Page {k} says {'much ' * 20}in part {i} of {k}.</p>" for i in range(2 + k % 3))
+    rows = [(k, "http://a.org/", PLAIN.format(k, body(k))) for k in range(4)] + [(9, "http://b.org/", PLAIN.format(9, body(9)))]
+    got = {r.page_id: r.text.split("\n\n") for r in htmlmain.extract_main_text(pages(spark, rows)).collect()}
+    for k in range(4):
+        assert got[k][0] == f"Title {k}" and len(got[k]) == 3 + k % 3
+    assert got[9][:3] == ["Menu 9", "More", "Buy 9"]  # one page of a host shows nothing
+
+
+def test_near_copies_are_no_template(spark):
+    body = "".join(f"<p>Sentence {i} that all copies have.</p>" for i in range(20))
+    rows = [(k, "http://a.org/", f"<article>{body}<p>Copy {k}</p></article>") for k in range(7)]
+    wide = pages(spark, rows).withColumns({"pivot": F.lit(1), "host": F.lit("x"), "slots": F.lit(2), "node": F.lit(3), "text": F.lit("t")})
+    got = htmlmain.extract_main_text(wide)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert all(r.text.count("\n\n") == 20 and r.text.endswith(f"Copy {r.page_id}") for r in got.collect())
+
+
+def test_given_pages_without_marks_keep_their_texts(spark):
+    """The given pages with every element and class plain: the wrapper finds what the marks said, wherever a host has four pages."""
+    given = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").select("page_id", "url", "html")
+    bare = F.regexp_replace("html", r"""(<[a-z0-9]+[^>]*?) (?:class|id|role)=(?:"[^"]*"|[^\s>]+)""", "$1")
+    bare = F.regexp_replace(bare, r"<(/?)(?:nav|ul|li|article|footer|aside|header|section|main|h[2-6]|form)\b[^>]*>", "<$1div>")
+    texts = [{r.page_id: r for r in htmlmain.extract_main_text(p).collect()} for p in (given, given.withColumn("html", bare))]
+    of = collections.Counter(h.host for h in given.select(htmlmain.host(F.col("url")).alias("host")).collect())
+    large = [r.page_id for r in given.select("page_id", htmlmain.host(F.col("url")).alias("host")).collect() if of[r.host] >= 4]
+    assert len(large) > 100 and all(texts[0][k].text == texts[1][k].text for k in large)
+
+
 def test_simple_tree_matching():
     a, _, _ = htmlmain.parse("<div><p>1</p><ul><li>2</ul><p>3</p></div>")
     b, _, _ = htmlmain.parse("<div><p>1</p><p>3</p><p>4</p></div>")
