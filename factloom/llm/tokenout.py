@@ -20,7 +20,6 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -50,8 +49,8 @@ _SPLIT = {
     "pretokenizers": [{"type": "Split", "pattern": {"Regex": _CUT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
 }
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")  # in NFC, and as long in lower case
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\\z"  # in NFC, and as long in lower case
+_PIECES = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+"
 
 
 class WordTokenizer:
@@ -119,24 +118,27 @@ class WordTokenizer:
                     spans.append(np.array(e.offsets, np.int32).reshape(-1, 2) - (np.cumsum(sizes + 1) - sizes - 1)[of, None].astype(np.int32))
         return np.concatenate([np.empty(0, np.int32), *ids]), np.concatenate(spans), np.cumsum(np.concatenate(lens))
 
-    def _by_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, spans and starts of plain words, each the ids of its pieces one after another."""
-        cut = [_PIECES.findall(w.lower()) for w in words]
-        new = [p for p in set(chain.from_iterable(cut)) if p not in self.pieces]
+    def _by_pieces(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, spans and starts of plain words, each the ids of its pieces one after another; Arrow cuts them, with a space before each piece."""
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words), f"({_PIECES})", r" \1")
+        cut = pc.split_pattern(pc.utf8_slice_codeunits(spaced, 1), " ")
+        coded = cut.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        new = [p for p in different if p not in self.pieces]
         if new:
             ids, spans, starts = self._joined(new)
             self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
             self.piece_ids, self.piece_spans = np.concatenate([self.piece_ids, ids]), np.concatenate([self.piece_spans, spans])
             self.piece_starts = np.concatenate([self.piece_starts, self.piece_starts[-1] + starts[1:]])
-        piece = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64)
+        piece = np.fromiter(map(self.pieces.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy()]
         lens = np.diff(self.piece_starts)[piece]
         ends = np.cumsum(lens)
         rows = np.arange(int(lens.sum())) - np.repeat(ends - lens - self.piece_starts[:-1][piece], lens)
-        n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        n_pieces = pc.list_value_length(cut).to_numpy().astype(np.int64)
         starts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_pieces)])]
         spans = self.piece_spans
         if self.offsets:
-            sizes = np.fromiter(map(len, chain.from_iterable(cut)), np.int64, len(piece))
+            sizes = pc.utf8_length(cut.flatten()).to_numpy().astype(np.int64)
             before = np.cumsum(sizes) - sizes
             before -= np.repeat(before[np.cumsum(n_pieces) - n_pieces], n_pieces)
             spans = spans[rows] + np.repeat(before, lens)[:, None].astype(np.int32)
@@ -153,14 +155,14 @@ class WordTokenizer:
                 gc.enable()
 
     def _learn(self, new: list[bytes]) -> None:
-        words = [w.decode("utf-8", "replace") for w in new]
-        plain = [self.model is not None and "<|" not in w and _PLAIN.fullmatch(w) is not None for w in words]
+        words = pa.array(new, pa.binary()).view(pa.string())  # bytes that are no UTF-8 are not plain
+        plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), pc.match_substring(words, "<|")) if self.model is not None else pa.array([False] * len(new))
+        mask = plain.to_numpy(zero_copy_only=False)
         parts = []
-        for learnt, yes in ((self._by_pieces, True), (self._each, False)):
-            mine = [w for w, p in zip(words, plain) if p == yes]
+        for yes in (True, False):
+            mine = list(compress(new, mask == yes))
             if mine:
-                parts.append(learnt(mine))
-                mine = [w for w, p in zip(new, plain) if p == yes]
+                parts.append(self._by_pieces(words.filter(plain)) if yes else self._each([w.decode("utf-8", "replace") for w in mine]))
                 self.known.update(zip(mine, range(len(self.known), len(self.known) + len(mine))))
         self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
         self.spans = np.concatenate([self.spans, *(p[1] for p in parts)])
