@@ -51,6 +51,13 @@ def risks(text: Column) -> Column:
     return F.struct(*(_values(hits, n).alias(n) for n in RISK_LISTS), severity.alias("severity"), _sure(hits))
 
 
+def _first_of_each(items: Column) -> Column:
+    """The items in order, of those equal without regard to case the first; the items are computed once, not again for each of them."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(fold(x).alias("key"), i.alias("at"), x.alias("value"))))
+    firsts = F.transform(F.array(keyed), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["key"] != x["key"])))  # an array of one, so that a is a variable
+    return F.transform(F.sort_array(F.transform(F.get(firsts, F.lit(0)), lambda x: F.struct(x["at"], x["value"]))), lambda x: x["value"])
+
+
 def entities(text: Column) -> Column:
     """struct of company_name, seven lists from the first line of each label, and confidence."""
     company = F.lit(None).cast("string")
@@ -58,9 +65,7 @@ def entities(text: Column) -> Column:
         company = F.when(text.rlike(_label(label)), F.nullif(squeeze(F.regexp_extract(text, _label(label), 1)), F.lit(""))).otherwise(company)
 
     def listed(pattern: str) -> Column:
-        items = F.filter(F.transform(F.split(F.regexp_extract(text, _label(pattern), 1), r"\s*,\s*|\s*;\s*"), squeeze), lambda x: x != "")
-        folded = F.transform(items, fold)
-        return F.filter(F.transform(items, lambda x, i: F.when(F.array_position(folded, fold(x)) == i + 1, x)), lambda x: x.isNotNull())
+        return _first_of_each(F.filter(F.transform(F.split(F.regexp_extract(text, _label(pattern), 1), r"\s*,\s*|\s*;\s*"), squeeze), lambda x: x != ""))
 
     present = sum((text.rlike(_label(p)).cast("int") for p in (*COMPANY_LABELS, *ENTITY_LABELS.values())), F.lit(0))
     return F.struct(company.alias("company_name"), *(listed(p).alias(n) for n, p in ENTITY_LABELS.items()), F.least(F.lit(1.0), F.lit(0.25) + present * F.lit(0.10)).alias("confidence"))

@@ -205,8 +205,10 @@ _MORE = ("investors", "accelerators", "locations", "sectors", "products", "techn
 def x2_entity_lists(t: Tables) -> DataFrame:
     key = F.col("c_custkey")
     line = lambda k, n: F.when(key % (k + 2) == 0, "").otherwise(F.concat(F.lit(f" {n.upper()[:1]}{n[1:]} :  {n} a;N"), (key % 9).cast("string"), F.lit(f" , {n.upper()} A;; B  c\n{n}: later\n")))
-    text = F.concat(*(line(k, n) for k, n in enumerate(_MORE)))
-    found = t("customer").select(key.alias("doc_id"), extraction.entities(text).alias("e"))
+    customers = t("customer")
+    n_tasks = 4 * customers.sparkSession.sparkContext.defaultParallelism  # a customer costs far more than it weighs: splits by size would leave all to a task or two
+    docs = customers.repartition(n_tasks, "c_custkey").select(key.alias("doc_id"), F.concat(*(line(k, n) for k, n in enumerate(_MORE))).alias("text"))
+    found = docs.select("doc_id", extraction.entities(F.col("text")).alias("e"))
     return found.select("doc_id", *(F.array_join(f"e.{n}", "|").alias(n) for n in _MORE), _num("e.confidence"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import parsers, rules, spans
 from factloom.operators import answers, bloom, chunking, evidence, extraction, facts, joins, maintenance, occurrences, prompts, reconcile, registry, vectors
+from factloom.plans import catalog, catalog_more, catalog_writes  # noqa: F401 - the others add to the first
 from factloom.plans.derived import ANSWERS
 from factloom.sources import documents
 
@@ -121,6 +122,15 @@ def test_cosine(spark):
         bad.select(vectors.cosine(F.col("a"), F.col("b"))).collect()
 
 
+def test_entity_items_are_computed_once_and_customers_spread(spark):
+    text = "Founders: " + ", ".join(f"Name {k % 300}" if k % 2 else f"NAME  {k % 300}" for k in range(900)) + "\nCompany: x"
+    e = extraction.entities(F.col("t"))
+    founders = spark.createDataFrame([(text,), (None,)], "t string").select(e["founders"].alias("f"))
+    assert [r.f for r in founders.collect()] == [[f"Name {k}" if k % 2 else f"NAME {k}" for k in range(300)], None]
+    assert founders._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+    assert catalog.QUERIES["x2_entity_lists"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
 def test_top_k_ties_threshold_and_blocks(spark):
     import numpy as np
 
