@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from factloom.sources.shared import written
+from factloom.sources.shared import shared_path, written
 
 
 def insert_unique(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -76,17 +76,24 @@ def cascade_closure(deleted: DataFrame, references: DataFrame) -> DataFrame:
     """(name, id): the deleted rows (name, id) of tables and all that goes with them, over references of any depth.
 
     references (name, id, parent_name, parent_id) has a row for each foreign
-    key, also those of a table to itself; they lead to no circle.  A recursive
-    query: each level joins what the level before it removed.
+    key, also those of a table to itself; circles end.  Level by level: what the
+    level before removed, written to the shared folder, meets only the
+    references to tables of its names.  A small level is sent to the references
+    (its size is known), so that they are not shuffled; a large one is joined.
     """
-    return deleted.sparkSession.sql(
-        """WITH RECURSIVE gone(name, id) AS (
-             SELECT name, id FROM {deleted}
-             UNION ALL SELECT r.name, r.id FROM gone g JOIN {references} r ON r.parent_name = g.name AND r.parent_id = g.id)
-           SELECT DISTINCT name, id FROM gone""",
-        deleted=deleted,
-        references=references,
-    )
+    spark, path, kind = deleted.sparkSession, shared_path(deleted.sparkSession, "gone"), deleted.select("name", "id").schema
+    found, level, gone = deleted.select("name", "id").distinct(), 0, None
+    while True:
+        found.write.parquet(f"{path}/level={level}")
+        parents = spark.read.schema(kind).parquet(f"{path}/level={level}").select(F.col("name").alias("parent_name"), F.col("id").alias("parent_id"))
+        gone = spark.read.schema(kind).parquet(path).select("name", "id")
+        names = [r.parent_name for r in parents.where("parent_name is not null").select("parent_name").distinct().collect()]
+        if not names:
+            return gone
+        known = gone.toDF("_name", "_id")
+        children = references.where(F.col("parent_name").isin(names)).join(parents, ["parent_name", "parent_id"], "left_semi").select("name", F.col("id").cast(kind["id"].dataType).alias("id")).distinct()
+        found = children.join(known, F.col("name").eqNullSafe(F.col("_name")) & F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+        level += 1
 
 
 # The least and greatest length of a document's and a company's texts, and the least of its numbers.

@@ -302,6 +302,21 @@ def test_cascade_reaches_every_level(spark):
     assert sorted(map(tuple, got)) == sorted([("a", 1), ("b", 1), ("c", 5), ("c", 6), ("c", 7)] + [("d", k) for k in range(31)])
 
 
+def test_cascade_ends_in_circles_and_joins_large_levels(spark):
+    kind = "name string, id long, parent_name string, parent_id long"
+    refs = spark.createDataFrame([("a", 1, "b", 2), ("b", 2, "a", 1), ("b", 3, "b", 3), ("b", 3, "b", 2), ("b", None, "b", 3), ("b", None, "a", 1), ("c", 4, None, None), ("c", 5, "c", None)], kind)
+    gone = spark.createDataFrame([("a", 1), ("a", 1), ("c", None)], "name string, id long")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    for threshold in (before, "-1"):
+        spark.conf.set(name, threshold)
+        try:
+            got = maintenance.cascade_closure(gone, refs).collect()
+        finally:
+            spark.conf.set(name, before)
+        assert sorted(map(tuple, got), key=repr) == sorted([("a", 1), ("b", 2), ("b", 3), ("b", None), ("c", None)], key=repr)
+
+
 def test_accepted_and_rejected_rows_and_their_counts(spark):
     rows = spark.createDataFrame([(1, "ok", 0), (2, "", 5), (3, "x" * 256, -1), (4, None, None), (5, "x" * 255, 3)], "id int, title string, file_size int")
     good, bad, counts = maintenance.accept_and_reject(rows, maintenance.limits(rows.columns, maintenance.DOCUMENT_LENGTHS), "test")
