@@ -23,7 +23,7 @@ import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, compress, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,12 @@ _PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\\z"  # in NFC, and as l
 _PIECES = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+"
 
 
+def _found(values: pa.Array, table: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each value in the table, -1 if it has none, and the values that have none."""
+    at = pc.index_in(values, value_set=table)
+    return pc.fill_null(at, -1).to_numpy().astype(np.int64), values.filter(at.is_null())
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizers file, through a bounded table of the words met so far.
 
@@ -81,8 +87,8 @@ class WordTokenizer:
                 raise ValueError("the tokenizer does not split at white space before all else")
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, int] = {}
+        self.known = pa.array([], pa.binary())  # Arrow's arrays: a fraction of the memory of a dict of as many words
+        self.pieces = pa.array([], pa.string())
         none = np.empty(0, np.int32), np.empty((0, 2), np.int32), np.zeros(1, np.int64)
         self.ids, self.spans, self.starts = none  # of words; spans: characters of each id in its word, if asked for
         self.piece_ids, self.piece_spans, self.piece_starts = none
@@ -123,14 +129,14 @@ class WordTokenizer:
         spaced = pc.replace_substring_regex(pc.utf8_lower(words), f"({_PIECES})", r" \1")
         cut = pc.split_pattern(pc.utf8_slice_codeunits(spaced, 1), " ")
         coded = cut.flatten().dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        new = [p for p in different if p not in self.pieces]
-        if new:
-            ids, spans, starts = self._joined(new)
-            self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
+        found, new = _found(coded.dictionary, self.pieces)
+        if len(new):
+            ids, spans, starts = self._joined(new.to_pylist())
+            found[found < 0] = len(self.pieces) + np.arange(len(new))
+            self.pieces = pa.concat_arrays([self.pieces, new])
             self.piece_ids, self.piece_spans = np.concatenate([self.piece_ids, ids]), np.concatenate([self.piece_spans, spans])
             self.piece_starts = np.concatenate([self.piece_starts, self.piece_starts[-1] + starts[1:]])
-        piece = np.fromiter(map(self.pieces.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy()]
+        piece = found[coded.indices.to_numpy()]
         lens = np.diff(self.piece_starts)[piece]
         ends = np.cumsum(lens)
         rows = np.arange(int(lens.sum())) - np.repeat(ends - lens - self.piece_starts[:-1][piece], lens)
@@ -144,46 +150,46 @@ class WordTokenizer:
             spans = spans[rows] + np.repeat(before, lens)[:, None].astype(np.int32)
         return self.piece_ids[rows], spans, starts
 
-    def learn(self, new: list[bytes]) -> None:
-        """Add words to the table."""
+    def learn(self, new: pa.BinaryArray) -> np.ndarray:
+        """Add words to the table; their places in it."""
         collects = gc.isenabled()
         gc.disable()  # many small lists that hold no cycles
         try:
-            self._learn(new)
+            return self._learn(new)
         finally:
             if collects:
                 gc.enable()
 
-    def _learn(self, new: list[bytes]) -> None:
-        words = pa.array(new, pa.binary()).view(pa.string())  # bytes that are no UTF-8 are not plain
+    def _learn(self, new: pa.BinaryArray) -> np.ndarray:
+        words = new.view(pa.string())  # bytes that are no UTF-8 are not plain
         plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), pc.match_substring(words, "<|")) if self.model is not None else pa.array([False] * len(new))
-        mask = plain.to_numpy(zero_copy_only=False)
-        parts = []
-        for yes in (True, False):
-            mine = list(compress(new, mask == yes))
-            if mine:
-                parts.append(self._by_pieces(words.filter(plain)) if yes else self._each([w.decode("utf-8", "replace") for w in mine]))
-                self.known.update(zip(mine, range(len(self.known), len(self.known) + len(mine))))
+        rest = new.filter(pc.invert(plain))
+        parts = [self._by_pieces(words.filter(plain))] if len(rest) < len(new) else []
+        if len(rest):
+            parts.append(self._each([w.decode("utf-8", "replace") for w in rest.to_pylist()]))
+        first = plain.to_numpy(zero_copy_only=False)
+        places = len(self.known) + np.where(first, np.cumsum(first), len(new) - len(rest) + np.cumsum(~first)) - 1
+        self.known = pa.concat_arrays([self.known, new.filter(plain), rest])
         self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
         self.spans = np.concatenate([self.spans, *(p[1] for p in parts)])
         for p in parts:
             self.starts = np.concatenate([self.starts, self.starts[-1] + p[2][1:]])
+        return places
+
+    def places(self, different: pa.BinaryArray) -> np.ndarray:
+        """The place in the table of each of different words, those not met so far learnt first."""
+        found, new = _found(different, self.known)
+        if len(new) and len(self.known) + len(new) > self.most:
+            self.clear()
+            return self.learn(different)
+        if len(new):
+            found[found < 0] = self.learn(new)
+        return found
 
     def numbers(self, words: list[list[bytes]]) -> np.ndarray:
-        """The place in the table of each word of all lists, words not met so far learnt first."""
-        total = sum(map(len, words))
-        found = np.fromiter(map(self.known.get, chain.from_iterable(words), repeat(-1)), np.int64, total)
-        missing = found < 0
-        if missing.any():
-            late = list(compress(chain.from_iterable(words), missing.tolist()))
-            new = list(set(late))
-            if len(self.known) + len(new) > self.most:
-                self.clear()
-                late, missing = list(chain.from_iterable(words)), slice(None)
-                new = list(set(late))
-            self.learn(new)
-            found[missing] = np.fromiter(map(self.known.__getitem__, late), np.int64, len(late))
-        return found
+        """The place in the table of each word of all lists."""
+        coded = pa.array(chain.from_iterable(words), pa.binary()).dictionary_encode()
+        return self.places(coded.dictionary)[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array | list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text with the end id, and their numbers.
@@ -195,8 +201,7 @@ class WordTokenizer:
             texts = pa.array(texts, pa.string())
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
-        different = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        word = self.numbers([different])[words.indices.to_numpy()]
+        word = self.places(words.dictionary.view(pa.binary()))[words.indices.to_numpy()]
         n_words = pc.list_value_length(split).to_numpy().astype(np.int64)
         lens = np.diff(self.starts)[word]
         stops = np.cumsum(n_words)

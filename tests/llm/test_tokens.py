@@ -125,3 +125,19 @@ def test_a_crossing_token_goes_by_the_rule():
     spans, sections = np.array([[0, 5]]), [(0, 2), (2, 9)]
     assert [attribution.allocate(spans, sections, r)[0].tolist() for r in ("start", "end", "most")] == [[0], [1], [1]]
     assert attribution.allocate(spans, sections)[1].tolist() == [True]
+
+
+def test_the_word_table_holds_no_objects():
+    import tracemalloc
+
+    tok, n = tokenout.WordTokenizer(queries.TOKENIZER), 200_000
+    words = [f"w{k}é" for k in range(n)]
+    tracemalloc.start()
+    try:
+        ids, lengths = tok.encode([" ".join(words[:n // 2]), " ".join(words), None], 1)
+        held = tracemalloc.get_traced_memory()[0] - ids.nbytes - lengths.nbytes
+    finally:
+        tracemalloc.stop()
+    assert held < 60 * n  # numbers of the ids; the words are Arrow's
+    some = [0, 7, 99_999, 100_000, n - 1]
+    assert tok.encode([words[k] for k in some], 1)[0].tolist() == [i for k in some for i in [*tok.tokenizer.encode(words[k], add_special_tokens=False).ids, 1]]
