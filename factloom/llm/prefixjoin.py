@@ -11,7 +11,8 @@ shingles add, so at any size a shingle far more frequent than that comes late.
 The order decides on cost alone; any order gives the same links.
 
 1. Classes of one prefix and size are one group; groups meet by the shingles
-   of their prefixes.  Shingles that the same groups share are one bucket.
+   of their prefixes.  Shingles that the same groups share are one bucket,
+   and a bucket is cut where its sizes leave a gap too wide for a link.
 2. Each group meets two pivots of each of its buckets, and each class the first
    of its group, where size and places in the prefixes leave 0.9 possible.
    Pairs are filtered by parity bitmaps (bit h of a set is the parity of its
@@ -36,6 +37,7 @@ empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,19 +153,41 @@ def most_apart(n: np.ndarray | int, m: np.ndarray | int, percent: int):
 
 
 def shared_buckets(groups: DataFrame) -> DataFrame:
-    """(bucket, group, n, place) of prefix shingles that several groups share; shingles of the same groups are one bucket."""
+    """(bucket, group, n, place, classes) of prefix shingles that several groups share; shingles of the same groups are one bucket."""
     posted = groups.select(F.posexplode("prefix").alias("place", "bucket"), "group", "n", "classes")
     mark = F.bit_xor(F.xxhash64("group")).alias("mark")
     held = posted.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("classes").alias("classes"), mark)
     kept = staged(held.where("classes > 1").groupBy("groups", "mark").agg(F.min("bucket").alias("bucket")).select("bucket"), "kept")
     tidy(groups.sparkSession)
     wanted, bits = key_filter(kept, "bucket")
-    near = posted.drop("classes").where(maybe_known(F.col("bucket"), wanted.scalar(), bits))  # most shingles of a prefix are no other's
-    members = staged(near.join(kept.hint("merge"), "bucket").select("bucket", "group", "n", "place"), "buckets")
+    near = posted.where(maybe_known(F.col("bucket"), wanted.scalar(), bits))  # most shingles of a prefix are no other's
+    members = staged(near.join(kept.hint("merge"), "bucket").select("bucket", "group", "n", "place", "classes"), "buckets")
     drop(kept)
     return members
 
 
+def chained_buckets(members: DataFrame, percent: int) -> DataFrame:
+    """The members (bucket, group, n, place) with each bucket cut where sizes are too far apart; parts of the same groups are one bucket.
+
+    Sizes fall in bands, four to the ratio that the share allows; sets whose
+    bands are six apart are surely unlike, so a bucket is cut at every gap of
+    six bands, and nothing on one side of it links with the other.
+    """
+    banded = members.withColumn("band", F.floor(F.log("n") * (4 / math.log(100 / percent))) if percent < 100 else F.col("n") * 6)
+    bands = banded.groupBy("bucket").agg(F.array_sort(F.collect_set("band")).alias("bands"))
+    cuts = F.filter("bands", lambda x, k: (k > 0) & (x - F.get("bands", F.greatest(k - 1, F.lit(0))) > 5))
+    cut = bands.select("bucket", cuts.alias("cuts"))
+    chain = F.size(F.filter("cuts", lambda x: x <= F.col("band")))
+    parts = banded.join(cut, "bucket").select(F.when(F.size("cuts") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", chain)).alias("bucket"), "group", "n", "place", "classes")
+    mark = F.bit_xor(F.xxhash64("group")).alias("mark")
+    held = parts.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("classes").alias("classes"), mark).where("classes > 1")
+    kept = held.groupBy("groups", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
+    out = staged(parts.join(kept, "bucket").select("bucket", "group", "n", "place"), "chained")
+    drop(members)
+    tidy(members.sparkSession)
+    return out
+
+
 def _possible(n: str, m: str, p: str, q: str, percent: int) -> F.Column:
     """Whether sets of n and m whose prefixes hold one shingle at places p and q can be as alike."""
     most = F.least(p, q) + 1 + F.least(F.col(n) - F.col(p), F.col(m) - F.col(q)) - 1
@@ -317,7 +341,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = staged(prefixes(own.select("text"), counts, width, percent).groupBy("class").agg(*once), "prefixes")
     tidy(spark)
     groups = classes.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("classes"))
-    members = shared_buckets(groups)
+    members = chained_buckets(shared_buckets(groups), percent)
     tidy(spark)
     firsts = classes.groupBy("group").agg(F.min("class").alias("first"))
     within = classes.select("class", "group").join(firsts, "group").where("class != first").select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b"))

@@ -133,3 +133,31 @@ def test_repeated_rows_and_no_rows(make_docs, prose):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in prefixjoin.similar_documents(docs).collect()), key=str)
     assert got == sorted([(1, 48, 1), (1, 48, 1), (2, 48, 1), (None, 48, 1), (5, 0, 5), (None, 38, None), (None, 39, None)], key=str)
     assert prefixjoin.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_sizes_too_far_apart_share_no_bucket(spark, make_docs, prose, monkeypatch):
+    opened = []
+    written = prefixjoin.staged
+
+    def counting(df, name):
+        out = written(df, name)
+        if name == "open":
+            opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(prefixjoin, "staged", counting)
+    rows = [(k, "alpha beta gamma " + prose(int(12 * 1.4**k), 900 + k)) for k in range(12)]
+    docs = make_docs(rows)
+    monkeypatch.setattr(prefixjoin, "prefix_length", lambda n, percent: n)  # the shared shingle is in all prefixes
+    assert found(prefixjoin.similar_documents(docs)) == brute(rows)
+    assert opened == [0]
+    r = random.Random(4)
+    sizes = {k: r.choice([r.randrange(1, 60), r.randrange(1, 20_000)]) for k in range(400)}
+    members = prefixjoin.staged(spark.createDataFrame([(k % 9, k, n, 0, 1) for k, n in sizes.items()], "bucket long, group long, n long, place int, classes long"), "buckets")
+    parts = {(x.group, x.bucket) for x in prefixjoin.chained_buckets(members, 90).collect()}
+    of = {}
+    for g, b in parts:
+        of.setdefault(g, set()).add(b)
+    near = [(a, b) for a in sizes for b in sizes if a < b and a % 9 == b % 9 and 100 * min(sizes[a], sizes[b]) >= 90 * max(sizes[a], sizes[b])]
+    assert len(near) > 50 and all(of[a] & of[b] for a, b in near)
+    assert len({b for _, b in parts}) > 18
