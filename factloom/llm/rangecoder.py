@@ -12,8 +12,8 @@ teach one model.  The model mixes three predictions of the next id:
 
 P(x) = w2*P2(x) + w1*P1(x) + w0*P0(x).  The weights are those with which each
 order came true so far for the pair of confidences at hand, so they adapt as
-the tables do.  An id costs one step of the range coder for which order it
-goes by, one more if that is order 0, and its plain bits if it is new.
+the tables do.  An id costs one step of the range coder, by its order's mass
+and, if that is order 0, the mass of the id in it; and its plain bits if it is new.
 
 The model learns after each generation of steps (1, 1, 2, 4, 8, 16, then 32 steps of
 all stripes).  Within a generation it stands still, so the encoder weighs a
@@ -31,18 +31,16 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"FLR3"
+MAGIC = b"FLR4"
 BLOCK = 1 << 16
 _STRIPES, _STRIPE_IDS, _STEPS = 128, 256, 32  # stripes of a block at most; ids of each at least, if there are several; steps of a generation at most
 _BITS1, _BITS2 = 14, 15  # slots of the tables of order 1 and 2
 _WAYS, _WAY_BITS = 3, 12  # order 2, order 1, order 0
 _CONTEXTS = 512  # two confidences, and whether both foretell the same id
 _SLOTS, _BITS0 = 1 << 14, 16  # ids that order 0 can hold; the first two are the escapes to 16 and 32 bits
+_STEP_BITS = _WAY_BITS + _BITS0  # of the masses of a step
 _TOP, _LOW = 1 << 48, (1 << 32) - 1
 _NEW, _WIDE = 0, 1
-# The next confidence, and whether the foretold id stays, by confidence and (16 more) whether it came true.
-_NEXT = np.array([max(1, c >> 1) for c in range(16)] + [min(c + 1, 15) for c in range(16)], np.int32)
-_STAYS = np.array([c > 1 for c in range(16)] + [True] * 16)
 
 
 def _first_counts() -> np.ndarray:
@@ -119,21 +117,26 @@ class _Model:
     def learn(self, blocks: int, x: np.ndarray, k1: np.ndarray, k2: np.ndarray, e1: np.ndarray, e2: np.ndarray, way: np.ndarray, lane0: np.ndarray, slot0: np.ndarray, x0: np.ndarray) -> None:
         """Take in a generation (steps x lanes) of the first so many blocks; lane0, slot0, x0: what order 0 coded."""
         stored = np.where(x < 1 << 16, x, -1).astype(np.int32)
+        fresh = stored << 4 | 1
         for table, k, e in ((self.table1, k1, e1), (self.table2, k2, e2)):
-            g = (e & 15) + (((e >> 4) == stored) << 4)
-            table[k.reshape(-1)] = (np.where(_STAYS.take(g), e & ~15, stored << 4) | _NEXT.take(g)).reshape(-1)  # of one slot the last counts
+            c = e & 15
+            true = (e >> 4) == stored
+            new = e - c + (c >> 1)  # a confidence is halved where its id did not come, and rises to 15 where it did
+            np.copyto(new, fresh, where=c < 2)
+            np.copyto(new, e + (c < 15), where=true)
+            table[k.reshape(-1)] = new.reshape(-1)  # of one slot the last counts
         ways = self.ways[: blocks * _CONTEXTS * _WAYS]
         ways += 4 * np.bincount(way.reshape(-1), minlength=len(ways))
         self._weigh(blocks)
         of = self.block[lane0]
         coded = np.bincount(of, minlength=blocks)
-        fresh, at = np.unique((of[slot0 == _NEW] << 16) | x0[slot0 == _NEW], return_inverse=True)
-        b = fresh >> 16
+        first, at = np.unique((of[slot0 == _NEW] << 16) | x0[slot0 == _NEW], return_inverse=True)
+        b = first >> 16
         rank = np.arange(len(b)) - np.searchsorted(b, b)
         free = self.used[b] + rank < _SLOTS
         place = np.where(free, self.used[b] + rank, _NEW)
-        self.slot[fresh] = place
-        self.ids[b[free], place[free]] = fresh[free] & 0xFFFF
+        self.slot[first] = place
+        self.ids[b[free], place[free]] = first[free] & 0xFFFF
         slot = slot0.copy()
         slot[slot0 == _NEW] = place[at]
         self.used[:blocks] += np.bincount(b[free], minlength=blocks)
@@ -186,10 +189,21 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
     def put(k: slice | np.ndarray, start: np.ndarray, mass: np.ndarray, bits: int) -> None:
         r = rng[k] >> bits
-        lo, size, p = low[k] + start * r, mass * r, pos[k]
+        lo, size, p = start * r, mass * r, pos[k]
+        lo += low[k]
         out[p] = lo >> 32  # stands if the word is full, else is overwritten; a carry stays in bit 16 till the end
         full = size <= _LOW
-        low[k], rng[k], pos[k] = np.where(full, (lo & _LOW) << 16, lo), np.where(full, size << 16, size), p + full
+        np.bitwise_and(lo, _LOW, out=lo, where=full)
+        shift = full.astype(np.int64) << 4
+        low[k], rng[k], pos[k] = lo << shift, size << shift, p + full
+
+    def again(now: int) -> None:
+        """A second word of the lanes whose step had little mass."""
+        k = np.flatnonzero(rng[:now] <= _LOW)
+        if len(k):
+            out[pos[k]] = low[k] >> 32
+            low[k], rng[k] = (low[k] & _LOW) << 16, rng[k] << 16
+            pos[k] += 1
 
     for t0, t1 in _generations(longest):
         live, after = lanes.lanes_at(t0), int(lanes.blocks_at[t1]) if t1 < longest else 0
@@ -204,17 +218,22 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         of = model.block[lane0]
         slot0 = np.where(x0 >> 16, _WIDE, model.slot.take((of << 16) | (x0 & 0xFFFF)))
         at0 = of * model.width + slot0
-        start0, mass0 = model.start.take(at0), model.mass.take(at0)
+        start <<= _BITS0
+        whole = mass[step, lane0]  # of order 0; an id has its share
+        start[step, lane0] += whole * model.start.take(at0)
+        mass <<= _BITS0
+        mass[step, lane0] = whole * model.mass.take(at0)
         cuts = np.searchsorted(step, np.arange(t1 - t0 + 1)).tolist()
         for t in range(t1 - t0):
             now = lanes.lanes_at(t0 + t)
-            put(slice(now), start[t, :now], mass[t, :now], _WAY_BITS)
+            put(slice(now), start[t, :now], mass[t, :now], _STEP_BITS)
+            again(now)
             part = slice(cuts[t], cuts[t] + int(np.searchsorted(lane0[cuts[t] : cuts[t + 1]], now)))
-            put(lane0[part], start0[part], mass0[part], _BITS0)
             plain = np.flatnonzero(slot0[part] <= _WIDE) + part.start
             if len(plain):
                 wide = plain[slot0[plain] == _WIDE]
-                put(lane0[wide], x0[wide] >> 16, np.ones(len(wide), np.int64), 16)
+                if len(wide):
+                    put(lane0[wide], x0[wide] >> 16, np.ones(len(wide), np.int64), 16)
                 put(lane0[plain], x0[plain] & 0xFFFF, np.ones(len(plain), np.int64), 16)
         if after:
             cut, held = int(lanes.ends[after]), lane0 < lanes.ends[after]
@@ -260,12 +279,21 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
 
     def value(k: slice | np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         r = rng[k] >> bits
-        return r, (code[k] / r).astype(np.int64)  # exact: both are under 2^48
+        return r, (code[k] / r).astype(np.int64)  # exact: both are under 2^48, and quotients under 2^28
 
     def take(k: slice | np.ndarray, r: np.ndarray, start: np.ndarray, mass: np.ndarray) -> None:
         c, left, p = code[k] - start * r, mass * r, pos[k]
         full = left <= _LOW
-        code[k], rng[k], pos[k] = np.where(full, (c << 16) | words.take(p, mode="clip"), c), np.where(full, left << 16, left), p + full
+        shift = full.astype(np.int64) << 4
+        c <<= shift
+        np.bitwise_or(c, words.take(p, mode="clip"), out=c, where=full)
+        code[k], rng[k], pos[k] = c, left << shift, p + full
+
+    def again(now: int) -> None:
+        k = np.flatnonzero(rng[:now] <= _LOW)
+        if len(k):
+            code[k], rng[k] = (code[k] << 16) | words.take(pos[k], mode="clip"), rng[k] << 16
+            pos[k] += 1
 
     ids = np.zeros((longest + 2, n), np.int64)
     for t0, t1 in _generations(longest):
@@ -280,25 +308,30 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
             k1[t, :now], k2[t, :now] = model.places(ids[row - 1, :now], ids[row - 2, :now], now)
             f1, f2 = model.table1.take(k1[t, :now]), model.table2.take(k2[t, :now])
             c = model.context(f1, f2, now)
-            r, v = value(every, _WAY_BITS)
-            not2, miss = v >= model.after2.take(c), v >= model.after1.take(c)
+            r, v = value(every, _STEP_BITS)
+            way0 = v >> _BITS0
+            not2, miss = way0 >= model.after2.take(c), way0 >= model.after1.take(c)
             w = c * _WAYS + not2 + miss
-            take(every, r, model.way_start.take(w), model.way_mass.take(w))
+            start, mass = model.way_start.take(w) << _BITS0, model.way_mass.take(w)
             x = ids[row, :now]
             x[:] = np.where(not2, f1, f2) >> 4
             e1[t, :now], e2[t, :now], way[t, :now] = f1, f2, w
             lane = np.flatnonzero(miss)
-            r, v = value(lane, _BITS0)
+            whole = mass[lane]
             of = model.block[lane]
-            slot = slot_by_mass.take((of << _BITS0) | v).astype(np.int64)
+            slot = slot_by_mass.take((of << _BITS0) | ((v[lane] - start[lane]) / whole).astype(np.int64)).astype(np.int64)
             at = of * model.width + slot
-            take(lane, r, model.start.take(at), model.mass.take(at))
+            start[lane] += whole * model.start.take(at)
+            mass <<= _BITS0
+            mass[lane] = whole * model.mass.take(at)
+            take(every, r, start, mass)
+            again(now)
             x[lane] = model.ids.take(of * _SLOTS + slot)
             plain = np.flatnonzero(slot <= _WIDE)
             if len(plain):
                 wide = plain[slot[plain] == _WIDE]
                 high = np.zeros(now, np.int64)
-                for k, far in ((lane[wide], True), (lane[plain], False)):
+                for k, far in ((lane[wide], True), (lane[plain], False))[len(wide) == 0 :]:
                     r, v = value(k, 16)
                     take(k, r, v, np.ones(len(k), np.int64))
                     if far:

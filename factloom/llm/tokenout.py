@@ -81,6 +81,7 @@ class WordTokenizer:
             self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
             self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.clear()
+        self.clear_pieces()
         for a, b in _PROBES:
             whole, parts = (self.tokenizer.encode_batch(x, add_special_tokens=False) for x in ([f"{a}{s}{b}" for s in _SPACES], [a, b]))
             if any(e.ids != parts[0].ids + parts[1].ids for e in whole):
@@ -88,10 +89,12 @@ class WordTokenizer:
 
     def clear(self) -> None:
         self.known = pa.array([], pa.binary())  # Arrow's arrays: a fraction of the memory of a dict of as many words
+        self.ids, self.spans, self.starts = np.empty(0, np.int32), np.empty((0, 2), np.int32), np.zeros(1, np.int64)  # of words; spans: characters of each id in its word, if asked for
+
+    def clear_pieces(self) -> None:
+        """Pieces have a bound of their own: they are fewer than words, and only they cost the model's time."""
         self.pieces = pa.array([], pa.string())
-        none = np.empty(0, np.int32), np.empty((0, 2), np.int32), np.zeros(1, np.int64)
-        self.ids, self.spans, self.starts = none  # of words; spans: characters of each id in its word, if asked for
-        self.piece_ids, self.piece_spans, self.piece_starts = none
+        self.piece_ids, self.piece_spans, self.piece_starts = np.empty(0, np.int32), np.empty((0, 2), np.int32), np.zeros(1, np.int64)
 
     def _each(self, words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, spans and starts of words by the tokenizer."""
@@ -130,6 +133,9 @@ class WordTokenizer:
         cut = pc.split_pattern(pc.utf8_slice_codeunits(spaced, 1), " ")
         coded = cut.flatten().dictionary_encode()
         found, new = _found(coded.dictionary, self.pieces)
+        if len(new) and len(self.pieces) + len(new) > self.most:
+            self.clear_pieces()
+            found, new = _found(coded.dictionary, self.pieces)
         if len(new):
             ids, spans, starts = self._joined(new.to_pylist())
             found[found < 0] = len(self.pieces) + np.arange(len(new))

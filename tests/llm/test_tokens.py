@@ -56,6 +56,24 @@ def test_fewer_bits_than_zlib_and_order_zero():
     assert bits < -(p * np.log2(p)).sum() < len(zlib.compress(x.astype("<u2").tobytes())) * 8 / len(x)
 
 
+def test_pieces_outlast_forgotten_words():
+    tok = tokenout.WordTokenizer(queries.TOKENIZER, most_words=60)
+    plain = Tokenizer.from_file(queries.TOKENIZER)
+    ends = [f"{a}{b}" for a in ("", "(", '"', "#", "--") for b in ("", ".", ",", ")", "!", "?")]
+    words = [f"{e}quorvel{e}" for e in ends] + [f"{e}tarnish{e}" for e in ends]  # sixty words of two stems
+    first, later = (tok.encode([" ".join(w)], 1)[0].tolist() for w in (words[:50], words[50:]))
+    assert (first, later) == tuple([*plain.encode(" ".join(w), add_special_tokens=False).ids, 1] for w in (words[:50], words[50:]))
+    tok.encode([" ".join(f"tarnish{k}" for k in range(50))], 1)  # more words than the table holds
+    assert len(tok.known) < 60 and "quorvel" in tok.pieces.to_pylist()
+
+
+def test_steps_of_little_mass_take_two_words():
+    r = np.random.default_rng(5)
+    blocks = [np.where(r.random(60_000) < 0.999, 7, r.integers(0, top, 60_000)) for top in (9, 49_408, 1 << 32)]  # what is foretold wrongly has one part in 2^28 at least
+    for b, d in zip(blocks, rangecoder.decode_blocks(rangecoder.encode_blocks(blocks))):
+        assert (b == d).all()
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError, match="white space"):
         tokenout.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
