@@ -91,12 +91,12 @@ class _Model:
     def _weigh(self, blocks: int) -> None:
         """Masses of the three ways in each context."""
         c = self.ways[: blocks * _CONTEXTS * _WAYS].reshape(-1, _WAYS)
-        f = 1 + (c * (((1 << _WAY_BITS) - _WAYS) / c.sum(axis=1, keepdims=True))).astype(np.int64)
+        f = 1 + (c * (((1 << _WAY_BITS) - _WAYS) / (c[:, 0] + c[:, 1] + c[:, 2])[:, None])).astype(np.int64)
         f[1::2, 1] = 0  # both foretell the same
         f[:, 2] = (1 << _WAY_BITS) - f[:, 0] - f[:, 1]
         self.way_mass = f.reshape(-1)
-        self.way_start = (np.cumsum(f, axis=1) - f).reshape(-1)
         self.after2, self.after1 = f[:, 0].copy(), f[:, 0] + f[:, 1]
+        self.way_start = np.stack([np.zeros_like(self.after2), self.after2, self.after1], axis=1).reshape(-1)
 
     def _rate(self, blocks: int, escape: np.ndarray) -> None:
         """Masses of order 0."""
@@ -209,20 +209,21 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         live, after = lanes.lanes_at(t0), int(lanes.blocks_at[t1]) if t1 < longest else 0
         x = ids[t0 + 2 : t1 + 2, :live]
         k1, k2 = model.places(ids[t0 + 1 : t1 + 1, :live], ids[t0:t1, :live], live)
-        e1, e2 = model.table1.take(k1), model.table2.take(k2)
+        e1, e2 = model.table1.take(k1, mode="clip"), model.table2.take(k2, mode="clip")
         hit2, hit1 = (e2 >> 4) == x, (e1 >> 4) == x
         way = model.context(e1, e2, live) * _WAYS + np.where(hit2, 0, np.where(hit1, 1, 2))
-        start, mass = model.way_start.take(way), model.way_mass.take(way)
+        start, mass = model.way_start.take(way, mode="clip"), model.way_mass.take(way, mode="clip")
         step, lane0 = np.nonzero(~(hit1 | hit2))
         x0 = x[step, lane0]
         of = model.block[lane0]
         slot0 = np.where(x0 >> 16, _WIDE, model.slot.take((of << 16) | (x0 & 0xFFFF)))
         at0 = of * model.width + slot0
         start <<= _BITS0
-        whole = mass[step, lane0]  # of order 0; an id has its share
-        start[step, lane0] += whole * model.start.take(at0)
+        flat = step * live + lane0
+        whole = mass.reshape(-1)[flat]  # of order 0; an id has its share
+        start.reshape(-1)[flat] += whole * model.start.take(at0, mode="clip")
         mass <<= _BITS0
-        mass[step, lane0] = whole * model.mass.take(at0)
+        mass.reshape(-1)[flat] = whole * model.mass.take(at0, mode="clip")
         cuts = np.searchsorted(step, np.arange(t1 - t0 + 1)).tolist()
         for t in range(t1 - t0):
             now = lanes.lanes_at(t0 + t)
@@ -306,13 +307,13 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
             now = lanes.lanes_at(t0 + t)
             every, row = slice(now), t0 + t + 2
             k1[t, :now], k2[t, :now] = model.places(ids[row - 1, :now], ids[row - 2, :now], now)
-            f1, f2 = model.table1.take(k1[t, :now]), model.table2.take(k2[t, :now])
+            f1, f2 = model.table1.take(k1[t, :now], mode="clip"), model.table2.take(k2[t, :now], mode="clip")
             c = model.context(f1, f2, now)
             r, v = value(every, _STEP_BITS)
             way0 = v >> _BITS0
-            not2, miss = way0 >= model.after2.take(c), way0 >= model.after1.take(c)
+            not2, miss = way0 >= model.after2.take(c, mode="clip"), way0 >= model.after1.take(c, mode="clip")
             w = c * _WAYS + not2 + miss
-            start, mass = model.way_start.take(w) << _BITS0, model.way_mass.take(w)
+            start, mass = model.way_start.take(w, mode="clip") << _BITS0, model.way_mass.take(w, mode="clip")
             x = ids[row, :now]
             x[:] = np.where(not2, f1, f2) >> 4
             e1[t, :now], e2[t, :now], way[t, :now] = f1, f2, w
@@ -321,9 +322,9 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
             of = model.block[lane]
             slot = slot_by_mass.take((of << _BITS0) | ((v[lane] - start[lane]) / whole).astype(np.int64)).astype(np.int64)
             at = of * model.width + slot
-            start[lane] += whole * model.start.take(at)
+            start[lane] += whole * model.start.take(at, mode="clip")
             mass <<= _BITS0
-            mass[lane] = whole * model.mass.take(at)
+            mass[lane] = whole * model.mass.take(at, mode="clip")
             take(every, r, start, mass)
             again(now)
             x[lane] = model.ids.take(of * _SLOTS + slot)

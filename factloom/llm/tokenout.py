@@ -207,9 +207,10 @@ class WordTokenizer:
             texts = pa.array(texts, pa.string())
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
-        word = self.places(words.dictionary.view(pa.binary()))[words.indices.to_numpy()]
+        place, word = self.places(words.dictionary.view(pa.binary())), words.indices.to_numpy()
         n_words = pc.list_value_length(split).to_numpy().astype(np.int64)
-        lens = np.diff(self.starts)[word]
+        first = self.starts[place]  # of the different words, fewer than the table's and than all words
+        lens = (self.starts[place + 1] - first)[word]
         stops = np.cumsum(n_words)
         before = np.concatenate([[0], np.cumsum(lens)])
         n_ids = before[stops] - before[stops - n_words] + 1
@@ -217,7 +218,7 @@ class WordTokenizer:
         out = np.full(int(n_ids.sum()), end, np.int32)
         inside = np.ones(len(out), bool)
         inside[ends] = False
-        out[inside] = self.ids[np.arange(int(before[-1])) - np.repeat(before[:-1] - self.starts[:-1][word], lens)]
+        out[inside] = self.ids[np.arange(int(before[-1])) - np.repeat(before[:-1] - first[word], lens)]
         return out, n_ids
 
 
