@@ -38,7 +38,7 @@ FRAME_IDS = 1 << 16
 _SPACES = (" ", "\n", "  ", "\r\n", "\t", "\v", "\f", " \n \t")
 _PROBES = (("the", "end"), ("The", "\u0301x"), ("3", "4"), ("don't", "'s"), ("(", ")"), ("new", "York,"), ("日本", "語"), ("a.", "B"))
 GROUP_BLOCKS = 48
-SLICE = 8 << 20  # bytes of text whose words are looked up together
+SLICE = 4 << 20  # bytes of text whose words are looked up together
 
 
 #: The normalizer and pre-tokenizer (fixed values) for which words of Latin letters are cut here as the tokenizer would cut them.
@@ -240,6 +240,15 @@ def _frames(docs: Iterator[tuple[list, np.ndarray, np.ndarray]]) -> Iterator[tup
             first = last
 
 
+def _coded(batches: Iterator[pa.RecordBatch], tok: WordTokenizer, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Keys, ids and lengths of batches (key, text), a slice at a time."""
+    for whole in batches:
+        for b in slices(whole, 1, SLICE):
+            coded = tok.encode(b.column(1), end_id)
+            pa.default_memory_pool().release_unused()  # else a worker holds what its largest slices took
+            yield b.column(0).to_pylist(), *coded
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the frames (shard, frame, n_ids, doc_ids, doc_lengths, block_bytes, data) to path."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -250,11 +259,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         tok, shard, frame = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
 
-        def parts() -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-            for whole in batches:
-                for b in slices(whole, 1, SLICE):
-                    yield b.column(0).to_pylist(), *tok.encode(b.column(1), end_id)
-
         def flush() -> pa.RecordBatch:
             nonlocal frame
             cuts = [[ids[k : k + rangecoder.BLOCK] for k in range(0, len(ids), rangecoder.BLOCK)] for _, ids, _ in held]
@@ -276,7 +280,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return out
 
         held, n = [], 0
-        for f in _frames(parts()):
+        for f in _frames(_coded(batches, tok, end_id)):
             held.append(f)
             n += -(-len(f[1]) // rangecoder.BLOCK)
             if n >= GROUP_BLOCKS:

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -159,3 +162,30 @@ def test_the_word_table_holds_no_objects():
     assert held < 60 * n  # numbers of the ids; the words are Arrow's
     some = [0, 7, 99_999, 100_000, n - 1]
     assert tok.encode([words[k] for k in some], 1)[0].tolist() == [i for k in some for i in [*tok.tokenizer.encode(words[k], add_special_tokens=False).ids, 1]]
+
+
+MEMORY = """
+import numpy as np, pyarrow as pa, sys
+from factloom.llm import tokenout
+
+def held(name):
+    return int(next(x for x in open("/proc/self/status") if x.startswith(name)).split()[1]) >> 10
+
+def batches():
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        words = rng.integers(97, 123, (1_500_000, 6), np.uint8)
+        words[:, 5] = 32
+        text = words.tobytes().decode()
+        yield pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([text[k * 9000 : (k + 1) * 9000] for k in range(1000)])], names=["key", "text"])
+
+tok, before = tokenout.WordTokenizer(sys.argv[1]), held("VmRSS")
+n = sum(len(x[1]) for x in tokenout._coded(batches(), tok, 1))
+print(n > 0 and held("VmHWM") - before)
+"""
+
+
+def test_memory_of_a_worker_that_meets_many_words():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", MEMORY, public_tokenizers.path("word_bpe_49k.json")], cwd=root, capture_output=True, text=True, check=True)
+    assert 0 < int(done.stdout) < 370  # MB at most besides the tokenizer; 499 with slices of 8 MB whose memory is not given back
