@@ -47,7 +47,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import drop, slices, staged, tidy
@@ -391,25 +391,32 @@ def _exact(x: np.ndarray, y: np.ndarray, start: int, width: int) -> tuple[float,
     return best if x[start : start + width].all() else (0.0, start)
 
 
+def _dealt(windows: DataFrame, large: int, block: int, tasks: int) -> DataFrame:
+    """Windows (key, uid, low, open, n_open, n_members, more) with the task where they meet the others of their key.
+
+    Of a key of over ``large`` windows, every block of open ones meets every
+    block of members: an open window is sent once for each block of members,
+    a member once for each block of open ones.
+    """
+    wide = F.col("n_open") + F.col("n_members") > large
+    blocks = lambda n: F.when(wide, F.ceil(F.col(n) / block)).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("uid", "low"), F.when(F.col("open"), blocks("n_open")).otherwise(blocks("n_members"))).cast("int")
+    others = F.when(F.col("open"), blocks("n_members")).otherwise(blocks("n_open"))
+    dealt = windows.withColumn("own", own).withColumn("other_block", F.explode(F.sequence(F.lit(0), others - 1)))
+    i, j = (F.when(F.col("open"), F.col(a)).otherwise(F.col(b)) for a, b in (("own", "other_block"), ("other_block", "own")))
+    return dealt.withColumn("task", F.when(wide, F.xxhash64("key", i, j)).otherwise(F.pmod("key", F.lit(tasks)))).drop("own", "other_block", "n_open", "n_members")
+
+
 def _first_alike(open_: DataFrame, members: DataFrame, stretches: DataFrame, width: int, percent: int, large: int, block: int) -> DataFrame:
-    """For each open window (key, uid, low, high, near, far) the first window of an earlier document that it is like, among members (key, uid, low, high, near, n).
+    """For each open window (key, uid, low, high, near, far) the first window of an earlier document that it is like, among members (key, uid, low, high, near).
 
-    Windows of a key meet in one task, many keys a task; of a key of over
-    ``large`` windows, every block of open ones meets every block of members.
+    Windows of a key meet in one task, many keys a task, or block by block.
     """
     at_least = int(np.ceil(width * 2 * percent / (100 + percent)))
-    counts = members.select("key", "n").distinct()
-    open_ = open_.join(counts, "key")
-    blocks = F.when(F.col("n") > large, F.ceil(F.col("n") / block)).otherwise(1).cast("int")
-    own = F.pmod(F.xxhash64("uid", "low"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    same = ("key", "uid", "low", "high", "near", "n")
-    one = open_.select(*same, "far", F.lit(True).alias("open"), own.alias("i"), F.explode(every).alias("j"))
-    two = members.select(*same, F.lit(0).alias("far"), F.lit(False).alias("open"), own.alias("j"), F.explode(every).alias("i"))
-    dealt = one.unionByName(two)
-    tasks = F.when(F.col("n") > large, F.xxhash64("key", "i", "j")).otherwise(F.pmod("key", F.lit(max(64, members.count() // 2000))))
-    dealt = dealt.withColumn("task", tasks)
-    of_document = dealt.groupBy("uid").agg(F.collect_list(F.struct("task", "key", "low", "high", "near", "far", "open")).alias("windows"))
+    counts = open_.groupBy("key").agg(F.count("*").alias("n_open")).join(members.groupBy("key").agg(F.count("*").alias("n_members")), "key")
+    same = ("key", "uid", "low", "high", "near")
+    every = open_.select(*same, "far", F.lit(True).alias("open")).unionByName(members.select(*same, F.lit(0).alias("far"), F.lit(False).alias("open")))
+    of_document = every.join(counts, "key").groupBy("uid").agg(F.collect_list(F.struct(*same[:1], *same[2:], "far", "open", "n_open", "n_members")).alias("windows"))
     pieces = stretches.groupBy("uid").agg(F.collect_list(F.struct("base", "shingles")).alias("pieces"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,9 +434,11 @@ def _first_alike(open_: DataFrame, members: DataFrame, stretches: DataFrame, wid
                         k = near[cut : cut + 10_000]
                         shape = s[k[:, None] + np.arange(1, 2 * width)]
                         part = flat.slice(cut, 10_000)
-                        yield pa.RecordBatch.from_arrays([part.field("task"), part.field("key"), pa.array(np.full(len(k), uid)), *(part.field(c) for c in ("low", "high", "near", "far", "open")), pa.array([r.tobytes() for r in shape], pa.binary())], names=["task", "key", "uid", "low", "high", "near", "far", "open", "shape"])
+                        yield pa.RecordBatch.from_arrays([part.field("key"), pa.array(np.full(len(k), uid)), *(part.field(c) for c in names[2:-1]), pa.array([r.tobytes() for r in shape], pa.binary())], names=names)
 
-    rows = of_document.join(pieces, "uid").mapInArrow(around, "task long, key long, uid long, low int, high int, near int, far int, open boolean, shape binary")
+    names = ["key", "uid", "low", "high", "near", "far", "open", "n_open", "n_members", "shape"]
+    rows = of_document.join(pieces, "uid").mapInArrow(around, "key long, uid long, low int, high int, near int, far int, open boolean, n_open long, n_members long, shape binary")
+    rows = _dealt(rows, large, block, max(64, members.count() // 2000))
 
     def compare(t: pa.Table) -> pa.Table:
         uid, key, near = (t.column(c).to_numpy() for c in ("uid", "key", "near"))
@@ -437,6 +446,8 @@ def _first_alike(open_: DataFrame, members: DataFrame, stretches: DataFrame, wid
         shape = np.frombuffer(b"".join(t.column("shape").to_pylist()), np.uint32).reshape(len(uid), -1)
         order = np.lexsort((t.column("low").to_numpy(), uid, key))
         mine, others = order[is_open[order]], order[~is_open[order]]
+        of_shape = np.fromiter((xxhash.xxh3_64_intdigest(shape[k], int(key[k]) & (1 << 64) - 1) for k in others.tolist()), _U, len(others))
+        others = others[np.sort(np.unique(of_shape, return_index=True)[1])]  # of members alike in key and shape the first one answers for all
         lo, hi = np.searchsorted(key[others], key[mine]), np.searchsorted(key[others], key[mine], "right")
         to, at, other_at, similarity = (np.full(len(uid), -1, t) for t in (np.int64, np.int64, np.int64, np.float64))
         # the open windows side by side, each with its next few earlier ones, until all have one or have met all
@@ -544,8 +555,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     firsts = texts.groupBy("class", "second").agg(F.min("uid").alias("other"))
     copies = texts.join(firsts, ["class", "second"]).where("uid != other")
     copies = copies.select("uid", F.lit(0).cast("long").alias("start_word"), F.col("words").cast("long").alias("end_word"), "other", F.lit(0).cast("long").alias("match_start"), F.col("words").cast("long").alias("match_end"), F.lit(1.0).alias("similarity"))
-    common = anchors.groupBy("hash").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("hash")
-    places = anchors.join(common, "hash", "left_semi").groupBy("class").agg(F.collect_set("at").alias("places")).where("size(places) > 2")
+    of_hash = Window.partitionBy("hash")
+    common = anchors.withColumns({"a": F.min("class").over(of_hash), "b": F.max("class").over(of_hash)}).where("a < b")
+    places = common.groupBy("class").agg(F.collect_set("at").alias("places")).where("size(places) > 2")
     places = staged(places.join(firsts, "class").select(F.col("other").alias("uid"), "places"), "common-anchors")
     copies = staged(copies, "copies")
     drop(scanned)
@@ -555,10 +567,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     tidy(spark)
     shared = []
     for k in range(0, bands, 3):  # some bands at a time, so that the shuffle of one part is gone before the next
-        part = staged(_windows(stretches, width, range(k, min(k + 3, bands))), "windows")
-        keys = part.groupBy("key").agg(F.min(F.struct("uid", "low", "high")).alias("first"), F.max("uid").alias("most"), F.count("*").alias("n")).where("first.uid < most").drop("most")
-        shared.append(staged(part.join(keys, "key"), "shared-windows"))
-        drop(part)
+        of_key = Window.partitionBy("key")
+        part = _windows(stretches, width, range(k, min(k + 3, bands))).withColumns({"first": F.min(F.struct("uid", "low", "high")).over(of_key), "most": F.max("uid").over(of_key), "n": F.count("*").over(of_key)})
+        shared.append(staged(part.where("first.uid < most").drop("most"), "shared-windows"))
         tidy(spark)
     linked = reduce(DataFrame.union, shared).where("uid != first.uid")
     linked = linked.select("uid", "low", "high", F.col("first.uid").alias("other"), F.col("first.low").alias("other_low"), F.col("first.high").alias("other_high"))
@@ -567,7 +578,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         open_ = _uncovered(part.where("n > 2 and uid != first.uid").select("key", "uid", "low", "high", "near", "far"), reduce(DataFrame.union, found))
         open_ = staged(open_, "open")
         last = open_.groupBy("key").agg(F.max("uid").alias("last"))
-        members = staged(part.join(last, "key").where("uid < last").select("key", "uid", "low", "high", "near", "n"), "members")
+        members = staged(part.join(last, "key").where("uid < last").select("key", "uid", "low", "high", "near"), "members")
         drop(part)
         alike = staged(_first_alike(open_, members, stretches, width, percent, large, block), "alike")
         drop(open_, members)

@@ -1,6 +1,8 @@
 from collections import Counter, defaultdict
 
 
+from pyspark.sql import functions as F
+
 from factloom.llm import decontam, passages, queries
 
 SF = "/root/testdata/sf0.001"
@@ -181,3 +183,13 @@ def test_changes_at_a_passage_s_edges(make_docs, prose):
         rows += [(2 * k, prose(30, 81_000 + k, 10**6) + " " + " ".join(p) + " " + prose(60, 82_000 + k, 10**6)), (2 * k + 1, prose(60, 83_000 + k, 10**6) + " " + " ".join(q) + " " + prose(20, 84_000 + k, 10**6))]
     got = {(r.doc_id, r.match_id) for r in passages.repeated_passages(make_docs(rows)).collect()}
     assert got == {(2 * k + 1, 2 * k) for k in range(100)}
+
+
+def test_few_open_windows_of_a_large_key_do_not_multiply_its_members(spark):
+    windows = spark.range(5003).selectExpr("7L key", "id uid", "0 low", "id < 3 open", "3L n_open", "5000L n_members")
+    dealt = passages._dealt(windows, 512, 512, 64)
+    rows = {r.open: r for r in dealt.groupBy("open").agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks"), F.countDistinct("uid").alias("uids")).collect()}
+    assert (rows[False].n, rows[False].uids) == (5000, 5000)  # each was sent to all ten blocks before
+    assert (rows[True].n, rows[True].uids, rows[True].tasks) == (30, 3, 10)
+    pairs = dealt.where("open").alias("a").join(dealt.where("not open").alias("b"), "task").groupBy(F.col("a.uid"), F.col("b.uid")).count()
+    assert (pairs.count(), pairs.where("count != 1").count()) == (15000, 0)
