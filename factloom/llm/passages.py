@@ -62,12 +62,43 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in data, in order, and the places of their first bytes; the words are read side by side, eight bytes at a time."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, length = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    h = length.astype(_U) * _U(0x9E3779B97F4A7C15)
+    of, k = slice(None), 0
+    while True:
+        at, left = begin[of], length[of] - k
+        x = (h[of] ^ (eight[at + k] & _BYTES[np.minimum(left, 8)])) * _U(0xBF58476D1CE4E5B9)
+        h[of] = x ^ (x >> _U(31))
+        k += 8
+        of = np.flatnonzero((length > k) & (length <= 64)) if k == 8 else of[length[of] > k]
+        if not len(of):
+            break
+    for i in np.flatnonzero(length > 64).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : begin[i] + length[i]])
+    h = (h ^ (h >> _U(30))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31)), begin
+
+
 def _shingles(ws: list[bytes]) -> np.ndarray:
     """64-bit hashes of the shingles, in order."""
-    n = len(ws) - SHINGLE + 1
+    return _rolled(_hashes(b" ".join(ws))[0])
+
+
+def _rolled(h: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of words of these hashes."""
+    n = len(h) - SHINGLE + 1
     if n < 1:
         return np.empty(0, _U)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), _U, len(ws))
     s = np.zeros(n, _U)
     for k in range(SHINGLE):
         s += h[k : k + n] * _P[k]
@@ -80,35 +111,56 @@ def _order(s: np.ndarray, seed: np.uint64) -> np.ndarray:
     return (h ^ (h >> _U(32))) | _U(1)
 
 
-def compact_windows(values: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The range of each node in the Cartesian tree of values (leftmost minimum on top); a value of 0 is a border."""
+def compact_windows(values: np.ndarray, nodes: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each node in the Cartesian tree of values (leftmost minimum on top); a value of 0 is a border, and no two are further apart than longest."""
     table = [values]
-    while 2 << len(table) <= len(values):
+    while 2 << len(table) <= len(values) and 1 << len(table) <= (longest or len(values)):
         half = 1 << (len(table) - 1)
         table.append(np.minimum(table[-1][:-half], table[-1][half:]))
     low, high, own = nodes.copy(), nodes + 1, values[nodes]
     for k in range(len(table) - 1, -1, -1):
         step, row = 1 << k, table[k]
         to = low - step
-        low = np.where((to >= 0) & (row[np.clip(to, 0, len(row) - 1)] > own), to, low)
-        high = np.where((high + step <= len(values)) & (row[np.clip(high, 0, len(row) - 1)] >= own), high + step, high)
+        low = np.where((to >= 0) & (row[np.maximum(to, 0)] > own), to, low)
+        high = np.where((high + step <= len(values)) & (row[np.minimum(high, len(row) - 1)] >= own), high + step, high)
     return low, high  # [low, high)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost minimum of each stretch of width values."""
-    place = np.arange(len(values))
+    """Place of the leftmost minimum of each stretch of width values, told by the bits above those that number the places."""
+    bits = _U(len(values).bit_length())
+    both = values >> bits << bits | np.arange(len(values), dtype=_U)
     have = 1
     while have < width:
         step = min(have, width - have)
-        a, b = place[:-step], place[step:]
-        place = np.where(values[b] < values[a], b, a)
+        both = np.minimum(both[:-step], both[step:])
         have += step
-    return place
+    return (both & (_U(1) << bits) - _U(1)).astype(np.int64)
+
+
+def _merged(s: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first, key, low, high, near, far) of joint windows in order of their starts, with those of one key whose nearer minimum moves along a run of one shingle merged.
+
+    Each start in such a run has a window of its own.  All that these windows
+    could be laid on lies on one another at the run's start, at its end or, if
+    both ends are to meet for runs of nearly one length, at its middle; these
+    three stand for them.  first is the place of the merged windows' first.
+    """
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    run, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+    end = np.concatenate([begin[1:], [len(s)]]) - 1
+    of, other = run[near], run[far]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (other[1:] != other[:-1])]))
+    start, stop, one_run = begin[of[first]], end[of[first]], of[first] == other[first]
+    low, high = np.minimum(np.minimum.reduceat(low, first), start), np.maximum.reduceat(high, first)
+    out = []
+    for at, of_these in ((start, stop >= start), (stop, stop > start), ((start + stop) // 2, stop > start + 1)):
+        out.append((first[of_these], key[first][of_these], low[of_these], high[of_these], at[of_these], np.where(one_run, at, far[first])[of_these]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def joint_windows(docs: list[np.ndarray], width: int, bands: range) -> tuple[np.ndarray, ...]:
-    """(document, key, low, high, near, far) of the joint windows of documents' shingles, high excluded; near and far are the places of the two minima."""
+    """(document, key, low, high, near, far) of the joint windows of documents' shingles, high excluded; near and far are the places of the two minima, windows along a run of one shingle merged."""
     docs_at, parts, out = [], [], []
     size = 0
 
@@ -126,8 +178,9 @@ def joint_windows(docs: list[np.ndarray], width: int, bands: range) -> tuple[np.
                 v = _order(s, seed)
                 v[border] = 0
                 top = _least(v, width)
-                nodes = np.unique(top[valid])
-                low, high = compact_windows(v, nodes)
+                nodes = top[valid]  # in order
+                nodes = nodes[np.append(True, nodes[1:] != nodes[:-1])]
+                low, high = compact_windows(v, nodes, max(map(len, parts)))
                 tops.append(np.where(valid, top, -1))
                 lows.append((nodes, low))
                 highs.append(high)
@@ -142,8 +195,9 @@ def joint_windows(docs: list[np.ndarray], width: int, bands: range) -> tuple[np.
             i, j = np.searchsorted(lows[0][0], a), np.searchsorted(lows[1][0], b)
             low, high = np.maximum(lows[0][1][i], lows[1][1][j]), np.minimum(highs[0][i], highs[1][j])
             key = (keys[0][a] * _U(0x9E3779B97F4A7C15) + keys[1][b]) * _U(2 * k + 1) + _U(k)
-            d = of[first]
-            out.append((np.array(docs_at)[d], key.view(np.int64), low - base[d], high - base[d], np.minimum(a, b) - base[d], np.maximum(a, b) - base[d]))
+            at, key, low, high, near, far = _merged(s, key, low, high, np.minimum(a, b), np.maximum(a, b))
+            d = of[first][at]
+            out.append((np.array(docs_at)[d], key.view(np.int64), low - base[d], high - base[d], near - base[d], far - base[d]))
         docs_at, parts, size = [], [], 0
 
     for k, s in enumerate(docs):
@@ -152,7 +206,7 @@ def joint_windows(docs: list[np.ndarray], width: int, bands: range) -> tuple[np.
         docs_at.append(k)
         parts.append(s)
         size += len(s)
-        if size > 200_000:
+        if size > 30_000:
             flush()
     if parts:
         flush()
@@ -162,78 +216,142 @@ def joint_windows(docs: list[np.ndarray], width: int, bands: range) -> tuple[np.
 
 
 ANCHOR = 8
-_SCAN = "class long, at int, hash long, uid long, second long, words int"
+BUCKETS = 10  # bits of an anchor's hash that name the task in which it meets its equals
+_SCAN = "class long, uid long, second long, words int, bucket int, hashes binary, classes binary, places binary"
+
+
+def _packed(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The values as bytes, a part from each begin on."""
+    ends = np.append(begin, len(values)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _by_class(classes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each class and its places."""
+    order = np.argsort(classes, kind="stable")
+    classes = classes[order]
+    begin = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])[: len(classes)])
+    return classes[begin], _packed(places[order], begin)
+
+
+def _held_by_two(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of hashes, where each different one begins in it, how many it has and whether two classes have it."""
+    order = np.argsort(hashes, kind="stable")
+    sorted_ = hashes[order]
+    begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    n = np.diff(np.append(begin, len(order)))
+    return order, begin, n, np.minimum.reduceat(classes[order], begin) != np.maximum.reduceat(classes[order], begin)
 
 
 def _scanned(docs: DataFrame, width: int) -> DataFrame:
-    """Of docs (uid, text) with a passage's words: a row (class, uid, second, words) each, and rows (class, at, hash) of its anchors; the anchors of copies in one batch once."""
+    """Of docs (uid, text) with a passage's words: a row (class, uid, second, words) each, and their anchors; the anchors of copies in one slice once.
+
+    Anchors that two classes of a slice have are common: rows (class, places).
+    The others, and two of each of these, are rows (bucket, hashes, classes,
+    places), by which all of one hash meet.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1):
-                seen: set[int] = set()
-                rows, parts, of = [], [], []
-                for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ws = _words(text)
-                    if len(ws) - SHINGLE + 1 < width:
-                        continue
-                    both = xxhash.xxh3_128_intdigest(b" ".join(ws))
-                    one, two = np.array([both & (1 << 64) - 1, both >> 64], _U).view(np.int64).tolist()
-                    rows.append((one, uid, two, len(ws)))
-                    if one not in seen:
-                        seen.add(one)
-                        of.append(one)
-                        parts.append(_shingles(ws))
-                if not rows:
+            for b in slices(whole, 1, 2 << 20):
+                texts = b.column(1).cast(pa.binary()).to_pylist()
+                h, at = _hashes(b"\n".join(texts).lower())
+                last = np.searchsorted(at, np.cumsum([len(x) + 1 for x in texts]))
+                first = np.concatenate([[0], last[:-1]])
+                of = np.flatnonzero(last - first - SHINGLE + 1 >= width)
+                if not len(of):
                     continue
-                sizes = np.array([len(x) for x in parts])
+                first, last = first[of], last[of]
+                two, one = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h[x:y]) for x, y in zip(first.tolist(), last.tolist())), ">i8").astype(np.int64).reshape(-1, 2).T
+                once = np.sort(np.unique(one, return_index=True)[1])
+                all_ = _rolled(h)
+                s = np.concatenate([all_[x : y - SHINGLE + 1] for x, y in zip(first[once].tolist(), last[once].tolist())])
+                sizes = last[once] - first[once] - SHINGLE + 1
                 end = np.cumsum(sizes)
-                s = np.concatenate(parts)
-                begin = np.arange(len(s) - ANCHOR + 1)
-                doc = np.searchsorted(end, begin, "right")
-                places = np.unique(_least(_order(s, _SEEDS[0]), ANCHOR)[begin + ANCHOR <= end[doc]])
-                doc = np.searchsorted(end, places, "right")
-                k, m = len(places), len(rows)
-                none = [None] * k
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.array(of, np.int64)[doc], np.array([r[0] for r in rows], np.int64)])),
-                        pa.array([*(places - (end - sizes)[doc]).tolist(), *[None] * m], pa.int32()),
-                        pa.array([*s[places].view(np.int64).tolist(), *[None] * m], pa.int64()),
-                        *(pa.array([*none, *(r[c] for r in rows)], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))),
-                    ],
-                    names=["class", "at", "hash", "uid", "second", "words"],
-                )
+                doc = np.repeat(np.arange(len(once)), sizes)
+                anchors = _least(_order(s, _SEEDS[0]), ANCHOR)[doc[: len(s) - ANCHOR + 1] == doc[ANCHOR - 1 :]]
+                anchors = anchors[np.append(True, anchors[1:] != anchors[:-1])]
+                hashes, classes, places = s[anchors], one[once][doc[anchors]], (anchors - (end - sizes)[doc[anchors]]).astype(np.int32)
+                order, begin, n, common = _held_by_two(hashes, classes)
+                told = np.repeat(common, n)
+                new = np.append(True, classes[order][1:] != classes[order][:-1])
+                new[begin] = False
+                sent = ~told
+                sent[begin] = True  # the first, and the first of another class
+                other = np.flatnonzero(new & told)
+                sent[other[np.unique(np.searchsorted(begin, other, "right"), return_index=True)[1]]] = True
+                own, of_own = _by_class(classes[order][told], places[order][told])
+                order = order[sent]
+                bucket = (hashes[order] >> _U(64 - BUCKETS)).astype(np.int32)
+                parts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                yield from _rows(**{"class": one, "uid": b.column(0).take(pa.array(of)), "second": two, "words": last - first})
+                yield from _rows(**{"class": own, "places": of_own})
+                yield from _rows(bucket=bucket[parts], hashes=_packed(hashes[order], parts), classes=_packed(classes[order], parts), places=_packed(places[order], parts))
 
     return docs.mapInArrow(scan, _SCAN)
 
 
+_SCANNED = pa.schema([("class", pa.int64()), ("uid", pa.int64()), ("second", pa.int64()), ("words", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("classes", pa.binary()), ("places", pa.binary())])
+
+
+def _rows(**columns) -> Iterator[pa.RecordBatch]:
+    """Rows of _SCANNED, null where no column is given."""
+    n = len(next(iter(columns.values())))
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCANNED], schema=_SCANNED)
+
+
+def _common(t: pa.Table) -> pa.Table:
+    """(class, places) of the anchors of one bucket that two classes have."""
+    hashes, classes, places = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("hashes", _U), ("classes", np.int64), ("places", np.int32)))
+    order, _, n, common = _held_by_two(hashes, classes)
+    order = order[np.repeat(common, n)]
+    own, of_own = _by_class(classes[order], places[order])
+    return pa.table({"class": own, "places": of_own})
+
+
+_PIECES = "uid long, pieces array<struct<base:int,shingles:binary>>"
+
+
 def _stretches(docs: DataFrame, width: int) -> DataFrame:
-    """(uid, base, shingles) of docs (uid, text, places): the stretches that hold three of the places in a passage's reach, with a passage's length around."""
+    """(uid, pieces) of docs (uid, text, places in parts): the stretches that hold three of the places in a passage's reach, with a passage's length around, each as its first place and its shingles."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 1):
-                out: tuple[list, list, list] = ([], [], [])
-                for uid, text, places in zip(*(c.to_pylist() for c in b.columns)):
-                    at = np.sort(np.array(places))
+                uids, ends, bases, pieces = [], [0], [], []
+                for uid, text, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+                    at = np.unique(np.frombuffer(b"".join(places), np.int32))
                     k = np.flatnonzero(at[2:] - at[:-2] <= width + ANCHOR)
                     if not len(k):
                         continue
-                    s = _shingles(_words(text))
+                    s = _rolled(_hashes(text.lower())[0])
                     low, high = np.maximum(at[k] - width, 0), np.minimum(at[k + 2] + width + 1, len(s))
                     new = np.concatenate([[True], low[1:] > high[:-1]])
                     for x, y in zip(low[new].tolist(), high[np.concatenate([new[1:], [True]])].tolist()):
-                        out[0].append(uid)
-                        out[1].append(x)
-                        out[2].append(s[x:y].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary()))], names=["uid", "base", "shingles"])
+                        bases.append(x)
+                        pieces.append(s[x:y].tobytes())
+                    uids.append(uid)
+                    ends.append(len(bases))
+                of_uid = pa.StructArray.from_arrays([pa.array(bases, pa.int32()), pa.array(pieces, pa.binary())], names=["base", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), of_uid)], names=["uid", "pieces"])
 
-    return docs.mapInArrow(cut, "uid long, base int, shingles binary")
+    return docs.mapInArrow(cut, _PIECES)
+
+
+def _laid_out(pieces: list[dict], low: int, high: int) -> np.ndarray:
+    """The shingles from low to high, 0 where no piece has them."""
+    s = np.zeros(high - low, _U)
+    for p in pieces:
+        x, base = np.frombuffer(p["shingles"], _U), p["base"]
+        a, b = max(base, low), min(base + len(x), high)
+        if a < b:
+            s[a - low : b - low] = x[a - base : b - base]
+    return s
 
 
 def _windows(stretches: DataFrame, width: int, bands: range) -> DataFrame:
-    """(uid, low, high, near, far, key) of the joint windows of stretches (uid, base, shingles)."""
+    """(uid, low, high, near, far, key) of the joint windows of stretches (uid, pieces)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -242,7 +360,7 @@ def _windows(stretches: DataFrame, width: int, bands: range) -> DataFrame:
                 base = b.column(1).to_numpy()[of]
                 yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[of]), *(pa.array(x + base, pa.int32()) for x in places), pa.array(key)], names=["uid", "low", "high", "near", "far", "key"])
 
-    return stretches.mapInArrow(scan, "uid long, low int, high int, near int, far int, key long")
+    return stretches.select("uid", F.inline("pieces")).mapInArrow(scan, "uid long, low int, high int, near int, far int, key long")
 
 
 def _longest(hit: np.ndarray, share: float) -> tuple[int, int]:
@@ -339,23 +457,35 @@ def _fitted(s: np.ndarray, t: np.ndarray, place: np.ndarray, near: np.ndarray, w
 _ROW = pa.schema([("uid", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("other", pa.int64()), ("match_start", pa.int64()), ("match_end", pa.int64()), ("similarity", pa.float64())])
 
 
+def _overlapping(places: np.ndarray) -> list[list[int]]:
+    """Windows (low, high, other_low, other_high) of a pair as groups whose intervals overlap on both sides."""
+    groups: list[list[int]] = []
+    for w in places[np.lexsort(places.T[::-1])].tolist():
+        for g in groups:
+            if w[0] < g[1] and w[2] < g[3] and g[2] < w[3]:  # in order of low
+                if w[1] > g[1]:
+                    g[1] = w[1]
+                if w[2] < g[2]:
+                    g[2] = w[2]
+                if w[3] > g[3]:
+                    g[3] = w[3]
+                break
+        else:
+            groups.append(w)
+    return groups
+
+
 def _verify(least_words: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                groups: list[list[int]] = []  # windows of the pair whose intervals overlap on both sides
-                for w in sorted((w["low"], w["high"], w["other_low"], w["other_high"]) for w in r["windows"]):
-                    g = next((g for g in groups if w[0] < g[1] and w[2] < g[3] and g[2] < w[3]), None)
-                    if g:
-                        g[:] = [min(g[0], w[0]), max(g[1], w[1]), min(g[2], w[2]), max(g[3], w[3])]
-                    else:
-                        groups.append(list(w))
-                u, v = r["words"].split(b" "), r["other_words"].split(b" ")
-                for lo, hi, lo2, hi2 in groups:
-                    a, c = lo - r["first"], lo2 - r["other_first"]
-                    for found in measure(u[a : a + hi - lo + SHINGLE - 1], v[c : c + hi2 - lo2 + SHINGLE - 1], least_words, percent):
-                        out.append({"uid": r["uid"], "start_word": lo + found[0], "end_word": lo + found[1], "other": r["other"], "match_start": lo2 + found[2], "match_end": lo2 + found[3], "similarity": found[4]})
+            ends, flat = b.column(b.schema.names.index("windows")).offsets.to_numpy(), b.column(b.schema.names.index("windows")).values
+            places = np.stack([flat.field(c).to_numpy() for c in ("low", "high", "other_low", "other_high")], axis=1)
+            for k, (uid, first, shingles, other, other_first, other_shingles) in enumerate(zip(*(b.column(c).to_pylist() for c in ("uid", "first", "shingles", "other", "other_first", "other_shingles")))):
+                s, t = np.frombuffer(shingles, _U), np.frombuffer(other_shingles, _U)
+                for lo, hi, lo2, hi2 in _overlapping(places[ends[k] : ends[k + 1]]):
+                    for found in _measured(s[lo - first : hi - first], t[lo2 - other_first : hi2 - other_first], least_words, percent):
+                        out.append({"uid": uid, "start_word": lo + found[0], "end_word": lo + found[1], "other": other, "match_start": lo2 + found[2], "match_end": lo2 + found[3], "similarity": found[4]})
             yield pa.RecordBatch.from_pylist(out, _ROW)
 
     return verify
@@ -417,17 +547,14 @@ def _first_alike(open_: DataFrame, members: DataFrame, stretches: DataFrame, wid
     same = ("key", "uid", "low", "high", "near")
     every = open_.select(*same, "far", F.lit(True).alias("open")).unionByName(members.select(*same, F.lit(0).alias("far"), F.lit(False).alias("open")))
     of_document = every.join(counts, "key").groupBy("uid").agg(F.collect_list(F.struct(*same[:1], *same[2:], "far", "open", "n_open", "n_members")).alias("windows"))
-    pieces = stretches.groupBy("uid").agg(F.collect_list(F.struct("base", "shingles")).alias("pieces"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 20):
                 b = whole.slice(at, 20)
                 for uid, windows, pieces in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                    s = np.zeros(max(p["base"] + len(p["shingles"]) // 8 for p in pieces) + 2 * width, np.uint32)
-                    for p in pieces:
-                        x = np.frombuffer(p["shingles"], _U)
-                        s[p["base"] + width : p["base"] + width + len(x)] = (x >> _U(32)).astype(np.uint32) | np.uint32(1)
+                    s = _laid_out(pieces, -width, max(p["base"] + len(p["shingles"]) // 8 for p in pieces) + width)
+                    s = (s >> _U(32)).astype(np.uint32) | (s != 0)
                     flat = windows.values
                     near = flat.field("near").to_numpy()
                     for cut in range(0, len(near), 10_000):
@@ -437,7 +564,7 @@ def _first_alike(open_: DataFrame, members: DataFrame, stretches: DataFrame, wid
                         yield pa.RecordBatch.from_arrays([part.field("key"), pa.array(np.full(len(k), uid)), *(part.field(c) for c in names[2:-1]), pa.array([r.tobytes() for r in shape], pa.binary())], names=names)
 
     names = ["key", "uid", "low", "high", "near", "far", "open", "n_open", "n_members", "shape"]
-    rows = of_document.join(pieces, "uid").mapInArrow(around, "key long, uid long, low int, high int, near int, far int, open boolean, n_open long, n_members long, shape binary")
+    rows = of_document.join(stretches, "uid").mapInArrow(around, "key long, uid long, low int, high int, near int, far int, open boolean, n_open long, n_members long, shape binary")
     rows = _dealt(rows, large, block, max(64, members.count() // 2000))
 
     def compare(t: pa.Table) -> pa.Table:
@@ -486,30 +613,34 @@ def _first_alike(open_: DataFrame, members: DataFrame, stretches: DataFrame, wid
     return best.select("key", "uid", "low", "high", "near", "far", "best.*")
 
 
-def _measure_pairs(named: DataFrame, linked: DataFrame, least_words: int, percent: int) -> DataFrame:
+def _measure_pairs(stretches: DataFrame, linked: DataFrame, least_words: int, percent: int) -> DataFrame:
     """FOUND of linked windows (uid, low, high, other, other_low, other_high)."""
-    pairs = staged(linked.groupBy("uid", "other").agg(F.collect_set(F.struct("low", "high", "other_low", "other_high")).alias("windows")), "window-pairs")
+    near = max(1, (least_words - SHINGLE + 1) // 2)  # windows that begin nearer than this on both sides overlap
+    joined = linked.groupBy("uid", "other", F.floor(F.col("low") / near).alias("a"), F.floor(F.col("other_low") / near).alias("b")).agg(*(f(c).alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.min, "other_low"), (F.max, "other_high"))))
+    pairs = staged(joined.groupBy("uid", "other").agg(F.collect_list(F.struct("low", "high", "other_low", "other_high")).alias("windows")), "window-pairs")
     each = pairs.select("uid", "other", F.inline("windows"))
     hulls = each.select("uid", "low", "high").union(each.select("other", "other_low", "other_high")).groupBy("uid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [b" ".join(_words(t.as_py())[lo : hi + SHINGLE - 1]) for t, lo, hi in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["uid", "first", "words"])
-
-    words = staged(named.join(hulls, "uid").select("uid", "text", "low", "high").mapInArrow(fetch, "uid long, first int, words binary"), "window-words")
-    others = words.withColumnsRenamed({"uid": "other", "first": "other_first", "words": "other_words"})
-    found = pairs.join(others, "other").join(words, "uid").select("uid", "first", "words", "other", "other_first", "other_words", "windows")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                found = [_laid_out(pieces, lo, hi).tobytes() for pieces, lo, hi in zip(*(c.to_pylist() for c in b.columns[1:]))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["uid", "first", "shingles"])
+
+    parts = staged(stretches.join(hulls, "uid").select("uid", "pieces", "low", "high").mapInArrow(fetch, "uid long, first int, shingles binary"), "window-shingles")
+    others = parts.withColumnsRenamed({"uid": "other", "first": "other_first", "shingles": "other_shingles"})
+    found = pairs.join(others, "other").join(parts, "uid").select("uid", "first", "shingles", "other", "other_first", "other_shingles", "windows")
     found = staged(found.mapInArrow(_verify(least_words, percent), FOUND), "passages")
-    drop(pairs, words)
+    drop(pairs, parts)
     return found
 
 
 def _uncovered(windows: DataFrame, found: DataFrame, *more: str) -> DataFrame:
     """Windows (key, uid, low, high, near, far, more) whose two minima lie in no one passage found."""
-    in_one = F.coalesce((F.col("near") >= F.col("start_word")) & (F.col("far") + SHINGLE <= F.col("end_word")), F.lit(False))
-    out = windows.join(found.select("uid", "start_word", "end_word"), "uid", "left")
-    return out.groupBy("key", "uid", "low", "high", "near", "far", *more).agg(F.max(in_one).alias("in_one")).where("not in_one").drop("in_one")
+    parts = found.groupBy("uid").agg(F.collect_set(F.struct("start_word", "end_word")).alias("parts"))
+    in_one = F.exists("parts", lambda p: (F.col("near") >= p["start_word"]) & (F.col("far") + SHINGLE <= p["end_word"]))
+    return windows.join(parts, "uid", "left").where(~F.coalesce(in_one, F.lit(False))).select("key", "uid", "low", "high", "near", "far", *more)
 
 
 def _covering(bare: DataFrame, least_words: int) -> DataFrame:
@@ -544,20 +675,19 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     width = least_words - SHINGLE + 1
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    plain = docs.schema[doc_id].dataType.simpleString() in ("bigint", "int") and own.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    plain = docs.schema[doc_id].dataType.simpleString() in ("bigint", "int") and docs.groupBy(F.col(doc_id).alias("doc_id")).count().where("count > 1 or doc_id is null").isEmpty()
     if plain:
         named = own.withColumn("uid", F.col("doc_id").cast("long"))
     else:  # numbers in the order of the ids, written once so that they hold
         named = staged(own.dropDuplicates(["doc_id", "text"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("uid", F.monotonically_increasing_id()), "numbered")
     scanned = staged(_scanned(named.select("uid", "text"), width), "anchors")
     texts = scanned.where("uid is not null").select("class", "second", "uid", "words")
-    anchors = scanned.where("uid is null").select("class", "at", "hash")
+    common = scanned.where("hashes is not null").groupBy("bucket").applyInArrow(_common, "class long, places binary")
+    common = common.union(scanned.where("uid is null and hashes is null").select("class", "places"))
     firsts = texts.groupBy("class", "second").agg(F.min("uid").alias("other"))
     copies = texts.join(firsts, ["class", "second"]).where("uid != other")
     copies = copies.select("uid", F.lit(0).cast("long").alias("start_word"), F.col("words").cast("long").alias("end_word"), "other", F.lit(0).cast("long").alias("match_start"), F.col("words").cast("long").alias("match_end"), F.lit(1.0).alias("similarity"))
-    of_hash = Window.partitionBy("hash")
-    common = anchors.withColumns({"a": F.min("class").over(of_hash), "b": F.max("class").over(of_hash)}).where("a < b")
-    places = common.groupBy("class").agg(F.collect_set("at").alias("places")).where("size(places) > 2")
+    places = common.groupBy("class").agg(F.collect_list("places").alias("places"))
     places = staged(places.join(firsts, "class").select(F.col("other").alias("uid"), "places"), "common-anchors")
     copies = staged(copies, "copies")
     drop(scanned)
@@ -573,7 +703,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         tidy(spark)
     linked = reduce(DataFrame.union, shared).where("uid != first.uid")
     linked = linked.select("uid", "low", "high", F.col("first.uid").alias("other"), F.col("first.low").alias("other_low"), F.col("first.high").alias("other_high"))
-    found = [_measure_pairs(named, linked, least_words, percent)]
+    found = [_measure_pairs(stretches, linked, least_words, percent)]
     for part in shared:  # what one part finds closes windows of the next
         open_ = _uncovered(part.where("n > 2 and uid != first.uid").select("key", "uid", "low", "high", "near", "far"), reduce(DataFrame.union, found))
         open_ = staged(open_, "open")
@@ -583,7 +713,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         alike = staged(_first_alike(open_, members, stretches, width, percent, large, block), "alike")
         drop(open_, members)
         tidy(spark)
-        found.append(_measure_pairs(named, alike.select("uid", "low", "high", "other", "other_low", "other_high"), least_words, percent))
+        found.append(_measure_pairs(stretches, alike.select("uid", "low", "high", "other", "other_low", "other_high"), least_words, percent))
         bare = _uncovered(alike, found[-1], "other", "start", "other_start", "similarity")  # where measuring took another part, the stretch itself
         found.append(staged(_covering(bare, least_words), "bare-stretches"))
         drop(alike)

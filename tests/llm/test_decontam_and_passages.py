@@ -1,6 +1,7 @@
+import random
 from collections import Counter, defaultdict
 
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.llm import decontam, passages, queries
@@ -193,3 +194,58 @@ def test_few_open_windows_of_a_large_key_do_not_multiply_its_members(spark):
     assert (rows[True].n, rows[True].uids, rows[True].tasks) == (30, 3, 10)
     pairs = dealt.where("open").alias("a").join(dealt.where("not open").alias("b"), "task").groupBy(F.col("a.uid"), F.col("b.uid")).count()
     assert (pairs.count(), pairs.where("count != 1").count()) == (15000, 0)
+
+
+def _of_runs(seed, n):
+    """Words in runs, as texts of junk have them."""
+    r = random.Random(seed)
+    return [w for _ in range(n) for w in [r.choice(("the", "a", "of", f"x{seed}_{r.randrange(10**6)}"))] * r.randrange(10, 40)]
+
+
+def test_a_run_of_one_word_gives_few_windows():
+    words = ["the"] * 600 + [f"x{k}" for k in range(100)] + ["of"] * 600
+    key = passages.joint_windows([passages._shingles([w.encode() for w in words])], 46, range(1))[1]
+    assert len(key) < 50 and max(Counter(key.tolist()).values()) <= 6  # 555 before: one for each start in a run
+
+
+def test_passages_of_runs_are_found_at_every_shift(make_docs):
+    for seed in range(6):
+        copies = []
+        for k, (before, after) in enumerate(((3, 7), (25, 1), (40, 40), (0, 30))):  # runs of other lengths at the passage's ends
+            inner = _of_runs(seed, 6)
+            copies.append((10 * seed + k, " ".join(_of_runs(1000 + 10 * seed + k, 3) + ["the"] * before + ["edge"] * 12 + inner + ["the"] * after + _of_runs(2000 + 10 * seed + k, 3))))
+        got = covered(passages.repeated_passages(make_docs(copies)).collect())
+        for k, t in copies[1:]:
+            w = t.split()
+            start = w.index("edge")
+            assert len(set(range(start, start + 12 + len(_of_runs(seed, 6)))) - got[k]) <= 10
+
+
+def test_hashes_of_words_in_bytes():
+    r = random.Random(5)
+    for _ in range(200):
+        data = bytes(r.choice(b"ab \n\t\x0b\x0c\r\x1c\x85\xa0xyz") for _ in range(r.randrange(300))) + b"z" * r.choice((0, 0, 7, 8, 9, 64, 65, 200))
+        h, at = passages._hashes(data)
+        words = data.split()
+        assert [data[a : a + len(w)] for a, w in zip(at.tolist(), words)] == words and len(h) == len(words)
+        assert len(set(h.tolist())) == len(set(words))
+        assert all(passages._hashes(w)[0].tolist() == [x] for w, x in zip(words, h.tolist()))
+
+
+def test_common_anchors_equal_brute_force(spark, make_docs, prose):
+    shared = [prose(60, 600 + k, 10**6) for k in range(30)]
+    rows = [(k, prose(40, 700 + k, 10**6) + " " + shared[k % 30] + " " + "the " * (k % 50) + prose(30, 800 + k, 10**6)) for k in range(90)]
+    rows += [(100 + k, rows[k][1]) for k in range(20)]  # copies are no second class
+    scanned = passages._scanned(make_docs(rows).selectExpr("doc_id uid", "text").repartition(3), 46).persist()
+    got = scanned.where("hashes is not null").groupBy("bucket").applyInArrow(passages._common, "class long, places binary").union(scanned.where("uid is null and hashes is null").select("class", "places"))
+    places = defaultdict(set)
+    for r in got.collect():
+        places[r["class"]].update(np.frombuffer(bytes(r.places), np.int32).tolist())
+    of_class = {r.uid: r["class"] for r in scanned.where("uid is not null").collect()}
+    holders, at = defaultdict(set), defaultdict(set)
+    for k, t in rows:
+        s = passages._shingles(passages._words(t))
+        for p in set(passages._least(passages._order(s, passages._SEEDS[0]), passages.ANCHOR).tolist()):
+            holders[int(s[p])].add(of_class[k])
+            at[of_class[k]].add((p, int(s[p])))
+    assert places == {c: found for c, ps in at.items() if (found := {p for p, x in ps if len(holders[x]) > 1})}
