@@ -638,9 +638,9 @@ def _measure_pairs(stretches: DataFrame, linked: DataFrame, least_words: int, pe
 
 def _uncovered(windows: DataFrame, found: DataFrame, *more: str) -> DataFrame:
     """Windows (key, uid, low, high, near, far, more) whose two minima lie in no one passage found."""
-    parts = found.groupBy("uid").agg(F.collect_set(F.struct("start_word", "end_word")).alias("parts"))
+    parts = found.groupBy(F.col("uid").alias("of")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("parts"))
     in_one = F.exists("parts", lambda p: (F.col("near") >= p["start_word"]) & (F.col("far") + SHINGLE <= p["end_word"]))
-    return windows.join(parts, "uid", "left").where(~F.coalesce(in_one, F.lit(False))).select("key", "uid", "low", "high", "near", "far", *more)
+    return windows.join(parts, (F.col("uid") == F.col("of")) & in_one, "left_anti").select("key", "uid", "low", "high", "near", "far", *more)
 
 
 def _covering(bare: DataFrame, least_words: int) -> DataFrame:
