@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import drop, slices, staged, tidy
+from factloom.llm.common import drop, hash_spans, slices, staged, tidy
 
 SHINGLE = 5
 _U = np.uint64
@@ -63,30 +63,15 @@ def _words(text: str | None) -> list[bytes]:
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words in data, in order, and the places of their first bytes; the words are read side by side, eight bytes at a time."""
+    """64-bit hashes of the words in data, in order, and the places of their first bytes."""
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = ~_SPACE[np.frombuffer(data, np.uint8)]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, length = edges[::2], edges[1::2] - edges[::2]
-    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
-    h = length.astype(_U) * _U(0x9E3779B97F4A7C15)
-    of, k = slice(None), 0
-    while True:
-        at, left = begin[of], length[of] - k
-        x = (h[of] ^ (eight[at + k] & _BYTES[np.minimum(left, 8)])) * _U(0xBF58476D1CE4E5B9)
-        h[of] = x ^ (x >> _U(31))
-        k += 8
-        of = np.flatnonzero((length > k) & (length <= 64)) if k == 8 else of[length[of] > k]
-        if not len(of):
-            break
-    for i in np.flatnonzero(length > 64).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : begin[i] + length[i]])
-    h = (h ^ (h >> _U(30))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31)), begin
+    return hash_spans(data, begin, length), begin
 
 
 def _shingles(ws: list[bytes]) -> np.ndarray:

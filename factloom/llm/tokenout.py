@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import rangecoder
-from factloom.llm.common import new_path, slices
+from factloom.llm.common import hash_spans, new_path, slices
 
 FRAME_IDS = 1 << 16
 _SPACES = (" ", "\n", "  ", "\r\n", "\t", "\v", "\f", " \n \t")
 _PROBES = (("the", "end"), ("The", "\u0301x"), ("3", "4"), ("don't", "'s"), ("(", ")"), ("new", "York,"), ("日本", "語"), ("a.", "B"))
 GROUP_BLOCKS = 48
+WRITTEN_BLOCKS = 16  # the encoder's calls are fewer a block than the decoder's, so more of it may stay in a core's cache
 SLICE = 4 << 20  # bytes of text whose words are looked up together
 
 
@@ -53,10 +54,38 @@ _PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\\z"  # in NFC, and as l
 _PIECES = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+"
 
 
-def _found(values: pa.Array, table: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The place of each value in the table, -1 if it has none, and the values that have none."""
-    at = pc.index_in(values, value_set=table)
-    return pc.fill_null(at, -1).to_numpy().astype(np.int64), values.filter(at.is_null())
+class _Places:
+    """Where values stand in a table that grows, by their hashes in order; what is found so is compared with the table's value."""
+
+    def __init__(self) -> None:
+        self.hashes, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)
+
+    @staticmethod
+    def _hashes(values: pa.Array) -> np.ndarray:
+        _, offsets, data = values.buffers()
+        ends = np.frombuffer(offsets, np.int32, len(values) + 1, 4 * values.offset).astype(np.int64)
+        held = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data else b""
+        return hash_spans(held, ends[:-1] - ends[0], np.diff(ends))
+
+    def add(self, values: pa.Array, places: np.ndarray) -> None:
+        if len(values):
+            h = self._hashes(values)
+            order = np.argsort(h)
+            at = np.searchsorted(self.hashes, h[order])
+            self.hashes, self.places = np.insert(self.hashes, at, h[order]), np.insert(self.places, at, places[order])
+
+    def find(self, values: pa.Array, table: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The place of each value in the table, -1 if it has none, and the values that have none."""
+        found = np.full(len(values), -1, np.int64)
+        if len(values) and len(self.hashes):
+            h = self._hashes(values)
+            order = np.argsort(h)
+            at = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)
+            hit = self.hashes[at] == h[order]
+            of, place = order[hit], self.places[at[hit]]
+            same = pc.equal(values.take(pa.array(of)), table.take(pa.array(place))).to_numpy(zero_copy_only=False)
+            found[of[same]] = place[same]
+        return found, values.filter(pa.array(found < 0))
 
 
 class WordTokenizer:
@@ -88,12 +117,12 @@ class WordTokenizer:
                 raise ValueError("the tokenizer does not split at white space before all else")
 
     def clear(self) -> None:
-        self.known = pa.array([], pa.binary())  # Arrow's arrays: a fraction of the memory of a dict of as many words
+        self.known, self.known_at = pa.array([], pa.binary()), _Places()  # Arrow's arrays: a fraction of the memory of a dict of as many words
         self.ids, self.spans, self.starts = np.empty(0, np.int32), np.empty((0, 2), np.int32), np.zeros(1, np.int64)  # of words; spans: characters of each id in its word, if asked for
 
     def clear_pieces(self) -> None:
         """Pieces have a bound of their own: they are fewer than words, and only they cost the model's time."""
-        self.pieces = pa.array([], pa.string())
+        self.pieces, self.pieces_at = pa.array([], pa.string()), _Places()
         self.piece_ids, self.piece_spans, self.piece_starts = np.empty(0, np.int32), np.empty((0, 2), np.int32), np.zeros(1, np.int64)
 
     def _each(self, words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,13 +161,14 @@ class WordTokenizer:
         spaced = pc.replace_substring_regex(pc.utf8_lower(words), f"({_PIECES})", r" \1")
         cut = pc.split_pattern(pc.utf8_slice_codeunits(spaced, 1), " ")
         coded = cut.flatten().dictionary_encode()
-        found, new = _found(coded.dictionary, self.pieces)
+        found, new = self.pieces_at.find(coded.dictionary, self.pieces)
         if len(new) and len(self.pieces) + len(new) > self.most:
             self.clear_pieces()
-            found, new = _found(coded.dictionary, self.pieces)
+            found, new = self.pieces_at.find(coded.dictionary, self.pieces)
         if len(new):
             ids, spans, starts = self._joined(new.to_pylist())
-            found[found < 0] = len(self.pieces) + np.arange(len(new))
+            found[found < 0] = places = len(self.pieces) + np.arange(len(new))
+            self.pieces_at.add(new, places)
             self.pieces = pa.concat_arrays([self.pieces, new])
             self.piece_ids, self.piece_spans = np.concatenate([self.piece_ids, ids]), np.concatenate([self.piece_spans, spans])
             self.piece_starts = np.concatenate([self.piece_starts, self.piece_starts[-1] + starts[1:]])
@@ -175,6 +205,7 @@ class WordTokenizer:
             parts.append(self._each([w.decode("utf-8", "replace") for w in rest.to_pylist()]))
         first = plain.to_numpy(zero_copy_only=False)
         places = len(self.known) + np.where(first, np.cumsum(first), len(new) - len(rest) + np.cumsum(~first)) - 1
+        self.known_at.add(new, places)
         self.known = pa.concat_arrays([self.known, new.filter(plain), rest])
         self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
         self.spans = np.concatenate([self.spans, *(p[1] for p in parts)])
@@ -184,7 +215,7 @@ class WordTokenizer:
 
     def places(self, different: pa.BinaryArray) -> np.ndarray:
         """The place in the table of each of different words, those not met so far learnt first."""
-        found, new = _found(different, self.known)
+        found, new = self.known_at.find(different, self.known)
         if len(new) and len(self.known) + len(new) > self.most:
             self.clear()
             return self.learn(different)
@@ -209,17 +240,17 @@ class WordTokenizer:
         words = split.flatten().dictionary_encode()
         place, word = self.places(words.dictionary.view(pa.binary())), words.indices.to_numpy()
         n_words = pc.list_value_length(split).to_numpy().astype(np.int64)
-        first = self.starts[place]  # of the different words, fewer than the table's and than all words
-        lens = (self.starts[place + 1] - first)[word]
         stops = np.cumsum(n_words)
-        before = np.concatenate([[0], np.cumsum(lens)])
-        n_ids = before[stops] - before[stops - n_words] + 1
-        ends = np.cumsum(n_ids) - 1
-        out = np.full(int(n_ids.sum()), end, np.int32)
-        inside = np.ones(len(out), bool)
-        inside[ends] = False
-        out[inside] = self.ids[np.arange(int(before[-1])) - np.repeat(before[:-1] - first[word], lens)]
-        return out, n_ids
+        word = np.insert(word, stops, len(place))  # the end id is one more word, after the table's ids
+        first = np.append(self.starts[place], len(self.ids))  # of the different words, fewer than the table's and than all words
+        lens = np.append(np.diff(self.starts)[place], 1)[word]
+        ends = np.cumsum(lens)
+        n_ids = np.diff(ends[stops + np.arange(len(stops))], prepend=0)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if total + len(self.ids) < 1 << 31 else np.int64
+        rows = np.repeat((first[word] - ends + lens).astype(kind), lens)
+        rows += np.arange(total, dtype=kind)
+        return np.append(self.ids, np.int32(end)).take(rows), n_ids
 
 
 @lru_cache(maxsize=2)
@@ -283,7 +314,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         for f in _frames(_coded(batches, tok, end_id)):
             held.append(f)
             n += -(-len(f[1]) // rangecoder.BLOCK)
-            if n >= GROUP_BLOCKS:
+            if n >= WRITTEN_BLOCKS:
                 yield flush()
                 held, n = [], 0
         if held:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -189,3 +190,27 @@ def test_memory_of_a_worker_that_meets_many_words():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     done = subprocess.run([sys.executable, "-c", MEMORY, public_tokenizers.path("word_bpe_49k.json")], cwd=root, capture_output=True, text=True, check=True)
     assert 0 < int(done.stdout) < 370  # MB at most besides the tokenizer; 499 with slices of 8 MB whose memory is not given back
+
+
+def test_words_of_equal_hash_keep_their_own_ids(monkeypatch):
+    texts = [f"alpha beta gamma{k % 7} delta'{k} ünder 12{k} x<|y" for k in range(40)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    right = tokenout.WordTokenizer(path)
+    expect = [right.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    for hashes in (tokenout.hash_spans, lambda data, begin, length: length.astype(np.uint64) % np.uint64(3)):
+        monkeypatch.setattr(tokenout, "hash_spans", hashes)
+        tok = tokenout.WordTokenizer(path)
+        for k in range(0, 40, 10):
+            ids, n = tok.encode(texts[k : k + 10], 1)
+            assert np.split(ids, np.cumsum(n)[:-1])[9].tolist() == expect[k + 9]
+            assert ids.tolist() == [x for e in expect[k : k + 10] for x in e]
+
+
+def test_places_asks_only_for_what_it_does_not_have():
+    table = pa.array([f"w{k}" for k in range(1000)], pa.string())
+    places = tokenout._Places()
+    places.add(table.slice(0, 400), np.arange(400))
+    places.add(table.slice(400), np.arange(400, 1000))
+    found, new = places.find(pa.array(["w3", "no", "w999", "", "w" * 200], pa.string()), table)
+    assert found.tolist() == [3, -1, 999, -1, -1] and new.to_pylist() == ["no", "", "w" * 200]
+    assert tokenout._Places().find(table.slice(0, 2), table)[0].tolist() == [-1, -1]
